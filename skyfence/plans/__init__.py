@@ -1,4 +1,4 @@
 """Importing this package fills the query registry."""
 
-from skyfence.plans import detect  # noqa: F401
+from skyfence.plans import detect, ingest  # noqa: F401
 from skyfence.plans.base import ORACLES, QUERIES  # noqa: F401
