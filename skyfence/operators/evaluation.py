@@ -73,25 +73,31 @@ def candidate_weights(spark, n: int = 100, seed: int = 42, keys: tuple[str, ...]
 def weight_metrics(labelled: DataFrame, candidates: list[dict], threshold: int = 50) -> DataFrame:
     """Confusion metrics of each weight vector over all labelled rows, in one pass.
 
-    The (few) vectors are literals: a row yields one score per vector, and the counts per vector are
-    plain sums, so nothing is paired up or shuffled but one row per partition.
-    ``labelled`` needs the network columns and a boolean ``malicious``.
+    The vectors are literals next to each row, and the counts combine before the shuffle: what
+    moves is one row per vector and task. ``labelled`` needs the network columns and a boolean
+    ``malicious``.
     """
-    feats = scoring.network_features(labelled)
-    y = F.coalesce(F.col("malicious"), F.lit(False))
-    aggs = []
-    for i, w in enumerate(candidates):
-        base = sum((F.col(scoring.WEIGHT_FEATURE[k]) * F.lit(float(v)) for k, v in w.items() if k in scoring.WEIGHT_FEATURE), F.lit(0.0))
-        base = base + F.col("privacy_concern") * F.lit(float(w.get("privacy_flags", 0.05)) if "privacy_flags" not in w else 0.0)
-        hit = (F.least(F.lit(1.0), base) * 0.5 * 100).cast("int") >= threshold
-        aggs += [F.count_if(y & hit).alias(f"tp{i}"), F.count_if(~y & hit).alias(f"fp{i}"), F.count_if(y & ~hit).alias(f"fn{i}"), F.count_if(~y & ~hit).alias(f"tn{i}")]
-    one = feats.agg(*aggs)
-    rows = one.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("candidate"), *[F.col(f"{c}{i}").alias(c) for c in ("tp", "fp", "fn", "tn")]) for i in range(len(candidates))
-    ])))
+    keys = [k for k in scoring.ORDER if k in scoring.WEIGHT_FEATURE]
+    feats = scoring.network_features(labelled).select(F.coalesce("malicious", F.lit(False)).alias("y"), *scoring.FEATURES)
+    default = {"privacy_flags": 0.05}
+    vectors = F.array(*[
+        F.struct(F.lit(i).alias("candidate"), *[F.lit(float(w.get(k, default.get(k, 0.0)))).alias(f"w_{k}") for k in keys])
+        for i, w in enumerate(candidates)
+    ])
+    rows = feats.select("*", F.inline(vectors))
+    base = None
+    for k in keys:
+        term = F.col(scoring.WEIGHT_FEATURE[k]) * F.col(f"w_{k}")
+        base = term if base is None else base + term
+    hit = (F.least(F.lit(1.0), base) * 0.5 * 100).cast("int") >= threshold
+    y = F.col("y")
+    counts = rows.withColumn("hit", hit).groupBy("candidate").agg(
+        F.count_if(y & F.col("hit")).alias("tp"), F.count_if(~y & F.col("hit")).alias("fp"),
+        F.count_if(y & ~F.col("hit")).alias("fn"), F.count_if(~y & ~F.col("hit")).alias("tn"),
+    )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     p, r = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
-    return rows.withColumns({"precision": p, "recall": r, "f1_score": _f1(p, r), "accuracy": _ratio(tp + tn, tp + fp + fn + tn)})
+    return counts.withColumns({"precision": p, "recall": r, "f1_score": _f1(p, r), "accuracy": _ratio(tp + tn, tp + fp + fn + tn)})
 
 
 def tune_weights(labelled: DataFrame, candidates: list[dict], threshold: int = 50) -> DataFrame:

@@ -29,6 +29,10 @@ def _allowed(length: int, threshold: float) -> int:
     return d
 
 
+def _keyed(key: list[Column]):
+    return lambda text: F.struct(*key, text.alias("text"))
+
+
 def similar_ssids(names: DataFrame, threshold: float = 0.85, col: str = "ssid") -> DataFrame:
     """Pairs of distinct names with similarity of at least the threshold, each pair once.
 
@@ -47,7 +51,7 @@ def similar_ssids(names: DataFrame, threshold: float = 0.85, col: str = "ssid")
             key = [F.lit(length).alias("len"), F.lit(i).alias("piece")]
             pieces.append((length, F.struct(*key, F.substring("name", start + 1, width).alias("text"))))
             spots = [F.substring("name", s + 1, width) for s in range(max(0, start - d), min(length, start + d) + 1)]
-            probes.append((length, d, F.transform(F.array_distinct(F.array(*spots)), lambda t, k=key: F.struct(*k, t.alias("text")))))
+            probes.append((length, d, F.transform(F.array_distinct(F.array(*spots)), _keyed(key))))
     # Names are at most 32 characters, so the pieces of each length are spelled out as literals.
     cut = F.filter(F.array(*[F.when(size == n, p) for n, p in pieces]), lambda p: p.isNotNull())
     probe = F.flatten(F.filter(F.array(*[F.when(size.between(n - d, n), p) for n, d, p in probes]), lambda p: p.isNotNull()))

@@ -127,9 +127,5 @@ def dedup_frames(frames: DataFrame, window_s: float = 5.0) -> DataFrame:
     Deauthentication and disassociation frames always pass: their repetition is the signal.
     """
     exempt = F.coalesce(F.col("frame_type").isin("deauth", "disassoc"), F.lit(False))
-    keyed = frames.filter(~exempt).withColumns(
-        {f"_k_{c}": F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("bssid", "seq_num", "frame_type", "ssid")}
-    )
-    keys = ["_k_bssid", "_k_seq_num", "_k_frame_type", "_k_ssid"]
-    kept = cooldown(keyed, keys, int(window_s * US)).drop(*keys)
+    kept = cooldown(frames.filter(~exempt), ["bssid", "seq_num", "frame_type", "ssid"], int(window_s * US))
     return kept.unionByName(frames.filter(exempt))

@@ -138,22 +138,14 @@ def apply_rules(df: DataFrame, rules: list[dict] | None = None, cool: bool = Tru
         hits.append(F.when(matches(df.schema, r), F.struct(
             F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["name"]).alias("title"), F.lit(r.get("severity", "medium").upper()).alias("severity"),
             F.lit(r.get("mitre_technique_id", "")).alias("mitre_attack"), F.lit(r.get("mitre_tactic", "")).alias("mitre_tactic"),
+            F.lit(max(1, int(r.get("cooldown_seconds", 300) * US))).cast("bigint").alias("cooldown_us"),
         )))
     pick = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n)
     fired = df.select("event_id", "t_us", "sensor_id", pick("bssid"), pick("ssid"), F.inline(F.array_compact(F.array(*hits))))
     fired = fired.withColumn("alert_type", F.lit("rule_match"))
     if not cool:
-        return fired
-    # Rules sharing a cooldown length share one fold.
-    lengths: dict[float, list[str]] = {}
-    for r in live:
-        lengths.setdefault(r.get("cooldown_seconds", 300), []).append(r["rule_id"])
-    out = None
-    for seconds, ids in lengths.items():
-        part = fired.filter(F.col("rule_id").isin(ids))
-        part = cooldown(part, ["sensor_id", "rule_id"], int(seconds * US)) if seconds > 0 else part
-        out = part if out is None else out.unionByName(part)
-    return out
+        return fired.drop("cooldown_us")
+    return cooldown(fired, ["sensor_id", "rule_id"], "cooldown_us").drop("cooldown_us")
 
 
 # Checklist entries (id, title, severity, score, test, timeline, remediation).

@@ -19,18 +19,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 US = 1_000_000
 NEVER = -(2**61)
 
 
-def slot_of(t: str | Column, span_us: int) -> Column:
+def slot_of(t: str | Column, span_us: int | Column) -> Column:
     """Index of the time slot of length ``span_us`` (also right for negative times)."""
     t = F.col(t) if isinstance(t, str) else t
-    span = F.lit(span_us).cast("bigint")
+    span = (span_us if isinstance(span_us, Column) else F.lit(span_us)).cast("bigint")
     return F.call_function("div", t - F.pmod(t, span), span)
 
 
+def _whole(keys: Sequence[str]) -> dict[str, Column]:
+    """Never-null copies of key columns: rows without a key stay together and survive joins."""
+    return {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for i, k in enumerate(keys)}
+
+
 def trailing(
     df: DataFrame,
     keys: Sequence[str],
@@ -105,11 +111,12 @@ def running(
     ``spec`` maps output name to ``(kind, column)``, kind in sum, count, max, min, last
     (``last`` and ``first`` take the latest / earliest non-null value).
     """
-    rows = df.withColumn("_slice", slot_of(t, slice_us))
-    part = [*keys, "_slice"]
+    made = _whole(keys)
+    rows = df.withColumns(made | {"_slice": F.coalesce(slot_of(t, slice_us), F.lit(0))})
+    whole, part = [*made], [*made, "_slice"]
     stop = Window.currentRow if inclusive else -1
     local = Window.partitionBy(*part).orderBy(t, tie).rowsBetween(Window.unboundedPreceding, stop)
-    upto = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*whole).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
 
     def value(kind: str, col: Column) -> Column:
         if kind in ("last", "first"):
@@ -119,8 +126,7 @@ def running(
         return col
 
     fold = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "last": F.max, "first": F.min}
-    for name, (kind, col) in spec.items():
-        rows = rows.withColumn(f"_v_{name}", value(kind, col))
+    rows = rows.withColumns({f"_v_{name}": value(kind, col) for name, (kind, col) in spec.items()})
     partial = rows.groupBy(*part).agg(*[fold[k](f"_v_{n}").alias(f"_p_{n}") for n, (k, _) in spec.items()])
     prefix = partial.select(*part, *[fold[k](f"_p_{n}").over(upto).alias(f"_p_{n}") for n, (k, _) in spec.items()])
     rows = rows.select("*", *[fold[k](f"_v_{n}").over(local).alias(f"_l_{n}") for n, (k, _) in spec.items()])
@@ -203,10 +209,42 @@ def _emitted(ts: np.ndarray, forced: np.ndarray, cool: int, last: int) -> list[i
     return out
 
 
+_LONGS = T.ArrayType(T.LongType())
+_STEPS = T.StructType([T.StructField("b", _LONGS), T.StructField("e", _LONGS)])
+_ENTRIES = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("l", T.LongType())]))
+
+
+@F.pandas_udf(_STEPS)
+def _summarise(ts: pd.Series, fs: pd.Series, start: pd.Series, cool: pd.Series) -> pd.DataFrame:
+    out = [_exit_steps(np.asarray(a), np.asarray(f, dtype=bool), int(c), int(s)) for a, f, s, c in zip(ts, fs, start, cool)]
+    return pd.DataFrame({"b": [o[0] for o in out], "e": [o[1] for o in out]})
+
+
+@F.pandas_udf(_ENTRIES)
+def _chain(parts: pd.Series, cool: pd.Series) -> pd.Series:
+    out = []
+    for steps, c in zip(parts, cool):
+        last, entry = NEVER, []
+        for p in steps:
+            entry.append({"s": int(p["s"]), "l": last})
+            at = int(np.searchsorted(p["b"], last + c, side="left"))
+            if at < len(p["e"]):
+                last = int(p["e"][at])
+        out.append(entry)
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _replay(ts: pd.Series, fs: pd.Series, last: pd.Series, cool: pd.Series) -> pd.Series:
+    return pd.Series([
+        _emitted(np.asarray(a), np.asarray(f, dtype=bool), int(c), int(l)) for a, f, l, c in zip(ts, fs, last, cool)
+    ])
+
+
 def cooldown(
     df: DataFrame,
     keys: Sequence[str],
-    cool_us: int,
+    cool_us: int | str,
     t: str = "t_us",
     tie: str = "event_id",
     forced: str | None = None,
@@ -214,54 +252,25 @@ def cooldown(
 ) -> DataFrame:
     """Keep a row if it comes at least ``cool`` after the last row kept for its key.
 
-    Rows whose ``forced`` column is true are always kept and restart the cooldown. The fold
-    is sequential per key, but only through the time of the last kept row: each slice of a
-    key is summarised on its own, the summaries are chained, and each slice is then replayed
-    on its own. No task sees more than one slice of a key's rows.
+    ``cool_us`` is a length or the name of a column that is constant within a key. Rows whose
+    ``forced`` column is true are always kept and restart the cooldown. The fold is sequential per
+    key, but only through the time of the last kept row: each slice of a key is summarised on its
+    own, the summaries are chained, and each slice is then replayed on its own. No task sees more
+    than one slice of a key's rows.
     """
-    span = cool_us * slices
+    cool = (F.col(cool_us) if isinstance(cool_us, str) else F.lit(cool_us)).cast("bigint")
     flag = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
-    packed = df.withColumn("_slice", slot_of(t, span)).groupBy(*keys, "_slice").agg(
-        F.sort_array(
-            F.collect_list(F.struct(F.col(t).alias("t"), F.col(tie).alias("i"), flag.alias("f"), F.struct(*df.columns).alias("r")))
-        ).alias("_rows")
-    )
-    packed = packed.select(
-        *keys, "_slice", "_rows",
-        F.transform("_rows", lambda x: x["t"]).alias("_ts"),
-        F.transform("_rows", lambda x: x["f"]).alias("_fs"),
-    )
-
-    @F.pandas_udf("struct<b: array<bigint>, e: array<bigint>>")
-    def summarise(ts: pd.Series, fs: pd.Series, no: pd.Series) -> pd.DataFrame:
-        out = [_exit_steps(np.asarray(a), np.asarray(f, dtype=bool), cool_us, int(s) * span) for a, f, s in zip(ts, fs, no)]
-        return pd.DataFrame({"b": [o[0] for o in out], "e": [o[1] for o in out]})
-
-    @F.pandas_udf("array<struct<s: bigint, l: bigint>>")
-    def chain(parts: pd.Series) -> pd.Series:
-        out = []
-        for steps in parts:
-            last, entry = NEVER, []
-            for p in steps:
-                entry.append({"s": int(p["s"]), "l": last})
-                at = int(np.searchsorted(p["b"], last + cool_us, side="left"))
-                if at < len(p["e"]):
-                    last = int(p["e"][at])
-            out.append(entry)
-        return pd.Series(out)
-
-    @F.pandas_udf("array<int>")
-    def replay(ts: pd.Series, fs: pd.Series, last: pd.Series) -> pd.Series:
-        return pd.Series(
-            [_emitted(np.asarray(a), np.asarray(f, dtype=bool), cool_us, int(l)) for a, f, l in zip(ts, fs, last)]
-        )
-
-    steps = packed.select(*keys, "_slice", summarise("_ts", "_fs", "_slice").alias("_m"))
+    row = F.struct(F.col(t).alias("t"), F.col(tie).alias("i"), flag.alias("f"), F.struct(*df.columns).alias("r"))
+    made = _whole(keys) | {"_cool": F.coalesce(cool, F.lit(0)), "_slice": F.coalesce(slot_of(t, cool * slices), F.lit(0))}
+    packed = df.select("*", *[c.alias(n) for n, c in made.items()]).groupBy(*made).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    ts, fs = F.transform("_rows", lambda x: x["t"]), F.transform("_rows", lambda x: x["f"])
+    part = [n for n in made if n != "_slice"]
+    start = F.col("_slice") * F.col("_cool") * slices
+    steps = packed.select(*made, _summarise(ts, fs, start, "_cool").alias("_m"))
+    step = F.struct(F.col("_slice").alias("s"), F.col("_m.b").alias("b"), F.col("_m.e").alias("e"))
     entries = (
-        steps.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("_slice").alias("s"), F.col("_m.b").alias("b"), F.col("_m.e").alias("e")))).alias("_p"))
-        .select(*keys, F.explode(chain("_p")).alias("_x"))
-        .select(*keys, F.col("_x.s").alias("_slice"), F.col("_x.l").alias("_last"))
+        steps.groupBy(*part).agg(F.sort_array(F.collect_list(step)).alias("_p"))
+        .select(*part, F.inline(_chain("_p", "_cool")).alias("_slice", "_last"))
     )
-    kept = packed.join(entries, [*keys, "_slice"]).select("_rows", replay("_ts", "_fs", "_last").alias("_keep"))
+    kept = packed.join(entries, [*made]).select("_rows", _replay(ts, fs, "_last", "_cool").alias("_keep"))
     return kept.select(F.explode(F.transform("_keep", lambda i: F.get("_rows", i)["r"])).alias("r")).select("r.*")

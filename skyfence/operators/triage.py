@@ -34,9 +34,7 @@ def triage(findings: DataFrame, suppress_s: float = 3600.0) -> DataFrame:
 
 def suppress_duplicates(alerts: DataFrame, quiet_s: float = 600.0) -> DataFrame:
     """At most one alert per (type, severity, address, title) in the quiet period after the last one sent."""
-    keys = ("alert_type", "severity", "bssid", "title")
-    named = alerts.withColumns({f"_k_{k}": F.coalesce(F.col(k), F.lit("")) for k in keys})
-    return cooldown(named, [f"_k_{k}" for k in keys], int(quiet_s * US)).drop(*[f"_k_{k}" for k in keys])
+    return cooldown(alerts, ["alert_type", "severity", "bssid", "title"], int(quiet_s * US))
 
 
 def event_states(findings: DataFrame) -> DataFrame:
