@@ -323,7 +323,7 @@ def evil_twin(
     """
     panes_per = window_s // slide_s
     ads = frames.filter(F.col("frame_type").isin("beacon", "probe_resp") & F.col("bssid").isNotNull() & (F.col("ssid") != ""))
-    bi = F.col("beacon_interval").cast("double")
+    bi = F.col("beacon_interval").cast("bigint")
     who = F.struct("t_us", "event_id", "vendor_oui", "security", "wps", "pmf")
     panes = ads.groupBy("sensor_id", "ssid", "bssid", slot_of("t_us", slide_s * US).alias("pane")).agg(
         F.count("*").alias("n"), F.sum("rssi_dbm").alias("rs"), F.count("rssi_dbm").alias("rn"),
@@ -336,11 +336,12 @@ def evil_twin(
         F.sum("n").alias("n"), F.sum("rs").alias("rs"), F.sum("rn").alias("rn"), F.sum("bn").alias("bn"),
         F.sum("b1").alias("b1"), F.sum("b2").alias("b2"), F.min("who").alias("who"),
     ).join(debut, ["sensor_id", "ssid", "bssid"])
-    var = (F.col("b2") - F.col("b1") * F.col("b1") / F.col("bn")) / (F.col("bn") - 1)
+    # Sample variance from whole-number sums: exact up to the final division.
+    var = (F.col("bn") * F.col("b2") - F.col("b1") * F.col("b1")) / (F.col("bn") * (F.col("bn") - 1))
     aps = aps.select(
         "sensor_id", "ssid", "win", "bssid", "n", "first_us",
         F.when(F.col("rn") > 0, F.col("rs") / F.col("rn")).otherwise(-100.0).alias("rssi"),
-        F.when(F.col("bn") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0).alias("jitter"),
+        F.when(F.col("bn") > 1, F.round(F.sqrt(var), 9)).otherwise(0.0).alias("jitter"),
         F.upper("who.vendor_oui").alias("oui"), F.col("who.security").alias("sec"),
         F.col("who.wps").alias("wps"), F.col("who.pmf").alias("pmf"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyfence.operators.timeline import US, running, slot_of
+from skyfence.operators.timeline import US, running, slot_of, trailing
 
 # The waiting message-1 frames of an AP are always its newest ones, so the whole state is the
 # position of the oldest waiting one. A frame moves that position by ``max`` (expiry) or by
@@ -16,7 +16,9 @@ from skyfence.operators.timeline import US, running, slot_of
 
 
 def _moves(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return pdf["_floor"].to_numpy(), (pdf["eapol_message"] == 2).to_numpy(), pdf["_m1s"].to_numpy()
+    # Message 1 frames older than the window: all up to this instant minus those in the window.
+    expired = pdf.groupby("t_us")["_m1s"].transform("max") - pdf["_recent"]
+    return expired.to_numpy(), (pdf["eapol_message"] == 2).to_numpy(), pdf["_m1s"].to_numpy()
 
 
 def _clamp(pdf: pd.DataFrame) -> tuple[int, int, int]:
@@ -35,12 +37,8 @@ def pending_m1(talk: DataFrame, width_us: int, slice_us: int = 600 * US) -> Data
     """
     first = F.col("eapol_message") == 1
     rows = running(talk, ["bssid"], {"_m1s": ("sum", F.coalesce(first.cast("bigint"), F.lit(0)))}, inclusive=True)
-    # _floor: message 1 frames older than the window = all so far minus those inside it.
-    from skyfence.operators.timeline import trailing
-
-    rows = trailing(rows, ["bssid"], width_us, {"_recent": first})
-    rows = rows.withColumn("_floor", F.col("_m1s") - F.col("_recent")).withColumn("_slice", slot_of("t_us", slice_us))
-    small = rows.select("bssid", "_slice", "t_us", "event_id", "eapol_message", "_m1s", "_floor")
+    rows = trailing(rows, ["bssid"], width_us, {"_recent": first}).withColumn("_slice", slot_of("t_us", slice_us))
+    small = rows.select("bssid", "_slice", "t_us", "event_id", "eapol_message", "_m1s", "_recent")
 
     def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         k, lo, hi = _clamp(pdf.sort_values(["t_us", "event_id"]))
@@ -68,4 +66,4 @@ def pending_m1(talk: DataFrame, width_us: int, slice_us: int = 600 * US) -> Data
         return pdf.drop(columns="_head").assign(orphaned_m1=out)
 
     out = rows.join(heads, ["bssid", "_slice"]).select(*rows.columns, "_head").groupBy("bssid", "_slice").applyInPandas(replay, schema)
-    return out.drop("_m1s", "_recent", "_floor", "_slice")
+    return out.drop("_m1s", "_recent", "_slice")

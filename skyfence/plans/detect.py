@@ -158,7 +158,7 @@ ads as (select *, min(t_us) over (partition by sensor_id, ssid, bssid) as first_
         from frames where frame_type in ('beacon', 'probe_resp') and ssid <> ''),
 ends as (select ads.*, ((t_us - t_us % 30000000) // 30000000 + s.i + 1) * 30000000 as att from ads, range(4) s(i)),
 ap as (select sensor_id, ssid, att, bssid, count(*) as n, min(first_us) as first_us, avg(rssi_dbm) as rssi,
-         coalesce(stddev_samp(beacon_interval), 0) as jitter, min(vendor_oui) as oui, min(security) as security, min(wps) as wps, min(pmf) as pmf,
+         coalesce(round(stddev_samp(beacon_interval), 9), 0) as jitter, min(vendor_oui) as oui, min(security) as security, min(wps) as wps, min(pmf) as pmf,
          count(*) over (partition by sensor_id, ssid, att) as duplicate_count
        from ends group by sensor_id, ssid, att, bssid),
 pr as (select o.sensor_id, o.ssid, o.att as t_us, o.bssid as original, s.bssid, o.duplicate_count,

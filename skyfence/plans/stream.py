@@ -32,7 +32,7 @@ def replay(spark, sf, files: int = 3):
         f.filter(F.col("t_us").between(low, high - 1)).coalesce(2).write.mode("append").parquet(f"{path}/in")
     closing = f.limit(1).withColumns({"t_us": F.lit(END), "event_id": F.lit(-1).cast("bigint")})
     kinds = F.array(*[F.lit(k) for k in ("beacon", "probe_req", "deauth", "disassoc", "auth", "rts")])
-    closing.withColumn("frame_type", F.explode(kinds)).withColumns({"bssid": F.lit("closing"), "src_addr": F.lit("closing")}).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    closing.withColumn("frame_type", F.explode(kinds)).withColumns({c: F.lit("closing") for c in ("bssid", "src_addr", "ssid")}).coalesce(1).write.mode("append").parquet(f"{path}/in")
     rows = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
     return ST.event_time(rows, BASE), path
 

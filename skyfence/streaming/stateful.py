@@ -8,6 +8,7 @@ answers equal the batch forms' whatever order the rows came in. State per key is
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,6 +40,7 @@ def keyed_stream(
     fields = [c for c in rows.columns if c not in whole and c != "ts"]
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        warnings.simplefilter("ignore", FutureWarning)  # raised by the serializer for keys without output
         memory, waiting = json.loads(state.get[0]) if state.exists else [{}, []]
         if not state.hasTimedOut:
             for pdf in batches:
