@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfence.functions import mac, radio
-from skyfence.operators.timeline import US, cooldown
+from skyfence.operators.timeline import US, thin
 
 # Vendor prefixes.
 VENDORS = {
@@ -127,5 +127,5 @@ def dedup_frames(frames: DataFrame, window_s: float = 5.0) -> DataFrame:
     Deauthentication and disassociation frames always pass: their repetition is the signal.
     """
     exempt = F.coalesce(F.col("frame_type").isin("deauth", "disassoc"), F.lit(False))
-    kept = cooldown(frames.filter(~exempt), ["bssid", "seq_num", "frame_type", "ssid"], int(window_s * US))
+    kept = thin(frames.filter(~exempt), ["bssid", "seq_num", "frame_type", "ssid"], int(window_s * US))
     return kept.unionByName(frames.filter(exempt))

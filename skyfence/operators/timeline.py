@@ -161,51 +161,59 @@ def episodes(df: DataFrame, keys: Sequence[str], gap_us: int, t: str = "t_us") -
     )
 
 
-def _next_emission(ts: np.ndarray, forced: np.ndarray, cool: int) -> tuple[np.ndarray, int]:
-    """Index of the emission after each row, and of the first forced row."""
+def _moves(ts: np.ndarray, head: np.ndarray, forced: np.ndarray, cool: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each instant, the next one that restarts the cooldown; and the instants a fold may free."""
     n = len(ts)
-    free = np.searchsorted(ts, ts + cool, side="left")
-    if not forced.any():
-        return free, n
-    hits = np.flatnonzero(forced)
-    pos = np.searchsorted(hits, np.arange(n), side="right")
-    nearest = np.append(hits, n)[pos]
-    return np.minimum(free, nearest), int(hits[0])
+    free = np.flatnonzero(head)
+    nxt = np.append(free, n)[np.searchsorted(ts[free], ts + cool, side="left")]
+    if forced.any():
+        hits = np.flatnonzero(forced)
+        nxt = np.minimum(nxt, np.append(hits, n)[np.searchsorted(hits, np.arange(n), side="right")])
+    return nxt, free
 
 
-def _exit_steps(ts: np.ndarray, forced: np.ndarray, cool: int, start: int) -> tuple[list[int], list[int]]:
-    """How the last emission before a slice turns into the last emission after it.
+def _enter(ts: np.ndarray, free: np.ndarray, forced: np.ndarray, due: int) -> int:
+    """First instant that restarts the cooldown when the next free one is due from ``due`` on."""
+    n = len(ts)
+    at = int(np.append(free, n)[np.searchsorted(ts[free], due, side="left")])
+    return min(at, int(np.argmax(forced))) if forced.any() else at
+
+
+def _exit_steps(ts: np.ndarray, head: np.ndarray, forced: np.ndarray, cool: int, start: int) -> tuple[list[int], list[int]]:
+    """How the last emission before a slice turns into the last one after it.
 
     The map is a monotone step function of the entry time, so a slice of any size is
     summarised by its few distinct exits.
     """
     n = len(ts)
-    nxt, first_forced = _next_emission(ts, forced, cool)
-    end = np.arange(n)
-    jump = np.append(nxt, n)
-    reach = jump[:n]
+    nxt, free = _moves(ts, head, forced, cool)
+    end, reach = np.arange(n), nxt.copy()
     while (reach < n).any():
         live = reach < n
         end[live] = end[reach[live]]
-        step = np.append(reach, n)
-        reach = step[reach]
-    limit = int(np.searchsorted(ts, start + cool, side="left"))
-    last = min(limit, first_forced, n - 1)
-    bounds = ts[: last + 1].astype(np.int64).copy()
-    if first_forced <= last:
+        reach = np.append(reach, n)[reach]
+    # Entry times are below ``start + cool``: only the free instants up to there can come first.
+    first = int(np.argmax(forced)) if forced.any() else n
+    ways = free[: int(np.searchsorted(ts[free], start + cool, side="left")) + 1]
+    ways = ways[ways <= first]
+    bounds, exits = ts[ways].astype(np.int64), ts[end[ways]]
+    if first < n and not (len(ways) and ways[-1] == first):
+        bounds, exits = np.append(bounds, 2**62), np.append(exits, ts[end[first]])
+    elif first < n:
         bounds[-1] = 2**62
-    exits = ts[end[: last + 1]]
-    keep = np.append(exits[1:] != exits[:-1], True)
+    keep = np.append(exits[1:] != exits[:-1], True)[: len(exits)]
     return bounds[keep].tolist(), exits[keep].tolist()
 
 
-def _emitted(ts: np.ndarray, forced: np.ndarray, cool: int, last: int) -> list[int]:
-    nxt, first_forced = _next_emission(ts, forced, cool)
-    at = min(int(np.searchsorted(ts, last + cool, side="left")), first_forced)
-    out = []
+def _freed(ts: np.ndarray, head: np.ndarray, forced: np.ndarray, cool: int, last: int) -> list[int]:
+    """Instants whose first row is emitted because the cooldown is over."""
+    nxt, free = _moves(ts, head, forced, cool)
+    at, out = _enter(ts, free, forced, last + cool), []
     while at < len(ts):
-        out.append(at)
-        at = int(nxt[at])
+        t = int(ts[at])
+        if head[at] and t - last >= cool:
+            out.append(t)
+        last, at = t, int(nxt[at])
     return out
 
 
@@ -214,9 +222,15 @@ _STEPS = T.StructType([T.StructField("b", _LONGS), T.StructField("e", _LONGS)])
 _ENTRIES = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("l", T.LongType())]))
 
 
+def _unpack(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Instants with their two flags from ``4 * t + 2 * forced + head``."""
+    marks = np.asarray(marks, dtype=np.int64)
+    return marks >> 2, (marks & 1).astype(bool), (marks & 2).astype(bool)
+
+
 @F.pandas_udf(_STEPS)
-def _summarise(ts: pd.Series, fs: pd.Series, start: pd.Series, cool: pd.Series) -> pd.DataFrame:
-    out = [_exit_steps(np.asarray(a), np.asarray(f, dtype=bool), int(c), int(s)) for a, f, s, c in zip(ts, fs, start, cool)]
+def _summarise(marks: pd.Series, start: pd.Series, cool: pd.Series) -> pd.DataFrame:
+    out = [_exit_steps(*_unpack(m), int(c), int(s)) for m, s, c in zip(marks, start, cool)]
     return pd.DataFrame({"b": [o[0] for o in out], "e": [o[1] for o in out]})
 
 
@@ -234,11 +248,9 @@ def _chain(parts: pd.Series, cool: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _replay(ts: pd.Series, fs: pd.Series, last: pd.Series, cool: pd.Series) -> pd.Series:
-    return pd.Series([
-        _emitted(np.asarray(a), np.asarray(f, dtype=bool), int(c), int(l)) for a, f, l, c in zip(ts, fs, last, cool)
-    ])
+@F.pandas_udf(_LONGS)
+def _replay(marks: pd.Series, last: pd.Series, cool: pd.Series) -> pd.Series:
+    return pd.Series([_freed(*_unpack(m), int(c), int(l)) for m, l, c in zip(marks, last, cool)])
 
 
 def cooldown(
@@ -253,24 +265,57 @@ def cooldown(
     """Keep a row if it comes at least ``cool`` after the last row kept for its key.
 
     ``cool_us`` is a length or the name of a column that is constant within a key. Rows whose
-    ``forced`` column is true are always kept and restart the cooldown. The fold is sequential per
-    key, but only through the time of the last kept row: each slice of a key is summarised on its
-    own, the summaries are chained, and each slice is then replayed on its own. No task sees more
-    than one slice of a key's rows.
+    ``forced`` column is true are always kept and restart the cooldown.
+
+    The fold is sequential per key, but only through the time of the last kept row: each slice of a
+    key is summarised on its own, the summaries are chained, and each slice is then replayed on its
+    own. Only distinct instants travel through it, eight bytes each; the rows themselves are picked
+    by a join at the end. No task sees more than one slice of a key.
     """
     cool = (F.col(cool_us) if isinstance(cool_us, str) else F.lit(cool_us)).cast("bigint")
     flag = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
-    row = F.struct(F.col(t).alias("t"), F.col(tie).alias("i"), flag.alias("f"), F.struct(*df.columns).alias("r"))
-    made = _whole(keys) | {"_cool": F.coalesce(cool, F.lit(0)), "_slice": F.coalesce(slot_of(t, cool * slices), F.lit(0))}
-    packed = df.select("*", *[c.alias(n) for n, c in made.items()]).groupBy(*made).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    ts, fs = F.transform("_rows", lambda x: x["t"]), F.transform("_rows", lambda x: x["f"])
-    part = [n for n in made if n != "_slice"]
+    made = _whole(keys) | {"_cool": F.coalesce(cool, F.lit(0)), "_t": F.col(t).cast("bigint"), "_force": flag}
+    rows = df.select("*", *[c.alias(n) for n, c in made.items()])
+    part = [n for n in made if n.startswith("_k")] + ["_cool"]
+    slot = F.coalesce(slot_of("_t", F.col("_cool") * slices), F.lit(0)).alias("_slice")
+    if forced:
+        # The first row of an instant decides whether the instant may be freed.
+        instants = rows.groupBy(*part, "_t").agg(
+            F.max("_force").alias("_any"), F.min(F.struct(F.col(tie), F.col("_force"))).getField("_force").alias("_led")
+        )
+        mark = F.col("_t") * 4 + F.when(F.col("_any"), 2).otherwise(0) + F.when(F.col("_led"), 0).otherwise(1)
+        packed = instants.groupBy(*part, slot).agg(F.sort_array(F.collect_list(mark)).alias("_marks"))
+    else:
+        packed = rows.groupBy(*part, slot).agg(F.sort_array(F.collect_set(F.col("_t") * 4 + 1)).alias("_marks"))
     start = F.col("_slice") * F.col("_cool") * slices
-    steps = packed.select(*made, _summarise(ts, fs, start, "_cool").alias("_m"))
+    steps = packed.select(*part, "_slice", _summarise("_marks", start, "_cool").alias("_m"))
     step = F.struct(F.col("_slice").alias("s"), F.col("_m.b").alias("b"), F.col("_m.e").alias("e"))
     entries = (
         steps.groupBy(*part).agg(F.sort_array(F.collect_list(step)).alias("_p"))
         .select(*part, F.inline(_chain("_p", "_cool")).alias("_slice", "_last"))
     )
-    kept = packed.join(entries, [*made]).select("_rows", _replay(ts, fs, "_last", "_cool").alias("_keep"))
-    return kept.select(F.explode(F.transform("_keep", lambda i: F.get("_rows", i)["r"])).alias("r")).select("r.*")
+    freed = packed.join(entries, [*part, "_slice"]).select(*part, F.explode(_replay("_marks", "_last", "_cool")).alias("_t"))
+    chosen = rows.join(freed, [*part, "_t"])
+    first = chosen.groupBy(*part, "_t").agg(F.min_by(F.struct(*df.columns), F.col(tie)).alias("_row")).select("_row.*")
+    return first.unionByName(df.filter(flag)) if forced else first
+
+
+def thin(df: DataFrame, keys: Sequence[str], cool_us: int, t: str = "t_us", tie: str = "event_id") -> DataFrame:
+    """``cooldown`` for tables in which most rows stand alone.
+
+    A row without a neighbour closer than ``cool`` is kept whatever happened before and changes
+    nothing after, so only crowded rows go through the fold.
+    """
+    span = cool_us * 16
+    near_end = F.pmod(F.col(t), F.lit(span)) >= F.lit(span - cool_us)
+    near_start = F.pmod(F.col(t), F.lit(span)) < F.lit(cool_us)
+    home = F.col("_home")
+    seats = F.array_compact(F.array(home, F.when(near_end, home + 1), F.when(near_start, home - 1)))
+    made = _whole(keys)
+    rows = df.withColumns(made | {"_home": slot_of(t, span)}).withColumn("_slot", F.explode(seats))
+    order = Window.partitionBy(*made, "_slot").orderBy(t, tie)
+    before, after = F.lag(t).over(order), F.lead(t).over(order)
+    alone = (before.isNull() | (F.col(t) - before >= cool_us)) & (after.isNull() | (after - F.col(t) >= cool_us))
+    own = rows.withColumn("_alone", alone).filter(F.col("_home") == F.col("_slot"))
+    single = own.filter("_alone").select(*df.columns)
+    return single.unionByName(cooldown(own.filter("not _alone").select(*df.columns), keys, cool_us, t, tie))

@@ -82,25 +82,36 @@ CHAIN_DDL = (
 )
 
 
-def _link(live: list[dict], row, gap_us: int) -> tuple[list[dict], dict | None]:
-    """Put one alert into the first live chain it matches, or start a new one."""
-    live = [c for c in live if c["last"] > row.t_us - gap_us]
-    for c in live:
-        if (row.bssid and row.bssid == c["bssid"]) or (row.attacker and row.attacker == c["attacker"]):
-            c["last"] = row.t_us
-            c["types"].append(row.alert_type)
-            c["critical"] |= row.severity == "CRITICAL"
-            return live, c
-    live.append({
-        "bssid": row.bssid, "attacker": row.attacker, "first": row.t_us, "last": row.t_us, "event": row.event_id,
-        "types": [row.alert_type], "critical": row.severity == "CRITICAL",
-    })
-    return live, None
+class _Spell:
+    """Live chains of one sensor. No two live chains share a target or an attacker: the later one
+    would have joined the earlier, so a lookup by each key finds every match."""
+
+    def __init__(self) -> None:
+        self.by: dict[tuple[str, str], dict] = {}
+        self.made = 0
+
+    def add(self, row, gap_us: int) -> dict | None:
+        keys = [(kind, value) for kind, value in (("bssid", row.bssid), ("attacker", row.attacker)) if value]
+        found = [c for c in (self.by.get(k) for k in keys) if c and c["last"] > row.t_us - gap_us]
+        chain = min(found, key=lambda c: c["no"]) if found else None
+        if chain is None:
+            self.made += 1
+            chain = {"no": self.made, "bssid": row.bssid, "attacker": row.attacker, "first": row.t_us, "event": row.event_id, "n": 0, "types": [], "critical": False}
+            self.by.update(dict.fromkeys(keys, chain))
+            if self.made % 10_000 == 0:
+                self.by = {k: c for k, c in self.by.items() if c is chain or c["last"] > row.t_us - gap_us}
+        chain["last"] = row.t_us
+        chain["n"] += 1
+        chain["critical"] |= row.severity == "CRITICAL"
+        if row.alert_type not in chain["types"]:
+            chain["types"].append(row.alert_type)
+        return chain if found else None
 
 
 def exploit_chains(alerts: DataFrame, gap_s: float = 300.0) -> DataFrame:
     """Alerts of one sensor that share a target or an attacker, chained while no older than the gap.
 
+    ``alert_types`` lists the kinds in order of first appearance, so a chain of any length stays small.
     Matching by either key depends on arrival order. A sensor's history falls apart wherever it is
     silent for the gap, so the unit of work is one busy spell; within it rows stream in time order
     and only live chains are held.
@@ -114,16 +125,16 @@ def exploit_chains(alerts: DataFrame, gap_s: float = 300.0) -> DataFrame:
     parts = rows.repartition("sensor_id", "episode").sortWithinPartitions("sensor_id", "episode", "t_us", "event_id", "alert_type")
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spell, live = None, []
+        spell, live = None, _Spell()
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 if (row.sensor_id, row.episode) != spell:
-                    spell, live = (row.sensor_id, row.episode), []
-                live, chain = _link(live, row, gap_us)
+                    spell, live = (row.sensor_id, row.episode), _Spell()
+                chain = live.add(row, gap_us)
                 if chain:
                     out.append((
-                        row.sensor_id, row.t_us, row.event_id, chain["first"], chain["event"], len(chain["types"]),
+                        row.sensor_id, row.t_us, row.event_id, chain["first"], chain["event"], chain["n"],
                         "CRITICAL" if chain["critical"] else "HIGH", ">".join(chain["types"]), chain["bssid"], chain["attacker"],
                         round((row.t_us - chain["first"]) / US, 1),
                     ))

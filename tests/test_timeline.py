@@ -30,7 +30,7 @@ def brute_cooldown(data, cool, forced=False):
 @pytest.mark.parametrize("forced", [False, True])
 def test_cooldown(spark, cool, forced):
     data = rows(cool)
-    for slices in (1, 8):
+    for slices in (1, 8, 64):
         out = cooldown(spark.createDataFrame(data, DDL), ["k"], cool, forced="f" if forced else None, slices=slices)
         assert sorted(r.event_id for r in out.collect()) == brute_cooldown(data, cool, forced)
 
@@ -107,3 +107,11 @@ def test_order_and_partitioning_do_not_matter(spark):
     a = cooldown(trailing(spark.createDataFrame(data, DDL), ["k"], 80, {"n": None}).filter("n > 2"), ["k"], 100)
     b = cooldown(trailing(spark.createDataFrame(shuffled, DDL).repartition(7), ["k"], 80, {"n": None}).filter("n > 2"), ["k"], 100)
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+@pytest.mark.parametrize("cool", [1, 7, 60, 900])
+def test_thin_equals_cooldown(spark, cool):
+    from skyfence.operators.timeline import thin
+
+    data = rows(cool + 100)
+    assert sorted(r.event_id for r in thin(spark.createDataFrame(data, DDL), ["k"], cool).collect()) == brute_cooldown(data, cool)
