@@ -15,9 +15,11 @@ def _col(c: str | Column) -> Column:
 def canonical_mac(c: str | Column) -> Column:
     """Upper case, colon separated; any of ``aa-bb-..``, ``aabb.ccdd.eeff``, ``aabbccddeeff``."""
     c = F.upper(_col(c))
+    # Nearly all addresses are already well formed: let them pass without the patterns.
+    fine = (F.length(c) == 17) & (F.translate(c, "0123456789ABCDEF", "") == ":::::") & (F.substring(c, 3, 1) == ":")
     bare = F.regexp_replace(c, "[-.:]", "")
     paired = F.rtrim(F.regexp_replace(bare, "(..)", "$1:"), F.lit(":"))
-    return F.when(F.length(bare) == 12, paired).otherwise(F.regexp_replace(c, "[-.]", ":"))
+    return F.when(fine & (F.substring(c, 15, 1) == ":"), c).when(F.length(bare) == 12, paired).otherwise(F.regexp_replace(c, "[-.]", ":"))
 
 
 def clean_ssid(c: str | Column) -> Column:
@@ -34,7 +36,10 @@ def parse_time(c: str | Column) -> Column:
 
 
 def oui(c: str | Column) -> Column:
-    return F.substring(canonical_mac(c), 1, 8)
+    """Vendor part of an address."""
+    c = _col(c)
+    head = F.upper(F.substring(c, 1, 8))
+    return F.when((F.length(c) == 17) & (F.substring(c, 3, 1) == ":") & (F.substring(c, 6, 1) == ":"), head).otherwise(F.substring(canonical_mac(c), 1, 8))
 
 
 def mac_hash(c: str | Column, salt: str) -> Column:
