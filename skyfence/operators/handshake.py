@@ -30,7 +30,7 @@ def _clamp(pdf: pd.DataFrame) -> tuple[int, int, int]:
     return k, lo, hi
 
 
-def pending_m1(talk: DataFrame, width_us: int, slice_us: int = 600 * US) -> DataFrame:
+def pending_m1(talk: DataFrame, width_us: int, slice_us: int = 3600 * US) -> DataFrame:
     """Add ``orphaned_m1``: message-1 frames of the bssid in the window not yet answered.
 
     Each message 2 answers the oldest waiting message 1; waiting ends after ``width``.
