@@ -132,20 +132,20 @@ def matches(schema: T.StructType, rule: dict) -> Column:
 def apply_rules(df: DataFrame, rules: list[dict] | None = None, cool: bool = True) -> DataFrame:
     """Alerts of all rules in one pass over the table, then one cooldown per (sensor, rule)."""
     rules = as_rules(CORE_RULES) if rules is None else rules
-    live = [r for r in rules if r.get("enabled", True)]
-    hits = []
-    for r in live:
-        hits.append(F.when(matches(df.schema, r), F.struct(
-            F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["name"]).alias("title"), F.lit(r.get("severity", "medium").upper()).alias("severity"),
-            F.lit(r.get("mitre_technique_id", "")).alias("mitre_attack"), F.lit(r.get("mitre_tactic", "")).alias("mitre_tactic"),
-            F.lit(max(1, int(r.get("cooldown_seconds", 300) * US))).cast("bigint").alias("cooldown_us"),
-        )))
+    live = [r for r in rules if r.get("enabled", True)] or [{"rule_id": "", "name": "", "conditions": []}]
+    # Rows carry a small rule number until the cooldown has picked the few that stay.
+    hits = F.array_compact(F.array(*[F.when(matches(df.schema, r), F.lit(i)) for i, r in enumerate(live)]))
     pick = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n)
-    fired = df.select("event_id", "t_us", "sensor_id", pick("bssid"), pick("ssid"), F.inline(F.array_compact(F.array(*hits))))
-    fired = fired.withColumn("alert_type", F.lit("rule_match"))
-    if not cool:
-        return fired.drop("cooldown_us")
-    return cooldown(fired, ["sensor_id", "rule_id"], "cooldown_us").drop("cooldown_us")
+    fired = df.select("event_id", "t_us", "sensor_id", pick("bssid"), pick("ssid"), F.explode(hits).alias("rule_no"))
+    if cool:
+        waits = F.array(*[F.lit(max(1, int(r.get("cooldown_seconds", 300) * US))).cast("bigint") for r in live])
+        fired = cooldown(fired.withColumn("cooldown_us", F.get(waits, "rule_no")), ["sensor_id", "rule_no"], "cooldown_us")
+    facts = F.array(*[F.struct(
+        F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["name"]).alias("title"), F.lit(r.get("severity", "medium").upper()).alias("severity"),
+        F.lit(r.get("mitre_technique_id", "")).alias("mitre_attack"), F.lit(r.get("mitre_tactic", "")).alias("mitre_tactic"),
+    ) for r in live])
+    named = fired.withColumn("_f", F.get(facts, "rule_no"))
+    return named.select("event_id", "t_us", "sensor_id", "bssid", "ssid", "_f.*", F.lit("rule_match").alias("alert_type"))
 
 
 # Checklist entries (id, title, severity, score, test, timeline, remediation).
