@@ -10,8 +10,9 @@ from skyfence.operators import geo as G
 from skyfence.operators import rules as R
 from skyfence.operators import scoring as SC
 from skyfence.operators import triage as T
-from skyfence.plans.base import fold_ctes, query, with_frames
-from skyfence.plans.risk import FIND, audited, findings
+from skyfence.plans import detect  # noqa: F401  (its SQL is reused)
+from skyfence.plans.base import ORACLES, fold_ctes, query, with_frames
+from skyfence.plans.risk import FIND, RULE_COOL, RULE_SQL, audited, findings
 from skyfence.plans.views import NET, simple_alerts
 
 S = 1_000_000
@@ -107,7 +108,23 @@ SCALED = {
 }
 
 
-@query("d18_run_detectors")
+# Plain frames have no capability struct and no beacon_interval_ms: rules on them see missing values.
+PLAIN_RULES = {k: v for k, v in RULE_SQL.items() if k not in ("WIDS-003", "WIDS-009", "WIDS-010")} | {"WIDS-010": "true"}
+RULE_LEVEL = {r[0]: r[2].upper() for r in R.CORE_RULES}
+PLAIN_RULE_SQL = with_frames("select severity, h.t_us from hit h join fold f on h.sensor_id = f.sensor_id and h.rule_id = f.rule_id and h.t_us = f.t", """
+nm as (select *, ssid as name from frames),
+hit as (""" + " union all ".join(f"select t_us, sensor_id, '{k}' as rule_id, '{RULE_LEVEL[k]}' as severity, {RULE_COOL[k] * S} as cool from nm where {v}" for k, v in PLAIN_RULES.items()) + """),
+fold as (select sensor_id, rule_id, cool, min(t_us) as t from hit group by all
+  union all select f.sensor_id, f.rule_id, f.cool, min(h.t_us) from fold f join hit h on h.sensor_id = f.sensor_id and h.rule_id = f.rule_id and h.t_us >= f.t + f.cool group by f.sensor_id, f.rule_id, f.cool, f.t)""", recursive=True)
+PARTS = {
+    "deauth_flood": "d01_deauth_flood", "disassoc_flood": "d02_disassoc_flood", "beacon_flood": "d03_beacon_flood", "krack_attack": "d04_krack",
+    "pmkid_harvesting": "d05_pmkid", "wep_attack": "d06_wep_attacks", "evil_twin": "d07_evil_twin", "karma_attack": "d08_karma", "wardrive_detected": "d10_wardriver",
+}
+
+
+@query("d18_run_detectors", "select alert_type, severity, count(*) as alerts, min(t_us) as first_us, max(t_us) as last_us from ("
+    + " union all ".join(f"select '{kind}' as alert_type, severity, t_us from ({ORACLES[name]})" for kind, name in PARTS.items())
+    + f" union all select 'jamming_detected', 'HIGH', t_us from ({ORACLES['d09_jamming']}) union all select 'rule_match', severity, t_us from ({PLAIN_RULE_SQL})) group by alert_type, severity")
 def d18(spark, sf):
     out = DS.run_detectors(load_frames(spark, sf), "full_wids", SCALED)
     return out.groupBy("alert_type", "severity").agg(F.count("*").alias("alerts"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
