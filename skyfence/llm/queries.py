@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfence.llm import bpe, mixing
+from skyfence.llm import bpe, mixing, quality_model, quality_rules
 from skyfence.llm.common import table
 
 
@@ -17,7 +17,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_byte_bpe)}
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit_on_sample(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_byte_bpe, op6_quality_classifier, op10_quality_rules)}
 
 ORACLES = {
     "op3_mix_sources": f"select doc_id, size, source_size, target, epochs * size as taken from ({mixing.MIX_SQL.format(docs='documents')})",
