@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from skyfence.llm.common import per_worker, slices
 
 #: White space as Unicode's White_Space property has it, which the pattern of the rank files means by \s.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts of the pattern that depend on white space alone; what lies between is cut again by the full pattern.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 

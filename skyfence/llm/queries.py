@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfence.llm import bpe, mixing, quality_model, quality_rules
+from skyfence.llm import bpe, deleted_interpolation, mixing, quality_model, quality_rules, token_counts
 from skyfence.llm.common import table
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -21,12 +25,16 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit_on_sample(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_byte_bpe, op6_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op3_mix_sources, op5_byte_bpe, op6_quality_classifier, op9_token_counts, op10_quality_rules)}
 
 ORACLES = {
     "op3_mix_sources": f"select doc_id, size, source_size, target, epochs * size as taken from ({mixing.MIX_SQL.format(docs='documents')})",

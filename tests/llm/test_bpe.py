@@ -10,7 +10,7 @@ import tiktoken
 from skyfence.llm.bpe import EditableText, PrefixEncoder, encode_documents, load_ranks
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
-PARTS = ["a", "b", "'", "s", "l", "r", "e", " ", "\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", " ", "é", "日", "1", "²", "!", "#", "𝔘", "é", "the", "ing", "  ", "\r\n", "​", "aaaaaaa"]
+PARTS = ["a", "b", "'", "s", "l", "r", "e", " ", "\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\xe9", "\u65e5", "1", "\xb2", "!", "#", "\U0001d518", "e\u0301", "the", "ing", "  ", "\r\n", "\u200b", "\ufeff", "aaaaaaa"]
 
 
 @pytest.fixture(scope="module")
