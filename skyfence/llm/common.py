@@ -44,3 +44,17 @@ def slices(column: Any, rows: int = 256):
     """(offset, python values) of an Arrow column, a few rows at a time."""
     for start in range(0, len(column), rows):
         yield start, column.slice(start, rows).to_pylist()
+
+
+def by_bytes(batch: Any, column: str, mb: float = 4.0):
+    """Slices of an Arrow batch whose texts take about ``mb`` each; a longer text stands alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + mb * 1e6, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop

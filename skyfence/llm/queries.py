@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfence.llm import bpe, deleted_interpolation, mixing, quality_model, quality_rules, token_counts
+from skyfence.llm import bpe, deleted_interpolation, jaccard_join, mixing, quality_model, quality_rules, token_counts
 from skyfence.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
@@ -34,7 +38,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit_on_sample(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op3_mix_sources, op5_byte_bpe, op6_quality_classifier, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op3_mix_sources, op4_jaccard_join, op5_byte_bpe, op6_quality_classifier, op9_token_counts, op10_quality_rules)}
 
 ORACLES = {
     "op3_mix_sources": f"select doc_id, size, source_size, target, epochs * size as taken from ({mixing.MIX_SQL.format(docs='documents')})",
