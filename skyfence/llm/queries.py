@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfence.llm import bpe, deleted_interpolation, jaccard_join, mixing, quality_model, quality_rules, token_counts
+from skyfence.llm import bpe, deleted_interpolation, html_text, jaccard_join, mixing, quality_model, quality_rules, token_counts
 from skyfence.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit_on_sample(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op3_mix_sources, op4_jaccard_join, op5_byte_bpe, op6_quality_classifier, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op2_html_text, op3_mix_sources, op4_jaccard_join, op5_byte_bpe, op6_quality_classifier, op9_token_counts, op10_quality_rules)}
 
 ORACLES = {
     "op3_mix_sources": f"select doc_id, size, source_size, target, epochs * size as taken from ({mixing.MIX_SQL.format(docs='documents')})",
