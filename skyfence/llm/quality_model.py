@@ -9,7 +9,7 @@
    gives the calibration.
 
 All labelled rows of the learning folds take part. Texts of null or without words have defined statistics (zeros) and get a
-score as any other. Labels of null are ignored. Without labelled rows, or with one class only, all scores equal the share of
+score as any other. Labels other than 0 and 1 are ignored. Without labelled rows, or with one class only, all scores equal the share of
 label 1 (0.5 without rows). Repeated documents are scored each; a repeated label counts each time. Clashing extra columns are not read.
 """
 
@@ -110,13 +110,13 @@ def pooled(at, ones, total) -> tuple[np.ndarray, np.ndarray]:
 def fit(rows: DataFrame, width: int = 256, ridge: float = 1e-3, gamma: float = 1 / 32, seed: int = 17) -> FourierRidge:
     """``rows``: stats, label (0/1), calibrate (boolean). Rows marked ``calibrate`` shape the calibration, the others the fit."""
     learn = rows.where(~F.col("calibrate"))
-    moments = learn.select(array_to_vector("stats").alias("v"), "label").agg(
-        Summarizer.mean(F.col("v")).alias("mean"), Summarizer.std(F.col("v")).alias("std"), F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
-    n = moments["n"]
-    if not n or moments["ones"] in (0, n):
+    moments = learn.select(array_to_vector("stats").alias("v"), "label").groupBy(F.lit("all")).agg(
+        Summarizer.mean(F.col("v")).alias("mean"), Summarizer.std(F.col("v")).alias("std"), F.count("*").alias("n"), F.sum("label").alias("ones")).first()  # None without rows
+    if moments is None or moments["ones"] in (0, moments["n"]):
         model = FourierRidge(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), 1, seed, gamma)
-        model.value = np.array([moments["ones"] / n if n else 0.5])
+        model.value = np.array([moments["ones"] / moments["n"] if moments else 0.5])
         return model
+    n = moments["n"]
     spread = np.asarray(moments["std"].toArray())
     model = FourierRidge(moments["mean"].toArray(), np.where(spread > 1e-9, spread, 1.0), width, seed, gamma)
     side = width + 1
@@ -170,6 +170,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     Folds 2 to 4 fit the ridge, fold 1 the calibration; fold 0 (``held_out``) is never learned from.
     """
     stats = stored(text_statistics(docs), "quality-statistics")
-    known = labels.where("quality is not null").select(F.col("doc_id"), F.col("quality").cast("int").alias("label")).where(fold(F.col("doc_id")) != 0)
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id"), F.col("quality").cast("int").alias("label")).where(fold(F.col("doc_id")) != 0)
     model = fit(stats.join(known, "doc_id").select("stats", "label", (fold(F.col("doc_id")) == 1).alias("calibrate")))
     return score(stats, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfence.llm import bpe, deleted_interpolation, html_text, jaccard_join, mixing, quality_model, quality_rules, token_counts
+from skyfence.llm import bpe, deleted_interpolation, edit_fingerprints, html_text, jaccard_join, language_id, mixing, quality_model, quality_rules, token_counts
 from skyfence.llm.common import table
 
 
@@ -33,6 +33,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit_on_sample(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op2_html_text, op3_mix_sources, op4_jaccard_join, op5_byte_bpe, op6_quality_classifier, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op2_html_text, op3_mix_sources, op4_jaccard_join, op5_byte_bpe, op6_quality_classifier, op7_edit_fingerprints, op8_language_id, op9_token_counts, op10_quality_rules)}
 
 ORACLES = {
     "op3_mix_sources": f"select doc_id, size, source_size, target, epochs * size as taken from ({mixing.MIX_SQL.format(docs='documents')})",
