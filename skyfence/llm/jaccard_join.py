@@ -34,14 +34,17 @@ from skyfence.llm.common import by_bytes, stored
 from skyfence.llm.grams import lowered_words, mixed
 from skyfence.llm.links import components
 
-#: Share of the key space whose keys are counted over the whole corpus.
-LOW = 0.2
 #: Keys in more sets than this come last in the global order.
 FREQUENT = 64
 #: Ids that may be broadcast to pick their texts (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 
 
+def low_share(per_cent: int) -> float:
+    """Share of the key space whose keys are counted over the whole corpus: enough that most sets can be proven to be alone."""
+    return min(1.0, 0.05 + 1.5 * (100 - per_cent) / 100)
+
+
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of distinct shingles per text, and their keys, sorted within each text."""
     codes, row, words = lowered_words(texts)
@@ -84,9 +87,9 @@ def lists(counts: np.ndarray, keys: np.ndarray, keep: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[keep].view(np.int64)))
 
 
-def document_sets(docs: DataFrame, size: int, full: bool) -> DataFrame:
+def document_sets(docs: DataFrame, size: int, share: float, full: bool) -> DataFrame:
     """doc_id, n, s1, s2, low (keys below the bound, sorted); with ``full`` also high (the others, sorted)."""
-    bound = np.uint64(int(LOW * 2**64))
+    bound = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +209,8 @@ def prefixes(kept: DataFrame, frequent: DataFrame, per_cent: int) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, size: int = 3, per_cent: int = 90, block: int = 2000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
-    every = stored(document_sets(docs, size, full=False), "shingle-sets")
+    share = low_share(per_cent)
+    every = stored(document_sets(docs, size, share, full=False), "shingle-sets")
     some = every.where("n > 0 and doc_id is not null")
 
     counted = some.select(F.explode("low").alias("key"), "s1").groupBy("key").agg(F.min("s1").alias("a"), F.max("s1").alias("b"), F.count("*").alias("sets"))
@@ -219,7 +223,7 @@ def jaccard_groups(docs: DataFrame, size: int = 3, per_cent: int = 90, block: in
     left = stored(sets.join(owned, "s1", "left").where(F.coalesce("keys", F.lit(0)) * 100 <= (100 - per_cent) * F.col("n")).select("rep", "s1", "s2", "n"), "open-sets")
     ids = left.select(F.col("rep").alias("doc_id")).distinct()
     picked = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    full = document_sets(picked, size, full=True).withColumnRenamed("doc_id", "rep").join(left, ["rep", "s1", "s2", "n"], "left_semi")
+    full = document_sets(picked, size, share, full=True).withColumnRenamed("doc_id", "rep").join(left, ["rep", "s1", "s2", "n"], "left_semi")
     kept = stored(full.dropDuplicates(["s1", "s2", "n"]).select("rep", "n", "low", "high"), "open-keys")
 
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / per_cent) + 1e-9)

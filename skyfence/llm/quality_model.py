@@ -164,12 +164,27 @@ def score(stats: DataFrame, model: FourierRidge) -> DataFrame:
     return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; labels (doc_id, quality) are read from the folds 1 to 4 only.
-
-    Folds 2 to 4 fit the ridge, fold 1 the calibration; fold 0 (``held_out``) is never learned from.
-    """
+def learned(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, FourierRidge]:
+    """Statistics of all ``docs``, and the model: folds 2 to 4 fit the ridge, fold 1 the calibration; labels of fold 0 are never read."""
     stats = stored(text_statistics(docs), "quality-statistics")
     known = labels.where("quality in (0, 1)").select(F.col("doc_id"), F.col("quality").cast("int").alias("label")).where(fold(F.col("doc_id")) != 0)
-    model = fit(stats.join(known, "doc_id").select("stats", "label", (fold(F.col("doc_id")) == 1).alias("calibrate")))
+    return stats, fit(stats.join(known, "doc_id").select("stats", "label", (fold(F.col("doc_id")) == 1).alias("calibrate")))
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out (fold 0), score, predicted of every document; labels are (doc_id, quality)."""
+    stats, model = learned(docs, labels)
     return score(stats, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns; no shuffle of texts."""
+    _, model = learned(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch.column("text")):
+                good = model.score(np.array([statistics(t or "") for t in texts])) >= threshold
+                yield batch.slice(start, len(texts)).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

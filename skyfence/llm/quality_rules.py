@@ -138,28 +138,41 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500) ->
     return NgramModel(np.frombuffer(bytes(got[0]["weights"]), np.float32), got[0]["slope"], got[0]["shift"]) if got else None
 
 
+def verdict(text: str, model: NgramModel | None, threshold: float, least_words: int, most_repeated: int) -> tuple:
+    words = text.encode("utf-8", "surrogatepass").split()
+    codes, kinds = codes_of(words)
+    n, again = len(words), repeated_words(codes, len(kinds))
+    chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
+    failed = n < least_words or 100 * again > most_repeated * n
+    p = None if model is None else model.probability(hashed(text, codes, kinds)) if n else 0.0
+    return n, chars, len(SYMBOL.findall(text)), repeated_lines(text), again, failed, p, not failed and (p is None or p >= threshold)
+
+
 def judge(docs: DataFrame, model: NgramModel | None, threshold: float = 0.5, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """doc_id, the counts, base_failed, probability (null without a model), kept."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 x BUCKETS weights
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
             for start, texts in slices(batch.column("text")):
-                rows = []
-                for text in texts:
-                    text = text or ""
-                    words = text.encode("utf-8", "surrogatepass").split()
-                    codes, kinds = codes_of(words)
-                    n, again = len(words), repeated_words(codes, len(kinds))
-                    chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
-                    failed = n < least_words or 100 * again > most_repeated * n
-                    p = None if model is None else model.probability(hashed(text, codes, kinds)) if n else 0.0
-                    rows.append((n, chars, len(SYMBOL.findall(text)), repeated_lines(text), again, failed, p, not failed and (p is None or p >= threshold)))
-                kinds_ = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-                names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *map(pa.array, zip(*rows), kinds_)], names)
+                rows = [verdict(t or "", sent.value, threshold, least_words, most_repeated) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *map(pa.array, zip(*rows), kinds)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         run, f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, probability double, kept boolean")
+
+
+def kept_documents(docs: DataFrame, model: NgramModel | None, threshold: float = 0.5, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, in the same pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch.column("text")):
+                good = [verdict(t or "", sent.value, threshold, least_words, most_repeated)[-1] for t in texts]
+                yield batch.slice(start, len(texts)).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
