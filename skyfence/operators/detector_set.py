@@ -45,10 +45,12 @@ PROFILES = {"lite_realtime": LITE, "full_wids": FULL, "audit_offline": FULL}
 
 
 def run_detectors(frames: DataFrame, profile: str = "lite_realtime", overrides: dict[str, dict[str, Any]] | None = None) -> DataFrame:
-    """Alerts of every detector of a profile in one schema. An unknown profile means the default one."""
+    """Alerts of every detector of a profile in one schema."""
+    if profile not in PROFILES:
+        raise ValueError(f"no profile {profile!r}; there are {sorted(PROFILES)}")
     overrides = overrides or {}
     out = []
-    for name in PROFILES.get(profile, LITE):
+    for name in PROFILES[profile]:
         fn, types, required = REGISTRY[name]
         keep = [F.col("frame_type").isin(*types)] if types else []
         keep += [F.col(c).isNotNull() for c in required]

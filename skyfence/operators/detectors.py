@@ -211,7 +211,10 @@ def wep_attacks(
 
 
 def _nth_name(frames: DataFrame, key: str, gap_us: int, nth: int) -> DataFrame:
-    """The sighting that brings a key's distinct names to ``nth`` within an activity episode."""
+    """The sighting that brings a key's distinct names to ``nth`` within an activity episode.
+
+    ``names`` are those up to that sighting, ``episode_names`` counts all of the episode.
+    """
     sighted = frames.groupBy(key, slot_of("t_us", gap_us).alias("_slot"), "name").agg(
         F.min(F.struct("t_us", "event_id", "sensor_id")).alias("_first")
     )
@@ -221,14 +224,16 @@ def _nth_name(frames: DataFrame, key: str, gap_us: int, nth: int) -> DataFrame:
         .groupBy(key, "episode", "name").agg(F.min("_first").alias("_first"))
     )
     rank = F.row_number().over(Window.partitionBy(key, "episode").orderBy("_first"))
+    totals = first.groupBy(key, "episode").agg(F.count("*").alias("episode_names"))
     ranked = first.withColumn("_n", rank).filter(F.col("_n") <= nth)
-    return (
+    crossed = (
         ranked.groupBy(key, "episode")
         .agg(F.max("_n").alias("name_count"), F.max("_first").alias("_hit"), F.array_sort(F.collect_list("name")).alias("names"))
         .filter(F.col("name_count") == nth)
         .select(key, "episode", "_hit.*", F.col("name_count").cast("bigint").alias("name_count"), F.array_join("names", ",").alias("names"))
         .withColumn("duration_s", F.bround((F.col("t_us") - F.col("episode")) / F.lit(US), 1))
     )
+    return crossed.join(totals, [key, "episode"])
 
 
 def karma(frames: DataFrame, ssids: int = 3, critical: int = 5, idle_s: int = 60) -> DataFrame:
@@ -240,7 +245,7 @@ def karma(frames: DataFrame, ssids: int = 3, critical: int = 5, idle_s: int = 60
     out = _nth_name(ads, "bssid", idle_s * US, ssids)
     return as_alert(
         out, "karma_attack", tiers((F.col("name_count") >= critical, "CRITICAL"), default="HIGH"),
-        "Karma / rogue access point", "T1557.002", ["name_count", "names", "duration_s"],
+        "Karma / rogue access point", "T1557.002", ["name_count", "names", "duration_s", "episode_names"],
     )
 
 
@@ -256,7 +261,7 @@ def wardriver(
     n = F.col("name_count")
     return as_alert(
         out, "wardrive_detected", tiers((n >= critical, "CRITICAL"), (n >= high, "HIGH"), default="MEDIUM"),
-        "Active wardriving", "T1595.002", ["name_count", "names", "duration_s"],
+        "Active wardriving", "T1595.002", ["name_count", "names", "duration_s", "episode_names"],
     )
 
 
@@ -271,9 +276,8 @@ def jamming(
         F.count("*").alias("total_frames"),
         F.count_if(F.col("retry")).alias("_retries"),
         F.count_if(F.col("frame_type").isin("rts", "cts")).alias("rts_cts_count"),
-        F.max("t_us").alias("t_us"),
-        F.max("event_id").alias("event_id"),
-    ).filter(F.col("total_frames") >= min_frames)
+        F.max(F.struct("t_us", "event_id")).alias("_last"),
+    ).filter(F.col("total_frames") >= min_frames).select("*", "_last.*")
     share = F.col("_retries") / F.col("total_frames")
     loss = F.when(share > retry_limit, (F.lit(weight_loss) * F.least(F.lit(1.0), (share - retry_limit) / 0.5)).cast("int")).otherwise(0)
     load = F.when(F.col("rts_cts_count") > rts_limit, weight_congestion).otherwise(0)

@@ -63,8 +63,12 @@ def mttd(alerts: DataFrame, attacks: DataFrame) -> DataFrame:
 
 
 def candidate_weights(spark, n: int = 100, seed: int = 42, keys: tuple[str, ...] = ("encryption", "rssi_norm", "vendor_risk", "ssid_suspicion", "wps_flag")) -> DataFrame:
-    """n weight vectors spread evenly over the simplex (normalised exponentials), two decimals."""
-    draws = [-F.log(1.0 - F.rand(seed + i)) for i in range(len(keys))]
+    """n weight vectors spread evenly over the simplex (normalised exponentials), two decimals.
+
+    Draws are md5 digits of seed, candidate and key, the same for any number of partitions and in any engine.
+    """
+    digits = lambda k: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("id").cast("string"), F.lit(k)).cast("binary")), 1, 12), 16, 10)
+    draws = [-F.log((digits(k).cast("double") + 0.5) / F.lit(float(1 << 48))) for k in keys]
     rows = spark.range(n).select(F.col("id").alias("candidate"), *[d.alias(k) for k, d in zip(keys, draws)])
     total = sum((F.col(k) for k in keys), F.lit(0.0))
     return rows.select("candidate", *[F.round(F.col(k) / total, 2).alias(k) for k in keys])

@@ -182,12 +182,19 @@ def position_track(frames: DataFrame, sensors: DataFrame, step_s: float = 60.0,
 
 
 def heatmap(readings: DataFrame, width_m: float = 50.0, height_m: float = 50.0, res: float = 0.5) -> DataFrame:
-    """Mean level per grid cell of (x, y, rssi_dbm); points outside the map are dropped."""
-    gx, gy = (F.col("x") / res).cast("int"), (F.col("y") / res).cast("int")
+    """Mean level per grid cell of (x, y, rssi_dbm); points outside the map belong to no cell (``off_map`` counts them)."""
+    gx, gy = F.floor(F.col("x") / res).cast("int"), F.floor(F.col("y") / res).cast("int")
     inside = gx.between(0, int(width_m / res) - 1) & gy.between(0, int(height_m / res) - 1)
     return readings.filter(inside).groupBy(gx.alias("cell_x"), gy.alias("cell_y")).agg(F.avg("rssi_dbm").alias("rssi_dbm"), F.count("*").alias("samples"))
 
 
+def off_map(readings: DataFrame, width_m: float = 50.0, height_m: float = 50.0, res: float = 0.5) -> DataFrame:
+    """How many points of (x, y) no cell of the heatmap takes, and how many there are."""
+    gx, gy = F.floor(F.col("x") / res), F.floor(F.col("y") / res)
+    inside = gx.between(0, int(width_m / res) - 1) & gy.between(0, int(height_m / res) - 1)
+    return readings.agg(F.count_if(~F.coalesce(inside, F.lit(False))).alias("off_map"), F.count("*").alias("points"))
+
+
 def fill_heatmap(cells: DataFrame, width_m: float = 50.0, height_m: float = 50.0, res: float = 0.5) -> DataFrame:
     """Every grid cell with the level of its nearest measured cell.
 

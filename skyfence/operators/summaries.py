@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from skyfence.operators.timeline import US, slot_of
 
 
-def recent(df: DataFrame, n: int, t: str = "t_us", tie: str = "event_id", ceiling: int = 1000, **equals) -> DataFrame:
-    """Newest rows first, optionally only rows whose columns equal the given values."""
+def recent(df: DataFrame, n: int, t: str = "t_us", tie: str = "event_id", **equals) -> DataFrame:
+    """The newest ``n`` rows, newest first, optionally only rows whose columns equal the given values."""
     for column, value in equals.items():
         if value is not None:
             df = df.filter(F.col(column) == value)
-    return df.orderBy(F.col(t).desc(), F.col(tie).desc()).limit(max(1, min(n, ceiling)))
+    return df.orderBy(F.col(t).desc(), F.col(tie).desc()).limit(max(1, n))
 
 
 def network_stats(frames: DataFrame) -> DataFrame:
@@ -35,12 +35,13 @@ def network_stats(frames: DataFrame) -> DataFrame:
     return stats.join(clients, "bssid", "left")
 
 
-def current_networks(frames: DataFrame, positions: DataFrame | None = None, n: int = 1000) -> DataFrame:
-    """Latest record per access point among the newest n, with estimated coordinates where known.
+def current_networks(frames: DataFrame, positions: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """Latest record per access point, with estimated coordinates where known; with ``n``, only among the newest n frames.
 
     ``frames`` may carry gps_lat / gps_lon; an estimate (lat, lon of ``positions``) overrides them.
     """
-    top = recent(frames.filter(F.col("bssid").isNotNull()), n, ceiling=n)
+    top = frames.filter(F.col("bssid").isNotNull())
+    top = top if n is None else recent(top, n)
     rest = [c for c in top.columns if c != "bssid"]
     latest = top.groupBy("bssid").agg(F.max_by(F.struct(*rest), F.struct("t_us", "event_id")).alias("r"))
     out = latest.select("bssid", "r.*", F.col("r.t_us").alias("last_seen"))
@@ -193,22 +194,35 @@ def sensor_status(heartbeats: DataFrame, batches: DataFrame, now_us: int, offlin
     )
 
 
-def alert_kpis(alerts: DataFrame, window_s: int = 300) -> DataFrame:
-    """Alerts per type, severity and window, with the paging rules' verdicts.
+def alert_counts(alerts: DataFrame, window_s: int = 300) -> DataFrame:
+    """Alerts per type, severity and aligned window. ``alerts`` needs alert_type, severity, t_us."""
+    return alerts.groupBy("alert_type", "severity", slot_of("t_us", window_s * US).alias("window_no")).agg(F.count("*").alias("alerts"))
 
-    Evil twin fires on any alert in its window, deauthentication on any in two minutes, and any
-    type on more than ten. ``alerts`` needs alert_type, severity, t_us.
+
+# Paging rules (name, alert type or any, window in seconds, alerts to be exceeded in it, seconds it must hold).
+# The rate rule is taken by its description, ten a minute on average over five minutes.
+PAGES = [("evil_twin", "evil_twin", 300, 0, 0), ("deauth_flood", "deauth_flood", 120, 0, 0), ("high_rate", None, 300, 50, 300)]
+
+
+def alert_pages(alerts: DataFrame, step_s: int = 30) -> DataFrame:
+    """rule, alert_type, eval_us, alerts: every evaluation, each ``step_s``, at which a paging rule fires.
+
+    At an evaluation a rule looks at the alerts of its window before that instant, all severities together; a rule that must hold
+    fires when it was met at every evaluation over that time. Alerts are counted by step first, so a busy type sends one row
+    per step to each of its window's evaluations, however many alerts there are.
     """
-    per = alerts.groupBy("alert_type", "severity", slot_of("t_us", window_s * US).alias("window_no")).agg(
-        F.count("*").alias("alerts"), F.max("t_us").alias("last_us")
-    )
-    tail = F.col("last_us") >= (F.col("window_no") + 1) * F.lit(window_s * US) - F.lit(120 * US)
-    return per.select(
-        "alert_type", "severity", "window_no", "alerts",
-        (F.col("alert_type") == "evil_twin").alias("page_evil_twin"),
-        ((F.col("alert_type") == "deauth_flood") & tail).alias("page_deauth"),
-        (F.col("alerts") > 10).alias("page_high_rate"),
-    )
+    step = step_s * US
+    panes = alerts.groupBy("alert_type", slot_of("t_us", step).alias("pane")).agg(F.count("*").alias("n"))
+    rules = F.array(*[
+        F.struct(F.lit(name).alias("rule"), F.lit(of).cast("string").alias("of"), F.lit(width // step_s).alias("panes"), F.lit(over).alias("over"), F.lit(hold // step_s).alias("hold"))
+        for name, of, width, over, hold in PAGES
+    ])
+    met = panes.select("*", F.inline(rules)).filter(F.col("of").isNull() | (F.col("of") == F.col("alert_type")))
+    met = met.select("rule", "alert_type", "over", "hold", "n", F.explode(F.sequence(F.col("pane") + 1, F.col("pane") + F.col("panes"))).alias("at"))
+    met = met.groupBy("rule", "alert_type", "over", "hold", "at").agg(F.sum("n").alias("alerts")).filter(F.col("alerts") > F.col("over"))
+    held = Window.partitionBy("rule", "alert_type").orderBy("at")
+    since = F.max(F.when(F.coalesce(F.col("at") - F.lag("at").over(held), F.lit(2)) > 1, F.col("at"))).over(held.rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("since", since).filter(F.col("at") - F.col("since") >= F.col("hold")).select("rule", "alert_type", (F.col("at") * F.lit(step)).alias("eval_us"), "alerts")
 
 
 def alerts_per_hour(alerts: DataFrame) -> DataFrame:
@@ -240,10 +254,10 @@ def encryption_breakdown(networks: DataFrame) -> DataFrame:
 
 def capture_loss(truth: DataFrame, got: DataFrame) -> DataFrame:
     """Share of ground-truth frames missing from another capture."""
-    a, b = truth.agg(F.count("*").alias("truth_frames")), got.agg(F.count("*").alias("captured_frames"))
+    both = truth.select(F.lit(1).alias("t")).unionByName(got.select(F.lit(0).alias("t")))
+    counts = both.agg(F.count_if(F.col("t") == 1).alias("truth_frames"), F.count_if(F.col("t") == 0).alias("captured_frames"))
     lost = F.greatest(F.lit(0.0), (F.col("truth_frames") - F.col("captured_frames")) / F.col("truth_frames"))
-    # Both sides are one-row aggregates.
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").select(
+    return counts.select(
         "truth_frames", "captured_frames",
         F.when(F.col("truth_frames") > 0, F.round(lost * 100, 2)).otherwise(0.0).alias("loss_percent"),
     )

@@ -183,12 +183,12 @@ def s07(spark, sf):
     )
 
 
-@query("s08_read_airodump", with_frames("select distinct bssid from frames where event_id % 3 <> 0"))
+@query("s08_read_airodump", with_frames("select distinct bssid from frames"))
 def s08(spark, sf):
     path = shared_dir(spark, "airodump")
     f = load_frames(spark, sf)
     block = F.expr("event_id div 400").alias("b")
-    aps = f.filter("event_id % 3 <> 0").groupBy(block).agg(F.array_join(F.collect_set(F.concat(F.lower("bssid"), F.lit(", 2024-01-01, 6"))), "\r\n").alias("a"))
+    aps = f.groupBy(block).agg(F.array_join(F.collect_set(F.concat(F.lower("bssid"), F.lit(", 2024-01-01, 6"))), "\r\n").alias("a"))
     stations = f.groupBy(block).agg(F.array_join(F.collect_set(F.concat("src_addr", F.lit(", 2024-01-01"))), "\r\n").alias("s"))
     text = F.concat(F.lit("\r\nBSSID, First time seen, channel\r\n"), "a", F.lit("\r\nshort, row\r\n\r\nStation MAC, First time seen\r\n"), "s")
     aps.join(stations, "b").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
@@ -344,30 +344,32 @@ def n03(spark, sf):
 
 
 @query("n03_vendor_join", with_frames("""
-select event_id, coalesce(n_name, 'Unknown') as vendor from (select *, cast(hex_b as int) as k from (select *, substr(vendor_oui, 8, 1) as hex_c, case substr(vendor_oui, 8, 1) when 'B' then '0' when '3' then '1' when '2' then '2' when 'D' then '3' else '99' end as hex_b from frames)) f
-left join nation on n_nationkey = k"""))
+select event_id, coalesce(n_name, 'Unknown') as vendor from frames
+left join (select n_name, case n_nationkey when 0 then '00:22:6B' when 1 then '00:1F:33' when 2 then '14:CF:E2' when 3 then '00:21:5D' else 'FE:00:' || lpad(hex(n_nationkey), 2, '0') end as oui from nation) on oui = vendor_oui"""))
 def n03b(spark, sf):
     f = load_frames(spark, sf)
-    number = F.substring("oui", 8, 1)
-    order = F.when(number == "B", 0).when(number == "3", 1).when(number == "2", 2).when(number == "D", 3).otherwise(99)
-    dim = f.select(F.col("vendor_oui").alias("oui")).filter("oui <> 'DE:AD:BE'").distinct().join(
-        spark.read.parquet(f"{sf}/nation.parquet"), order == F.col("n_nationkey")
-    ).select("oui", F.col("n_name").alias("vendor"))
+    key = F.col("n_nationkey")
+    oui = F.when(key == 0, "00:22:6B").when(key == 1, "00:1F:33").when(key == 2, "14:CF:E2").when(key == 3, "00:21:5D").otherwise(F.concat(F.lit("FE:00:"), F.lpad(F.hex(key), 2, "0")))
+    dim = spark.read.parquet(f"{sf}/nation.parquet").select(oui.alias("oui"), F.col("n_name").alias("vendor"))
     return N.enrich_vendor(f, dim).select("event_id", "vendor")
 
 
 @query("n04_enrich_radio", with_frames("""
-select event_id, frequency_mhz as channel_mhz, channel as mhz_channel, 'management' as type_name,
-  case frame_type when 'eapol' then 'unknown' else frame_type end as subtype_name,
-  case when event_id % 4 = 0 then 'unknown (99)' when event_id % 4 = 1 then 'unspecified' when event_id % 4 = 2 then 'prev_auth_not_valid' else 'deauth_leaving' end as reason_name
-from frames where frame_type in ('beacon', 'probe_req', 'probe_resp', 'auth', 'deauth', 'disassoc')"""))
+select event_id, frequency_mhz as channel_mhz, channel as mhz_channel, case frame_type when 'data' then 'data' when 'eapol' then 'data' when 'rts' then 'control' else 'management' end as type_name,
+  case frame_type when 'eapol' then 'qos_data' else frame_type end as subtype_name,
+  case when event_id % 4 = 0 then 'unknown (99)' when event_id % 4 = 1 then 'unspecified' when event_id % 4 = 2 then 'prev_auth_not_valid' else 'deauth_leaving' end as reason_name,
+  case event_id % 5 when 0 then 'use_group' when 1 then 'wep40' when 2 then 'tkip' when 3 then 'reserved' else 'ccmp' end as cipher_name,
+  case event_id % 5 when 0 then 'unknown' when 1 then '8021x' when 2 then 'psk' when 3 then 'ft_8021x' else 'ft_psk' end as akm_name
+from frames"""))
 def n04(spark, sf):
     t = F.col("frame_type")
-    sub = F.when(t == "beacon", 8).when(t == "probe_resp", 5).when(t == "probe_req", 4).when(t == "auth", 11).when(t == "disassoc", 10).when(t == "deauth", 12)
-    coded = load_frames(spark, sf).withColumn("subtype_code", sub).filter("subtype_code is not null").withColumns({
-        "type_code": F.lit(0), "reason_code": F.when(F.col("event_id") % 4 == 0, 99).otherwise((F.col("event_id") % 4).cast("int")),
+    sub = F.when(t == "beacon", 8).when(t == "probe_resp", 5).when(t == "probe_req", 4).when(t == "auth", 11).when(t == "disassoc", 10).when(t == "deauth", 12).when(t == "rts", 11).when(t == "eapol", 8).when(t == "data", 0)
+    e = F.col("event_id")
+    coded = load_frames(spark, sf).withColumns({
+        "subtype_code": sub, "type_code": F.when(t == "rts", 1).when(t.isin("data", "eapol"), 2).otherwise(0),
+        "reason_code": F.when(e % 4 == 0, 99).otherwise((e % 4).cast("int")), "cipher_code": (e % 5).cast("int"), "akm_code": (e % 5).cast("int"),
     })
-    return N.enrich_radio(coded).select("event_id", "channel_mhz", "mhz_channel", "type_name", "subtype_name", "reason_name")
+    return N.enrich_radio(coded).select("event_id", "channel_mhz", "mhz_channel", "type_name", "subtype_name", "reason_name", "cipher_name", "akm_name")
 
 
 @query("n05_classify_security", with_frames("""

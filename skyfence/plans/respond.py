@@ -218,8 +218,8 @@ def points(frames):
 
 
 HEAT = """pt as (select (event_id * 37) % 520 / 1e1 - 1 as x, (event_id * 91) % 510 / 1e1 as y, rssi_dbm from frames),
-hm as (select cast(trunc(x / 5e-1) as int) as cell_x, cast(trunc(y / 5e-1) as int) as cell_y, avg(rssi_dbm) as v, count(*) as samples from pt
-  where trunc(x / 5e-1) between 0 and 99 and trunc(y / 5e-1) between 0 and 99 group by all)"""
+hm as (select cast(floor(x / 5e-1) as int) as cell_x, cast(floor(y / 5e-1) as int) as cell_y, avg(rssi_dbm) as v, count(*) as samples from pt
+  where floor(x / 5e-1) between 0 and 99 and floor(y / 5e-1) between 0 and 99 group by all)"""
 
 
 @query("g07_heatmap", with_frames("select cell_x, cell_y, round(v, 6) as rssi_dbm, samples from hm", HEAT))
@@ -227,6 +227,11 @@ def g07(spark, sf):
     return G.heatmap(points(load_frames(spark, sf))).withColumn("rssi_dbm", F.round("rssi_dbm", 6))
 
 
+@query("g07_off_map", with_frames("select count(*) filter (x < 0 or y < 0 or x >= 50 or y >= 50) as off_map, count(*) as points from pt", HEAT))
+def g07_off(spark, sf):
+    return G.off_map(points(load_frames(spark, sf)))
+
+
 @query("g07_fill_heatmap", with_frames("""
 select gx as cell_x, gy as cell_y, min((gx - cell_x) * (gx - cell_x) + (gy - cell_y) * (gy - cell_y)) as distance2
 from hm, (select cast(i as int) as gx from range(40) r(i)), (select cast(j as int) as gy from range(40) s(j)) where hm.cell_x < 40 and hm.cell_y < 40 group by gx, gy""", HEAT))

@@ -233,7 +233,19 @@ def e03(spark, sf):
     return E.weight_metrics(rec, CANDIDATES, 30).select("candidate", "tp", "fp", "fn", "tn", F.round("f1_score", 9).alias("f1_score"))
 
 
-@query("e03_tune_weights")
+KEYS = ("encryption", "rssi_norm", "vendor_risk", "ssid_suspicion", "wps_flag")
+DRAWN = ", ".join(f"-ln((('0x' || substr(md5('42/' || i || '/{k}'), 1, 12))::bigint::double + 0.5e0) / 281474976710656e0) as {k}" for k in KEYS)
+
+
+@query("e03_tune_weights", with_frames("""
+select candidate, p as "precision", r as recall, case when p + r > 0 then 2 * p * r / (p + r) else 0e0 end as f1_score
+from (select candidate, case when tp + fp > 0 then tp / cast(tp + fp as double) else 0e0 end as p, case when tp + fn > 0 then tp / cast(tp + fn as double) else 0e0 end as r
+  from (select candidate, count(*) filter (y and z) as tp, count(*) filter (not y and z) as fp, count(*) filter (y and not z) as fn
+    from (select candidate, event_id % 5 = 0 as y, cast(trunc(least(1e0, enc_score * w1 + rssi_norm * w2 + ssid_suspicious * w4 + ssid_hidden * 0e0 + vendor_trust * w3 + channel_unusual * 0e0 + beacon_anomaly * 0e0 + wps_flag * w5 + temporal_new * 0e0 + privacy_concern * 5e-2) * 5e-1 * 100) as int) >= 30 as z from feat, cand) group by candidate))
+order by f1_score desc, candidate limit 1""", FEAT + f""",
+drawn as (select i, {DRAWN} from range(50) r(i)),
+cand as (select i as candidate, round(encryption / t, 2) as w1, round(rssi_norm / t, 2) as w2, round(vendor_risk / t, 2) as w3, round(ssid_suspicion / t, 2) as w4, round(wps_flag / t, 2) as w5
+  from (select *, 0e0 + encryption + rssi_norm + vendor_risk + ssid_suspicion + wps_flag as t from drawn))"""))
 def e03b(spark, sf):
     rec = scored_input(load_frames(spark, sf)).withColumn("malicious", F.col("event_id") % 5 == 0)
     vectors = [r.asDict() for r in E.candidate_weights(spark, 50).drop("candidate").collect()]

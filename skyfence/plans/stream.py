@@ -96,12 +96,14 @@ def st_d10(spark, sf):
     return finish(spark, ST.wardriver_stream(rows, base_us=BASE), path).drop("alert_type")
 
 
-@query("st_n06_dedup_frames", f"select event_id, t_us, bssid, frame_type from ({ORACLES['n06_dedup_frames']}) where frame_type not in ('deauth', 'disassoc')")
+@query("st_n06_dedup_frames", f"select event_id, t_us, bssid, frame_type from ({ORACLES['n06_dedup_frames']})")
 def st_n06(spark, sf):
     rows, path = replay(spark, sf)
     rest = rows.filter("frame_type not in ('deauth', 'disassoc')").withColumn("half", F.col("event_id") % 2)
     ddl = "event_id bigint, t_us bigint, bssid string, frame_type string"
-    return finish(spark, ST.cooldown_stream(rest, ["bssid", "half", "frame_type", "ssid"], ["bssid", "frame_type"], ddl, 5 * S, BASE), path)
+    kept = ST.cooldown_stream(rest, ["bssid", "half", "frame_type", "ssid"], ["bssid", "frame_type"], ddl, 5 * S, BASE)
+    exempt = rows.filter("frame_type in ('deauth', 'disassoc') and event_id >= 0").select("event_id", "t_us", "bssid", "frame_type")
+    return finish(spark, kept.unionByName(exempt), path)
 
 
 @query("st_t02_triage", ORACLES["t02_triage"])

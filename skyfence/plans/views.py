@@ -57,11 +57,11 @@ def a02(spark, sf):
 
 @query("a03_current_networks", with_frames("""
 select bssid, event_id, t_us as last_seen, rssi_dbm, case when bssid like '%0' then 1e0 when event_id % 6 <> 0 then 10e0 end as lat
-from (select * from frames order by t_us desc, event_id desc limit 400) qualify row_number() over (partition by bssid order by t_us desc, event_id desc) = 1"""))
+from frames qualify row_number() over (partition by bssid order by t_us desc, event_id desc) = 1"""))
 def a03(spark, sf):
     f = load_frames(spark, sf).withColumn("gps_lat", F.when(F.col("event_id") % 6 != 0, 10.0))
     pos = f.select("bssid").distinct().filter("bssid like '%0'").select("bssid", F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
-    return A.current_networks(f, pos, 400).select("bssid", "event_id", "last_seen", "rssi_dbm", "lat")
+    return A.current_networks(f, pos).select("bssid", "event_id", "last_seen", "rssi_dbm", "lat")
 
 
 @query("a04_collapse_events", with_frames("""
@@ -167,13 +167,30 @@ def a10(spark, sf):
     return A.sensor_status(hb, tb, 2900 * S, 310)
 
 
-@query("a11_alert_kpis", with_frames("""
-select alert_type, severity, w as window_no, count(*) as alerts, false as page_evil_twin,
-  alert_type = 'deauth_flood' and max(t_us % 300000000) >= 180000000 as page_deauth, count(*) > 10 as page_high_rate
-from (select t_us, (t_us - t_us % 300000000) // 300000000 as w, case frame_type when 'deauth' then 'deauth_flood' else 'disassoc_flood' end as alert_type, case when rssi_dbm > -50 then 'HIGH' else 'LOW' end as severity
-      from frames where frame_type in ('deauth', 'disassoc')) group by alert_type, severity, w"""))
+SIMPLE = """simple as (select t_us, case frame_type when 'deauth' then 'deauth_flood' when 'auth' then 'evil_twin' else 'disassoc_flood' end as alert_type, case when rssi_dbm > -50 then 'HIGH' else 'LOW' end as severity
+  from frames where frame_type in ('deauth', 'disassoc', 'auth'))"""
+
+
+def paging_alerts(frames):
+    t = F.col("frame_type")
+    kind = F.when(t == "deauth", "deauth_flood").when(t == "auth", "evil_twin").otherwise("disassoc_flood")
+    return frames.filter(t.isin("deauth", "disassoc", "auth")).select("t_us", kind.alias("alert_type"), F.when(F.col("rssi_dbm") > -50, "HIGH").otherwise("LOW").alias("severity"))
+
+
+@query("a11_alert_counts", with_frames("select alert_type, severity, t_us // 300000000 as window_no, count(*) as alerts from simple group by all", SIMPLE))
 def a11(spark, sf):
-    return A.alert_kpis(simple_alerts(load_frames(spark, sf)))
+    return A.alert_counts(paging_alerts(load_frames(spark, sf)))
+
+
+@query("a11_alert_pages", with_frames("""
+select 'evil_twin' as rule, alert_type, e as eval_us, count(*) as alerts from simple, evals where alert_type = 'evil_twin' and t_us >= e - 300000000 and t_us < e group by all
+union all select 'deauth_flood', alert_type, e, count(*) from simple, evals where alert_type = 'deauth_flood' and t_us >= e - 120000000 and t_us < e group by all
+union all select 'high_rate', r.alert_type, r.e, r.n from rates r
+where n > 50 and (select count(*) from rates p where p.alert_type = r.alert_type and p.n > 50 and p.e between r.e - 300000000 and r.e) = 11""", SIMPLE + """,
+evals as (select (t.k + d) * 30000000 as e from (select distinct t_us // 30000000 as k from simple) t, range(1, 11) r(d) group by e),
+rates as (select alert_type, e, count(*) as n from simple, evals where t_us >= e - 300000000 and t_us < e group by all)"""))
+def a11_pages(spark, sf):
+    return A.alert_pages(paging_alerts(load_frames(spark, sf)))
 
 
 def simple_alerts(frames):
@@ -290,22 +307,23 @@ def d14(spark, sf):
 
 @query("d16_inventory_mismatch", with_frames("""
 select distinct ssid, bssid from frames where frame_type in ('beacon', 'probe_resp') and ssid in (select ssid from inv) and (ssid, bssid) not in (select ssid, bssid from inv)""",
-    "inv as (select 'net-' || (c_custkey % 20) as ssid, '00:22:6B:00:00:' || lpad(hex(c_custkey), 2, '0') as bssid from customer where c_custkey < 50)"))
+    "inv as (select 'net-' || (c_custkey % 20) as ssid, '00:22:6B:' || lpad(hex(c_custkey // 65536), 2, '0') || ':' || lpad(hex(c_custkey // 256 % 256), 2, '0') || ':' || lpad(hex(c_custkey % 256), 2, '0') as bssid from customer)"))
 def d16(spark, sf):
     key = F.col("c_custkey")
-    inv = spark.read.parquet(f"{sf}/customer.parquet").filter("c_custkey < 50").select(
-        F.concat(F.lit("net-"), (key % 20).cast("string")).alias("ssid"), F.concat(F.lit("00:22:6B:00:00:"), F.lpad(F.hex(key), 2, "0")).alias("bssid")
+    byte = lambda shift: F.lpad(F.hex(F.shiftright(key, shift) % 256), 2, "0")
+    inv = spark.read.parquet(f"{sf}/customer.parquet").select(
+        F.concat(F.lit("net-"), (key % 20).cast("string")).alias("ssid"), F.concat_ws(":", F.lit("00:22:6B"), byte(16), byte(8), byte(0)).alias("bssid")
     )
     return M.inventory_mismatch(load_frames(spark, sf), inv)
 
 
 @query("d16_similar_ssids", """
-with w as (select distinct substr(regexp_replace(p_name, '[^a-z0-9]', '', 'g'), 1, 32) || (p_size % 7) as ssid from part)
+with w as (select distinct regexp_replace(p_name, '[^a-z0-9]', '', 'g') || (p_size % 7) as ssid from part)
 select a.ssid as ssid_a, b.ssid as ssid_b, round(1 - levenshtein(a.ssid, b.ssid) / cast(greatest(length(a.ssid), length(b.ssid)) as double), 6) as similarity
 from w a join w b on a.ssid < b.ssid where 1 - levenshtein(a.ssid, b.ssid) / cast(greatest(length(a.ssid), length(b.ssid)) as double) >= 85e-2""")
 def d16b(spark, sf):
     names = spark.read.parquet(f"{sf}/part.parquet").select(
-        F.concat(F.substring(F.regexp_replace("p_name", "[^a-z0-9]", ""), 1, 32), (F.col("p_size") % 7).cast("string")).alias("ssid")
+        F.concat(F.regexp_replace("p_name", "[^a-z0-9]", ""), (F.col("p_size") % 7).cast("string")).alias("ssid")
     )
     return M.similar_ssids(names).withColumn("similarity", F.round("similarity", 6))
 

@@ -30,11 +30,13 @@ def get_session(app: str = "skyfence", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; only where that is
-    unset (local tests) does this fall back to a folder of this machine.
+    The cluster names its shared folder in ``spark.checkpoint.dir``; only where that is unset and
+    Spark runs on this machine alone does this fall back to a folder of this machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "skyfence")
         os.makedirs(root, exist_ok=True)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

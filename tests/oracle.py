@@ -52,7 +52,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     t1 = time.time()
     cols, got = table([tuple(r) for r in rows], df.columns)
     if sql is None:
-        return True, f"{name:28s} rows={len(got):6d} {t1 - t0:6.2f}s  (no SQL)"
+        return len(got) > 0, f"{name:28s} rows={len(got):6d} {t1 - t0:6.2f}s  (no SQL)"
     res = con.execute(sql)
     wcols, want = table(res.fetchall(), [d[0] for d in res.description])
     t2 = time.time()

@@ -239,3 +239,63 @@ def test_anomaly_model_flags_the_odd_row(spark):
     model = E.fit_anomaly(spark.createDataFrame(rows, "a double, b double, c double"), feats, k=1)
     got = E.score_anomaly(spark.createDataFrame([*rows, (0.0, 1.0, 0.5)], "a double, b double, c double"), model)
     assert [r.is_anomaly for r in got.collect()] == [False] * 100 + [True]
+
+
+def test_recent_takes_what_is_asked(spark):
+    from skyfence.operators import summaries as A
+
+    df = spark.range(3000).selectExpr("id as event_id", "id * 10 as t_us")
+    rows = A.recent(df, 2500).collect()
+    assert len(rows) == 2500 and rows[0].event_id == 2999
+
+
+def test_current_networks_loses_none(spark):
+    from skyfence.operators import summaries as A
+
+    df = spark.range(5000).selectExpr("id as event_id", "id as t_us", "cast(case when id < 3 then id else 7 end as string) as bssid")
+    assert {r.bssid for r in A.current_networks(df).collect()} == {"0", "1", "2", "7"}
+    assert {r.bssid for r in A.current_networks(df, n=10).collect()} == {"7"}
+
+
+def test_similar_names_of_any_length(spark):
+    long = "conference-room-" * 40
+    names = [long, long[:300] + "X" + long[301:], long[:200] + long[203:], "a" * 33, "a" * 32 + "b", "a" * 10]
+    got = {(r.ssid_a, r.ssid_b) for r in M.similar_ssids(spark.createDataFrame([(n,) for n in names], "ssid string")).collect()}
+    assert got == {tuple(sorted(p)) for p in ((names[0], names[1]), (names[0], names[2]), (names[1], names[2]), (names[3], names[4]))}
+
+
+def test_paging_rules(spark):
+    from skyfence.operators import summaries as A
+
+    m = 60_000_000
+    mixed = [("scan", "HIGH" if i % 2 else "LOW", k * m + i * 1_000_000) for k in range(12) for i in range(12)]  # 6 + 6 a minute
+    early = [("deauth_flood", "LOW", 10_000_000)]
+    pages = A.alert_pages(spark.createDataFrame(mixed + early, "alert_type string, severity string, t_us bigint")).collect()
+    deauth = sorted(r.eval_us for r in pages if r.rule == "deauth_flood")
+    assert deauth == [30_000_000, 60_000_000, 90_000_000, 120_000_000]
+    rate = sorted(r.eval_us for r in pages if r.rule == "high_rate")
+    # more than fifty in five minutes from minute 4.5 on (five minutes held), until less than five minutes of alerts are left in the window
+    assert rate and {r.alert_type for r in pages if r.rule == "high_rate"} == {"scan"}
+    counts = {e: sum(e - 5 * m <= t < e for _, _, t in mixed) for e in range(0, 20 * m, m // 2)}
+    assert rate == [e for e in counts if all(counts.get(e - k * m // 2, 0) > 50 for k in range(11))]
+
+
+def test_heatmap_border(spark):
+    df = spark.createDataFrame([(-0.4, -0.4, -50), (0.1, 0.1, -60), (60.0, 1.0, -70)], "x double, y double, rssi_dbm bigint")
+    assert [(r.cell_x, r.cell_y, r.samples) for r in G.heatmap(df).collect()] == [(0, 0, 1)]
+    assert tuple(G.off_map(df).first()) == (2, 3)
+
+
+def test_candidate_weights_do_not_depend_on_partitions(spark):
+    from skyfence.operators.evaluation import candidate_weights
+
+    rows = [tuple(r) for r in candidate_weights(spark, 20).orderBy("candidate").collect()]
+    assert rows == [tuple(r) for r in candidate_weights(spark, 20).repartition(3).orderBy("candidate").collect()]
+    assert all(abs(sum(r[1:]) - 1) < 0.03 for r in rows)
+
+
+def test_unknown_profile(spark):
+    from skyfence.operators.detector_set import run_detectors
+
+    with pytest.raises(ValueError):
+        run_detectors(spark.range(1), "full_wid")
