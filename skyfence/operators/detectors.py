@@ -32,8 +32,12 @@ def deauth_flood(
     )
     seen = trailing(hits, ["bssid", "client"], int(window_s * US), {"frame_count": None})
     seen = seen.withColumn("rate_per_sec", F.col("frame_count") / F.lit(window_s))
-    out = cooldown(seen.filter(F.col("rate_per_sec") >= rate), ["bssid", "client"], int(cooldown_s * US))
-    out = out.withColumn("is_broadcast", F.upper("client") == BROADCAST)
+    return deauth_alert(cooldown(seen.filter(F.col("rate_per_sec") >= rate), ["bssid", "client"], int(cooldown_s * US)), rate)
+
+
+def deauth_alert(hits: DataFrame, rate: float) -> DataFrame:
+    """Alerts from evidence rows; the streaming form makes the same rows."""
+    out = hits.withColumn("is_broadcast", F.upper("client") == BROADCAST)
     r = F.col("rate_per_sec")
     return as_alert(
         out, "deauth_flood", tiers((r >= rate * 5, "CRITICAL"), (r >= rate * 2, "HIGH"), default="MEDIUM"),
@@ -45,19 +49,18 @@ def deauth_flood(
 def disassoc_flood(
     frames: DataFrame, rate: float = 10.0, window_s: float = 5.0, cooldown_s: float = 60.0, min_clients: int = 3
 ) -> DataFrame:
-    """Disassociation flood per (bssid, client); many targeted clients raise the severity."""
+    """Disassociation flood per (bssid, client); many clients of the access point within the window raise the severity."""
     hits = frames.filter((F.col("frame_type") == "disassoc") & F.col("bssid").isNotNull()).select(
         "event_id", "t_us", "sensor_id", "bssid", F.coalesce("dst_addr", F.lit(BROADCAST)).alias("client")
     )
-    debut = hits.groupBy("bssid", "client").agg(F.min(F.struct("t_us", "event_id")).alias("_debut"))
-    hits_d = hits.join(debut, ["bssid", "client"]).withColumn(
-        "_new", (F.struct("t_us", "event_id") == F.col("_debut")).cast("bigint")
-    ).drop("_debut")
-    known = running(hits_d, ["bssid"], {"unique_clients": ("sum", F.col("_new"))}, inclusive=True).drop("_new")
+    known = trailing(hits, ["bssid"], int(window_s * US), {}, {"unique_clients": "client"})
     seen = trailing(known, ["bssid", "client"], int(window_s * US), {"frame_count": None})
     seen = seen.withColumn("rate_per_sec", F.col("frame_count") / F.lit(window_s))
-    out = cooldown(seen.filter(F.col("rate_per_sec") >= rate), ["bssid", "client"], int(cooldown_s * US))
-    out = out.withColumn("is_broadcast", F.upper("client") == BROADCAST)
+    return disassoc_alert(cooldown(seen.filter(F.col("rate_per_sec") >= rate), ["bssid", "client"], int(cooldown_s * US)), rate, min_clients)
+
+
+def disassoc_alert(hits: DataFrame, rate: float, min_clients: int) -> DataFrame:
+    out = hits.withColumn("is_broadcast", F.upper("client") == BROADCAST)
     r, many = F.col("rate_per_sec"), F.col("unique_clients") >= min_clients
     return as_alert(
         out, "disassoc_flood",
@@ -70,7 +73,7 @@ def disassoc_flood(
 def beacon_flood(
     frames: DataFrame, ssids: int = 50, bssids: int = 10, window_s: int = 30, cooldown_s: int = 120, sample: int = 10
 ) -> DataFrame:
-    """Fake-AP flood per sensor: distinct SSIDs or BSSIDs in the trailing window."""
+    """Fake-AP flood per sensor: distinct SSIDs or BSSIDs in the trailing window; ``sample`` names are shown as evidence."""
     width = window_s * US
     beacons = frames.filter((F.col("frame_type") == "beacon") & F.col("bssid").isNotNull()).select(
         "event_id", "t_us", "sensor_id",
@@ -98,9 +101,12 @@ def beacon_flood(
     rank = F.row_number().over(Window.partitionBy("_a").orderBy("name"))
     names = names.withColumn("_r", rank).filter(F.col("_r") <= sample)
     names = names.groupBy("_a").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("sample_ssids"))
-    out = out.join(names, out["event_id"] == names["_a"], "left").withColumn(
-        "beacon_rate", F.bround(F.col("beacon_count") / window_s, 1)
-    )
+    return beacon_alert(out.join(names, out["event_id"] == names["_a"], "left"), ssids, bssids, window_s)
+
+
+def beacon_alert(hits: DataFrame, ssids: int, bssids: int, window_s: int) -> DataFrame:
+    out = hits.withColumn("beacon_rate", F.bround(F.col("beacon_count") / window_s, 1))
+    n, m = F.col("unique_ssids"), F.col("unique_bssids")
     severity = tiers(
         ((n >= ssids * 5) & (m >= bssids), "CRITICAL"), ((n >= ssids * 2) | (m >= bssids), "HIGH"), default="MEDIUM"
     )
@@ -160,7 +166,10 @@ def pmkid(
         "event_id", "t_us", "sensor_id", "bssid", "orphaned_m1", "auth_count", "unique_sources",
         by_m1.alias("m1_flood"), by_auth.alias("auth_flood"),
     )
-    out = cooldown(hits, ["bssid"], cooldown_s * US)
+    return pmkid_alert(cooldown(hits, ["bssid"], cooldown_s * US))
+
+
+def pmkid_alert(out: DataFrame) -> DataFrame:
     reasons = F.array_compact(
         F.array(F.when(F.col("m1_flood"), "EAPOL_M1_FLOOD"), F.when(F.col("auth_flood"), "AUTH_FLOOD_RANDOM_MAC"))
     )
@@ -213,7 +222,7 @@ def wep_attacks(
 def _nth_name(frames: DataFrame, key: str, gap_us: int, nth: int) -> DataFrame:
     """The sighting that brings a key's distinct names to ``nth`` within an activity episode.
 
-    ``names`` are those up to that sighting, ``episode_names`` counts all of the episode.
+    ``names`` are those up to that sighting; ``episode_names`` has the extent of whole episodes.
     """
     sighted = frames.groupBy(key, slot_of("t_us", gap_us).alias("_slot"), "name").agg(
         F.min(F.struct("t_us", "event_id", "sensor_id")).alias("_first")
@@ -224,16 +233,21 @@ def _nth_name(frames: DataFrame, key: str, gap_us: int, nth: int) -> DataFrame:
         .groupBy(key, "episode", "name").agg(F.min("_first").alias("_first"))
     )
     rank = F.row_number().over(Window.partitionBy(key, "episode").orderBy("_first"))
-    totals = first.groupBy(key, "episode").agg(F.count("*").alias("episode_names"))
     ranked = first.withColumn("_n", rank).filter(F.col("_n") <= nth)
-    crossed = (
+    return (
         ranked.groupBy(key, "episode")
         .agg(F.max("_n").alias("name_count"), F.max("_first").alias("_hit"), F.array_sort(F.collect_list("name")).alias("names"))
         .filter(F.col("name_count") == nth)
         .select(key, "episode", "_hit.*", F.col("name_count").cast("bigint").alias("name_count"), F.array_join("names", ",").alias("names"))
         .withColumn("duration_s", F.bround((F.col("t_us") - F.col("episode")) / F.lit(US), 1))
     )
-    return crossed.join(totals, [key, "episode"])
+
+
+def episode_names(frames: DataFrame, key: str, idle_s: int = 60) -> DataFrame:
+    """How many distinct names each activity episode of a key had in all: key, episode (its begin), names. ``frames``: key, t_us, ssid."""
+    rows = frames.filter(F.col(key).isNotNull()).select(key, "t_us", F.when(~F.col("ssid").isin("", "<Hidden>"), F.col("ssid")).alias("name"))
+    slots = rows.select(key, slot_of("t_us", idle_s * US).alias("_slot"), "name").distinct()
+    return slots.join(episodes(rows, [key], idle_s * US), [key, "_slot"]).groupBy(key, "episode").agg(F.count_distinct("name").alias("names"))
 
 
 def karma(frames: DataFrame, ssids: int = 3, critical: int = 5, idle_s: int = 60) -> DataFrame:
@@ -242,10 +256,13 @@ def karma(frames: DataFrame, ssids: int = 3, critical: int = 5, idle_s: int = 60
         F.col("frame_type").isin("beacon", "probe_resp") & F.col("bssid").isNotNull()
         & F.col("ssid").isNotNull() & ~F.col("ssid").isin("", "<Hidden>")
     ).select("event_id", "t_us", "sensor_id", "bssid", F.col("ssid").alias("name"))
-    out = _nth_name(ads, "bssid", idle_s * US, ssids)
+    return karma_alert(_nth_name(ads, "bssid", idle_s * US, ssids), critical)
+
+
+def karma_alert(out: DataFrame, critical: int) -> DataFrame:
     return as_alert(
         out, "karma_attack", tiers((F.col("name_count") >= critical, "CRITICAL"), default="HIGH"),
-        "Karma / rogue access point", "T1557.002", ["name_count", "names", "duration_s", "episode_names"],
+        "Karma / rogue access point", "T1557.002", ["name_count", "names", "duration_s"],
     )
 
 
@@ -257,11 +274,14 @@ def wardriver(
         "event_id", "t_us", "sensor_id", F.col("src_addr").alias("attacker"),
         F.when(F.col("ssid") != "", F.col("ssid")).alias("name"),
     )
-    out = _nth_name(probes, "attacker", idle_s * US, ssids)
+    return wardriver_alert(_nth_name(probes, "attacker", idle_s * US, ssids), high, critical)
+
+
+def wardriver_alert(out: DataFrame, high: int, critical: int) -> DataFrame:
     n = F.col("name_count")
     return as_alert(
         out, "wardrive_detected", tiers((n >= critical, "CRITICAL"), (n >= high, "HIGH"), default="MEDIUM"),
-        "Active wardriving", "T1595.002", ["name_count", "names", "duration_s", "episode_names"],
+        "Active wardriving", "T1595.002", ["name_count", "names", "duration_s"],
     )
 
 
@@ -269,7 +289,7 @@ def jamming(
     frames: DataFrame, window_s: int = 10, min_frames: int = 20, retry_limit: float = 0.4, rts_limit: int = 50,
     high: int = 60, critical: int = 80, weight_loss: int = 40, weight_congestion: int = 30, samples: int = 100,
 ) -> DataFrame:
-    """Retry rate and RTS/CTS load per (sensor, channel) and aligned interval."""
+    """Retry rate and RTS/CTS load per (sensor, channel) and aligned interval; the signal is the mean of the last ``samples`` frames."""
     keys = ["sensor_id", "channel", "_win"]
     base = frames.withColumn("_win", slot_of("t_us", window_s * US))
     stats = base.groupBy(*keys).agg(
@@ -293,7 +313,11 @@ def jamming(
         .withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= samples)
         .groupBy(*keys).agg(F.avg("rssi_dbm").alias("avg_rssi"))
     )
-    out = bad.join(level, keys, "left").withColumn("avg_rssi", F.coalesce("avg_rssi", F.lit(-100.0)))
+    return jamming_alert(bad.join(level, keys, "left"), critical)
+
+
+def jamming_alert(hits: DataFrame, critical: int) -> DataFrame:
+    out = hits.withColumn("avg_rssi", F.coalesce("avg_rssi", F.lit(-100.0)))
     return as_alert(
         out, "jamming_detected", tiers((F.col("score") >= critical, "CRITICAL"), default="HIGH"),
         "Wireless jamming / interference", "T1465",

@@ -33,6 +33,12 @@ def _flood_sql(kind: str, window_s: int, need: int, cool: int, entry: bool = Fal
     return with_frames(body, fold_ctes(cand, "bssid, client", cool * S), recursive=True)
 
 
+D02_COLS = ["severity", "sensor_id", "bssid", "client", "event_id", "t_us", "frame_count", "rate_per_sec", "unique_clients", "is_broadcast"]
+D03_COLS = ["severity", "sensor_id", "event_id", "t_us", "unique_ssids", "unique_bssids", "oui_count", "beacon_count", "beacon_rate", "sample_ssids"]
+D05_COLS = ["severity", "sensor_id", "bssid", "event_id", "t_us", "orphaned_m1", "auth_count", "unique_sources", "reasons"]
+D08_COLS = ["severity", "bssid", "sensor_id", "event_id", "t_us", "name_count", "names", "duration_s"]
+D10_COLS = ["severity", "src_addr", "sensor_id", "event_id", "t_us", "name_count", "names", "duration_s"]
+D09_COLS = ["severity", "sensor_id", "channel", "t_us", "event_id", "score", "total_frames", "retry_rate", "rts_cts_count"]
 D01_COLS = ["alert_type", "severity", "sensor_id", "bssid", "client", "event_id", "t_us", "frame_count", "rate_per_sec", "is_broadcast", "reasons"]
 
 
@@ -49,17 +55,16 @@ def d01_wide(spark, sf):
 @query("d02_disassoc_flood", with_frames("""
 select case when frame_count >= 10 or (unique_clients >= 3 and frame_count >= 4) then 'CRITICAL'
             when frame_count >= 4 or unique_clients >= 3 then 'HIGH' else 'MEDIUM' end as severity,
-  sensor_id, bssid, client, event_id, t_us, frame_count, frame_count / cast(300 as double) as rate_per_sec, unique_clients
+  sensor_id, bssid, client, event_id, t_us, frame_count, frame_count / cast(300 as double) as rate_per_sec, unique_clients, client = 'FF:FF:FF:FF:FF:FF' as is_broadcast
 from kept""", """
 d as (select event_id, t_us, sensor_id, bssid, dst_addr as client from frames where frame_type = 'disassoc'),
 c as (select a.event_id, count(distinct b.client) as unique_clients
-      from d a join d b on a.bssid = b.bssid and (b.t_us, b.event_id) <= (a.t_us, a.event_id) group by a.event_id),
+      from d a join d b on a.bssid = b.bssid and b.t_us between a.t_us - 300000000 and a.t_us group by a.event_id),
 """ + fold_ctes("""select * from (
   select d.*, c.unique_clients, count(*) over (partition by bssid, client order by t_us range between 300000000 preceding and current row) as frame_count
   from d join c using (event_id)) where frame_count >= 2""", "bssid, client", 60 * S), recursive=True))
 def d02(spark, sf):
-    df = D.disassoc_flood(load_frames(spark, sf), 2 / 300, 300, 60)
-    return df.select("severity", "sensor_id", "bssid", "client", "event_id", "t_us", "frame_count", "rate_per_sec", "unique_clients")
+    return D.disassoc_flood(load_frames(spark, sf), 2 / 300, 300, 60).select(*D02_COLS)
 
 
 @query("d03_beacon_flood", with_frames("""
@@ -77,8 +82,7 @@ from kept k""", fold_ctes("""select * from (
   where a.frame_type = 'beacon' and b.frame_type = 'beacon' group by all)
   where unique_ssids >= 8 or unique_bssids >= 20""", "sensor_id", 120 * S), recursive=True))
 def d03(spark, sf):
-    df = D.beacon_flood(load_frames(spark, sf), 8, 10, 30, 120)
-    return df.select("severity", "sensor_id", "event_id", "t_us", "unique_ssids", "unique_bssids", "oui_count", "beacon_count", "beacon_rate", "sample_ssids")
+    return D.beacon_flood(load_frames(spark, sf), 8, 10, 30, 120).select(*D03_COLS)
 
 
 @query("d04_krack", with_frames("""
@@ -125,7 +129,7 @@ ev as (select t.*, len(q.waiting) as orphaned_m1, au.auth_count, au.unique_sourc
 """ + fold_ctes("select * from ev where coalesce(msg, 0) <> 2 and (m1_flood or auth_flood)", "bssid", 60 * S), recursive=True))
 def d05(spark, sf):
     df = D.pmkid(load_frames(spark, sf), 2, 120, 3, 120, 2, 60)
-    return flat(df, "severity", "sensor_id", "bssid", "event_id", "t_us", "orphaned_m1", "auth_count", "unique_sources", "reasons")
+    return flat(df, *D05_COLS)
 
 
 @query("d06_wep_attacks", with_frames("""
@@ -184,33 +188,41 @@ def d07(spark, sf):
 def _episode_sql(key: str, where: str, nth: int, severity: str) -> str:
     return with_frames(f"""
 select {severity} as severity, {key}, sensor_id, event_id, t_us, {nth} as name_count,
+  (select string_agg(f.ssid, ',' order by f.ssid) from named f where f.{key} = named.{key} and f.episode = named.episode and f.nth <= {nth}) as names,
   round((t_us - began) / 1e6, 1) as duration_s
-from (select *, row_number() over (partition by {key}, episode order by t_us, event_id) as nth from firsts) where nth = {nth}""", f"""
+from named where nth = {nth}""", f"""
 r as (select *, case when t_us - lag(t_us) over (partition by {key} order by t_us, event_id) <= 60000000 then 0 else 1 end as fresh from frames where {where}),
 e as (select *, sum(fresh) over (partition by {key} order by t_us, event_id rows unbounded preceding) as episode from r),
 b as (select *, min(t_us) over (partition by {key}, episode) as began from e),
 firsts as (select * from b where ssid is not null
-  qualify row_number() over (partition by {key}, episode, ssid order by t_us, event_id) = 1)""")
+  qualify row_number() over (partition by {key}, episode, ssid order by t_us, event_id) = 1),
+named as (select *, row_number() over (partition by {key}, episode order by t_us, event_id) as nth from firsts)""")
 
 
 @query("d08_karma", _episode_sql("bssid", "frame_type in ('beacon', 'probe_resp') and ssid is not null and ssid not in ('', '<Hidden>')", 3, "'HIGH'"))
 def d08(spark, sf):
-    df = D.karma(load_frames(spark, sf))
-    return df.select("severity", "bssid", "sensor_id", "event_id", "t_us", "name_count", "duration_s")
+    return D.karma(load_frames(spark, sf)).select(*D08_COLS)
+
+
+@query("d08_episode_names", with_frames("select bssid, began as episode, count(distinct case when ssid not in ('', '<Hidden>') then ssid end) as names from b group by all", """
+r as (select *, case when t_us - lag(t_us) over (partition by bssid order by t_us, event_id) <= 60000000 then 0 else 1 end as fresh from frames),
+e as (select *, sum(fresh) over (partition by bssid order by t_us, event_id rows unbounded preceding) as number from r),
+b as (select *, min(t_us) over (partition by bssid, number) as began from e)"""))
+def d08_extent(spark, sf):
+    return D.episode_names(load_frames(spark, sf), "bssid")
 
 
 @query("d10_wardriver", _episode_sql("src_addr", "frame_type = 'probe_req'", 5, "'MEDIUM'"))
 def d10(spark, sf):
-    df = D.wardriver(load_frames(spark, sf))
-    return df.select("severity", F.col("attacker").alias("src_addr"), "sensor_id", "event_id", "t_us", "name_count", "duration_s")
+    return D.wardriver(load_frames(spark, sf)).withColumnRenamed("attacker", "src_addr").select(*D10_COLS)
 
 
 @query("d09_jamming", with_frames("""
-select case when score >= 50 then 'CRITICAL' else 'HIGH' end as severity, sensor_id, channel, t_us, score, total_frames,
+select case when score >= 50 then 'CRITICAL' else 'HIGH' end as severity, sensor_id, channel, t_us, event_id, score, total_frames,
   retries / total_frames as retry_rate, rts_cts_count, round(avg_rssi, 6) as avg_rssi
 from (select *, case when retries / total_frames > 4e-1 then cast(trunc(40 * least(1e0, (retries / total_frames - 4e-1) / 5e-1)) as bigint) else 0 end
         + case when rts_cts_count > 0 then 30 else 0 end as score
-  from (select sensor_id, channel, win, max(t_us) as t_us, count(*) as total_frames, cast(count(*) filter (retry) as double) as retries,
+  from (select sensor_id, channel, win, max(t_us) as t_us, arg_max(event_id, (t_us, event_id)) as event_id, count(*) as total_frames, cast(count(*) filter (retry) as double) as retries,
           count(*) filter (frame_type in ('rts', 'cts')) as rts_cts_count, avg(rssi_dbm) filter (rn <= 5) as avg_rssi
         from (select *, row_number() over (partition by sensor_id, channel, win order by t_us desc, event_id desc) as rn
               from (select *, (t_us - t_us % 60000000) // 60000000 as win from frames))
@@ -218,7 +230,7 @@ from (select *, case when retries / total_frames > 4e-1 then cast(trunc(40 * lea
 where score >= 30"""))
 def d09(spark, sf):
     df = D.jamming(load_frames(spark, sf), 60, 10, 0.4, 0, high=30, critical=50, samples=5)
-    return df.select("severity", "sensor_id", "channel", "t_us", "score", "total_frames", "retry_rate", "rts_cts_count", F.round("avg_rssi", 6).alias("avg_rssi"))
+    return df.select(*D09_COLS, F.round("avg_rssi", 6).alias("avg_rssi"))
 
 
 @query("d15_deauth_bursts", with_frames("""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skyfence.frames import FRAMES_DDL, load_frames
 from skyfence.operators import scoring as SC
 from skyfence.operators import triage as T
+from skyfence.plans import detect as PD
 from skyfence.plans.base import ORACLES, query
 from skyfence.plans.ingest import BASE
 from skyfence.plans.risk import findings
@@ -26,14 +27,14 @@ def replay(spark, sf, files: int = 3):
     """(frames as a stream with event time, scratch folder)."""
     path = shared_dir(spark, "stream")
     f = load_frames(spark, sf).select(*[c.split(" ")[0] for c in FRAMES_DDL.split(", ")])
-    span = 2_700 * S // files
+    span = (f.agg(F.max("t_us")).first()[0] or 0) // files + 1
     for i in range(files):  # one job per file set, so that file times follow frame times
         low, high = (i * span, (i + 1) * span) if i < files - 1 else (i * span, END)
-        f.filter(F.col("t_us").between(low, high - 1)).coalesce(2).write.mode("append").parquet(f"{path}/in")
+        f.filter(F.col("t_us").between(low, high - 1)).write.mode("append").parquet(f"{path}/in")
     closing = f.limit(1).withColumns({"t_us": F.lit(END), "event_id": F.lit(-1).cast("bigint")})
     kinds = F.array(*[F.lit(k) for k in ("beacon", "probe_req", "deauth", "disassoc", "auth", "rts")])
-    closing.withColumn("frame_type", F.explode(kinds)).withColumns({c: F.lit("closing") for c in ("bssid", "src_addr", "ssid")}).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    rows = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    closing.withColumn("frame_type", F.explode(kinds)).withColumns({c: F.lit("closing") for c in ("bssid", "src_addr", "ssid")}).write.mode("append").parquet(f"{path}/in")
+    rows = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
     return ST.event_time(rows, BASE), path
 
 
@@ -54,46 +55,47 @@ def st_a05(spark, sf):
     return finish(spark, W.deauth_counts_stream(rows, 60, BASE), path)
 
 
-@query("st_d01_deauth_flood", f"select alert_type, severity, sensor_id, bssid, client, event_id, t_us, frame_count, rate_per_sec from ({ORACLES['d01_deauth_flood']})")
+@query("st_d01_deauth_flood", ORACLES["d01_deauth_flood"])
 def st_d01(spark, sf):
     rows, path = replay(spark, sf)
-    return finish(spark, ST.flood_stream(rows, "deauth", 3 / 60, 60, 60, BASE), path)
+    return PD.flat(finish(spark, ST.deauth_flood_stream(rows, 3 / 60, 60, 60, BASE), path), *PD.D01_COLS)
 
 
-@query("st_d02_disassoc_flood", f"select sensor_id, bssid, client, event_id, t_us, frame_count, rate_per_sec from ({ORACLES['d02_disassoc_flood']})")
+@query("st_d02_disassoc_flood", ORACLES["d02_disassoc_flood"])
 def st_d02(spark, sf):
     rows, path = replay(spark, sf)
-    return finish(spark, ST.flood_stream(rows, "disassoc", 2 / 300, 300, 60, BASE), path).drop("alert_type", "severity")
+    return finish(spark, ST.disassoc_flood_stream(rows, 2 / 300, 300, 60, base_us=BASE), path).select(*PD.D02_COLS)
 
 
-@query("st_d03_beacon_flood", f"select severity, sensor_id, event_id, t_us, unique_ssids, unique_bssids from ({ORACLES['d03_beacon_flood']})")
+@query("st_d03_beacon_flood", ORACLES["d03_beacon_flood"])
 def st_d03(spark, sf):
     rows, path = replay(spark, sf)
-    return finish(spark, ST.beacon_flood_stream(rows, 8, 10, 30, 120, BASE), path).drop("alert_type")
+    return finish(spark, ST.beacon_flood_stream(rows, 8, 10, 30, 120, base_us=BASE), path).select(*PD.D03_COLS)
 
 
-@query("st_d05_pmkid", f"select severity, sensor_id, bssid, event_id, t_us, orphaned_m1, auth_count, unique_sources from ({ORACLES['d05_pmkid']})")
+@query("st_d05_pmkid", ORACLES["d05_pmkid"])
 def st_d05(spark, sf):
     rows, path = replay(spark, sf)
-    return finish(spark, ST.pmkid_stream(rows, 2, 120, 3, 120, 2, 60, BASE), path).drop("alert_type")
+    return PD.flat(finish(spark, ST.pmkid_stream(rows, 2, 120, 3, 120, 2, 60, BASE), path), *PD.D05_COLS)
 
 
-@query("st_d08_karma", f"select severity, bssid, sensor_id, event_id, t_us, name_count from ({ORACLES['d08_karma']})")
+@query("st_d08_karma", ORACLES["d08_karma"])
 def st_d08(spark, sf):
     rows, path = replay(spark, sf)
-    return finish(spark, ST.karma_stream(rows, base_us=BASE), path).drop("alert_type")
+    return finish(spark, ST.karma_stream(rows, base_us=BASE), path).select(*PD.D08_COLS)
 
 
-@query("st_d09_jamming", f"select severity, sensor_id, channel, t_us, score, total_frames, retry_rate, rts_cts_count from ({ORACLES['d09_jamming']})")
+@query("st_d09_jamming", ORACLES["d09_jamming"])
 def st_d09(spark, sf):
     rows, path = replay(spark, sf)
-    return finish(spark, W.jamming_stream(rows, 60, 10, 0.4, 0, 30, 50), path)
+    out = finish(spark, W.jamming_stream(rows, 60, 10, 0.4, 0, 30, 50, samples=5), path)
+    return out.select(*PD.D09_COLS, F.round("avg_rssi", 6).alias("avg_rssi"))
 
 
-@query("st_d10_wardriver", f"select severity, src_addr, sensor_id, event_id, t_us, name_count from ({ORACLES['d10_wardriver']})")
+@query("st_d10_wardriver", ORACLES["d10_wardriver"])
 def st_d10(spark, sf):
     rows, path = replay(spark, sf)
-    return finish(spark, ST.wardriver_stream(rows, base_us=BASE), path).drop("alert_type")
+    return finish(spark, ST.wardriver_stream(rows, base_us=BASE), path).withColumnRenamed("attacker", "src_addr").select(*PD.D10_COLS)
 
 
 @query("st_n06_dedup_frames", f"select event_id, t_us, bssid, frame_type from ({ORACLES['n06_dedup_frames']})")

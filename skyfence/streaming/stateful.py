@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skyfence.operators import detectors as D
 from skyfence.operators.timeline import US
 
 Step = Callable[[dict, int, list[dict]], list[tuple]]
@@ -80,69 +81,100 @@ def _recent(seen: dict, t: int, width: int) -> dict:
     return {k: v for k, v in seen.items() if v >= t - width}
 
 
-def flood_stream(frames: DataFrame, kind: str = "deauth", rate: float = 10.0, window_s: float = 2.0, cooldown_s: float = 60.0, base_us: int = 0) -> DataFrame:
-    """Deauthentication (or disassociation) flood per (bssid, destination)."""
+def deauth_flood_stream(frames: DataFrame, rate: float = 10.0, window_s: float = 2.0, cooldown_s: float = 60.0, base_us: int = 0) -> DataFrame:
+    """Deauthentication flood per (bssid, client), the alerts of the batch form."""
     width, cool = int(window_s * US), int(cooldown_s * US)
 
     def step(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
         times = [x for x in memory.get("times", []) if x >= t - width] + [t] * len(rows)
         memory["times"] = times
-        now = len(times) / window_s
-        if now < rate or not _cooled(memory, t, cool):
+        if len(times) / window_s < rate or not _cooled(memory, t, cool):
             return []
         r = rows[0]
-        level = "CRITICAL" if now >= rate * 5 else "HIGH" if now >= rate * 2 else "MEDIUM"
-        return [(f"{kind}_flood", level, r["sensor_id"], r["bssid"], r["dst_addr"], r["event_id"], t, len(times), now)]
+        return [(r["event_id"], t, r["sensor_id"], r["bssid"], r["client"], len(times), len(times) / window_s)]
 
-    ddl = "alert_type string, severity string, sensor_id string, bssid string, client string, event_id bigint, t_us bigint, frame_count bigint, rate_per_sec double"
-    hits = frames.filter(F.col("frame_type") == kind)
-    return keyed_stream(hits, ["bssid", "dst_addr"], ["sensor_id", "bssid", "dst_addr"], step, ddl, width + cool, base_us)
+    ddl = "event_id bigint, t_us bigint, sensor_id string, bssid string, client string, frame_count bigint, rate_per_sec double"
+    hits = _to_clients(frames, "deauth")
+    return D.deauth_alert(keyed_stream(hits, ["bssid", "client"], ["sensor_id", "bssid", "client"], step, ddl, width + cool, base_us), rate)
 
 
-def beacon_flood_stream(frames: DataFrame, ssids: int = 50, bssids: int = 10, window_s: int = 30, cooldown_s: int = 120, base_us: int = 0) -> DataFrame:
+def disassoc_flood_stream(frames: DataFrame, rate: float = 10.0, window_s: float = 5.0, cooldown_s: float = 60.0, min_clients: int = 3, base_us: int = 0) -> DataFrame:
+    """Disassociation flood; the state is an access point's, as its clients count together."""
+    width, cool = int(window_s * US), int(cooldown_s * US)
+
+    def step(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
+        seen = {c: kept for c, times in memory.get("seen", {}).items() if (kept := [x for x in times if x >= t - width])}
+        last = {c: x for c, x in memory.get("last", {}).items() if t - x < cool}
+        first: dict[str, dict] = {}
+        for r in rows:
+            seen.setdefault(r["client"], []).append(t)
+            first.setdefault(r["client"], r)
+        out = []
+        for client, r in first.items():
+            n = len(seen[client])
+            if n / window_s >= rate and client not in last:
+                last[client] = t
+                out.append((r["event_id"], t, r["sensor_id"], r["bssid"], client, n, n / window_s, len(seen)))
+        memory["seen"], memory["last"] = seen, last
+        return out
+
+    ddl = "event_id bigint, t_us bigint, sensor_id string, bssid string, client string, frame_count bigint, rate_per_sec double, unique_clients bigint"
+    hits = _to_clients(frames, "disassoc")
+    return D.disassoc_alert(keyed_stream(hits, ["bssid"], ["sensor_id", "bssid", "client"], step, ddl, width + cool, base_us), rate, min_clients)
+
+
+def _to_clients(frames: DataFrame, kind: str) -> DataFrame:
+    return frames.filter((F.col("frame_type") == kind) & F.col("bssid").isNotNull()).withColumn("client", F.coalesce("dst_addr", F.lit(D.BROADCAST)))
+
+
+def beacon_flood_stream(
+    frames: DataFrame, ssids: int = 50, bssids: int = 10, window_s: int = 30, cooldown_s: int = 120, sample: int = 10, base_us: int = 0
+) -> DataFrame:
     """Fake-AP flood per sensor."""
     width, cool = window_s * US, cooldown_s * US
 
     def step(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
-        for field in ("ssid", "bssid"):
-            seen = _recent(memory.get(field, {}), t, width)
-            seen |= {r[field]: t for r in rows if r[field]}
-            memory[field] = seen
-        n, m = len(memory["ssid"]), len(memory["bssid"])
+        for field in ("name", "ap", "oui"):
+            memory[field] = _recent(memory.get(field, {}), t, width) | {r[field]: t for r in rows if r[field]}
+        memory["counts"] = [c for c in memory.get("counts", []) if c[0] >= t - width] + [[t, len(rows)]]
+        n, m = len(memory["name"]), len(memory["ap"])
         if (n < ssids and m < bssids * 2) or not _cooled(memory, t, cool):
             return []
-        level = "CRITICAL" if n >= ssids * 5 and m >= bssids else "HIGH" if n >= ssids * 2 or m >= bssids else "MEDIUM"
-        return [("beacon_flood", level, rows[0]["sensor_id"], rows[0]["event_id"], t, n, m)]
+        names = ",".join(sorted(memory["name"])[:sample])
+        return [(rows[0]["event_id"], t, rows[0]["sensor_id"], n, m, len(memory["oui"]), sum(c for _, c in memory["counts"]), names or None)]
 
-    ddl = "alert_type string, severity string, sensor_id string, event_id bigint, t_us bigint, unique_ssids bigint, unique_bssids bigint"
-    return keyed_stream(frames.filter("frame_type = 'beacon'"), ["sensor_id"], ["sensor_id", "ssid", "bssid"], step, ddl, width + cool, base_us)
+    ddl = "event_id bigint, t_us bigint, sensor_id string, unique_ssids bigint, unique_bssids bigint, oui_count bigint, beacon_count bigint, sample_ssids string"
+    beacons = frames.filter((F.col("frame_type") == "beacon") & F.col("bssid").isNotNull()).withColumns({
+        "name": F.when(F.col("ssid") != "", F.col("ssid")), "ap": F.upper("bssid"), "oui": F.upper(F.substring("bssid", 1, 8)),
+    })
+    return D.beacon_alert(keyed_stream(beacons, ["sensor_id"], ["sensor_id", "name", "ap", "oui"], step, ddl, width + cool, base_us), ssids, bssids, window_s)
 
 
-def _names_stream(frames: DataFrame, kind: str, key: str, nth: int, levels: list[tuple[int, str]], idle_us: int, base_us: int) -> DataFrame:
+def _names_stream(frames: DataFrame, key: str, nth: int, idle_us: int, base_us: int) -> DataFrame:
     def step(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
-        if t - memory.get("_seen", t) > idle_us:
-            memory.pop("names", None)
-        names, out = memory.setdefault("names", []), []
+        if "_seen" not in memory or t - memory["_seen"] > idle_us:
+            memory["names"], memory["began"] = [], t
+        names, out = memory["names"], []
         for r in rows:
-            if r["ssid"] and r["ssid"] not in names and len(names) < nth:
-                names.append(r["ssid"])
+            if r["name"] and r["name"] not in names and len(names) < nth:
+                names.append(r["name"])
                 if len(names) == nth:
-                    level = next(name for least, name in levels if nth >= least)
-                    out.append((kind, level, r[key], r["sensor_id"], r["event_id"], t, nth))
+                    out.append((r["event_id"], t, r["sensor_id"], r[key], nth, ",".join(sorted(names)), memory["began"]))
         return out
 
-    ddl = f"alert_type string, severity string, {key} string, sensor_id string, event_id bigint, t_us bigint, name_count bigint"
-    return keyed_stream(frames, [key], [key, "sensor_id", "ssid"], step, ddl, idle_us + 1, base_us)
+    ddl = f"event_id bigint, t_us bigint, sensor_id string, {key} string, name_count bigint, names string, began bigint"
+    found = keyed_stream(frames, [key], [key, "sensor_id", "name"], step, ddl, idle_us + 1, base_us)
+    return found.withColumn("duration_s", F.bround((F.col("t_us") - F.col("began")) / F.lit(US), 1))
 
 
 def karma_stream(frames: DataFrame, ssids: int = 3, critical: int = 5, idle_s: int = 60, base_us: int = 0) -> DataFrame:
-    ads = frames.filter("frame_type in ('beacon', 'probe_resp') and ssid is not null and ssid not in ('', '<Hidden>')")
-    return _names_stream(ads, "karma_attack", "bssid", ssids, [(critical, "CRITICAL"), (0, "HIGH")], idle_s * US, base_us)
+    ads = frames.filter("frame_type in ('beacon', 'probe_resp') and bssid is not null and ssid is not null and ssid not in ('', '<Hidden>')")
+    return D.karma_alert(_names_stream(ads.withColumn("name", F.col("ssid")), "bssid", ssids, idle_s * US, base_us), critical)
 
 
 def wardriver_stream(frames: DataFrame, ssids: int = 5, high: int = 10, critical: int = 15, idle_s: int = 60, base_us: int = 0) -> DataFrame:
-    probes = frames.filter("frame_type = 'probe_req'")
-    return _names_stream(probes, "wardrive_detected", "src_addr", ssids, [(critical, "CRITICAL"), (high, "HIGH"), (0, "MEDIUM")], idle_s * US, base_us)
+    probes = frames.filter("frame_type = 'probe_req' and src_addr is not null").withColumns({"attacker": F.col("src_addr"), "name": F.when(F.col("ssid") != "", F.col("ssid"))})
+    return D.wardriver_alert(_names_stream(probes, "attacker", ssids, idle_s * US, base_us), high, critical)
 
 
 def pmkid_stream(
@@ -168,16 +200,16 @@ def pmkid_stream(
             sources = len({a[1] for a in auths})
             by_m1, by_auth = len(m1) >= m1_limit, len(auths) >= auth_limit and sources >= min_sources
             if (by_m1 or by_auth) and _cooled(memory, t, cool):
-                out.append(("pmkid_harvesting", "CRITICAL" if by_m1 and by_auth else "HIGH", r["sensor_id"], r["bssid"], r["event_id"], t, len(m1), len(auths), sources))
+                out.append((r["event_id"], t, r["sensor_id"], r["bssid"], len(m1), len(auths), sources, by_m1, by_auth))
         memory["m1"] = m1
         return out
 
     ddl = (
-        "alert_type string, severity string, sensor_id string, bssid string, event_id bigint, t_us bigint, "
-        "orphaned_m1 bigint, auth_count bigint, unique_sources bigint"
+        "event_id bigint, t_us bigint, sensor_id string, bssid string, orphaned_m1 bigint, auth_count bigint, unique_sources bigint, "
+        "m1_flood boolean, auth_flood boolean"
     )
-    talk = frames.filter("frame_type in ('auth', 'assoc_req') or eapol_message is not null")
-    return keyed_stream(talk, ["bssid"], ["sensor_id", "bssid", "frame_type", "src_addr", "eapol_message"], step, ddl, wait + span + cool, base_us)
+    talk = frames.filter("bssid is not null and (frame_type in ('auth', 'assoc_req') or eapol_message is not null)")
+    return D.pmkid_alert(keyed_stream(talk, ["bssid"], ["sensor_id", "bssid", "frame_type", "src_addr", "eapol_message"], step, ddl, wait + span + cool, base_us))
 
 
 def cooldown_stream(df: DataFrame, keys: list[str], columns: list[str], ddl: str, cool_us: int, base_us: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skyfence.operators.detectors import jamming_alert
 from skyfence.operators.summaries import event_key
 from skyfence.operators.timeline import US
 
@@ -36,20 +37,24 @@ def deauth_counts_stream(frames: DataFrame, window_s: int = 60, base_us: int = 0
 
 def jamming_stream(
     frames: DataFrame, window_s: int = 10, min_frames: int = 20, retry_limit: float = 0.4, rts_limit: int = 50, high: int = 60,
-    critical: int = 80, weight_loss: int = 40, weight_congestion: int = 30,
+    critical: int = 80, weight_loss: int = 40, weight_congestion: int = 30, samples: int = 100,
 ) -> DataFrame:
-    """Interval score per (sensor, channel); the level is averaged over the whole interval."""
+    """Interval score per (sensor, channel), the alerts of the batch form.
+
+    The state of an open interval holds the levels of its frames, of which the last ``samples`` are averaged when it closes.
+    """
+    level = F.when(F.col("rssi_dbm").isNotNull(), F.struct("t_us", "event_id", "rssi_dbm"))
     per = frames.groupBy(F.window("ts", f"{window_s} seconds"), "sensor_id", "channel").agg(
-        F.count("*").alias("total_frames"), F.count_if("retry").alias("_retries"),
-        F.count_if(F.col("frame_type").isin("rts", "cts")).alias("rts_cts_count"), F.max("t_us").alias("t_us"), F.avg("rssi_dbm").alias("avg_rssi"),
+        F.count("*").alias("total_frames"), F.count_if("retry").alias("_retries"), F.count_if(F.col("frame_type").isin("rts", "cts")).alias("rts_cts_count"),
+        F.max(F.struct("t_us", "event_id")).alias("_last"), F.collect_list(level).alias("_levels"),
     ).filter(F.col("total_frames") >= min_frames)
+    newest = F.slice(F.sort_array("_levels", asc=False), 1, samples)
+    mean = F.when(F.size("_levels") > 0, F.aggregate(newest, F.lit(0.0), lambda a, x: a + x["rssi_dbm"]) / F.size(newest))
     share = F.col("_retries") / F.col("total_frames")
     loss = F.when(share > retry_limit, (F.lit(weight_loss) * F.least(F.lit(1.0), (share - retry_limit) / 0.5)).cast("int")).otherwise(0)
     scored = per.withColumn("score", (loss + F.when(F.col("rts_cts_count") > rts_limit, weight_congestion).otherwise(0)).cast("bigint"))
-    return scored.filter(F.col("score") >= high).select(
-        F.when(F.col("score") >= critical, "CRITICAL").otherwise("HIGH").alias("severity"), "sensor_id", "channel", "t_us", "score",
-        "total_frames", share.alias("retry_rate"), "rts_cts_count",
-    )
+    hits = scored.filter(F.col("score") >= high).select("sensor_id", "channel", "_last.*", "score", "total_frames", share.alias("retry_rate"), "rts_cts_count", mean.alias("avg_rssi"))
+    return jamming_alert(hits, critical)
 
 
 def to_parquet(df: DataFrame, path: str, checkpoint: str, once: bool = True, partition: str | None = None) -> StreamingQuery:
