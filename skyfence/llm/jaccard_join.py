@@ -36,8 +36,8 @@ from skyfence.llm.links import components
 
 #: Keys in more sets than this come last in the global order.
 FREQUENT = 64
-#: Ids that may be broadcast to pick their texts (8 bytes each); beyond it they are joined.
-BROADCAST_IDS = 1_000_000
+#: Narrow rows (at most five numbers each) that may be broadcast to meet texts or keys; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def low_share(per_cent: int) -> float:
@@ -197,14 +197,19 @@ def tree_links(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
     return out
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it is counted to be small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def prefixes(kept: DataFrame, frequent: DataFrame, per_cent: int) -> DataFrame:
     """rep, n, key: the first keys of each set in the global order."""
-    low = kept.select("rep", F.explode("low").alias("key")).join(frequent.select("key", F.lit(True).alias("often")), "key", "left")
-    split = low.groupBy("rep").agg(F.collect_list(F.when(F.col("often").isNull(), F.col("key"))).alias("rare"), F.collect_list(F.when(F.col("often"), F.col("key"))).alias("usual"))
+    low = kept.select("rep", "s1", F.explode("low").alias("key")).join(frequent.select("key", F.lit(True).alias("often")), "key", "left")
+    split = low.groupBy("rep", "s1").agg(F.collect_set(F.when(F.col("often").isNull(), F.col("key"))).alias("rare"), F.collect_set(F.when(F.col("often"), F.col("key"))).alias("usual"))
     none = F.array().cast("array<bigint>")
     length = F.floor((100 - per_cent) * F.col("n") / 100).cast("int") + 1
     order = F.concat(F.array_sort(F.coalesce("rare", none)), "high", F.array_sort(F.coalesce("usual", none)))
-    return kept.select("rep", "n", "high").join(split, "rep", "left").select("rep", "n", F.explode(F.slice(order, F.lit(1), length)).alias("key"))
+    return kept.select("rep", "s1", "n", "high").join(split, ["rep", "s1"], "left").select("rep", "n", F.explode(F.slice(order, F.lit(1), length)).alias("key"))
 
 
 def jaccard_groups(docs: DataFrame, size: int = 3, per_cent: int = 90, block: int = 2000) -> DataFrame:
@@ -221,10 +226,9 @@ def jaccard_groups(docs: DataFrame, size: int = 3, per_cent: int = 90, block: in
 
     sets = stored(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "distinct-sets")
     left = stored(sets.join(owned, "s1", "left").where(F.coalesce("keys", F.lit(0)) * 100 <= (100 - per_cent) * F.col("n")).select("rep", "s1", "s2", "n"), "open-sets")
-    ids = left.select(F.col("rep").alias("doc_id")).distinct()
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    full = document_sets(picked, size, share, full=True).withColumnRenamed("doc_id", "rep").join(left, ["rep", "s1", "s2", "n"], "left_semi")
-    kept = stored(full.dropDuplicates(["s1", "s2", "n"]).select("rep", "n", "low", "high"), "open-keys")
+    picked = docs.select("doc_id", "text").join(small(left.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    full = document_sets(picked, size, share, full=True).withColumnRenamed("doc_id", "rep").join(small(left), ["rep", "s1", "s2", "n"], "left_semi")
+    kept = stored(full.select("rep", "s1", "n", "low", "high"), "open-keys")
 
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / per_cent) + 1e-9)
     met = prefixes(kept, frequent, per_cent).select("rep", "key", F.explode(F.array(band, band + 1)).alias("band"))
@@ -237,7 +241,8 @@ def jaccard_groups(docs: DataFrame, size: int = 3, per_cent: int = 90, block: in
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("mine")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
     placed = placed.select("rep", "root", mine, "blocks").select("rep", "root", "mine", other).select("rep", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    rows = kept.select("rep", F.concat("low", "high").alias("keys")).join(placed, "rep").select("root", "i", "j", "rep", "keys")
+    placed = stored(placed, "placed-sets")
+    rows = kept.select("rep", F.concat("low", "high").alias("keys")).join(small(placed), "rep").select("root", "i", "j", "rep", "keys")
 
     def run(t: pa.Table) -> pa.Table:
         rep, keys = t.column("rep").to_numpy(), t.column("keys").combine_chunks()
