@@ -134,7 +134,10 @@ def krack(
         "*", done.alias("m4_completed"),
         F.when(replay, "m3_replay_after_m4").otherwise("excessive_m3_retransmission").alias("attack_subtype"),
     )
-    out = cooldown(hits, ["bssid", "client"], cooldown_s * US)
+    return krack_alert(cooldown(hits, ["bssid", "client"], cooldown_s * US), m3_limit)
+
+
+def krack_alert(out: DataFrame, m3_limit: int) -> DataFrame:
     severity = tiers(
         (F.col("attack_subtype") == "m3_replay_after_m4", "CRITICAL"), (F.col("m3_count") >= m3_limit * 2, "CRITICAL"),
         default="HIGH",
@@ -212,6 +215,10 @@ def wep_attacks(
         F.when(reuse, F.col("wep_iv")).alias("wep_iv"),
         F.when(reuse, F.col("_nth")).otherwise(inject_limit).cast("bigint").alias("hit_count"),
     )
+    return wep_alert(out)
+
+
+def wep_alert(out: DataFrame) -> DataFrame:
     return as_alert(
         out, "wep_attack", tiers((F.col("attack_subtype") == "iv_collision", "CRITICAL"), default="HIGH"),
         "WEP attack", "T1600.001", ["attack_subtype", "wep_iv", "hit_count"],

@@ -129,17 +129,34 @@ def matches(schema: T.StructType, rule: dict) -> Column:
     return F.lit(False) if out is None else out
 
 
-def apply_rules(df: DataFrame, rules: list[dict] | None = None, cool: bool = True) -> DataFrame:
-    """Alerts of all rules in one pass over the table, then one cooldown per (sensor, rule)."""
+def live_rules(rules: list[dict] | None) -> list[dict]:
     rules = as_rules(CORE_RULES) if rules is None else rules
-    live = [r for r in rules if r.get("enabled", True)] or [{"rule_id": "", "name": "", "conditions": []}]
+    return [r for r in rules if r.get("enabled", True)] or [{"rule_id": "", "name": "", "conditions": []}]
+
+
+def cooldown_us(rule: dict) -> int:
+    return max(1, int(rule.get("cooldown_seconds", 300) * US))
+
+
+def rule_hits(df: DataFrame, live: list[dict], *more: str) -> DataFrame:
+    """event_id, t_us, sensor_id, bssid, ssid, rule_no (and ``more`` columns) for every match, in one pass and without state."""
     # Rows carry a small rule number until the cooldown has picked the few that stay.
     hits = F.array_compact(F.array(*[F.when(matches(df.schema, r), F.lit(i)) for i, r in enumerate(live)]))
     pick = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n)
-    fired = df.select("event_id", "t_us", "sensor_id", pick("bssid"), pick("ssid"), F.explode(hits).alias("rule_no"))
+    return df.select("event_id", "t_us", "sensor_id", pick("bssid"), pick("ssid"), *more, F.explode(hits).alias("rule_no"))
+
+
+def apply_rules(df: DataFrame, rules: list[dict] | None = None, cool: bool = True) -> DataFrame:
+    """Alerts of all rules in one pass over the table, then one cooldown per (sensor, rule)."""
+    live = live_rules(rules)
+    fired = rule_hits(df, live)
     if cool:
-        waits = F.array(*[F.lit(max(1, int(r.get("cooldown_seconds", 300) * US))).cast("bigint") for r in live])
+        waits = F.array(*[F.lit(cooldown_us(r)).cast("bigint") for r in live])
         fired = cooldown(fired.withColumn("cooldown_us", F.get(waits, "rule_no")), ["sensor_id", "rule_no"], "cooldown_us")
+    return named_rules(fired, live)
+
+
+def named_rules(fired: DataFrame, live: list[dict]) -> DataFrame:
     facts = F.array(*[F.struct(
         F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["name"]).alias("title"), F.lit(r.get("severity", "medium").upper()).alias("severity"),
         F.lit(r.get("mitre_technique_id", "")).alias("mitre_attack"), F.lit(r.get("mitre_tactic", "")).alias("mitre_tactic"),

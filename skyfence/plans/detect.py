@@ -35,6 +35,8 @@ def _flood_sql(kind: str, window_s: int, need: int, cool: int, entry: bool = Fal
 
 D02_COLS = ["severity", "sensor_id", "bssid", "client", "event_id", "t_us", "frame_count", "rate_per_sec", "unique_clients", "is_broadcast"]
 D03_COLS = ["severity", "sensor_id", "event_id", "t_us", "unique_ssids", "unique_bssids", "oui_count", "beacon_count", "beacon_rate", "sample_ssids"]
+D04_COLS = ["severity", "sensor_id", "bssid", "client", "event_id", "t_us", "attack_subtype", "m1_count", "m2_count", "m3_count", "m4_count"]
+D06_COLS = ["severity", "sensor_id", "bssid", "event_id", "t_us", "attack_subtype", "wep_iv", "hit_count"]
 D05_COLS = ["severity", "sensor_id", "bssid", "event_id", "t_us", "orphaned_m1", "auth_count", "unique_sources", "reasons"]
 D08_COLS = ["severity", "bssid", "sensor_id", "event_id", "t_us", "name_count", "names", "duration_s"]
 D10_COLS = ["severity", "src_addr", "sensor_id", "event_id", "t_us", "name_count", "names", "duration_s"]
@@ -101,8 +103,7 @@ st as (select *,
   from hs window w as (partition by bssid, client order by t_us range between 300000000 preceding and current row)),
 """ + fold_ctes("select * from st where msg = 3 and (replay or m3_count >= 3)", "bssid, client", 120 * S), recursive=True))
 def d04(spark, sf):
-    df = D.krack(load_frames(spark, sf), 3, 300, 120)
-    return df.select("severity", "sensor_id", "bssid", "client", "event_id", "t_us", "attack_subtype", "m1_count", "m2_count", "m3_count", "m4_count")
+    return D.krack(load_frames(spark, sf), 3, 300, 120).select(*D04_COLS)
 
 
 @query("d05_pmkid", with_frames("""
@@ -146,8 +147,7 @@ iv as (select *, (t_us - t_us % 600000000) // 600000000 as win,
 fl as (select *, nth >= 2 as reuse, nth < 2 and frame_len between 1 and 150 as small from iv),
 sm as (select *, sum(cast(small as int)) over (partition by bssid, win order by t_us, event_id rows unbounded preceding) as smalls from fl)"""))
 def d06(spark, sf):
-    df = D.wep_attacks(load_frames(spark, sf), 2, 3, 150, 600, rearm=10)
-    return df.select("severity", "sensor_id", "bssid", "event_id", "t_us", "attack_subtype", "wep_iv", "hit_count")
+    return D.wep_attacks(load_frames(spark, sf), 2, 3, 150, 600, rearm=10).select(*D06_COLS)
 
 
 @query("d07_evil_twin", with_frames("""

@@ -9,18 +9,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyfence.frames import FRAMES_DDL, load_frames
+from skyfence.operators import rules as R
 from skyfence.operators import scoring as SC
 from skyfence.operators import triage as T
 from skyfence.plans import detect as PD
 from skyfence.plans.base import ORACLES, query
 from skyfence.plans.ingest import BASE
-from skyfence.plans.risk import findings
+from skyfence.plans.respond import PARTS, PLAIN_RULE_SQL, SCALED
+from skyfence.plans.risk import findings, ruled
 from skyfence.session import shared_dir
 from skyfence.streaming import stateful as ST
 from skyfence.streaming import windowed as W
 
 S = 1_000_000
 END = 10**12
+LITE_PARTS = {k: v for k, v in PARTS.items() if v.split("_")[0] in ("d01", "d02", "d03", "d04", "d05", "d06")}
 
 
 def replay(spark, sf, files: int = 3):
@@ -98,6 +101,37 @@ def st_d10(spark, sf):
     return finish(spark, ST.wardriver_stream(rows, base_us=BASE), path).withColumnRenamed("attacker", "src_addr").select(*PD.D10_COLS)
 
 
+@query("st_d04_krack", ORACLES["d04_krack"])
+def st_d04(spark, sf):
+    rows, path = replay(spark, sf)
+    return finish(spark, ST.krack_stream(rows, 3, 300, 120, base_us=BASE), path).select(*PD.D04_COLS)
+
+
+@query("st_d06_wep_attacks", ORACLES["d06_wep_attacks"])
+def st_d06(spark, sf):
+    rows, path = replay(spark, sf)
+    return finish(spark, ST.wep_stream(rows, 2, 3, 150, 600, rearm=10, base_us=BASE), path).select(*PD.D06_COLS)
+
+
+@query("st_d11_apply_rules", ORACLES["d11_apply_rules"])
+def st_d11(spark, sf):
+    rows, path = replay(spark, sf)
+    rules = [r | {"cooldown_seconds": r["cooldown_seconds"] / 60} for r in R.as_rules(R.CORE_RULES)]
+    return finish(spark, ST.rules_stream(ruled(rows), rules, BASE), path).filter("event_id >= 0").select("event_id", "t_us", "sensor_id", "rule_id")
+
+
+@query("st_d18_detectors", "select alert_type, severity, count(*) as alerts, min(t_us) as first_us, max(t_us) as last_us from ("
+    + " union all ".join(f"select '{kind}' as alert_type, severity, t_us from ({ORACLES[name]})" for kind, name in LITE_PARTS.items())
+    + f" union all select 'rule_match', severity, t_us from ({PLAIN_RULE_SQL})) group by alert_type, severity")
+def st_d18(spark, sf):
+    rows, path = replay(spark, sf)
+    scaled = {k: v for k, v in SCALED.items() if k in ST.STREAMS}
+    for q in ST.start_detectors(rows, f"{path}/out", f"{path}/ck", "lite_realtime", scaled, BASE):
+        q.awaitTermination()
+    out = spark.read.parquet(f"{path}/out").filter("event_id >= 0")
+    return out.groupBy("alert_type", "severity").agg(F.count("*").alias("alerts"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+
+
 @query("st_n06_dedup_frames", f"select event_id, t_us, bssid, frame_type from ({ORACLES['n06_dedup_frames']})")
 def st_n06(spark, sf):
     rows, path = replay(spark, sf)

@@ -14,10 +14,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skyfence.operators import detectors as D
+from skyfence.operators import rules as R
+from skyfence.operators.alerts import normalise_alerts
+from skyfence.operators.detector_set import PROFILES
 from skyfence.operators.timeline import US
+from skyfence.streaming.windowed import to_parquet
 
 Step = Callable[[dict, int, list[dict]], list[tuple]]
 
@@ -212,6 +217,104 @@ def pmkid_stream(
     return D.pmkid_alert(keyed_stream(talk, ["bssid"], ["sensor_id", "bssid", "frame_type", "src_addr", "eapol_message"], step, ddl, wait + span + cool, base_us))
 
 
+def krack_stream(
+    frames: DataFrame, m3_limit: int = 3, window_s: int = 30, cooldown_s: int = 120, replay_alert: bool = True, base_us: int = 0
+) -> DataFrame:
+    """Key reinstallation per (bssid, client)."""
+    width, cool = window_s * US, cooldown_s * US
+
+    def step(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
+        memory["seen"] = [x for x in memory.get("seen", []) if x[0] >= t - width] + [[t, r["eapol_message"]] for r in rows]
+        n = [sum(m == i for _, m in memory["seen"]) for i in (1, 2, 3, 4)]
+        out = []
+        for r in rows:
+            done = memory.get("turn") == 4
+            if r["eapol_message"] == 3 and ((done and replay_alert) or n[2] >= m3_limit) and _cooled(memory, t, cool):
+                kind = "m3_replay_after_m4" if done and replay_alert else "excessive_m3_retransmission"
+                out.append((r["event_id"], t, r["sensor_id"], r["bssid"], r["client"], kind, *n, done))
+            if r["eapol_message"] in (1, 4):
+                memory["turn"] = r["eapol_message"]
+        return out
+
+    ddl = (
+        "event_id bigint, t_us bigint, sensor_id string, bssid string, client string, attack_subtype string, m1_count bigint, m2_count bigint, "
+        "m3_count bigint, m4_count bigint, m4_completed boolean"
+    )
+    msg = F.col("eapol_message")
+    client = F.when(msg.isin(1, 3), F.col("dst_addr")).otherwise(F.col("src_addr"))
+    talk = frames.filter(msg.isNotNull() & F.col("bssid").isNotNull()).withColumn("client", client).filter(F.col("client").isNotNull())
+    return D.krack_alert(keyed_stream(talk, ["bssid", "client"], ["sensor_id", "bssid", "client", "eapol_message"], step, ddl, width + cool, base_us), m3_limit)
+
+
+def wep_stream(
+    frames: DataFrame, iv_limit: int = 5, inject_limit: int = 50, small_len: int = 150, window_s: int = 60, rearm: int = 1000,
+    keep_s: int = 3600, base_us: int = 0,
+) -> DataFrame:
+    """IV reuse and small-packet injection; what the latest beacon said is kept for ``keep_s`` of silence."""
+    width, cycle = window_s * US, rearm + inject_limit
+
+    def step(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
+        if memory.get("win") != t // width:
+            memory["win"], memory["ivs"], memory["small"] = t // width, {}, 0
+        out = []
+        for r in rows:
+            if r["frame_type"] != "data":
+                memory["wep"] = r["wep"] if r["wep"] is not None else memory.get("wep")
+                continue
+            if not memory.get("wep"):
+                continue
+            iv, n = r["wep_iv"], 0
+            if iv is not None:
+                n = memory["ivs"][iv] = memory["ivs"].get(iv, 0) + 1
+            if n >= iv_limit:
+                out.append((r["event_id"], t, r["sensor_id"], r["bssid"], "iv_collision", iv, n))
+            elif r["frame_len"] is not None and 1 <= r["frame_len"] <= small_len:
+                memory["small"] += 1
+                if memory["small"] % cycle == inject_limit % cycle:
+                    out.append((r["event_id"], t, r["sensor_id"], r["bssid"], "packet_injection", None, inject_limit))
+        return out
+
+    ddl = "event_id bigint, t_us bigint, sensor_id string, bssid string, attack_subtype string, wep_iv string, hit_count bigint"
+    ad = F.col("frame_type").isin("beacon", "probe_resp")
+    wep = F.when(ad, F.col("privacy") & ~F.col("security").isin("WPA", "WPA2", "WPA3"))
+    rows = frames.filter((ad | (F.col("frame_type") == "data")) & F.col("bssid").isNotNull()).withColumn("wep", wep)
+    return D.wep_alert(keyed_stream(rows, ["bssid"], ["sensor_id", "bssid", "frame_type", "wep", "wep_iv", "frame_len"], step, ddl, max(width, keep_s * US), base_us))
+
+
+def rules_stream(frames: DataFrame, rules: list[dict] | None = None, base_us: int = 0) -> DataFrame:
+    """Rule matches, then the cooldown of each (sensor, rule)."""
+    live = R.live_rules(rules)
+    waits = [R.cooldown_us(r) for r in live]
+
+    def step(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
+        return [(r["event_id"], t, r["sensor_id"], r["bssid"], r["ssid"], r["rule_no"]) for r in rows if _cooled(memory, t, waits[r["rule_no"]])]
+
+    ddl = "event_id bigint, t_us bigint, sensor_id string, bssid string, ssid string, rule_no int"
+    hits = R.rule_hits(frames, live, "ts")
+    return R.named_rules(keyed_stream(hits, ["sensor_id", "rule_no"], ["sensor_id", "bssid", "ssid", "rule_no"], step, ddl, max(waits), base_us), live)
+
+
+STREAMS = {
+    "deauth_flood": deauth_flood_stream, "disassoc_flood": disassoc_flood_stream, "beacon_flood": beacon_flood_stream, "krack": krack_stream, "pmkid": pmkid_stream,
+    "wep_iv": wep_stream, "karma": karma_stream, "wardrive": wardriver_stream, "rules": rules_stream,
+}
+
+
+def start_detectors(
+    frames: DataFrame, path: str, checkpoint: str, profile: str = "lite_realtime", overrides: dict[str, dict] | None = None, base_us: int = 0, once: bool = True
+) -> list[StreamingQuery]:
+    """Run a profile over a stream of frames with event time: one query per detector, all writing alerts of the common schema below ``path``.
+
+    Spark allows one operator with free state in a query, hence several; the folder reads as one table with a ``detector`` column.
+    Every detector of the profile needs a keyed streaming form; evil twin pairs and jamming intervals have other ones.
+    """
+    names = PROFILES[profile]
+    if missing := [n for n in names if n not in STREAMS]:
+        raise ValueError(f"no streaming form for {missing}")
+    alerts = {n: normalise_alerts(STREAMS[n](frames, base_us=base_us, **(overrides or {}).get(n, {}))) for n in names}
+    return [to_parquet(df, f"{path}/detector={n}", f"{checkpoint}/{n}", once) for n, df in alerts.items()]
+
+
 def cooldown_stream(df: DataFrame, keys: list[str], columns: list[str], ddl: str, cool_us: int, base_us: int = 0) -> DataFrame:
     """Frame de-duplication or alert suppression: keep a row ``cool`` after the last one kept for its key."""
     names = [c.strip().split(" ")[0] for c in ddl.split(",")]
