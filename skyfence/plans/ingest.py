@@ -122,46 +122,73 @@ def s05(spark, sf):
 
 
 def capture_bytes(frames, per_file: int = 200):
-    """Frames of management type as capture file contents, built with SQL byte expressions."""
+    """All frames as capture file contents, built with SQL byte expressions; a folder per sensor."""
     le = lambda c, n: F.concat(*[F.substring(F.lpad(F.hex(c), 2 * n, "0"), 2 * n - 1 - 2 * i, 2) for i in range(n)])
-    c = F.col
+    c, t = F.col, F.col("frame_type")
     raw_mac = lambda m: F.replace(m, F.lit(":"), F.lit(""))
-    sub = F.when(c("frame_type") == "beacon", 8).when(c("frame_type") == "probe_resp", 5).when(c("frame_type") == "probe_req", 4).when(c("frame_type") == "auth", 11).when(c("frame_type") == "disassoc", 10).when(c("frame_type") == "deauth", 12)
-    mgmt = frames.withColumn("_sub", sub).filter(c("_sub").isNotNull())
-    control = le((c("_sub") * 16 + F.when(c("retry"), 0x0800).otherwise(0)).cast("bigint"), 2)
+    kind = F.when(t.isin("data", "eapol"), 2).when(t == "rts", 1).otherwise(0)
+    sub = F.when(t == "beacon", 8).when(t == "probe_resp", 5).when(t == "probe_req", 4).when(t.isin("auth", "rts"), 11).when(t == "disassoc", 10).when(t == "deauth", 12).when(t == "eapol", 8).otherwise(0)
+    flags = F.when(c("retry"), 0x0800).otherwise(0) + F.when(c("wep_iv").isNotNull(), 0x4000).otherwise(0)
+    control = le((sub * 16 + kind * 4 + flags).cast("bigint"), 2)
     name = F.coalesce(c("ssid"), F.lit(""))
+    rsn = F.concat(F.lit("30140100000FAC040100000FAC040100000FAC02"), F.when(c("pmf"), "C000").otherwise("0000"))
+    secured = F.when(c("security").isin("WPA2", "WPA3"), rsn).when(c("security") == "WPA", "DD040050F201").otherwise("")
     tags = F.concat(F.lit("00"), F.lpad(F.hex(F.length(name)), 2, "0"), F.hex(F.encode(name, "utf-8")), F.lit("0301"), F.lpad(F.hex(c("channel")), 2, "0"))
     caps = (F.lit(1) + F.when(c("privacy"), 16).otherwise(0)).cast("bigint")
     fixed = F.concat(F.lit("0000000000000000"), le(F.coalesce(c("beacon_interval"), F.lit(100)), 2), le(caps, 2))
-    body = F.when(c("_sub").isin(8, 5), F.concat(fixed, tags)).when(c("_sub") == 4, tags).when(c("_sub") == 11, F.lit("000001000000")).otherwise(F.lit("0700"))
+    keys = F.get(F.array(*[F.lit(x) for x in ("008A", "010A", "13CA", "030A")]), (c("eapol_message") - 1).cast("int"))
+    body = F.when(t.isin("beacon", "probe_resp"), F.concat(fixed, tags, secured, F.when(c("wps"), "DD040050F204").otherwise(""))).when(t == "probe_req", tags)
+    body = body.when(t == "auth", F.lit("000001000000")).when(t.isin("deauth", "disassoc"), F.lit("0700")).when(t == "eapol", F.concat(F.lit("0000AAAA03000000888E0203005F02"), keys))
+    body = body.when(t == "data", F.concat("wep_iv", F.lit("00"), F.repeat(F.lit("00"), (c("frame_len") - 43).cast("int")))).otherwise("")
     tap = F.concat(F.lit("00000f002e0000000002"), le(c("frequency_mhz").cast("bigint"), 2), F.lit("a000"), F.lpad(F.hex(c("rssi_dbm") + 256), 2, "0"))
-    frame = F.concat(tap, control, F.lit("0000"), raw_mac("dst_addr"), raw_mac("src_addr"), raw_mac("bssid"), le(c("seq_num") * 16, 2), body)
+    third = F.when(t != "rts", F.concat(raw_mac("bssid"), le(c("seq_num") * 16, 2))).otherwise("")
+    frame = F.concat(tap, control, F.lit("0000"), raw_mac("dst_addr"), raw_mac("src_addr"), third, body)
     size = F.expr("cast(length(_hex) / 2 as bigint)")
-    recs = mgmt.withColumn("_hex", frame).select(
-        F.expr(f"event_id div {per_file}").alias("_file"), "event_id",
+    recs = frames.withColumn("_hex", frame).select(
+        "sensor_id", F.expr(f"event_id div {per_file}").alias("_file"), "event_id",
         F.concat(le(F.expr("t_us div 1000000"), 4), le(F.col("t_us") % S, 4), le(size, 4), le(size, 4), F.col("_hex")).alias("rec"),
     )
     head = "D4C3B2A1020004000000000000000000FFFF00007F000000"
-    return recs.groupBy("_file").agg(F.sort_array(F.collect_list(F.struct("event_id", "rec"))).alias("r")).select(
-        F.concat(F.lit("capture-"), F.col("_file").cast("string"), F.lit(".pcap")).alias("path"),
+    return recs.groupBy("sensor_id", "_file").agg(F.sort_array(F.collect_list(F.struct("event_id", "rec"))).alias("r")).select(
+        F.concat("sensor_id", F.lit("/capture-"), F.col("_file").cast("string"), F.lit(".pcap")).alias("path"),
         F.unhex(F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["rec"]), ""))).alias("content"),
     )
 
 
 @query("s06_decode_captures", with_frames("""
-select t_us, frame_type, bssid, src_addr, dst_addr, seq_num, retry, rssi_dbm,
+select t_us, case frame_type when 'eapol' then 'data' else frame_type end as frame_type, case when frame_type <> 'rts' then bssid end as bssid, src_addr, dst_addr,
+  case when frame_type <> 'rts' then seq_num end as seq_num, retry, rssi_dbm, frequency_mhz,
   case when frame_type in ('beacon', 'probe_resp', 'probe_req') then coalesce(ssid, '') end as ssid,
   case when frame_type in ('beacon', 'probe_resp', 'probe_req') then channel end as channel,
   case when frame_type in ('beacon', 'probe_resp') then coalesce(beacon_interval, 100) end as beacon_interval,
-  case when frame_type in ('beacon', 'probe_resp') then privacy end as privacy,
-  case when frame_type in ('deauth', 'disassoc') then 7 end as reason_code
-from frames where frame_type in ('beacon', 'probe_resp', 'probe_req', 'auth', 'deauth', 'disassoc')"""))
+  case when frame_type in ('beacon', 'probe_resp') then privacy when wep_iv is not null then true end as privacy,
+  case when frame_type in ('deauth', 'disassoc') then 7 end as reason_code, eapol_message, wep_iv,
+  case when frame_type in ('beacon', 'probe_resp') then concat_ws('|', 'SSID', 'DS', case when security in ('WPA2', 'WPA3') then 'RSN' when security = 'WPA' then 'WPA' end, case when wps then 'WPS' end)
+       when frame_type = 'probe_req' then 'SSID|DS' end as ies
+from frames"""))
 def s06(spark, sf):
     return captures.decode_captures(capture_bytes(load_frames(spark, sf))).select(
-        "t_us", "frame_type", "bssid", "src_addr", "dst_addr", "seq_num", "retry", "rssi_dbm", "ssid", "channel", "beacon_interval", "privacy", "reason_code"
+        "t_us", "frame_type", "bssid", "src_addr", "dst_addr", "seq_num", "retry", "rssi_dbm", "frequency_mhz", "ssid", "channel", "beacon_interval", "privacy", "reason_code", "eapol_message", "wep_iv",
+        F.array_join("ies_present", "|").alias("ies"),
     )
 
 
+def captured(spark, sf):
+    decoded = captures.decode_captures(capture_bytes(load_frames(spark, sf)))
+    return captures.capture_frames(decoded, F.substring_index("path", "/", 1))
+
+
+@query("s06_capture_frames", with_frames("""
+select t_us, sensor_id, frame_type, case when frame_type <> 'rts' then bssid end as bssid, case when frame_type <> 'rts' then vendor_oui end as vendor_oui,
+  case when frame_type in ('beacon', 'probe_resp', 'probe_req') then coalesce(ssid, '') end as ssid, src_addr, dst_addr, channel, frequency_mhz, rssi_dbm,
+  case when frame_type in ('beacon', 'probe_resp') then security end as security, case when frame_type in ('beacon', 'probe_resp') then privacy when wep_iv is not null then true end as privacy,
+  wps and frame_type in ('beacon', 'probe_resp') as wps, pmf and frame_type in ('beacon', 'probe_resp') as pmf, case when frame_type <> 'rts' then seq_num end as seq_num, retry,
+  eapol_message, wep_iv, case when frame_type = 'data' then frame_len end as frame_len, case when frame_type in ('beacon', 'probe_resp') then coalesce(beacon_interval, 100) end as beacon_interval
+from frames"""))
+def s06_frames(spark, sf):
+    return captured(spark, sf).drop("event_id", "ies_present").withColumn("frame_len", F.when(F.col("frame_type") == "data", F.col("frame_len")))
+
+
 @query("s07_read_wardrive", with_frames("""
 select sensor_id, bssid, count(*) as sightings, count(*) filter (event_id % 6 <> 0) as fixes, max(t_us) as last_us,
   min(case when event_id % 6 <> 0 then 10 + (event_id % 100) / 1e3 end) as min_lat

@@ -13,7 +13,9 @@ from skyfence.operators import triage as T
 from skyfence.plans import detect  # noqa: F401  (its SQL is reused)
 from skyfence.plans.base import ORACLES, fold_ctes, query, with_frames
 from skyfence.plans.risk import FIND, RULE_COOL, RULE_SQL, audited, findings
+from skyfence.plans.ingest import captured
 from skyfence.plans.views import NET, simple_alerts
+from skyfence.session import shared_dir
 
 S = 1_000_000
 
@@ -130,6 +132,20 @@ def d18(spark, sf):
     return out.groupBy("alert_type", "severity").agg(F.count("*").alias("alerts"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
 
 
+LIVE_PARTS = {k: v for k, v in PARTS.items() if v.split("_")[0] in ("d01", "d02", "d03", "d04", "d05", "d06")}
+
+
+@query("p01_captures_to_alerts", "select alert_type, severity, count(*) as alerts, min(t_us) as first_us, max(t_us) as last_us from ("
+    + " union all ".join(f"select '{kind}' as alert_type, severity, t_us from ({ORACLES[name]})" for kind, name in LIVE_PARTS.items()) + ") group by alert_type, severity")
+def p01(spark, sf):
+    """Capture files to a written frame table, laid out by frame type, to the live profile's alerts."""
+    path = shared_dir(spark, "captured")
+    captured(spark, sf).write.partitionBy("frame_type").parquet(path)
+    DS.PROFILES["frames_only"] = [n for n in DS.LITE if n != "rules"]
+    out = DS.run_detectors(spark.read.parquet(path), "frames_only", {k: v for k, v in SCALED.items() if k in DS.LITE})
+    return out.groupBy("alert_type", "severity").agg(F.count("*").alias("alerts"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+
+
 @query("d18_own_detector", with_frames("select 'loud_probe' as alert_type, 'LOW' as severity, sensor_id, event_id from frames where frame_type = 'probe_req' and rssi_dbm > -35"))
 def d18b(spark, sf):
     def loud(frames, level=-35):

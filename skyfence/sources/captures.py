@@ -1,41 +1,44 @@
-"""Capture files to frame rows: one task per file, records decoded in a small Python helper."""
+"""Capture files to frame rows: a small helper cuts a file into records and their elements, Spark's expressions read the fields.
+
+A record keeps its raw bytes; header fields, element contents and handshake messages are column
+expressions over them, so what a query does not select is not computed.
+"""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skyfence.functions.radio import MANAGEMENT
+from skyfence.functions.mac import oui
+from skyfence.functions.radio import MANAGEMENT, channel_to_mhz, mhz_to_channel
 
-CAPTURE_DDL = (
-    "path string, frame_no bigint, t_us bigint, frame_type string, type_code int, subtype_code int, dst_addr string, "
-    "src_addr string, bssid string, seq_num int, fragment_num int, retry boolean, protected boolean, rssi_dbm int, "
-    "ssid string, channel int, beacon_interval int, capability_flags int, ess boolean, ibss boolean, privacy boolean, "
-    "ht boolean, vht boolean, wpa boolean, wps boolean, rsn_version int, rsn_group string, rsn_pairwise array<string>, "
-    "rsn_akm array<string>, pmf_capable boolean, pmf_required boolean, ies_present array<string>, reason_code int, "
-    "auth_algo int, auth_seq int, status_code int, wep_iv string, frame_len int, parse_error string"
+RECORDS_DDL = (
+    "path string, frame_no bigint, t_us bigint, frame_len int, rssi_dbm int, frequency_mhz int, header binary, body binary, elements array<struct<kind: int, body: binary>>, parse_error string"
 )
-COLUMNS = [part.strip().split(" ")[0] for part in CAPTURE_DDL.split(",")]
+COLUMNS = (
+    "path frame_no t_us frame_type type_code subtype_code dst_addr src_addr bssid seq_num fragment_num retry protected rssi_dbm frequency_mhz ssid channel beacon_interval "
+    "capability_flags ess ibss privacy ht vht he wpa wps rsn_version rsn_group rsn_pairwise rsn_akm pmf_capable pmf_required ies_present reason_code auth_algo auth_seq "
+    "status_code wep_iv eapol_message frame_len parse_error"
+).split()
 BATCH = 5000
 
-# Radiotap fields before the signal byte as (size, alignment), by bitmap position.
+# Element numbers, vendor prefixes, and the size and alignment of radiotap fields before the signal byte.
+ELEMENTS = {0: "SSID", 3: "DS", 45: "HT", 48: "RSN", 191: "VHT"}
+WPA, WPS = "0050F201", "0050F204"
 RADIOTAP = [(8, 8), (1, 1), (1, 1), (4, 2), (2, 1)]
-WPA_OUI, WPS_OUI = bytes.fromhex("0050f201"), bytes.fromhex("0050f204")
+EXTENSION, HE = 255, 35
 
 
 def records(content: bytes) -> Iterator[tuple[int, bytes]]:
     """(time in microseconds, bytes) of each packet; a truncated tail ends the file."""
-    if len(content) < 24:
-        return
-    magic = content[:4]
     order, scale = {
-        b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1),
-        b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000),
-    }.get(magic, (None, 1))
-    if order is None:
+        b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000),
+    }.get(content[:4], (None, 1))
+    if order is None or len(content) < 24:
         return
     head, at = struct.Struct(order + "IIII"), 24
     while at + 16 <= len(content):
@@ -47,140 +50,177 @@ def records(content: bytes) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
-def _u16(raw: bytes, at: int) -> int | None:
-    return int.from_bytes(raw[at : at + 2], "little") if at + 2 <= len(raw) else None
-
-
-def _signal(raw: bytes) -> tuple[int, int | None]:
-    """Radiotap length and antenna signal, honouring field sizes and alignment."""
-    size = _u16(raw, 2)
-    at, more = 4, True
-    present = int.from_bytes(raw[4:8], "little")
-    word = present
-    while more:
+def radiotap(raw: bytes) -> tuple[int | None, int | None, int | None]:
+    """Length of the radiotap header (None if there is none), antenna signal and channel frequency, by field sizes and alignments."""
+    size = int.from_bytes(raw[2:4], "little")
+    if len(raw) < 8 or raw[0] != 0 or not 8 <= size <= len(raw):
+        return None, None, None
+    at, present, frequency = 8, raw[4], None
+    while raw[at - 1] & 0x80 and at + 4 <= size:  # presence words follow each other while their top bit is set
         at += 4
-        more = bool(word >> 31) and at + 4 <= size
-        word = int.from_bytes(raw[at : at + 4], "little")
-    if not present >> 5 & 1:
-        return size, None
     for bit, (width, align) in enumerate(RADIOTAP):
         if present >> bit & 1:
-            at += -at % align + width
-    return size, int.from_bytes(raw[at : at + 1], "little", signed=True) if at < size else None
-
-
-def _elements(raw: bytes, at: int) -> Iterator[tuple[int, bytes]]:
-    while at + 2 <= len(raw) and at + 2 + raw[at + 1] <= len(raw):
-        yield raw[at], raw[at + 2 : at + 2 + raw[at + 1]]
-        at += 2 + raw[at + 1]
-
-
-def _suites(body: bytes, at: int) -> tuple[list[str], int]:
-    n = _u16(body, at)
-    if n is None:
-        return [], len(body)
-    n = min(n, (len(body) - at - 2) // 4)
-    return [body[at + 2 + 4 * i : at + 6 + 4 * i].hex() for i in range(n)], at + 2 + 4 * n
-
-
-def _read_elements(raw: bytes, at: int, row: dict) -> None:
-    names = []
-    for kind, body in _elements(raw, at):
-        if kind == 0:
-            names.append("SSID")
-            try:
-                row["ssid"] = body.decode("utf-8")
-            except UnicodeDecodeError:
-                row["ssid"] = body.decode("latin-1")
-        elif kind == 3 and body:
-            names.append("DS")
-            row["channel"] = body[0]
-        elif kind == 48:
-            names.append("RSN")
-            if len(body) >= 8:
-                row["rsn_version"], row["rsn_group"] = _u16(body, 0), body[2:6].hex()
-                row["rsn_pairwise"], nxt = _suites(body, 6)
-                row["rsn_akm"], nxt = _suites(body, nxt)
-                caps = _u16(body, nxt)
-                if caps is not None:
-                    row["pmf_capable"], row["pmf_required"] = bool(caps & 0x80), bool(caps & 0x40)
-        elif kind == 45:
-            names.append("HT")
-            row["ht"] = True
-        elif kind == 191:
-            names.append("VHT")
-            row["vht"] = True
-        elif kind == 221 and body[:4] == WPA_OUI:
-            names.append("WPA")
-            row["wpa"] = True
-        elif kind == 221 and body[:4] == WPS_OUI:
-            names.append("WPS")
-            row["wps"] = True
-    row["ies_present"] = names
-
-
-def decode(raw: bytes) -> dict:
-    """Columns of one radiotap + 802.11 frame; unreadable input carries ``parse_error``."""
-    row = dict.fromkeys(COLUMNS)
-    row["frame_len"] = len(raw)
-    if len(raw) < 8 or raw[0] != 0 or _u16(raw, 2) > len(raw) or _u16(raw, 2) < 8:
+            at += -at % align
+            if bit == 3 and at + 2 <= size:
+                frequency = int.from_bytes(raw[at : at + 2], "little")
+            at += width
+    return size, int.from_bytes(raw[at : at + 1], "little", signed=True) if present & 32 and at < size else None, frequency
+
+
+def elements(body: bytes, at: int) -> list[dict]:
+    """Tagged elements of a management frame's body."""
+    out: list[dict] = []
+    while at + 2 <= len(body) and at + 2 + body[at + 1] <= len(body):
+        out.append({"kind": body[at], "body": body[at + 2 : at + 2 + body[at + 1]]})
+        at += 2 + body[at + 1]
+    return out
+
+
+def cut(raw: bytes) -> dict:
+    """One record in its parts; what they mean is read by ``decode_records``."""
+    size, signal, frequency = radiotap(raw)
+    row = {"frame_len": len(raw), "rssi_dbm": signal, "frequency_mhz": frequency}
+    if size is None:
         return row | {"parse_error": "bad radiotap header"}
-    at, row["rssi_dbm"] = _signal(raw)
-    if len(raw) < at + 24:
+    control = raw[size : size + 1]
+    short = 10 if control and control[0] >> 2 & 3 == 1 else 24  # control frames may end after the receiver's address
+    if len(raw) < size + short:
         return row | {"parse_error": "short 802.11 header"}
-    control = _u16(raw, at)
-    kind, sub = control >> 2 & 3, control >> 4 & 15
-    row |= {"type_code": kind, "subtype_code": sub, "retry": bool(control & 0x0800), "protected": bool(control & 0x4000)}
-    if kind not in (0, 2):
-        return row | {"frame_type": {11: "rts", 12: "cts", 13: "ack"}.get(sub, "other") if kind == 1 else "other"}
-    for name, off in (("dst_addr", 4), ("src_addr", 10), ("bssid", 16)):
-        row[name] = raw[at + off : at + off + 6].hex(":").upper()
-    seq = _u16(raw, at + 22)
-    row["seq_num"], row["fragment_num"] = seq >> 4, seq & 15
-    body = at + 24
-    if kind == 2:
-        row["frame_type"] = "data"
-        if row["protected"]:
-            row["privacy"] = True
-            row["wep_iv"] = raw[body : body + 3].hex() if len(raw) >= body + 4 else None
-        return row
-    row["frame_type"] = MANAGEMENT[sub]
-    if sub in (5, 8) and len(raw) >= body + 12:
-        flags = _u16(raw, body + 10)
-        row |= {
-            "beacon_interval": _u16(raw, body + 8), "capability_flags": flags, "ess": bool(flags & 1),
-            "ibss": bool(flags & 2), "privacy": bool(flags & 16),
-        }
-        _read_elements(raw, body + 12, row)
-    elif sub == 4:
-        _read_elements(raw, body, row)
-    elif sub in (10, 12):
-        row["reason_code"] = _u16(raw, body)
-    elif sub == 11:
-        row |= {"auth_algo": _u16(raw, body), "auth_seq": _u16(raw, body + 2), "status_code": _u16(raw, body + 4)}
-    elif sub == 1:
-        row["status_code"] = _u16(raw, body + 2)
-    return row
-
-
-def _decode_files(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    out: list[dict] = []
-    for files in batches:
-        for path, content in zip(files["path"], files["content"]):
-            for number, (t_us, raw) in enumerate(records(bytes(content))):
-                out.append(decode(raw) | {"path": path, "frame_no": number, "t_us": t_us})
-                if len(out) >= BATCH:
-                    yield pd.DataFrame(out, columns=COLUMNS).astype(object).where(lambda d: d.notna(), None)
-                    out = []
-    if out:
-        yield pd.DataFrame(out, columns=COLUMNS).astype(object).where(lambda d: d.notna(), None)
+    first = {0x80: 12, 0x50: 12, 0x40: 0}.get(control[0])
+    body = raw[size + 24 :]
+    return row | {"header": raw[size : size + 24], "body": body, "elements": [] if first is None else elements(body, first)}
+
+
+def split_captures(files: DataFrame) -> DataFrame:
+    """Records of a ``(path, content)`` table in their parts; a file is cut by one task and leaves it in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        schema = pa.schema([
+            ("path", pa.string()), ("frame_no", pa.int64()), ("t_us", pa.int64()), ("frame_len", pa.int32()), ("rssi_dbm", pa.int32()), ("frequency_mhz", pa.int32()),
+            ("header", pa.binary()), ("body", pa.binary()), ("elements", pa.list_(pa.struct([("kind", pa.int32()), ("body", pa.binary())]))), ("parse_error", pa.string()),
+        ])
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                for number, (t_us, raw) in enumerate(records(content.as_py() or b"")):
+                    out.append(cut(raw) | {"path": path.as_py(), "frame_no": number, "t_us": t_us})
+                    if len(out) >= BATCH:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return files.select("path", "content").mapInArrow(run, RECORDS_DDL)
+
+
+def _byte(h: Column, at: Column | int) -> Column:
+    """Byte ``at`` of a text of hexadecimal digits; null behind its end."""
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.when(F.length(h) >= 2 * at + 2, F.conv(F.substr(h, 2 * at + 1, F.lit(2)), 16, 10).cast("int"))
+
+
+def _u16(h: Column, at: Column | int) -> Column:
+    return _byte(h, at) + 256 * _byte(h, at + 1)
+
+
+def _part(h: Column, at: Column, size: int) -> Column:
+    return F.when(F.length(h) >= 2 * (at + size), F.substr(h, 2 * at + 1, F.lit(2 * size)))
+
+
+def _mac(h: Column, at: Column) -> Column:
+    return F.rtrim(F.regexp_replace(_part(h, at, 6), "(..)", "$1:"), F.lit(":"))
+
+
+def _bit(value: Column, mask: int) -> Column:
+    return value.bitwiseAND(F.lit(mask)) != 0
+
+
+def _element(kind: int) -> Column:
+    """Content of the last element of a kind, as hexadecimal digits."""
+    return F.hex(F.try_element_at(F.filter("elements", lambda e: e["kind"] == kind), F.lit(-1))["body"])
+
+
+def _suites(h: Column, at: Column | int) -> tuple[Column, Column]:
+    """Suite selectors of a counted list, and where it ends."""
+    at = F.lit(at) if isinstance(at, int) else at
+    n = F.coalesce(F.least(_u16(h, at), F.floor((F.length(h) / 2 - at - 2) / 4).cast("int")), F.lit(0))
+    one = lambda i: F.lower(F.substr(h, 2 * at + 5 + 8 * i, F.lit(8)))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<string>")), at + 2 + 4 * n
+
+
+def decode_records(recs: DataFrame) -> DataFrame:
+    """Columns of radiotap + 802.11 frames; unreadable input carries ``parse_error``."""
+    h, b, c = F.col("h"), F.col("b"), F.col
+    df = recs.withColumns({"h": F.hex("header"), "b": F.hex("body")}).withColumn("control", _u16(h, 0))
+    df = df.withColumns({"type_code": F.shiftright("control", 2).bitwiseAND(F.lit(3)), "subtype_code": F.shiftright("control", 4).bitwiseAND(F.lit(15))})
+    management, data, steering, sub = c("type_code") == 0, c("type_code") == 2, c("type_code") == 1, c("subtype_code")
+    beaconlike, auth = management & sub.isin(5, 8), management & (sub == 11)
+    names = F.array(*[F.lit(m) for m in MANAGEMENT])
+    kind = F.when(management, F.get(names, sub)).when(data, "data").when(steering & (sub == 11), "rts").when(steering & (sub == 12), "cts").when(steering & (sub == 13), "ack").when(c("control").isNotNull(), "other")
+    # Handshake messages: key frames behind the LLC header, told apart by the acknowledge, MIC, install and secure bits.
+    llc = F.when(_bit(sub, 8), 2).otherwise(0) + F.when(_bit(c("control"), 0x0100) & _bit(c("control"), 0x0200), 6).otherwise(0)
+    df = df.withColumns({
+        "protected": _bit(c("control"), 0x4000), "retry": _bit(c("control"), 0x0800), "flags": F.when(beaconlike, _u16(b, 10)), "llc": F.when(data & ~_bit(c("control"), 0x4000), llc),
+        "rsn": _element(48), "name": F.try_element_at(F.filter("elements", lambda e: e["kind"] == 0), F.lit(-1))["body"],
+        "vendors": F.transform(F.filter("elements", lambda e: e["kind"] == 221), lambda e: F.substring(F.hex(e["body"]), 1, 8)),
+    })
+    key = (_part(b, c("llc"), 8) == "AAAA03000000888E") & (_byte(b, c("llc") + 9) == 3)
+    df = df.withColumns({"key": F.when(key, _byte(b, c("llc") + 13) * 256 + _byte(b, c("llc") + 14)), "rsn": F.when(F.length("rsn") >= 16, c("rsn"))})
+    ack, mic, install, secure = (_bit(c("key"), m) for m in (0x80, 0x100, 0x40, 0x200))
+    message = F.when(ack & ~mic, 1).when(ack & mic & install, 3).when(~ack & mic & secure, 4).when(~ack & mic, 2)
+    pairwise, after = _suites(c("rsn"), 6)
+    df = df.withColumns({"rsn_pairwise": F.when(c("rsn").isNotNull(), pairwise), "after": after})
+    akm, end = _suites(c("rsn"), c("after"))
+    df = df.withColumns({"rsn_akm": F.when(c("rsn").isNotNull(), akm), "rsn_caps": _u16(c("rsn"), end)})
+    has = lambda k: F.exists("elements", lambda e: e["kind"] == k)
+    there = lambda test: F.when(test, True)
+    vendor = lambda e: F.substring(F.hex(e["body"]), 1, 8)
+    plain = F.create_map(*[F.lit(x) for p in ELEMENTS.items() for x in p])
+    label = lambda e: F.when(e["kind"] == 221, F.when(vendor(e) == WPA, "WPA").when(vendor(e) == WPS, "WPS")).when((e["kind"] != 3) | (F.length(e["body"]) > 0), F.try_element_at(plain, e["kind"]))
+    return df.withColumns({
+        "frame_type": kind, "dst_addr": F.when(c("type_code") < 3, _mac(h, F.lit(4))), "src_addr": F.when(management | data | (steering & (sub == 11)), _mac(h, F.lit(10))), "bssid": F.when(management | data, _mac(h, F.lit(16))),
+        "seq_num": F.when(management | data, F.shiftright(_u16(h, 22), 4)), "fragment_num": F.when(management | data, _u16(h, 22).bitwiseAND(F.lit(15))),
+        "ssid": F.coalesce(F.try_validate_utf8(F.expr("cast(name as string)")), F.decode("name", "ISO-8859-1")), "channel": _byte(_element(3), 0),
+        "beacon_interval": F.when(beaconlike, _u16(b, 8)), "capability_flags": c("flags"), "ess": _bit(c("flags"), 1), "ibss": _bit(c("flags"), 2),
+        "privacy": F.when(data & c("protected"), True).otherwise(_bit(c("flags"), 16)),
+        "ht": there(has(45)), "vht": there(has(191)), "he": there(F.exists("elements", lambda e: (e["kind"] == EXTENSION) & (F.substring(F.hex(e["body"]), 1, 2) == f"{HE:02X}"))),
+        "wpa": there(F.array_contains("vendors", WPA)), "wps": there(F.array_contains("vendors", WPS)),
+        "rsn_version": _u16(c("rsn"), 0), "rsn_group": F.lower(F.substring("rsn", 5, 8)), "pmf_capable": _bit(c("rsn_caps"), 0x80), "pmf_required": _bit(c("rsn_caps"), 0x40),
+        "ies_present": F.when(beaconlike | (management & (sub == 4)), F.array_compact(F.transform("elements", label))),
+        "reason_code": F.when(management & sub.isin(10, 12), _u16(b, 0)), "auth_algo": F.when(auth, _u16(b, 0)), "auth_seq": F.when(auth, _u16(b, 2)),
+        "status_code": F.when(auth, _u16(b, 4)).when(management & (sub == 1), _u16(b, 2)),
+        "wep_iv": F.when(data & c("protected") & (F.length(b) >= 8), F.lower(_part(b, F.lit(0), 3))), "eapol_message": message,
+    }).select(*COLUMNS)
 
 
 def decode_captures(files: DataFrame) -> DataFrame:
-    """Frames of a ``(path, content)`` table; rows leave a task in batches, a file is never held as rows."""
-    return files.select("path", "content").mapInPandas(_decode_files, CAPTURE_DDL)
+    """Frames of a ``(path, content)`` table."""
+    return decode_records(split_captures(files))
 
 
 def read_captures(spark: SparkSession, path: str, pattern: str = "*.pcap") -> DataFrame:
     """All capture files under a path, decoded where they lie."""
     return decode_captures(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path))
+
+
+def capture_frames(decoded: DataFrame, sensor: Column | str) -> DataFrame:
+    """Decoded captures as the frame table that detectors read (and ``ies_present``); ``sensor`` names where a file comes from.
+
+    The id of a frame is a hash of its file and number. Security follows the live classification; handshake frames are
+    of type ``eapol``. Frames that could not be read, or have no sender or receiver, are left out.
+    """
+    from skyfence.operators.normalise import classify_security
+
+    sensor = F.lit(sensor) if isinstance(sensor, str) else sensor
+    named = decoded.filter("parse_error is null and coalesce(src_addr, dst_addr) is not null").withColumns({
+        "has_rsn": F.col("rsn_version").isNotNull(), "has_wpa": F.coalesce("wpa", F.lit(False)), "pmf": F.coalesce(F.col("pmf_capable") | F.col("pmf_required"), F.lit(False)),
+    })
+    beaconlike = F.col("frame_type").isin("beacon", "probe_resp")
+    secured = classify_security(named, "live")
+    return secured.select(
+        F.xxhash64("path", "frame_no").alias("event_id"), "t_us", sensor.alias("sensor_id"), F.when(F.col("eapol_message").isNotNull(), "eapol").otherwise(F.col("frame_type")).alias("frame_type"),
+        "bssid", oui("bssid").alias("vendor_oui"), "ssid", "src_addr", "dst_addr", F.coalesce("channel", mhz_to_channel(F.col("frequency_mhz"))).cast("int").alias("channel"), F.coalesce("frequency_mhz", channel_to_mhz(F.col("channel"))).cast("int").alias("frequency_mhz"),
+        F.col("rssi_dbm").cast("bigint").alias("rssi_dbm"), F.when(beaconlike, F.when(F.col("security_class") == "OPEN", "Open").otherwise(F.col("security_class"))).alias("security"),
+        "privacy", F.coalesce("wps", F.lit(False)).alias("wps"), "pmf", F.col("seq_num").cast("bigint").alias("seq_num"), "retry", F.col("eapol_message").cast("bigint").alias("eapol_message"),
+        "wep_iv", F.col("frame_len").cast("bigint").alias("frame_len"), F.col("beacon_interval").cast("bigint").alias("beacon_interval"), "ies_present",
+    )
