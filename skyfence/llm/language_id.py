@@ -126,8 +126,8 @@ def identify(pages: DataFrame, docs: DataFrame, towards_domain: float = 5.0, tow
     sums = lambda key: vector.groupBy(key).agg(vector_to_array(Summarizer.sum(F.col("v"))).alias(f"{key}_sum"))
     total = vector.groupBy(F.lit("all")).agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("s")).first()  # no row without pages
     total = np.array(total["s"] if total else [0.0] * len(langs))
-    for key in ("host", "domain", "suffix", "declared"):
-        rows = rows.join(sums(key), key)
+    for key in ("host", "domain", "suffix", "declared"):  # written, so that a hot key meets a plain table and Spark can split it or broadcast
+        rows = rows.join(stored(sums(key), f"language-{key}"), key)
     kinds = {key: max(1, vector.select(key).distinct().count()) for key in ("suffix", "declared")}
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
