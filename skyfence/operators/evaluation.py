@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfence.operators import scoring
+from skyfence.operators.timeline import US, slot_of
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -52,13 +53,17 @@ def confusion(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = ()) ->
     })
 
 
-def mttd(alerts: DataFrame, attacks: DataFrame) -> DataFrame:
+def mttd(alerts: DataFrame, attacks: DataFrame, slot_s: int = 60) -> DataFrame:
     """Time from attack start to the first alert on its target within its span.
 
-    ``attacks``: attack_id, bssid, start_us, end_us. Undetected attacks keep a null.
+    ``attacks``: attack_id, bssid, start_us, end_us. Undetected attacks keep a null. Attacks and alerts meet by target and
+    time slot; of a slot's alerts only the distinct instants count, so a busy target does not pair everything with everything.
     """
     inside = F.col("t_us").between(F.col("start_us"), F.col("end_us"))
-    first = attacks.join(alerts.select("bssid", "t_us"), "bssid").filter(inside).groupBy("attack_id").agg(F.min("t_us").alias("first_alert"))
+    slot = lambda c: slot_of(c, slot_s * US)
+    spans = attacks.filter("start_us <= end_us").withColumn("_slot", F.explode(F.sequence(slot("start_us"), slot("end_us"))))
+    spots = alerts.select("bssid", "t_us", slot("t_us").alias("_slot")).distinct()
+    first = spans.join(spots, ["bssid", "_slot"]).filter(inside).groupBy("attack_id").agg(F.min("t_us").alias("first_alert"))
     return attacks.join(first, "attack_id", "left").withColumn("detect_s", (F.col("first_alert") - F.col("start_us")) / 1e6)
 
 

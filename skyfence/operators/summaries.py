@@ -118,12 +118,27 @@ def channel_histogram(networks: DataFrame) -> DataFrame:
 
 
 def rssi_distribution(networks: DataFrame, col: str = "rssi_avg") -> DataFrame:
-    """Quartiles and mean of valid levels (-100..0)."""
-    v = F.col(col)
-    return networks.filter(v.between(-100, 0)).agg(
-        F.count(v).alias("n"), F.min(v).alias("lowest"), F.max(v).alias("highest"), F.avg(v).alias("mean"),
-        *[F.percentile(v, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))],
+    """Quartiles and mean of valid levels (-100..0), exact.
+
+    Levels are counted, first by hundredths (at most 10,001), which tells how many lie below each; ranks inside a hundredth
+    come from its own distinct levels. No task orders all levels.
+    """
+    v = F.col("v")
+    levels = networks.select(F.col(col).alias("v")).filter(v.between(-100, 0)).groupBy("v").agg(F.count("*").alias("n")).withColumn("cell", F.floor(v * 100))
+    every = Window.orderBy("cell")
+    cells = levels.groupBy("cell").agg(F.sum("n").alias("in_cell"))
+    cells = cells.select("cell", (F.sum("in_cell").over(every) - F.col("in_cell")).alias("below"), F.sum("in_cell").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    ranked = levels.join(cells, "cell").withColumn("end", F.col("below") + F.sum("n").over(Window.partitionBy("cell").orderBy("v")))
+    at = lambda rank: F.max(F.when((F.col("end") - F.col("n") <= rank) & (rank < F.col("end")), v))
+    parts = {}
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        rank = (F.col("total") - 1) * p
+        parts |= {f"{name}_lo": at(F.floor(rank)), f"{name}_hi": at(F.ceil(rank)), f"{name}_w": F.max(rank - F.floor(rank))}
+    out = ranked.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"), (F.sum(v * F.col("n")) / F.sum("n")).alias("mean"), *[c.alias(k) for k, c in parts.items()],
     )
+    quartile = lambda q: (F.col(f"{q}_lo") * (1 - F.col(f"{q}_w")) + F.col(f"{q}_hi") * F.col(f"{q}_w")).alias(q)
+    return out.select("n", "lowest", "highest", "mean", quartile("q1"), quartile("median"), quartile("q3"))
 
 
 def discovery_rate(networks: DataFrame, now_us: int, minutes: int = 60, t: str = "first_seen") -> DataFrame:

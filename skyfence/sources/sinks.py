@@ -106,14 +106,13 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def export_telemetry(frames: DataFrame, path: str, base_us: int = 0, split: int = 1) -> None:
+def export_telemetry(frames: DataFrame, path: str, base_us: int = 0) -> None:
     """Telemetry laid out for pruning: by date, inside a file by sensor and newest first.
 
-    ``split`` spreads one busy date over several files.
+    Rows are dealt by ranges of (date, sensor, time), so a busy date or sensor fills several files of about one size.
     """
     dated = frames.withColumn("event_date", F.to_date(F.timestamp_micros(F.col("t_us") + F.lit(base_us))))
-    spread = F.pmod(F.xxhash64("sensor_id", "t_us"), F.lit(split))
     (
-        dated.repartition("event_date", spread).sortWithinPartitions("event_date", "sensor_id", F.col("t_us").desc())
+        dated.repartitionByRange("event_date", "sensor_id", "t_us").sortWithinPartitions("event_date", "sensor_id", F.col("t_us").desc())
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
     )
