@@ -120,25 +120,27 @@ def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features_v", handleInvalid="keep").transform(df)
 
 
-def train_risk_model(labelled: DataFrame, features: list[str], folds: int = 5, max_iter: int = 500, seed: int = 7):
+def train_risk_model(labelled: DataFrame, features: list[str], folds: int = 5, max_iter: int = 500, seed: int = 7, key: str | None = None):
     """Logistic regression on HIGH/MEDIUM = 1 with cross-validated area under the curve.
 
-    Returns (model, mean, spread).
+    Returns (model, mean, spread). Folds are dealt by a hash of ``key``, or of the features without one, so the cluster's
+    layout changes nothing; folds that lack one of the classes are not judged.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    rows = _assemble(labelled, features).select("features_v", F.when(F.col("label").isin("HIGH", "MEDIUM"), 1.0).otherwise(0.0).alias("y"))
-    rows = rows.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(folds))).persist()
+    part = F.pmod(F.xxhash64(F.lit(seed), *([key] if key else features)), F.lit(folds)).alias("_fold")
+    rows = _assemble(labelled, features).select("features_v", F.when(F.col("label").isin("HIGH", "MEDIUM"), 1.0).otherwise(0.0).alias("y"), part).persist()
     lr = LogisticRegression(featuresCol="features_v", labelCol="y", maxIter=max_iter)
     judge = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC")
     try:
-        scores = [judge.evaluate(lr.fit(rows.filter(F.col("_fold") != k)).transform(rows.filter(F.col("_fold") == k))) for k in range(folds)]
+        fair = [r["_fold"] for r in rows.groupBy("_fold").agg(F.count_distinct("y").alias("n")).filter("n = 2").orderBy("_fold").collect()]
+        scores = [judge.evaluate(lr.fit(rows.filter(F.col("_fold") != k)).transform(rows.filter(F.col("_fold") == k))) for k in fair] or [0.0]
         model = lr.fit(rows)
     finally:
         rows.unpersist()
-    mean = sum(scores) / folds
-    return model, round(mean, 3), round((sum((s - mean) ** 2 for s in scores) / folds) ** 0.5, 3)
+    mean = sum(scores) / len(scores)
+    return model, round(mean, 3), round((sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5, 3)
 
 
 def predict_risk(df: DataFrame, model, features: list[str]) -> DataFrame:

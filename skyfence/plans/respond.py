@@ -228,6 +228,22 @@ def g06(spark, sf):
     return G.smooth_tracks(track).select("bssid", "t_us", *[F.round(c, 3).alias(c) for c in ("x_m", "y_m", "x_s", "y_s", "uncertainty")])
 
 
+@query("g06_filter_steps", with_frames("""
+select bssid, t_us, round(px, 6) as x_s, round(py, 6) as y_s, round(vx, 6) as vx, round(vy, 6) as vy, round(case when rn = 1 then sqrt(10e0) else sqrt(2 * a) end, 6) as uncertainty from f""", """
+z as (select bssid, t_us, avg(rssi_dbm) / 10 as x, avg(channel)::double as y, row_number() over (partition by bssid order by t_us) as rn from frames where frame_type = 'probe_resp' group by bssid, t_us),
+f as (select bssid, rn, t_us, x as px, y as py, 0e0 as vx, 0e0 as vy, 10e0 as a, 0e0 as b, 10e0 as c from z where rn = 1
+  union all
+  select bssid, rn, t_us, px + dt * vx + k1 * (x - px - dt * vx), py + dt * vy + k1 * (y - py - dt * vy), vx + k2 * (x - px - dt * vx), vy + k2 * (y - py - dt * vy),
+    a1 - k1 * a1, b1 - k1 * b1, c1 - k2 * b1
+  from (select *, a1 / (a1 + 1) as k1, b1 / (a1 + 1) as k2 from (
+    select z.bssid, z.rn, z.t_us, z.x, z.y, px, py, vx, vy, (z.t_us - f.t_us) / 1e6 as dt,
+      a + 2 * ((z.t_us - f.t_us) / 1e6) * b + ((z.t_us - f.t_us) / 1e6) * ((z.t_us - f.t_us) / 1e6) * c + 1e-1 as a1, b + ((z.t_us - f.t_us) / 1e6) * c as b1, c + 1e-1 as c1
+    from f join z on z.bssid = f.bssid and z.rn = f.rn + 1)))""", recursive=True))
+def g06_steps(spark, sf):
+    seen = load_frames(spark, sf).filter("frame_type = 'probe_resp'").groupBy("bssid", "t_us").agg((F.avg("rssi_dbm") / 10).alias("x_m"), F.avg("channel").alias("y_m"))
+    return G.smooth_tracks(seen).select("bssid", "t_us", *[F.round(c, 6).alias(c) for c in ("x_s", "y_s", "vx", "vy", "uncertainty")])
+
+
 def points(frames):
     """Readings scattered over the map."""
     return frames.select(((F.col("event_id") * 37) % 520 / 10.0 - 1).alias("x"), ((F.col("event_id") * 91) % 510 / 10.0).alias("y"), "rssi_dbm")

@@ -255,11 +255,24 @@ def e03b(spark, sf):
 @query("e04_risk_model")
 def e04(spark, sf):
     rows = SC.ml_features(load_frames(spark, sf)).withColumn("label", F.when(F.col("security").isin("Open", "WEP") & (F.col("event_id") % 10 > 0), "HIGH").otherwise("LOW"))
-    model, mean, spread = E.train_risk_model(rows, SC.ML_FEATURES)
+    model, mean, spread = E.train_risk_model(rows, SC.ML_FEATURES, key="event_id")
     out = E.predict_risk(rows, model, SC.ML_FEATURES)
     return out.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("probability"), 3).alias("mean_probability")).withColumn("auc_cv", F.lit(mean)).withColumn("auc_std", F.lit(spread))
 
 
+AXES = {"mean": [i / 20 for i in range(len(SC.FEATURES))], "axes": [[((i * 7 + j * 3) % 5 - 2) / 5 for j in range(2)] for i in range(len(SC.FEATURES))], "features": list(SC.FEATURES)}
+_X = [f"({f} - {m!r}::double)" for f, m in zip(AXES["features"], AXES["mean"])]
+_H = [" + ".join(f"{x} * {a[j]!r}::double" for x, a in zip(_X, AXES["axes"])) for j in range(2)]
+_LOSS = " + ".join(f"power({x} - (h0 * {a[0]!r}::double + h1 * {a[1]!r}::double), 2)" for x, a in zip(_X, AXES["axes"]))
+
+
+@query("e05_anomaly_scores", with_frames(f"""
+select event_id, round(loss, 9) as anomaly_loss, loss > 2e-1 as is_anomaly from (select event_id, ({_LOSS}) / {len(SC.FEATURES)} as loss from (select *, {_H[0]} as h0, {_H[1]} as h1 from feat))""", FEAT))
+def e05_scores(spark, sf):
+    feats = SC.network_features(scored_input(load_frames(spark, sf)))
+    return E.score_anomaly(feats, AXES, 0.2).select("event_id", F.round("anomaly_loss", 9).alias("anomaly_loss"), "is_anomaly")
+
+
 @query("e05_anomaly_model")
 def e05(spark, sf):
     feats = SC.network_features(scored_input(load_frames(spark, sf)))

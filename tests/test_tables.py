@@ -299,3 +299,24 @@ def test_unknown_profile(spark):
 
     with pytest.raises(ValueError):
         run_detectors(spark.range(1), "full_wid")
+
+
+def test_risk_model_learns_and_does_not_depend_on_layout(spark):
+    from skyfence.operators import evaluation as E
+
+    rows = [(float(i % 10), float(i % 7), "HIGH" if i % 10 + (i % 7) / 10 > 5 else "LOW") for i in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, label string")
+    model, mean, spread = E.train_risk_model(df, ["a", "b"], max_iter=50)
+    assert mean > 0.95 and E.train_risk_model(df.repartition(7), ["a", "b"], max_iter=50)[1:] == (mean, spread)
+    got = E.predict_risk(df, model, ["a", "b"]).collect()
+    assert sum((r.probability > 0.5) == (r.label == "HIGH") for r in got) > 580 and all(abs(r.score - 100 * r.probability) <= 1 for r in got)
+
+
+def test_anomaly_axes(spark):
+    from skyfence.operators import evaluation as E
+
+    rows = [(float(i % 9), 2.0 * (i % 9), 1.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    model = E.fit_anomaly(df, ["a", "b", "c"], k=1)
+    odd = spark.createDataFrame([(4.0, 8.0, 1.0), (4.0, 1.0, 1.0)], "a double, b double, c double")
+    assert [r.is_anomaly for r in E.score_anomaly(odd, model).orderBy(F.col("b").desc()).collect()] == [False, True]
