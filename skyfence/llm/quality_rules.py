@@ -82,14 +82,12 @@ class NgramModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -40, 40))))
 
 
-def train(grams: list[np.ndarray], label: np.ndarray, unseen: np.ndarray, steps: int = 120, rate: float = 2.0, decay: float = 1e-5) -> NgramModel:
-    """Full-batch logistic regression by Adam steps; then two parameters of calibration on the ``unseen`` rows."""
+def train(grams: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, unseen: np.ndarray, steps: int = 120, rate: float = 2.0, decay: float = 1e-5) -> NgramModel:
+    """Full-batch logistic regression by Adam steps on (distinct n-grams, shares) of each row; then two parameters of calibration on the ``unseen`` rows."""
     learn = [i for i in range(len(grams)) if not unseen[i]]
-    row = np.concatenate([np.full(len(grams[i]), k, np.int32) for k, i in enumerate(learn)])
-    col = np.concatenate([grams[i] for i in learn])
-    both, count = np.unique(row.astype(np.int64) * (2 * BUCKETS) + col, return_counts=True)
-    row, col = both // (2 * BUCKETS), both % (2 * BUCKETS)
-    value = count / np.bincount(row, weights=count, minlength=len(learn))[row]
+    row = np.concatenate([np.full(len(grams[i][0]), k, np.int32) for k, i in enumerate(learn)])
+    col = np.concatenate([grams[i][0] for i in learn])
+    value = np.concatenate([grams[i][1] for i in learn])
     y = label[learn].astype(float)
     w, m, v, b = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS), 0.0
     for t in range(1, steps + 1):
@@ -101,7 +99,7 @@ def train(grams: list[np.ndarray], label: np.ndarray, unseen: np.ndarray, steps:
     model = NgramModel(w.astype(np.float32), 1.0, b)
     held = [i for i in range(len(grams)) if unseen[i]]
     if len(set(label[held].tolist())) == 2:
-        x, z = np.array([model.weights[grams[i]].mean() if len(grams[i]) else 0.0 for i in held], float), label[held].astype(float)
+        x, z = np.array([float(model.weights[grams[i][0]] @ grams[i][1]) for i in held]), label[held].astype(float)
         z = np.where(z > 0, (z.sum() + 1) / (z.sum() + 2), 1 / (len(z) - z.sum() + 2))
         centre, scale = x.mean(), x.std() or 1.0
         a, s = 1.0, 0.0
@@ -127,7 +125,8 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500) ->
             for start, texts in slices(batch.column("text")):
                 for text in texts:
                     codes, kinds = codes_of((text or "").encode("utf-8", "surrogatepass").split())
-                    grams.append(hashed(text or "", codes, kinds))
+                    kept, count = np.unique(hashed(text or "", codes, kinds), return_counts=True)
+                    grams.append((kept.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)))
             label += batch.column("label").to_pylist()
             unseen += batch.column("unseen").to_pylist()
         if len(set(label)) == 2 and len({y for y, u in zip(label, unseen) if not u}) == 2:
