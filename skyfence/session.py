@@ -18,6 +18,9 @@ DEFAULTS = {
 }
 
 
+_made: list[str] = []
+
+
 def get_session(app: str = "skyfence", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -39,4 +42,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "skyfence")
         os.makedirs(root, exist_ok=True)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the folders ``shared_dir`` handed out in this process, once nothing reads them any more; how many there were."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    paths = [_made.pop() for _ in range(len(_made))]
+    for path in map(hadoop, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

@@ -320,3 +320,15 @@ def test_anomaly_axes(spark):
     model = E.fit_anomaly(df, ["a", "b", "c"], k=1)
     odd = spark.createDataFrame([(4.0, 8.0, 1.0), (4.0, 1.0, 1.0)], "a double, b double, c double")
     assert [r.is_anomaly for r in E.score_anomaly(odd, model).orderBy(F.col("b").desc()).collect()] == [False, True]
+
+
+def test_scratch_folders_go(spark, tmp_path):
+    import os
+
+    from skyfence import session
+
+    before, session._made[:] = list(session._made), []
+    path = session.shared_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path) and session.drop_scratch(spark) == 1 and not os.path.exists(path)
+    session._made[:] = before
