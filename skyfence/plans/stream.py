@@ -35,8 +35,8 @@ def replay(spark, sf, files: int = 3):
         low, high = (i * span, (i + 1) * span) if i < files - 1 else (i * span, END)
         f.filter(F.col("t_us").between(low, high - 1)).write.mode("append").parquet(f"{path}/in")
     closing = f.limit(1).withColumns({"t_us": F.lit(END), "event_id": F.lit(-1).cast("bigint")})
-    kinds = F.array(*[F.lit(k) for k in ("beacon", "probe_req", "deauth", "disassoc", "auth", "rts")])
-    closing.withColumn("frame_type", F.explode(kinds)).withColumns({c: F.lit("closing") for c in ("bssid", "src_addr", "ssid")}).write.mode("append").parquet(f"{path}/in")
+    kinds = F.array(*[F.lit(k) for k in ("beacon", "probe_req", "deauth", "disassoc", "auth", "rts", "eapol")])
+    closing.withColumn("frame_type", F.explode(kinds)).withColumns({c: F.lit("closing") for c in ("bssid", "src_addr", "dst_addr", "ssid")} | {"eapol_message": F.when(F.col("frame_type") == "eapol", 1).cast("bigint")}).write.mode("append").parquet(f"{path}/in")
     rows = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
     return ST.event_time(rows, BASE), path
 
