@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfence.llm.common import per_worker, slices
+from skyfence.llm.common import lean, slices
 
 #: White space as Unicode's White_Space property has it, which the pattern of the rank files means by \s.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -232,10 +232,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     """
     with open(ranks_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    key = (ranks_path, pattern)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(key, lambda: PrefixEncoder(load_ranks(sent.value), pattern))
+        encoder = PrefixEncoder(load_ranks(sent.value), pattern)  # a fraction of a second, and a worker between tasks holds nothing
         for batch in batches:
             for start, texts in slices(batch.column("text")):
                 rows = []
@@ -250,5 +248,5 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string")
+        lean(run), f"doc_id {kind}, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string")
     return out if with_ids else out.drop("ids")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfence.llm.common import by_bytes, stored
+from skyfence.llm.common import by_bytes, give_back, lean, stored
 from skyfence.llm.grams import lowered_words, mixed
 from skyfence.llm.links import components
 
@@ -103,7 +103,7 @@ def document_sets(docs: DataFrame, size: int, share: float, full: bool) -> DataF
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, low array<bigint>" + ", high array<bigint>" * full)
+        lean(run), f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, low array<bigint>" + ", high array<bigint>" * full)
 
 
 class Node:
@@ -247,6 +247,8 @@ def jaccard_groups(docs: DataFrame, size: int = 3, per_cent: int = 90, block: in
     def run(t: pa.Table) -> pa.Table:
         rep, keys = t.column("rep").to_numpy(), t.column("keys").combine_chunks()
         found = tree_links([keys[i].values.to_numpy() for i in range(len(keys))], per_cent)
+        if len(keys.values) > 200_000:
+            give_back()
         return pa.table({"a": pa.array([rep[i] for i, _ in found], pa.int64()), "b": pa.array([rep[j] for _, j in found], pa.int64())})
 
     linked = components(rows.groupBy("root", "i", "j").applyInArrow(run, "a bigint, b bigint"))

@@ -26,7 +26,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfence.llm.common import fold, slices, stored
+from skyfence.llm.common import fold, lean, slices, stored
 
 STATISTICS = (
     "log_words", "word_length", "word_length_spread", "upper", "digits", "symbols", "punctuation", "pipes", "other_bytes", "distinct_words", "top_word",
@@ -67,7 +67,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
                     [batch.column("doc_id").slice(start, len(texts)), pa.array([statistics(t or "") for t in texts], pa.list_(pa.float32()))], ["doc_id", "stats"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, stats array<float>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, stats array<float>")
 
 
 class FourierRidge:
@@ -161,7 +161,7 @@ def score(stats: DataFrame, model: FourierRidge) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(np.array(batch.column("stats").to_pylist(), dtype=float)))], ["doc_id", "score"])
 
-    return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+    return stats.select("doc_id", "stats").mapInArrow(lean(run), f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, FourierRidge]:
@@ -187,4 +187,4 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.
                 good = model.score(np.array([statistics(t or "") for t in texts])) >= threshold
                 yield batch.slice(start, len(texts)).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfence.llm.common import slices
+from skyfence.llm.common import lean, slices
 
 #: Weights for character n-grams, and as many for word n-grams.
 BUCKETS = 1 << 16
@@ -133,7 +133,7 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500) ->
             model = train(grams, np.array(label), np.array(unseen))
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.slope]), pa.array([model.shift])], ["weights", "slope", "shift"])
 
-    got = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "weights binary, slope double, shift double").collect()
+    got = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(lean(run), "weights binary, slope double, shift double").collect()
     return NgramModel(np.frombuffer(bytes(got[0]["weights"]), np.float32), got[0]["slope"], got[0]["shift"]) if got else None
 
 
@@ -161,7 +161,7 @@ def judge(docs: DataFrame, model: NgramModel | None, threshold: float = 0.5, lea
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, probability double, kept boolean")
+        lean(run), f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, probability double, kept boolean")
 
 
 def kept_documents(docs: DataFrame, model: NgramModel | None, threshold: float = 0.5, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
@@ -174,4 +174,4 @@ def kept_documents(docs: DataFrame, model: NgramModel | None, threshold: float =
                 good = [verdict(t or "", sent.value, threshold, least_words, most_repeated)[-1] for t in texts]
                 yield batch.slice(start, len(texts)).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
