@@ -3,7 +3,8 @@
 Word 1-2-grams and character 1-3-grams are hashed into a fixed number of weights; a text's value is the mean weight of its
 n-grams. The model is fitted on a bounded sample of labelled rows (``per_class`` of each label, those with the smallest hash of
 the id) in one task, Platt-calibrated on rows of that sample that the fit did not see, and scored in Arrow batches without
-any shuffle.
+any shuffle. Sampled rows weigh as many labelled rows as they stand for, in the fit and in the calibration, so that a
+probability and the threshold mean the same whatever the size of the table.
 
 Rows: a text of null or without words has no words, fails the base rule and has probability 0. Repeated rows give repeated
 results. Without both labels in the sample there is no verdict: whatever passes the base rule is kept. Extra columns are not read.
@@ -82,45 +83,53 @@ class NgramModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -40, 40))))
 
 
-def train(grams: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, unseen: np.ndarray, steps: int = 120, rate: float = 2.0, decay: float = 1e-5) -> NgramModel:
-    """Full-batch logistic regression by Adam steps on (distinct n-grams, shares) of each row; then two parameters of calibration on the ``unseen`` rows."""
+def train(grams: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, unseen: np.ndarray, steps: int = 120, rate: float = 2.0, decay: float = 1e-5, weight: np.ndarray | None = None) -> NgramModel:
+    """Full-batch logistic regression by Adam steps on (distinct n-grams, shares) of each row; then two parameters of calibration on the ``unseen`` rows. ``weight``: rows that each row stands for."""
+    weight = np.ones(len(grams)) if weight is None else weight
     learn = [i for i in range(len(grams)) if not unseen[i]]
     row = np.concatenate([np.full(len(grams[i][0]), k, np.int32) for k, i in enumerate(learn)])
     col = np.concatenate([grams[i][0] for i in learn])
     value = np.concatenate([grams[i][1] for i in learn])
-    y = label[learn].astype(float)
+    y, share = label[learn].astype(float), weight[learn] / weight[learn].sum()
     w, m, v, b = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS), 0.0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[col] * value, minlength=len(learn)) + b, -40, 40)))
-        g = np.bincount(col, weights=((p - y) / len(learn))[row] * value, minlength=2 * BUCKETS) + decay * w
+        g = np.bincount(col, weights=((p - y) * share)[row] * value, minlength=2 * BUCKETS) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        b -= 0.5 * (p - y).mean()
+        b -= 0.5 * ((p - y) * share).sum()
     model = NgramModel(w.astype(np.float32), 1.0, b)
     held = [i for i in range(len(grams)) if unseen[i]]
     if len(set(label[held].tolist())) == 2:
         x, z = np.array([float(model.weights[grams[i][0]] @ grams[i][1]) for i in held]), label[held].astype(float)
         z = np.where(z > 0, (z.sum() + 1) / (z.sum() + 2), 1 / (len(z) - z.sum() + 2))
-        centre, scale = x.mean(), x.std() or 1.0
+        share = weight[held] / weight[held].sum()
+        centre = share @ x
+        scale = np.sqrt(share @ (x - centre) ** 2) or 1.0
         a, s = 1.0, 0.0
         u = (x - centre) / scale
         for _ in range(300):
             d = 1 / (1 + np.exp(-np.clip(a * u + s, -40, 40))) - z
-            a, s = a - 0.5 * ((d * u).mean() + 1e-4 * a), s - 0.5 * d.mean()
+            a, s = a - 0.5 * (share @ (d * u) + 1e-4 * a), s - 0.5 * (share @ d)
         model.slope, model.shift = a / scale, s - a * centre / scale
     return model
 
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> NgramModel | None:
-    """At most ``per_class`` labelled documents of each label; one task turns their whole texts into a model of fixed size."""
+    """At most ``per_class`` labelled documents of each label; one task turns their whole texts into a model of fixed size.
+
+    A sampled row weighs (labelled rows of its label) / (those of them in the sample), counted over all of ``labels``.
+    """
     at = F.xxhash64(F.lit("rules"), "doc_id")
     known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id"])
-    chosen = [known.where(F.col("label") == k).orderBy(at, "doc_id").limit(per_class) for k in (0, 1)]
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weight = {k: max(1.0, counts.get(k, 0) / per_class) for k in (0, 1)}
+    chosen = [known.where(F.col("label") == k).orderBy(at, "doc_id").limit(per_class).withColumn("weight", F.lit(weight[k])) for k in (0, 1)]
     sample = chosen[0].unionByName(chosen[1]).withColumn("unseen", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # 2 x per_class rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, label, unseen = [], [], []
+        grams, label, unseen, weights = [], [], [], []
         for batch in batches:
             for start, texts in slices(batch.column("text")):
                 for text in texts:
@@ -129,8 +138,9 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500) ->
                     grams.append((kept.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)))
             label += batch.column("label").to_pylist()
             unseen += batch.column("unseen").to_pylist()
+            weights += batch.column("weight").to_pylist()
         if len(set(label)) == 2 and len({y for y, u in zip(label, unseen) if not u}) == 2:
-            model = train(grams, np.array(label), np.array(unseen))
+            model = train(grams, np.array(label), np.array(unseen), weight=np.array(weights))
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.slope]), pa.array([model.shift])], ["weights", "slope", "shift"])
 
     got = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(lean(run), "weights binary, slope double, shift double").collect()

@@ -90,3 +90,14 @@ def test_rules(spark, labelled):
         assert x.kept == (not x.base_failed and x.probability >= 0.5)
     judged = [x for x in got if x.doc_id is not None and x.doc_id < 600 and not x.base_failed]
     assert np.mean([x.kept == (x.doc_id % 4 != 0) for x in judged]) > 0.98
+
+
+def test_sample_keeps_the_balance_of_labels(spark):
+    """Texts that say nothing about their label have the share of good labels as probability, whatever ``per_class`` is."""
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choice(["lo", "mi", "ra", "tu", "se"]) for _ in range(80))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 != 0)) for i in range(800)], "doc_id bigint, quality int")
+    for per_class in (60, 1500):
+        p = [x.probability for x in judge(docs, fit_on_sample(docs, labels, per_class)).collect()]
+        assert abs(np.mean(p) - 7 / 8) < 0.08, (per_class, np.mean(p))
