@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfence.llm.common import fold, stored
+from skyfence.llm.common import fold, give_back, stored
 from skyfence.llm.grams import lowered_words, mixed, pack_keys, unpack_keys
 
 HELD_OUT, KEPT, DELETED = 0, 1, 2
@@ -32,6 +33,8 @@ HELD_OUT, KEPT, DELETED = 0, 1, 2
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 #: Buckets of a history's count, and steps per factor of two on the grid of probabilities.
 BUCKETS, STEPS = 24, 4
+#: Counts up to this are sent in 32 bits; the few beyond stand beside them in 64.
+MOST = np.iinfo(np.int32).max
 ONE = np.uint64(1)
 
 
@@ -118,8 +121,51 @@ def blocks(docs: DataFrame, kind: Column, size_mb: float) -> tuple[DataFrame, in
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), of) * 3 + F.col("kind")), sum(number.values())
 
 
+def narrow(totals: np.ndarray) -> tuple[bytes, bytes | None]:
+    """Counts of 64 bits as int32, and (position, count) of those beyond int32 as pairs of int64, None without any."""
+    large = np.flatnonzero(totals > MOST)
+    if not len(large):
+        return totals.astype(np.int32).tobytes(), None
+    return np.minimum(totals, MOST).astype(np.int32).tobytes(), np.stack([large, totals[large]], 1).astype(np.int64).tobytes()
+
+
+def add_blocks(key: tuple, t: pa.Table) -> pa.Table:
+    """Counts of one range of keys, added over all blocks and handed back to each block for its own keys."""
+    block = t.column("block").to_pylist()
+    keys = [unpack_keys(x) for x in t.column("keys").to_pylist()]
+    ends = np.cumsum([0, *map(len, keys)])
+    kinds, which = np.unique(np.concatenate(keys), return_inverse=True)
+    kept, deleted = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+    for i, (b, c) in enumerate(zip(block, t.column("counts").to_pylist())):
+        if b % 3 != HELD_OUT:
+            np.add.at(kept if b % 3 == KEPT else deleted, which[ends[i] : ends[i + 1]], np.frombuffer(c, np.int32))
+    total, single = kept + deleted, (kinds & ONE) == 0
+    stats = (int(total[single].sum()), int((total[single] > 0).sum()), int(kept[single].sum()))
+    cell = lambda x, i: narrow(x[which[ends[i] : ends[i + 1]]])
+    n = len(block)
+
+    def columns(x: np.ndarray, name: str, of: tuple) -> dict[str, pa.Array]:
+        large: dict[int, bytes] = {}
+
+        def one(i: int) -> bytes:
+            data, more = cell(x, i)
+            if more:
+                large[i] = more
+            return data
+
+        return {name: pa.array((one(i) if b % 3 in of else None for i, b in enumerate(block)), pa.binary(), size=n), name + "_large": pa.array([large.get(i) for i in range(n)], pa.binary())}
+
+    return pa.table({
+        "block": pa.array(block, pa.int64()), "part": pa.array([key[0].as_py()] * n, pa.int32()),
+        **columns(total, "total", (HELD_OUT, KEPT, DELETED)), **columns(kept, "kept", (DELETED,)),
+        **{name: pa.array([v] + [0] * (n - 1), pa.int64()) for name, v in zip(("words", "kinds", "kept_words"), stats)},
+    })
+
+
 def corpus_counts(rows: DataFrame, order: int, ranges: int) -> DataFrame:
-    """block, part, total, kept (binary int32, in the order of the block's keys of that range), words, kinds, kept_words.
+    """block, part, total, kept (binary int32, in the order of the block's keys of that range), total_large, kept_large, words, kinds, kept_words.
+
+    ``total_large`` and ``kept_large`` hold the counts beyond 32 bits, see ``narrow``.
 
     The last three are the range's number of training tokens, of distinct ones, and of tokens kept; they stand in one row per range.
     """
@@ -135,33 +181,25 @@ def corpus_counts(rows: DataFrame, order: int, ranges: int) -> DataFrame:
             "counts": pa.array([b.counts[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()),
         })
 
-    def add(key: tuple, t: pa.Table) -> pa.Table:
-        block = t.column("block").to_pylist()
-        keys = [unpack_keys(x) for x in t.column("keys").to_pylist()]
-        ends = np.cumsum([0, *map(len, keys)])
-        kinds, which = np.unique(np.concatenate(keys), return_inverse=True)
-        kept, deleted = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
-        for i, (b, c) in enumerate(zip(block, t.column("counts").to_pylist())):
-            if b % 3 != HELD_OUT:
-                np.add.at(kept if b % 3 == KEPT else deleted, which[ends[i] : ends[i + 1]], np.frombuffer(c, np.int32))
-        total, single = kept + deleted, (kinds & ONE) == 0
-        stats = (int(total[single].sum()), int((total[single] > 0).sum()), int(kept[single].sum()))
-        cell = lambda x, i: x[which[ends[i] : ends[i + 1]]].astype(np.int32).tobytes()
-        n = len(block)
-        return pa.table({
-            "block": pa.array(block, pa.int64()), "part": pa.array([key[0].as_py()] * n, pa.int32()), "total": pa.array([cell(total, i) for i in range(n)], pa.binary()),
-            "kept": pa.array([cell(kept, i) if b % 3 == DELETED else None for i, b in enumerate(block)], pa.binary()),
-            **{name: pa.array([v] + [0] * (n - 1), pa.int64()) for name, v in zip(("words", "kinds", "kept_words"), stats)},
-        })
-
     asked = rows.groupBy("block").applyInArrow(ask, "part int, block bigint, keys binary, counts binary")
-    return asked.groupBy("part").applyInArrow(add, "block bigint, part int, total binary, kept binary, words bigint, kinds bigint, kept_words bigint")
+    return asked.groupBy("part").applyInArrow(
+        add_blocks, "block bigint, part int, total binary, total_large binary, kept binary, kept_large binary, words bigint, kinds bigint, kept_words bigint")
 
 
 def joined(t: pa.Table, column: str) -> np.ndarray:
-    """A block's counts over all ranges."""
+    """A block's counts over all ranges, as floating-point numbers (whole up to 2^53)."""
     t = t.sort_by("part")
-    return np.frombuffer(b"".join(t.column(column).to_pylist()), np.int32)
+    cells, large = t.column(column), t.column(column + "_large").to_pylist()
+    out = np.empty(sum(pc.binary_length(cells).to_pylist()) // 4)
+    at = 0
+    for i, more in enumerate(large):
+        here = np.frombuffer(cells[i].as_buffer(), np.int32)
+        out[at : at + len(here)] = here
+        if more:
+            place, count = np.frombuffer(more, np.int64).reshape(-1, 2).T
+            out[at + place] = count
+        at += len(here)
+    return out
 
 
 def score_texts(docs: DataFrame, kind: Column, order: int = 2, block_mb: float = 12.0) -> DataFrame:
@@ -175,7 +213,8 @@ def score_texts(docs: DataFrame, kind: Column, order: int = 2, block_mb: float =
     words, kinds, kept_words = sums["words"], sums["kinds"], sums["kept_words"]
 
     def events(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        own, histories = Block(texts.column("text"), order).values(joined(counts, "kept").astype(float))
+        give_back()
+        own, histories = Block(texts.column("text"), order).values(joined(counts, "kept"))
         p = estimates(own, histories, kept_words, kinds)
         shown = histories[-1] if histories else own[0]
         with np.errstate(divide="ignore"):
@@ -193,8 +232,9 @@ def score_texts(docs: DataFrame, kind: Column, order: int = 2, block_mb: float =
         weights = np.full((BUCKETS, order + 1), 1.0 / (order + 1)) if words else np.tile(np.eye(order + 1)[0], (BUCKETS, 1))
 
     def score(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
+        give_back()
         b = Block(texts.column("text"), order)
-        own, histories = b.values(joined(counts, "total").astype(float))
+        own, histories = b.values(joined(counts, "total"))
         mix = weights[bucket(histories[-1] if histories else own[0])]
         probability = sum(mix[:, k] * p for k, p in enumerate(estimates(own, histories, words, kinds)))
         begin = np.concatenate([[0], np.cumsum(b.tokens)[:-1]])

@@ -5,10 +5,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from skyfence.llm.deleted_interpolation import score_documents
+from skyfence.llm.deleted_interpolation import DELETED, HELD_OUT, KEPT, add_blocks, joined, score_documents
 from skyfence.llm.grams import lowered_words, pack_keys, unpack_keys
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,3 +75,17 @@ def test_nothing_to_learn_from(spark):
     got = score_documents(spark.createDataFrame([(i, "x y") for i in held], "doc_id bigint, text string")).collect()
     assert [(r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in got] == [(0, 0, 0.0, 0.0)] * 3
     assert score_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_counts_beyond_32_bits():
+    most = 2**31 - 1
+    keys = np.array([2, 4, 7], np.uint64)
+    counts = [([5, most, 1], KEPT), ([most, most, most], 3 + KEPT), ([1, 2, 3], DELETED), ([9, 9, 9], HELD_OUT)]
+    asked = pa.table({"block": [b for _, b in counts], "keys": [pack_keys(keys)] * 4, "counts": [np.array(c, np.int32).tobytes() for c, _ in counts]})
+    got = add_blocks((pa.scalar(0),), asked)
+    total = [most + 6, 2 * most + 2, most + 4]
+    for i, (_, block) in enumerate(counts):
+        assert joined(got.slice(i, 1), "total").tolist() == total
+        if block == DELETED:
+            assert joined(got.slice(i, 1), "kept").tolist() == [most + 5, 2 * most, most + 1]
+    assert (got["words"][0].as_py(), got["kinds"][0].as_py(), got["kept_words"][0].as_py()) == (total[0] + total[1], 2, 3 * most + 5)
