@@ -11,6 +11,7 @@ Hot hosts: votes are combined before they are shuffled, and pages meet their hos
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ from skyfence.llm.markup import CONTAINER, Element, Page
 
 #: Pages of a host are dealt over so many keys when they meet its paths.
 SALTS = 64
+#: Paths of the root and of the html element: they hold every page of a host whole, so nobody votes for them.
+LAST_RESORT = re.compile(r"(/html[^/]*)?")
 
 
 def host_of(url: Column) -> Column:
@@ -37,12 +40,12 @@ def block_score(text: str, linked: int) -> float:
 
 
 def path_scores(page: Page) -> dict[str, tuple[float, int, bool]]:
-    """(score of the blocks below, depth, inside or at an article element) of each container path."""
+    """(score of the blocks below, depth, inside or at an article element) of each container path; html and the root count as containers too."""
     out: dict[str, list] = {}
     for text, owner, linked in page.blocks:
         score, e, seen = block_score(text, linked), owner, set()
         while e is not None:
-            if (e.tag in CONTAINER) and e.path not in seen:
+            if (e.tag in CONTAINER or e.tag == "html" or not e.tag and page.marked) and e.path not in seen:
                 seen.add(e.path)
                 row = out.setdefault(e.path, [0.0, e.path.count("/"), e.tag in ("article", "main")])
                 row[0] += score
@@ -51,7 +54,10 @@ def path_scores(page: Page) -> dict[str, tuple[float, int, bool]]:
 
 
 def best_path(page: Page) -> str | None:
-    """An article element that holds half of what the page says, or else the deepest container that holds four fifths."""
+    """An article element that holds half of what the page says, or else the deepest container that holds four fifths.
+
+    The last resort, where body and other tags are left out, is the html element or the root (path "").
+    """
     scores = path_scores(page)
     most = max((s for s, _, _ in scores.values()), default=0.0)
     if most <= 0:
@@ -87,7 +93,7 @@ def host_paths(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
                 chosen: dict[tuple[str, str], int] = defaultdict(int)
                 for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                     path = best_path(Page(html or ""))
-                    if path is not None:
+                    if path is not None and not LAST_RESORT.fullmatch(path):
                         chosen[host, path] += 1
                 yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in chosen], pa.string()), pa.array([p for _, p in chosen], pa.string()), pa.array(list(chosen.values()), pa.int64())], ["host", "path", "votes"])
 

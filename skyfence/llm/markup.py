@@ -25,6 +25,8 @@ NOT_ARTICLE = frozenset(
     "widgets cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter subscribe signup login comment comments reply replies respond disqus discussion share sharing "
     "social related recommended recommendations pagination pager toolbar search form copyright".split())
 NOT_ARTICLE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
+#: What a head holds; anything else, or text, ends one that is open, as its end tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Opening one of the keys closes an open element of the values within the same parent list.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"),
@@ -74,6 +76,7 @@ class Page:
         self.stack, self.parts, self.links, self.linked = [root], [], 0, 0
         self.owner = root
         self.unkept: Counter[str] = Counter()
+        self.marked = False  # whether there is any element
         at = 0
         for m in TOKEN.finditer(source):
             if m.start() > at:
@@ -91,6 +94,8 @@ class Page:
         self.flush()
 
     def text(self, source: str) -> None:
+        if self.stack[-1].tag == "head" and source.strip():
+            self.close("head")
         top = self.stack[-1]
         if source and not top.skip:
             if not self.parts:
@@ -107,6 +112,9 @@ class Page:
         self.parts, self.linked = [], 0
 
     def open(self, tag: str, source: str) -> None:
+        self.marked = True
+        if tag == "body" and any(e.tag == "head" for e in self.stack) or self.stack[-1].tag == "head" and tag not in IN_HEAD:
+            self.close("head")
         if tag == "br":
             self.text(" ")
         if tag in BLOCK:

@@ -49,3 +49,13 @@ def test_hosts_agree(spark):
     assert got[100].text == "Tiny."  # the host's path, not the page's own choice
     assert got[101].text == TEXT and got[102].text == "" and got[103].text == ""
     assert extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<html><head><title>T</title><body><article><p>{LONG}</p></article>", LONG), (f"<head><meta charset=utf-8><title>T</title><p>{LONG}", LONG), (f"<html><head><title>T</title>{LONG}", LONG),
+    ("<!DOCTYPE html><title>x</title><p>Article, in words.</p>", "Article, in words."), ("<html lang=en><title>x</title><h1>Head</h1><p>Article, in words.</p>", "Head\nArticle, in words."),
+    (f"<title>x</title><p>{LONG}</p><div><p>Box.</p></div>", f"{LONG}\nBox."), (f"<head><title>a <b>x</b></title><style>p</style></head><body><p>{LONG}", LONG),
+])
+def test_omitted_tags(spark, html, text):
+    assert text_of(html) == text
+    assert extract_pages(spark.createDataFrame([(1, "http://h.example/", html)], "page_id bigint, url string, html string")).first().text == text
