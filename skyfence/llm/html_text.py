@@ -2,28 +2,31 @@
 
 Every page scores its containers and votes for the generalised tag-and-class path that holds its article best. Spark adds up the
 votes by host and path; paths with a fair share of a host's votes win there. Each page is then extracted again by the winning
-path that most of its host's pages chose among those it has; a page that has none of them keeps to its own choice.
+path that most of its host's pages chose among those it has; a page that has none of them keeps to its own choice. Where other
+pages of the host chose the page's own path too, a winner replaces it only if it holds a comparable part of the page.
 
 Rows: markup of null counts as empty and gives an empty text, as does a page without an article. An address of null or without
-host votes under the empty host. Repeated pages vote each. Extra columns are not read. Pages pass one at a time through a task.
-Hot hosts: votes are combined before they are shuffled, and pages meet their host's few paths under a salted key.
+host neither votes nor is voted on: the page keeps to its own choice. Repeated pages vote each. Extra columns are not read. Pages pass one at a time through a task.
+Hot hosts: each page's vote is one narrow row, which meets its host's few paths and the votes for its own under a salted key;
+pages meet these rows under a hash of the row.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfence.llm.common import by_bytes
+from skyfence.llm.common import by_bytes, stored
 from skyfence.llm.markup import CONTAINER, Element, Page
 
 #: Pages of a host are dealt over so many keys when they meet its paths.
 SALTS = 64
+#: Where pages agree on a path, a winner replaces it only with so much of its score.
+COMPARABLE = 0.5
 #: Paths of the root and of the html element: they hold every page of a host whole, so nobody votes for them.
 LAST_RESORT = re.compile(r"(/html[^/]*)?")
 
@@ -53,8 +56,13 @@ def path_scores(page: Page) -> dict[str, tuple[float, int, bool]]:
     return {k: tuple(v) for k, v in out.items()}
 
 
+def prose(text: str, linked: int) -> bool:
+    """A block of sentences rather than of links and labels."""
+    return text.count(" ") >= 9 and linked <= 0.2 * len(text) and any(map(text.__contains__, ".!?\u3002"))
+
+
 def best_path(page: Page) -> str | None:
-    """An article element that holds half of what the page says, or else the deepest container that holds four fifths.
+    """An article element that holds half of what the page says, or else the deepest container that holds four fifths, widened while prose stands beside it.
 
     The last resort, where body and other tags are left out, is the html element or the root (path "").
     """
@@ -65,39 +73,58 @@ def best_path(page: Page) -> str | None:
     marked = [(s, -d, p) for p, (s, d, a) in scores.items() if a and s >= 0.5 * most]
     if marked:
         return max(marked)[2]
-    return max((d, s, p) for p, (s, d, _) in scores.items() if s >= 0.8 * most)[2]
+    path = max((d, s, p) for p, (s, d, _) in scores.items() if s >= 0.8 * most)[2]
+    outside = [owner.path for text, owner, linked in page.blocks if not below(owner, path) and prose(text, linked)]
+    wider = sorted((p for p in scores if below_path(path, p) and p != path), key=len)
+    while outside and wider:
+        parent = wider.pop()
+        if any(below_path(p, parent) for p in outside):
+            path, outside = parent, [p for p in outside if not below_path(p, parent)]
+    return path
+
+
+def below_path(inner: str, path: str) -> bool:
+    return inner == path or inner.startswith(path + "/")
 
 
 def below(element: Element, path: str) -> bool:
-    return element.path == path or element.path.startswith(path + "/")
+    return below_path(element.path, path)
 
 
 def extract(page: Page, path: str | None) -> str:
     return "\n".join(text for text, owner, _ in page.blocks if path is not None and below(owner, path))
 
 
-def choose(page: Page, winners: list[str]) -> str | None:
-    """The first winning path that the page has with text below it; its own choice without any."""
+def choose(page: Page, winners: list[str], agreed: bool = False) -> str | None:
+    """The first winning path that the page has with text below it; its own choice without any.
+
+    ``agreed``: other pages of the host chose this page's own path too. Then a winner needs ``COMPARABLE`` of its score.
+    """
+    own, scores, least = None, {}, 0.0
+    if agreed and winners and (own := best_path(page)) is not None:
+        scores = path_scores(page)
+        least = COMPARABLE * scores[own][0]
     for path in winners:
-        if any(below(owner, path) for _, owner, _ in page.blocks):
+        if any(below(owner, path) for _, owner, _ in page.blocks) and (not least or path in scores and scores[path][0] >= least):
             return path
-    return best_path(page)
+    return own if own is not None else best_path(page)
 
 
-def host_paths(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
-    """host, paths: those with at least ``least_share`` of the votes, most votes first (so at most 1 / least_share)."""
+def own_paths(pages: DataFrame) -> DataFrame:
+    """host, page (hash of its row), path: each page's own choice; without pages that have no host or no article."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "html"):
-                chosen: dict[tuple[str, str], int] = defaultdict(int)
-                for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                    path = best_path(Page(html or ""))
-                    if path is not None and not LAST_RESORT.fullmatch(path):
-                        chosen[host, path] += 1
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in chosen], pa.string()), pa.array([p for _, p in chosen], pa.string()), pa.array(list(chosen.values()), pa.int64())], ["host", "path", "votes"])
-
-    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes bigint").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+                paths = [best_path(Page(html or "")) for html in part.column("html").to_pylist()]
+                paths = [None if path is None or LAST_RESORT.fullmatch(path) else path for path in paths]
+                yield pa.RecordBatch.from_arrays([part.column("host"), part.column("page"), pa.array(paths, pa.string())], ["host", "page", "path"])
+
+    return pages.where("host <> ''").select("host", "page", "html").mapInArrow(vote, "host string, page bigint, path string")
+
+
+def host_paths(votes: DataFrame, least_share: float = 0.1) -> DataFrame:
+    """host, paths: those with at least ``least_share`` of the votes (host, path, votes), most votes first (so at most 1 / least_share)."""
     totals = votes.groupBy("host").agg(F.sum("votes").alias("total"))
     fair = votes.join(totals, "host").where(F.col("votes") >= least_share * F.col("total"))
     return fair.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))), lambda x: x["path"]).alias("paths"))
@@ -106,17 +133,24 @@ def host_paths(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
 def extract_pages(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
     """page_id, url, text, n_chars, path of every page."""
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-    salted = rows.select("*", host_of(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).alias("salt"))
-    winners = host_paths(rows, least_share).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    met = salted.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "paths")
+    rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("page", F.xxhash64("host", "html", "url", "page_id"))
+    own = stored(own_paths(rows), "own-paths")
+    votes = stored(own.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes")), "path-votes")
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+    once = own.dropDuplicates(["page"]).withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "page"), F.lit(SALTS)))
+    met = once.join(host_paths(votes, least_share).select("*", salts), ["host", "salt"])
+    agreed = votes.where("votes > 1").select("host", "path", F.lit(True).alias("agreed"), salts)
+    met = met.join(agreed, ["host", "salt", "path"], "left").select("page", "paths", F.coalesce("agreed", F.lit(False)).alias("agreed"))
+    single = rows.where("host = ''").select("page_id", "url", "html", F.lit(None).cast("array<string>").alias("paths"), F.lit(False).alias("agreed"))
+    met = rows.where("host <> ''").join(met, "page", "left").select("page_id", "url", "html", "paths", "agreed").unionByName(single)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "html"):
                 texts, chosen = [], []
-                for html, paths in zip(part.column("html").to_pylist(), part.column("paths").to_pylist()):
+                for html, paths, agreed in zip(*(part.column(c).to_pylist() for c in ("html", "paths", "agreed"))):
                     page = Page(html or "")
-                    chosen.append(choose(page, paths or []))
+                    chosen.append(choose(page, paths or [], bool(agreed)))
                     texts.append(extract(page, chosen[-1]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(chosen, pa.string())], ["page_id", "url", "text", "n_chars", "path"])

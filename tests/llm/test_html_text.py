@@ -59,3 +59,25 @@ def test_hosts_agree(spark):
 def test_omitted_tags(spark, html, text):
     assert text_of(html) == text
     assert extract_pages(spark.createDataFrame([(1, "http://h.example/", html)], "page_id bigint, url string, html string")).first().text == text
+
+
+def test_small_templates_keep_their_article(spark):
+    """Under a tenth of the votes, with the major path as a teaser."""
+    major = lambda i: f'<body><div class="entry"><p>{LONG}</p><p>More, {i}.</p></div><div class="box"><p>Short, box.</p></div></body>'
+    minor = lambda i: f'<body><div class="entry"><p>Tiny {i}.</p></div><div class="box"><p>{LONG} {LONG} {i}</p></div></body>'
+    rows = [(i, "http://h.example/", major(i)) for i in range(40)] + [(100 + i, "http://h.example/", minor(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[100 + i] for i in range(3)] == [f"{LONG} {LONG} {i}" for i in range(3)]
+    assert got[7] == f"{LONG}\nMore, 7." and len(got) == len(rows)
+
+
+def test_pages_without_host_stand_alone(spark):
+    rows = [(i, None, f'<body><div class="a"><p>{LONG}</p></div></body>') for i in range(9)] + [(50, "x", f'<body><div class="a"><p>Teaser.</p></div><div class="b"><p>{LONG} {LONG}</p></div></body>')]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[50] == f"{LONG} {LONG}" and got[3] == LONG
+
+
+def test_prose_beside_the_container():
+    many = "".join(f"<p>{LONG}</p>" for _ in range(9))
+    assert text_of(f"<body><div class=post><p>Lead: {LONG}</p><div class=text>{many}</div><p>{LONG} End.</p></div><div>Some links</div></body>") == "\n".join([f"Lead: {LONG}", *[LONG] * 9, f"{LONG} End."])
+    assert text_of(f"<body><p>Few words.</p><div class=text>{many}</div></body>") == "\n".join([LONG] * 9)
