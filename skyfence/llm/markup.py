@@ -24,6 +24,17 @@ NOT_ARTICLE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side rail widget "
     "widgets cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter subscribe signup login comment comments reply replies respond disqus discussion share sharing "
     "social related recommended recommendations pagination pager toolbar search form copyright".split())
+#: Of these, words that headings and parts of an article also have in their names. In an article they leave out what is short or mostly links.
+ALSO_IN_ARTICLES = frozenset("promotion side rail notice notices disclaimer alert reply replies respond discussion share sharing social related recommended recommendations search form copyright header menu navigation "
+    "login signup overlay".split())
+#: Words that a compound may have besides those above, as in "related-posts".
+IN_COMPOUNDS = frozenset("area articles bar block box buttons container inner items left links list main post posts right section site stories thread title top bottom wrap wrapper".split())
+#: Headings, paragraphs and what stands in a line: their ids are slugs.
+IN_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
+#: As in "entry-header", which holds the title.
+OF_ARTICLE = frozenset("article content entry page post story".split())
+#: Links' share of a text, and words, from which and below which a part of an article that is named so is left out.
+MOSTLY_LINKS, SHORT = 0.5, 10
 NOT_ARTICLE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 #: What a head holds; anything else, or text, ends one that is open, as its end tag may be left out.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
@@ -38,10 +49,11 @@ SCOPE = frozenset("ul ol dl table select html body article section div".split())
 
 
 class Element:
-    __slots__ = ("tag", "path", "skip", "parent", "article")
+    __slots__ = ("tag", "path", "skip", "parent", "article", "doubt")
 
     def __init__(self, tag: str, path: str, skip: bool, parent: Element | None, article: bool):
         self.tag, self.path, self.skip, self.parent, self.article = tag, path, skip, parent, article
+        self.doubt: Element | None = parent.doubt if parent else None  # the innermost around that is left out if it is short or mostly links
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -57,14 +69,38 @@ def name_of(tag: str, at: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def left_out(tag: str, at: dict[str, str], in_article: bool) -> bool:
+def words_of_token(token: str) -> list[str]:
+    return [w.lower() for w in WORDS_OF_NAME.findall(token)]
+
+
+def named_so(token: str) -> bool:
+    """Whether the whole token is a name of what is not the article: one such word, or a known compound with one."""
+    words = words_of_token(token)
+    return any(w in NOT_ARTICLE for w in words) and all(w in NOT_ARTICLE or w in IN_COMPOUNDS for w in words)
+
+
+def left_out(tag: str, at: dict[str, str], in_article: bool) -> bool | None:
+    """Whether the element is left out; None if that depends on what it holds."""
     if tag in NEVER or tag == "header" and not in_article or at.get("role", "").lower() in NOT_ARTICLE_ROLES:
         return True
     if not at or tag in ("html", "body", "article", "main"):
         return False
     if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), re.I):
         return True
-    return any(w.lower() in NOT_ARTICLE for w in WORDS_OF_NAME.findall(at.get("class", "") + " " + at.get("id", "")))
+    classes, name = at.get("class", "").split(), at.get("id", "")
+    if tag in IN_TEXT:
+        found = [c for c in classes if named_so(c)]
+        doubtful = all(set(words_of_token(c)) & NOT_ARTICLE <= ALSO_IN_ARTICLES for c in found)
+        return False if not found or doubtful and tag not in BLOCK else None if doubtful else True
+    if in_article:
+        found = [c for c in [*classes, name] if named_so(c)]
+        return False if not found else None if all(set(words_of_token(c)) & NOT_ARTICLE <= ALSO_IN_ARTICLES for c in found) else True
+    words = [words_of_token(c) for c in classes]
+    if any(w in NOT_ARTICLE for ws in words for w in ws if w != "header" or not set(ws) & OF_ARTICLE):
+        return True
+    if tag == "section":
+        return None if named_so(name) else False
+    return any(w in NOT_ARTICLE for w in words_of_token(name))
 
 
 class Page:
@@ -92,6 +128,28 @@ class Page:
                 self.open(tag, m["attributes"])
         self.text(source[at:])
         self.flush()
+        self.settle()
+
+    def settle(self) -> None:
+        """Drop the blocks in doubtful elements that turned out short or mostly links."""
+        held: dict[Element, list[int]] = {}
+        for text, owner, linked in self.blocks:
+            e = owner.doubt
+            while e is not None:
+                row = held.setdefault(e, [0, 0, 0])
+                row[0], row[1], row[2] = row[0] + text.count(" ") + 1, row[1] + len(text), row[2] + linked
+                e = e.parent.doubt
+        if not held:
+            return
+        gone = {e for e, (words, chars, linked) in held.items() if linked >= MOSTLY_LINKS * chars or words < SHORT and e.tag not in IN_TEXT}
+        kept = []
+        for block in self.blocks:
+            e = block[1].doubt
+            while e is not None and e not in gone:
+                e = e.parent.doubt
+            if e is None:
+                kept.append(block)
+        self.blocks = kept
 
     def text(self, source: str) -> None:
         if self.stack[-1].tag == "head" and source.strip():
@@ -133,7 +191,11 @@ class Page:
             return
         path = f"{parent.path}/{name_of(tag, at)}" if tag in BLOCK and parent.path.count("/") < LONGEST_PATH else parent.path
         within = parent.article or tag in ("article", "main")
-        self.stack.append(Element(tag, path, parent.skip or left_out(tag, at, parent.article), parent, within))
+        out = left_out(tag, at, parent.article)
+        element = Element(tag, path, parent.skip or bool(out), parent, within)
+        if out is None:
+            element.doubt = element
+        self.stack.append(element)
         self.links += tag == "a"
 
     def close(self, tag: str, scope: frozenset = frozenset()) -> None:

@@ -81,3 +81,23 @@ def test_prose_beside_the_container():
     many = "".join(f"<p>{LONG}</p>" for _ in range(9))
     assert text_of(f"<body><div class=post><p>Lead: {LONG}</p><div class=text>{many}</div><p>{LONG} End.</p></div><div>Some links</div></body>") == "\n".join([f"Lead: {LONG}", *[LONG] * 9, f"{LONG} End."])
     assert text_of(f"<body><p>Few words.</p><div class=text>{many}</div></body>") == "\n".join([LONG] * 9)
+
+
+@pytest.mark.parametrize("part", [
+    f"<section id='discussion'><p>{LONG}</p></section>", "<h2 id='related-work'>Related work</h2>", "<h2 id='search-algorithms'>Search</h2>", "<div class='entry-header'><h1>Title</h1></div>", f"<p id='side-effects'>{LONG}</p>",
+    "<p>One <span id='notice'>two</span> three.</p>", f"<div id='social-theory'><p>{LONG}</p></div>", f"<div class='form-factor'><p>{LONG}</p></div>",
+])
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_names_that_articles_have(part, around):
+    if around == "div" and part.startswith(("<div id", "<div class='form")):
+        return  # outside an article, containers other than sections go by any word of their name
+    got = text_of(f"<body><{around}><p>{LONG}</p>{part}<p>End, {LONG}</p></{around}></body>").split("\n")
+    assert len(got) == 3 and got[0] == LONG
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='related-posts'><a href=1>One more story of a kind that is like this one</a></div>", f"<div id='comments'><p>{LONG} {LONG}</p></div>", f"<ul class='comment-list'><li>{LONG}</ul>", "<div class='share'>Share this</div>",
+    f"<div class='ad'><p>{LONG}</p></div>", "<div id='related'><a href=1>One more story of a kind that is like this one</a></div>", f"<div class=cookie-notice>{LONG}</div>",
+])
+def test_parts_left_out_of_articles(part):
+    assert text_of(f"<body><article><p>{LONG}</p>{part}</article></body>") == LONG
