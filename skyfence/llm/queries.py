@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfence.llm import bpe, deleted_interpolation, edit_fingerprints, html_text, jaccard_join, language_id, mixing, quality_model, quality_rules, token_counts
+from skyfence.llm import bpe, collocations, deleted_interpolation, edit_fingerprints, html_text, jaccard_join, language_id, mixing, quality_model, quality_rules, spelling, token_counts, warc
 from skyfence.llm.common import table
+from skyfence.session import shared_dir
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +51,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit_on_sample(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op2_html_text, op3_mix_sources, op4_jaccard_join, op5_byte_bpe, op6_quality_classifier, op7_edit_fingerprints, op8_language_id, op9_token_counts, op10_quality_rules)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archives(pages, path)
+    return warc.page_records(warc.read_archives(spark, path), pages.schema["page_id"].dataType)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op2_html_text, op3_mix_sources, op4_jaccard_join, op5_byte_bpe, op6_quality_classifier, op7_edit_fingerprints, op8_language_id, op9_token_counts, op10_quality_rules, op11_collocations, op12_warc, op13_spelling)}
 
 ORACLES = {
     "op3_mix_sources": f"select doc_id, size, source_size, target, epochs * size as taken from ({mixing.MIX_SQL.format(docs='documents')})",
+    "op11_collocations": collocations.COLLOCATIONS_SQL.format(docs="documents"),
+    "op12_warc": warc.RECORDS_SQL.format(pages="pages"),
 }
