@@ -22,14 +22,14 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[places[0]:places[-1]], places - places[0]
 
 
-def runs(data: np.ndarray, places: np.ndarray, wanted: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Maximal runs of wanted bytes within a text, A-Z lowered, as a binary array; the place of each run's first byte."""
+def runs(data: np.ndarray, places: np.ndarray, wanted: np.ndarray, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Maximal runs of wanted bytes within a text, A-Z lowered or not, as a binary array; the place of each run's first byte."""
     begins = wanted.copy()
     begins[1:] &= ~wanted[:-1]
     heads = places[:-1][places[:-1] < len(data)]
     begins[heads] = wanted[heads]
     at = np.flatnonzero(begins)
-    kept = LOWER[data[wanted]]
+    kept = LOWER[data[wanted]] if lower else data[wanted]
     ends = np.append((np.cumsum(wanted, dtype=np.int64)[at] - 1), len(kept)).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(kept)]), at
 
