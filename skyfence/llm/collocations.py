@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from skyfence.llm.common import by_bytes, lean, stored
 from skyfence.llm.grams import mixed
-from skyfence.llm.letters import encoded, grouped, raw, rows_of, runs
+from skyfence.llm.letters import encoded, grouped, ranked, raw, rows_of, runs
 from skyfence.llm.word_tries import DoubleArray
 
-MB = 12.0
+MB = 6.0
 #: Bits of the filter of pairs: 16 MB at any size of the corpus. A fuller filter lets more sequences be counted, and loses none.
 FILTER_BITS = 27
 #: Candidates of one trie; bytes of tries broadcast in one round.
@@ -50,13 +50,11 @@ class Words:
         kind = _KIND[data]
         found, at = runs(data, places, kind == 0)
         row = rows_of(at, places)
-        breaks = kind == 2
-        breaks[places[:-1][places[:-1] < len(data)]] = True
-        self.pieces = np.cumsum(breaks, dtype=np.int32)[at]
+        self.pieces = np.searchsorted(np.flatnonzero(kind == 2), at) + row
         code, distinct = encoded(found)
         lang, names = encoded(pc.fill_null(langs.cast(pa.large_binary()), b"und"))
         both = code * max(1, len(names)) + lang[row]
-        pairs, self.codes = np.unique(both, return_inverse=True)
+        pairs, self.codes = ranked(both, len(distinct) * len(names))
         first, second = pa.array(pairs // max(1, len(names))), pa.array(pairs % max(1, len(names)))
         self.bare = distinct.take(first)
         self.words = pc.binary_join_element_wise(names.take(second), self.bare, pa.scalar(b"\n", pa.large_binary()))

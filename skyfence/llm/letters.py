@@ -30,7 +30,10 @@ def runs(data: np.ndarray, places: np.ndarray, wanted: np.ndarray, lower: bool =
     begins[heads] = wanted[heads]
     at = np.flatnonzero(begins)
     kept = LOWER[data[wanted]] if lower else data[wanted]
-    ends = np.append((np.cumsum(wanted, dtype=np.int64)[at] - 1), len(kept)).astype(np.int64)
+    # Behind a run lies an unwanted byte, the next text or the end.
+    begins[:-1] = ~wanted[1:] | begins[1:]
+    begins[-1:] = True
+    ends = np.append(0, np.cumsum(np.flatnonzero(begins & wanted) + 1 - at))
     return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(kept)]), at
 
 
@@ -59,3 +62,12 @@ def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new[1:] |= s[1:] != s[:-1]
     first = np.flatnonzero(new)
     return order[first], np.diff(np.append(first, len(order)))
+
+
+def ranked(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them; all lie in [0, below)."""
+    if below > 4 * len(values) + 1024:
+        return np.unique(values, return_inverse=True)
+    there = np.zeros(below, bool)
+    there[values] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[values]
