@@ -28,6 +28,8 @@ from skyfence.llm.common import stored
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 #: Payloads of at least so many bytes are written once.
 LEAST = 1000
+#: Revisits of one response meet it under so many keys.
+SALTS = 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -218,12 +220,16 @@ def _glued(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
 def page_records(records: DataFrame, page_type: DataType) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; revisits by the response they refer to."""
-    responses = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers")).agg(
-        F.max("page").cast(page_type).alias("refers_to"), F.max("bytes").alias("full_bytes"), F.max("digest").alias("full_digest"))
     revisit = F.col("record_type") == "revisit"
-    rows = records.select(F.col("page").cast(page_type).alias("page_id"), "record_type", F.when(revisit, F.col("refers")).alias("refers"), "bytes", "digest")
-    return rows.join(responses, "refers", "left").select(
-        "page_id", F.when(revisit, F.col("full_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(revisit, F.col("full_digest")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", "refers_to")
+    salt = F.pmod(F.xxhash64("file", "off"), F.lit(SALTS))
+    rows = records.select(F.col("page").cast(page_type).alias("page_id"), "record_type", F.when(revisit, F.col("refers")).alias("refers"), "bytes", "digest", "record_id", F.when(revisit, salt).alias("salt"))
+    # A response may have any number of revisits: they meet it under salts, and only responses that are referred to are dealt out.
+    named = rows.where("refers is not null").select("refers", "salt").distinct()
+    responses = rows.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to"), F.max("bytes").alias("full_bytes"), F.max("digest").alias("full_digest"))
+    responses = named.join(responses, named["refers"] == responses["record_id"]).drop("record_id")
+    again = rows.where(revisit).join(responses, ["refers", "salt"], "left").select("page_id", F.col("full_bytes").alias("payload_bytes"), F.col("full_digest").alias("payload_digest"), "record_type", "refers_to")
+    first = rows.where(~revisit).select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast(page_type).alias("refers_to"))
+    return first.unionByName(again)
 
 
 #: The same in DuckDB's SQL; {pages}: a table with page_id and html.
