@@ -31,11 +31,13 @@ from skyfence.llm.grams import mixed
 from skyfence.llm.letters import encoded, grouped, ranked, raw, rows_of, runs
 from skyfence.llm.word_tries import DoubleArray
 
-MB = 6.0
+MB = 4.0
 #: Bits of the filter of pairs: 16 MB at any size of the corpus. A fuller filter lets more sequences be counted, and loses none.
 FILTER_BITS = 27
 #: Candidates of one trie; bytes of tries broadcast in one round.
 SHARD, ROUND_BYTES = 100_000, 64_000_000
+#: Slots of a trie that are summed together; parts of what is summed or ranked together.
+VECTOR, SALTS = 4096, 64
 
 _KIND = np.zeros(256, np.uint8)  # 0: letter of a word, 1: blank, 2: end of a piece
 _KIND[[0x20, 0x09]] = 1
@@ -178,21 +180,38 @@ def _tries(candidates: DataFrame) -> DataFrame:
     return stored(dealt.groupBy("shard").applyInArrow(build, "shard int, slot bigint, phrase binary"), "phrase-tries")
 
 
-def _counted(docs: DataFrame, tries: list[tuple[int, bytes]]) -> DataFrame:
-    """(shard, slot, n): how often the texts reach each slot of the tries sent."""
+def _counted(docs: DataFrame, tries: list[tuple[int, bytes]], least: int) -> DataFrame:
+    """(shard, slot, f): slots of the tries sent that the texts reach ``least`` times."""
     sent = docs.sparkSession.sparkContext.broadcast(tries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = [(shard, DoubleArray.unpack(data)) for shard, data in sent.value]
-        sums = [np.zeros(len(t.base), np.int64) for _, t in mine]
+        sums = [np.zeros(-(-len(t.base) // VECTOR) * VECTOR, np.int64) for _, t in mine]
         for w in _parts(batches):
             for total, (_, trie) in zip(sums, mine):
-                total += trie.counts(w.words, w.codes, w.pieces)
+                total[:len(trie.base)] += trie.counts(w.words, w.codes, w.pieces)
         for total, (shard, _) in zip(sums, mine):
-            slot = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), shard, np.int32)), pa.array(slot), pa.array(total[slot])], ["shard", "slot", "n"])
+            parts = [(i, v) for i, v in enumerate(total.reshape(-1, VECTOR)) if v.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(parts), pa.int32()), pa.array([i for i, _ in parts], pa.int64()), pa.array([v.tobytes() for _, v in parts], pa.binary())], ["shard", "part", "counts"])
 
-    return docs.mapInArrow(lean(run), "shard int, slot bigint, n bigint")
+    def added(key: tuple, rows: pa.Table) -> np.ndarray:
+        total = np.zeros(VECTOR, np.int64)
+        for data in rows.column("counts"):
+            total += np.frombuffer(data.as_buffer(), np.int64)
+        return total
+
+    def some(key: tuple, rows: pa.Table) -> pa.Table:
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([added(key, rows).tobytes()], pa.binary())})
+
+    def all_of(key: tuple, rows: pa.Table) -> pa.Table:
+        total = added(key, rows)
+        slot = np.flatnonzero(total >= least)
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(slot), pa.int32()), "slot": pa.array(slot + key[1].as_py() * VECTOR), "f": pa.array(total[slot])})
+
+    # Vectors of counts are added up in two steps, so no task gets those of all tasks.
+    kind = "shard int, part bigint, counts binary"
+    vectors = docs.mapInArrow(lean(run), kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return vectors.groupBy("shard", "part", "salt").applyInArrow(some, kind).groupBy("shard", "part").applyInArrow(all_of, "shard int, slot bigint, f bigint")
 
 
 def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
@@ -215,15 +234,14 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
             held += sizes[end][1]
             end += 1
         mine = tries.where((F.col("slot") == -1) & F.col("shard").between(sizes[begin][0], sizes[end - 1][0]))
-        part = _counted(docs, [(r["shard"], bytes(r["phrase"])) for r in mine.select("shard", "phrase").collect()])
+        part = _counted(docs, [(r["shard"], bytes(r["phrase"])) for r in mine.select("shard", "phrase").collect()], least)
         counts = part if counts is None else counts.unionByName(part)
         begin = end
     words = short.where("word is not null").select(F.col("word").cast("string").alias("phrase"), "f")
     if counts is None:
         return words
-    sums = counts.groupBy("shard", "slot").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     ends = tries.where("slot >= 0").select("shard", "slot", F.col("phrase").cast("string").alias("phrase"))
-    return words.unionByName(ends.join(sums, ["shard", "slot"]).select("phrase", "f"))
+    return words.unionByName(ends.join(counts, ["shard", "slot"]).select("phrase", "f"))
 
 
 def _sub(words: Column, lang: Column, start: int, size: Column) -> Column:
@@ -253,8 +271,11 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, absorbed: in
     longer = inner.groupBy("phrase").agg(F.max("a").alias("most"))
     kept = cand.join(longer, "phrase", "left").where("most is null or cast(most as decimal(19,0)) * 100 < cast(a as decimal(19,0)) * " + str(int(absorbed)))
     ranked = kept.join(best, "phrase").select("lang", F.col("text").alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = ranked.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
+    # The best of each language are among the best of its parts, so the last window holds a bounded number of rows.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    salted = ranked.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top).drop("salt")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

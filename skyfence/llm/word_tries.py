@@ -90,7 +90,7 @@ class DoubleArray:
         at = np.flatnonzero(mine >= 0)
         state, start = np.zeros(len(at), np.int64), at
         while len(at):
-            nxt = self.base[state] + mine[at]
+            nxt = self.base[state].astype(np.int64) + mine[at]
             real = (nxt >= 0) & (nxt < len(self.base))
             real[real] = self.check[nxt[real]] == state[real]
             state, at, start = nxt[real], at[real] + 1, start[real]
@@ -112,4 +112,4 @@ class DoubleArray:
         z = np.load(io.BytesIO(data))
         places = np.append(0, np.cumsum(z["lengths"], dtype=np.int64))
         words = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(z["joined"])])
-        return cls(words, z["base"].astype(np.int64), z["check"].astype(np.int64))
+        return cls(words, z["base"], z["check"])
