@@ -49,7 +49,8 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, date: str =
     same = ["digest", "bytes", "h"]
     # A url rides along, so that the response's id can be told without its row.
     groups = rows.where(F.col("bytes") >= least).groupBy(*same).agg(F.max(F.struct("page_id", "url")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(groups, same, "left")
+    # Written first: Spark knows its size then, and pages need not be shuffled to meet a short table.
+    rows = rows.join(stored(groups, "warc-copies"), same, "left")
     text = F.col("page_id").cast("string")
     revisit = F.col("kept.page_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("kept.page_id")))
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
