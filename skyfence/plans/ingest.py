@@ -303,6 +303,27 @@ def s13(spark, sf):
     return out
 
 
+@query("s13_prune_table", f"""
+with o as (select o_orderkey, o_custkey, o_totalprice, case when o_orderstatus = 'F' then 'resolved' else 'open' end as status, epoch_us(o_orderdate) as t from orders),
+m as (select max(t) as now from o)
+select 'telemetry' as table_name, o_orderkey, o_custkey, o_totalprice, status, t from o, m where not t < now - 400 * {DAY}
+union all select 'alerts', o_orderkey, o_custkey, o_totalprice, status, t from o, m where not (status = 'resolved' and t < now - 365 * {DAY})""")
+def s13_table(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    t = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    now = o.agg(F.max(t).alias("m")).first()["m"]  # one number
+    rows = o.select("o_orderkey", "o_custkey", "o_totalprice", F.when(F.col("o_orderstatus") == "F", "resolved").otherwise("open").alias("status"), t.alias("t"))
+    out = None
+    for name, days in (("telemetry", 400), ("alerts", 365)):
+        path = shared_dir(spark, "stored")
+        stored = rows.withColumn(sinks.RETENTION[name][1], F.col("t")).withColumn("event_date", F.date_trunc("month", F.timestamp_micros("t")).cast("date"))
+        stored.repartition("event_date").write.partitionBy("event_date").parquet(path)
+        sinks.prune_table(spark, path, name, now, days, period="month")
+        kept = spark.read.schema(stored.schema).parquet(path).select(F.lit(name).alias("table_name"), *rows.columns)
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
 @query("s14_export_features", with_frames("""
 select t_us, sensor_id, frame_type as label, cast(rssi_dbm as double) as rssi_dbm, cast(channel as double) as channel, case when privacy then 0e0 else 1e0 end as enc_open,
   0e0 as enc_wep, case when privacy and not pmf then 1e0 else 0e0 end as enc_wpa2, case when privacy and pmf then 1e0 else 0e0 end as enc_wpa3,

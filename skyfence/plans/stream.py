@@ -18,6 +18,7 @@ from skyfence.plans.ingest import BASE
 from skyfence.plans.respond import PARTS, PLAIN_RULE_SQL, SCALED
 from skyfence.plans.risk import findings, ruled
 from skyfence.session import shared_dir
+from skyfence.sources.networks import read_networks
 from skyfence.streaming import stateful as ST
 from skyfence.streaming import windowed as W
 
@@ -163,6 +164,4 @@ def st_s10(spark, sf):
 
     rows, path = replay(spark, sf, 2)
     W.upsert_stream(sightings(rows.filter(f"t_us < {END}")), f"{path}/net", f"{path}/ck").awaitTermination()
-    last = spark.read.option("basePath", f"{path}/net").parquet(f"{path}/net")
-    newest = last.agg(F.max("v").alias("v")).first()["v"]  # one number
-    return spark.read.parquet(f"{path}/net/v={newest}").drop("vendor")
+    return read_networks(spark, f"{path}/net").drop("vendor")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
@@ -86,11 +88,42 @@ def prune_counts(df: DataFrame, table: str, now_us: int, days: int | None = None
     return df.agg(F.count_if(gone).alias("dropped"), F.count_if(~gone).alias("kept")).select(F.lit(table).alias("table_name"), "dropped", "kept")
 
 
-def prune_table(spark, path: str, table: str, now_us: int, out: str) -> None:
-    """Write the kept rows, date partition by date partition, to a fresh folder."""
-    kept = prune(spark.read.parquet(path), table, now_us)
-    writer = kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy("event_date") if "event_date" in kept.columns else writer).parquet(out)
+def prune_table(spark: SparkSession, path: str, table: str, now_us: int, days: int | None = None, period: str = "day") -> dict[str, list[str]]:
+    """Prune a table stored by ``event_date`` in place; the dates dropped, rewritten and left.
+
+    ``event_date`` is the first day of the ``period`` (day or month) that the table's time column lies in. Periods wholly behind
+    the limit are deleted without being read where every old row may go; where only some may (open alerts stay), and in the period
+    that the limit falls into, the rows that stay are written anew. Younger periods are not touched.
+    """
+    from skyfence.session import shared_dir
+    from skyfence.sources.networks import Files
+
+    keep, _, only = RETENTION[table]
+    limit = datetime(1970, 1, 1) + timedelta(microseconds=now_us - (keep if days is None else days) * DAY_US)
+
+    def end(day: str) -> datetime:
+        begin = datetime.fromisoformat(day)
+        return begin + timedelta(days=1) if period == "day" else (begin.replace(day=1) + timedelta(days=32)).replace(day=1)
+
+    files = Files(spark, path)
+    dates = sorted(n[11:] for n in files.names("") if n.startswith("event_date=") and n[11:12].isdigit())
+    old = [d for d in dates if datetime.fromisoformat(d) < limit]
+    dropped = [d for d in old if only is None and end(d) <= limit]
+    rewritten = [d for d in old if d not in set(dropped)]
+    for d in dropped:
+        files.drop(f"event_date={d}")
+    if rewritten:
+        rows = spark.read.parquet(path).where(F.col("event_date").cast("string").isin(rewritten))
+        draft = shared_dir(spark, "prune")
+        prune(rows, table, now_us, days).write.partitionBy("event_date").parquet(draft)
+        stay = {n[11:] for n in Files(spark, draft).names("") if n.startswith("event_date=")}
+        if stay:
+            rows = spark.read.schema(rows.schema).option("basePath", draft).parquet(draft)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+        for d in set(rewritten) - stay:
+            files.drop(f"event_date={d}")
+        Files(spark, draft).drop("")
+    return {"dropped": dropped, "rewritten": rewritten, "left": dates[len(old):]}
 
 
 FEATURES = ["rssi_dbm", "channel", "enc_open", "enc_wep", "enc_wpa2", "enc_wpa3", "is_hidden", "wps_enabled"]

@@ -72,19 +72,15 @@ def siem_stream(alerts: DataFrame, path: str, checkpoint: str, once: bool = True
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def upsert_stream(sightings: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep the (bssid, ssid) network table current: each micro-batch merges into a new version folder.
+def upsert_stream(sightings: DataFrame, path: str, checkpoint: str, once: bool = True, buckets: int = 64) -> StreamingQuery:
+    """Keep the (bssid, ssid) network table current: each micro-batch rewrites the buckets of access points it touches.
 
-    Versions are named by batch, so a retried batch rewrites its own version and nothing is counted twice.
+    Batches are committed by number (``sources.networks``), so a retried batch is not counted twice. Read it by ``read_networks``.
     """
-    from skyfence.sources.sinks import upsert_networks
+    from skyfence.sources.networks import merge_batch
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v={number - 1}") if number > 0 else None
-        upsert_networks(before, batch).write.mode("overwrite").parquet(f"{path}/v={number}")
+        merge_batch(batch, number, path, buckets)
 
     writer = sightings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-
