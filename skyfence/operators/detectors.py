@@ -226,8 +226,8 @@ def wep_alert(out: DataFrame) -> DataFrame:
     )
 
 
-def _nth_name(frames: DataFrame, key: str, gap_us: int, nth: int) -> DataFrame:
-    """The sighting that brings a key's distinct names to ``nth`` within an activity episode.
+def _nth_name(frames: DataFrame, key: str, gap_us: int, limits: list[int]) -> DataFrame:
+    """The sightings that bring a key's distinct names to each of ``limits`` within an activity episode.
 
     ``names`` are those up to that sighting; ``episode_names`` has the extent of whole episodes.
     """
@@ -240,16 +240,22 @@ def _nth_name(frames: DataFrame, key: str, gap_us: int, nth: int) -> DataFrame:
         .groupBy(key, "episode", "name").agg(F.min("_first").alias("_first"))
     )
     rank = F.row_number().over(Window.partitionBy(key, "episode").orderBy("_first"))
-    ranked = first.withColumn("_n", rank).filter(F.col("_n") <= nth)
+    ranked = first.withColumn("_n", rank).filter(F.col("_n") <= max(limits))
+    known = ranked.groupBy(key, "episode").agg(F.array_sort(F.collect_list(F.struct("_n", "_first", "name"))).alias("_known"))
+    reached = known.withColumn("_nth", F.explode(F.array(*[F.lit(n) for n in limits]))).filter(F.col("_nth") <= F.size("_known"))
+    names = F.array_sort(F.transform(F.slice("_known", 1, F.col("_nth")), lambda x: x["name"]))
     return (
-        ranked.groupBy(key, "episode")
-        .agg(F.max("_n").alias("name_count"), F.max("_first").alias("_hit"), F.array_sort(F.collect_list("name")).alias("names"))
-        .filter(F.col("name_count") == nth)
-        .select(key, "episode", "_hit.*", F.col("name_count").cast("bigint").alias("name_count"), F.array_join("names", ",").alias("names"))
+        reached.select(key, "episode", F.element_at("_known", F.col("_nth"))["_first"].alias("_hit"), F.col("_nth").cast("bigint").alias("name_count"), F.array_join(names, ",").alias("names"))
+        .select(key, "episode", "_hit.*", "name_count", "names")
         .withColumn("duration_s", F.bround((F.col("t_us") - F.col("episode")) / F.lit(US), 1))
     )
 
 
+def name_limits(first: int, higher: list[int], escalate: bool) -> list[int]:
+    """The first limit, and if wanted the higher ones beyond it."""
+    return [first, *sorted({n for n in higher if n > first and escalate})]
+
+
 def episode_names(frames: DataFrame, key: str, idle_s: int = 60) -> DataFrame:
     """How many distinct names each activity episode of a key had in all: key, episode (its begin), names. ``frames``: key, t_us, ssid."""
     rows = frames.filter(F.col(key).isNotNull()).select(key, "t_us", F.when(~F.col("ssid").isin("", "<Hidden>"), F.col("ssid")).alias("name"))
@@ -257,13 +263,16 @@ def episode_names(frames: DataFrame, key: str, idle_s: int = 60) -> DataFrame:
     return slots.join(episodes(rows, [key], idle_s * US), [key, "_slot"]).groupBy(key, "episode").agg(F.count_distinct("name").alias("names"))
 
 
-def karma(frames: DataFrame, ssids: int = 3, critical: int = 5, idle_s: int = 60) -> DataFrame:
-    """One AP answering for several network names, once per activity episode of the AP."""
+def karma(frames: DataFrame, ssids: int = 3, critical: int = 5, idle_s: int = 60, escalate: bool = False) -> DataFrame:
+    """One AP answering for several network names, once per activity episode of the AP.
+
+    With ``escalate`` an episode that goes on to ``critical`` names raises a second alert there.
+    """
     ads = frames.filter(
         F.col("frame_type").isin("beacon", "probe_resp") & F.col("bssid").isNotNull()
         & F.col("ssid").isNotNull() & ~F.col("ssid").isin("", "<Hidden>")
     ).select("event_id", "t_us", "sensor_id", "bssid", F.col("ssid").alias("name"))
-    return karma_alert(_nth_name(ads, "bssid", idle_s * US, ssids), critical)
+    return karma_alert(_nth_name(ads, "bssid", idle_s * US, name_limits(ssids, [critical], escalate)), critical)
 
 
 def karma_alert(out: DataFrame, critical: int) -> DataFrame:
@@ -274,14 +283,17 @@ def karma_alert(out: DataFrame, critical: int) -> DataFrame:
 
 
 def wardriver(
-    frames: DataFrame, ssids: int = 5, high: int = 10, critical: int = 15, idle_s: int = 60
+    frames: DataFrame, ssids: int = 5, high: int = 10, critical: int = 15, idle_s: int = 60, escalate: bool = False
 ) -> DataFrame:
-    """A station probing for many network names, once per activity episode of the station."""
+    """A station probing for many network names, once per activity episode of the station.
+
+    With ``escalate`` an episode raises a further alert where it reaches ``high`` and ``critical`` names.
+    """
     probes = frames.filter((F.col("frame_type") == "probe_req") & F.col("src_addr").isNotNull()).select(
         "event_id", "t_us", "sensor_id", F.col("src_addr").alias("attacker"),
         F.when(F.col("ssid") != "", F.col("ssid")).alias("name"),
     )
-    return wardriver_alert(_nth_name(probes, "attacker", idle_s * US, ssids), high, critical)
+    return wardriver_alert(_nth_name(probes, "attacker", idle_s * US, name_limits(ssids, [high, critical], escalate)), high, critical)
 
 
 def wardriver_alert(out: DataFrame, high: int, critical: int) -> DataFrame:

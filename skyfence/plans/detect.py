@@ -185,13 +185,14 @@ def d07(spark, sf):
     return flat(df, "severity", "sensor_id", "ssid", "original", "bssid", "t_us", "score", "rssi_delta", "duplicate_count", "confidence", "reasons")
 
 
-def _episode_sql(key: str, where: str, nth: int, severity: str) -> str:
+def _episode_sql(key: str, where: str, limits: dict[int, str], idle_s: int = 60) -> str:
+    level = " ".join(f"when nth = {n} then '{severity}'" for n, severity in limits.items())
     return with_frames(f"""
-select {severity} as severity, {key}, sensor_id, event_id, t_us, {nth} as name_count,
-  (select string_agg(f.ssid, ',' order by f.ssid) from named f where f.{key} = named.{key} and f.episode = named.episode and f.nth <= {nth}) as names,
+select case {level} end as severity, {key}, sensor_id, event_id, t_us, nth as name_count,
+  (select string_agg(f.ssid, ',' order by f.ssid) from named f where f.{key} = named.{key} and f.episode = named.episode and f.nth <= named.nth) as names,
   round((t_us - began) / 1e6, 1) as duration_s
-from named where nth = {nth}""", f"""
-r as (select *, case when t_us - lag(t_us) over (partition by {key} order by t_us, event_id) <= 60000000 then 0 else 1 end as fresh from frames where {where}),
+from named where nth in ({", ".join(map(str, limits))})""", f"""
+r as (select *, case when t_us - lag(t_us) over (partition by {key} order by t_us, event_id) <= {idle_s}000000 then 0 else 1 end as fresh from frames where {where}),
 e as (select *, sum(fresh) over (partition by {key} order by t_us, event_id rows unbounded preceding) as episode from r),
 b as (select *, min(t_us) over (partition by {key}, episode) as began from e),
 firsts as (select * from b where ssid is not null
@@ -199,7 +200,7 @@ firsts as (select * from b where ssid is not null
 named as (select *, row_number() over (partition by {key}, episode order by t_us, event_id) as nth from firsts)""")
 
 
-@query("d08_karma", _episode_sql("bssid", "frame_type in ('beacon', 'probe_resp') and ssid is not null and ssid not in ('', '<Hidden>')", 3, "'HIGH'"))
+@query("d08_karma", _episode_sql("bssid", "frame_type in ('beacon', 'probe_resp') and ssid is not null and ssid not in ('', '<Hidden>')", {3: "HIGH"}))
 def d08(spark, sf):
     return D.karma(load_frames(spark, sf)).select(*D08_COLS)
 
@@ -212,11 +213,25 @@ def d08_extent(spark, sf):
     return D.episode_names(load_frames(spark, sf), "bssid")
 
 
-@query("d10_wardriver", _episode_sql("src_addr", "frame_type = 'probe_req'", 5, "'MEDIUM'"))
+@query("d10_wardriver", _episode_sql("src_addr", "frame_type = 'probe_req'", {5: "MEDIUM"}))
 def d10(spark, sf):
     return D.wardriver(load_frames(spark, sf)).withColumnRenamed("attacker", "src_addr").select(*D10_COLS)
 
 
+KARMA_STEPS = {"ssids": 2, "critical": 4, "idle_s": 300, "escalate": True}
+PROBE_STEPS = {"ssids": 3, "high": 4, "critical": 6, "idle_s": 300, "escalate": True}
+
+
+@query("d08_karma_steps", _episode_sql("bssid", "frame_type in ('beacon', 'probe_resp') and ssid is not null and ssid not in ('', '<Hidden>')", {2: "HIGH", 4: "CRITICAL"}, 300))
+def d08_steps(spark, sf):
+    return D.karma(load_frames(spark, sf), **KARMA_STEPS).select(*D08_COLS)
+
+
+@query("d10_wardriver_steps", _episode_sql("src_addr", "frame_type = 'probe_req'", {3: "MEDIUM", 4: "HIGH", 6: "CRITICAL"}, 300))
+def d10_steps(spark, sf):
+    return D.wardriver(load_frames(spark, sf), **PROBE_STEPS).withColumnRenamed("attacker", "src_addr").select(*D10_COLS)
+
+
 @query("d09_jamming", with_frames("""
 select case when score >= 50 then 'CRITICAL' else 'HIGH' end as severity, sensor_id, channel, t_us, event_id, score, total_frames,
   retries / total_frames as retry_rate, rts_cts_count, round(avg_rssi, 6) as avg_rssi

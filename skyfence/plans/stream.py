@@ -96,6 +96,18 @@ def st_d09(spark, sf):
     return out.select(*PD.D09_COLS, F.round("avg_rssi", 6).alias("avg_rssi"))
 
 
+@query("st_d08_karma_steps", ORACLES["d08_karma_steps"])
+def st_d08_steps(spark, sf):
+    rows, path = replay(spark, sf)
+    return finish(spark, ST.karma_stream(rows, **PD.KARMA_STEPS, base_us=BASE), path).select(*PD.D08_COLS)
+
+
+@query("st_d10_wardriver_steps", ORACLES["d10_wardriver_steps"])
+def st_d10_steps(spark, sf):
+    rows, path = replay(spark, sf)
+    return finish(spark, ST.wardriver_stream(rows, **PD.PROBE_STEPS, base_us=BASE), path).withColumnRenamed("attacker", "src_addr").select(*PD.D10_COLS)
+
+
 @query("st_d10_wardriver", ORACLES["d10_wardriver"])
 def st_d10(spark, sf):
     rows, path = replay(spark, sf)

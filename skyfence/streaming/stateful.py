@@ -155,16 +155,16 @@ def beacon_flood_stream(
     return D.beacon_alert(keyed_stream(beacons, ["sensor_id"], ["sensor_id", "name", "ap", "oui"], step, ddl, width + cool, base_us), ssids, bssids, window_s)
 
 
-def _names_stream(frames: DataFrame, key: str, nth: int, idle_us: int, base_us: int) -> DataFrame:
+def _names_stream(frames: DataFrame, key: str, limits: list[int], idle_us: int, base_us: int) -> DataFrame:
     def step(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
         if "_seen" not in memory or t - memory["_seen"] > idle_us:
             memory["names"], memory["began"] = [], t
         names, out = memory["names"], []
         for r in rows:
-            if r["name"] and r["name"] not in names and len(names) < nth:
+            if r["name"] and r["name"] not in names and len(names) < limits[-1]:
                 names.append(r["name"])
-                if len(names) == nth:
-                    out.append((r["event_id"], t, r["sensor_id"], r[key], nth, ",".join(sorted(names)), memory["began"]))
+                if len(names) in limits:
+                    out.append((r["event_id"], t, r["sensor_id"], r[key], len(names), ",".join(sorted(names)), memory["began"]))
         return out
 
     ddl = f"event_id bigint, t_us bigint, sensor_id string, {key} string, name_count bigint, names string, began bigint"
@@ -172,14 +172,14 @@ def _names_stream(frames: DataFrame, key: str, nth: int, idle_us: int, base_us:
     return found.withColumn("duration_s", F.bround((F.col("t_us") - F.col("began")) / F.lit(US), 1))
 
 
-def karma_stream(frames: DataFrame, ssids: int = 3, critical: int = 5, idle_s: int = 60, base_us: int = 0) -> DataFrame:
+def karma_stream(frames: DataFrame, ssids: int = 3, critical: int = 5, idle_s: int = 60, escalate: bool = False, base_us: int = 0) -> DataFrame:
     ads = frames.filter("frame_type in ('beacon', 'probe_resp') and bssid is not null and ssid is not null and ssid not in ('', '<Hidden>')")
-    return D.karma_alert(_names_stream(ads.withColumn("name", F.col("ssid")), "bssid", ssids, idle_s * US, base_us), critical)
+    return D.karma_alert(_names_stream(ads.withColumn("name", F.col("ssid")), "bssid", D.name_limits(ssids, [critical], escalate), idle_s * US, base_us), critical)
 
 
-def wardriver_stream(frames: DataFrame, ssids: int = 5, high: int = 10, critical: int = 15, idle_s: int = 60, base_us: int = 0) -> DataFrame:
+def wardriver_stream(frames: DataFrame, ssids: int = 5, high: int = 10, critical: int = 15, idle_s: int = 60, escalate: bool = False, base_us: int = 0) -> DataFrame:
     probes = frames.filter("frame_type = 'probe_req' and src_addr is not null").withColumns({"attacker": F.col("src_addr"), "name": F.when(F.col("ssid") != "", F.col("ssid"))})
-    return D.wardriver_alert(_names_stream(probes, "attacker", ssids, idle_s * US, base_us), high, critical)
+    return D.wardriver_alert(_names_stream(probes, "attacker", D.name_limits(ssids, [high, critical], escalate), idle_s * US, base_us), high, critical)
 
 
 def pmkid_stream(
@@ -218,9 +218,12 @@ def pmkid_stream(
 
 
 def krack_stream(
-    frames: DataFrame, m3_limit: int = 3, window_s: int = 30, cooldown_s: int = 120, replay_alert: bool = True, base_us: int = 0
+    frames: DataFrame, m3_limit: int = 3, window_s: int = 30, cooldown_s: int = 120, replay_alert: bool = True, keep_s: int = 86_400, base_us: int = 0
 ) -> DataFrame:
-    """Key reinstallation per (bssid, client)."""
+    """Key reinstallation per (bssid, client).
+
+    That a handshake was completed is remembered for ``keep_s`` of silence; the batch form remembers it for good.
+    """
     width, cool = window_s * US, cooldown_s * US
 
     def step(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
@@ -243,7 +246,7 @@ def krack_stream(
     msg = F.col("eapol_message")
     client = F.when(msg.isin(1, 3), F.col("dst_addr")).otherwise(F.col("src_addr"))
     talk = frames.filter(msg.isNotNull() & F.col("bssid").isNotNull()).withColumn("client", client).filter(F.col("client").isNotNull())
-    return D.krack_alert(keyed_stream(talk, ["bssid", "client"], ["sensor_id", "bssid", "client", "eapol_message"], step, ddl, width + cool, base_us), m3_limit)
+    return D.krack_alert(keyed_stream(talk, ["bssid", "client"], ["sensor_id", "bssid", "client", "eapol_message"], step, ddl, max(width + cool, keep_s * US), base_us), m3_limit)
 
 
 def wep_stream(

@@ -113,6 +113,14 @@ def test_single_ap_is_no_twin(make):
     assert D.evil_twin(make([r for r in twins() if r["bssid"] == AP])).count() == 0
 
 
+def test_karma_and_wardriver_escalate(make):
+    ads = [{"t": i, "frame_type": "probe_resp", "bssid": AP, "ssid": f"n{i}"} for i in range(12)]
+    assert sorted((r.t_us, r.name_count, r.severity) for r in D.karma(make(ads), escalate=True).collect()) == [(2_000_000, 3, "HIGH"), (4_000_000, 5, "CRITICAL")]
+    probes = [{"t": i, "frame_type": "probe_req", "src_addr": STA, "ssid": f"n{i}"} for i in range(30)]
+    got = D.wardriver(make(probes), escalate=True).collect()
+    assert sorted((r.name_count, r.severity, r.names.count(",") + 1) for r in got) == [(5, "MEDIUM", 5), (10, "HIGH", 10), (15, "CRITICAL", 15)]
+
+
 def test_karma_and_wardriver_once_per_episode(make):
     ads = [{"t": i, "frame_type": "probe_resp", "bssid": AP, "ssid": f"n{i}"} for i in range(6)]
     later = [r | {"t": r["t"] + 500} for r in ads]
