@@ -2,20 +2,21 @@
 
 Rows wait in state until the watermark passes them and are then handled in time order, so the
 answers equal the batch forms' whatever order the rows came in. State per key is the waiting rows
-(bounded by the watermark delay) and a small memory (bounded by the detector's window).
+in blocks of typed columns (bounded by the watermark delay) and a small memory (bounded by the detector's window).
 """
 
 from __future__ import annotations
 
+import itertools
 import json
-import warnings
+import random
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from skyfence.operators import detectors as D
 from skyfence.operators import rules as R
@@ -25,6 +26,9 @@ from skyfence.operators.timeline import US
 from skyfence.streaming.windowed import to_parquet
 
 Step = Callable[[dict, int, list[dict]], list[tuple]]
+#: Rows of one block of a key's waiting rows.
+BLOCK = 1000
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def event_time(frames: DataFrame, base_us: int = 0, delay: str = "30 seconds") -> DataFrame:
@@ -40,38 +44,85 @@ def keyed_stream(
     ``frames`` carries ``ts`` with a watermark. A key's memory is dropped once it has been quiet for
     ``idle`` of event time.
     """
-    names = [c.strip().split(" ")[0] for c in ddl.split(",")]
     whole = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
     rows = frames.select(*[c.alias(n) for n, c in whole.items()], "ts", "t_us", "event_id", *[c for c in columns if c not in ("t_us", "event_id")])
-    fields = [c for c in rows.columns if c not in whole and c != "ts"]
-
-    def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        warnings.simplefilter("ignore", FutureWarning)  # raised by the serializer for keys without output
-        memory, waiting = json.loads(state.get[0]) if state.exists else [{}, []]
-        if not state.hasTimedOut:
-            for pdf in batches:
-                waiting += json.loads(pdf[fields].to_json(orient="records"))
-        mark = state.getCurrentWatermarkMs() * 1000 - base_us
-        waiting.sort(key=lambda r: (r["t_us"], r["event_id"]))
-        out, at = [], 0
-        while at < len(waiting) and waiting[at]["t_us"] < mark:
-            end, t = at, waiting[at]["t_us"]
-            while end < len(waiting) and waiting[end]["t_us"] == t:
-                end += 1
-            out += step(memory, t, waiting[at:end])
+    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema if f.name not in whole and f.name != "ts"]
+    typed_state(frames.sparkSession)
+    return rows.groupBy(*whole).transformWithStateInPandas(InOrder(step, fields, ddl, idle_us, base_us), ddl, "append", "eventTime")
+
+
+def typed_state(spark: SparkSession) -> None:
+    """State of several named parts needs the RocksDB store; streams that run already keep the one they began with."""
+    if not spark.conf.get(STORE, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key wait in blocks of typed columns, keyed by the time of their first row, and are stepped through in time order.
+
+    A micro-batch writes its own rows as new blocks and reads only blocks that the watermark has reached, so what else waits for a
+    busy key is neither read nor decoded. Timers wake a key at its blocks' first rows and, to forget it, after ``idle`` of silence.
+    """
+
+    def __init__(self, step: Step, fields: list[tuple[str, str]], ddl: str, idle_us: int, base_us: int):
+        self.step, self.fields, self.idle_us, self.base_us = step, fields, idle_us, base_us
+        self.names = [c.strip().split(" ")[0] for c in ddl.split(",")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.blocks = handle.getMapState("blocks", "first bigint, part bigint", ", ".join(f"`{n}` array<{k}>" for n, k in self.fields))
+        self.memory = handle.getValueState("memory", "seen bigint, held string")
+
+    def wake(self, t_us: int) -> None:
+        self.handle.registerTimer((t_us + self.base_us) // 1000 + 1)
+
+    def keep(self, rows: list[tuple]) -> None:
+        """``rows``: values of ``fields`` (time first), sorted."""
+        for at in range(0, len(rows), BLOCK):
+            part = rows[at:at + BLOCK]
+            self.blocks.updateValue((part[0][0], random.getrandbits(62)), tuple(map(list, zip(*part))))
+            self.wake(part[0][0])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            columns = []
+            for name, kind in self.fields:
+                values = pdf[name].tolist()
+                whole = kind in ("bigint", "int")
+                columns.append([None if v is None or v != v else int(v) if whole else v for v in values])
+            self.keep(sorted(zip(*columns), key=lambda r: r[:2]))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000 - self.base_us
+        blocks = [tuple(k) for k in self.blocks.keys()]
+        due, later = [], []
+        for block in (b for b in blocks if b[0] < mark):
+            rows = list(zip(*self.blocks.getValue(block)))
+            self.blocks.removeKey(block)
+            due += (r for r in rows if r[0] < mark)
+            if rest := [r for r in rows if r[0] >= mark]:
+                later.append(rest)
+        for rest in later:
+            self.keep(rest)
+        held = self.memory.get()
+        memory = json.loads(held[1]) if held is not None else {}
+        if not due:
+            if not blocks and (held is None or held[0] + self.idle_us <= mark):
+                self.memory.clear()
+            return
+        due.sort(key=lambda r: r[:2])
+        names, out = [n for n, _ in self.fields], []
+        for t, same in itertools.groupby(due, key=lambda r: r[0]):
+            out += self.step(memory, t, [dict(zip(names, r)) for r in same])
             memory["_seen"] = t
-            at = end
-        waiting = waiting[at:]
-        if not waiting and memory.get("_seen", 0) + idle_us <= mark:
-            state.remove()
-        else:
-            state.update((json.dumps([memory, waiting]),))
-            wake = waiting[0]["t_us"] if waiting else memory["_seen"] + idle_us
-            state.setTimeoutTimestamp(max((wake + base_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        self.memory.update((memory["_seen"], json.dumps(memory)))
+        self.wake(max(memory["_seen"] + self.idle_us, mark))
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=self.names)
 
-    return rows.groupBy(*whole).applyInPandasWithState(handle, ddl, "s string", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
 
 
 def _cooled(memory: dict, t: int, cool_us: int) -> bool:
