@@ -369,42 +369,68 @@ def evil_twin(
     seconds after it first scored, or at once from ``immediate`` points.
     """
     panes_per = window_s // slide_s
-    ads = frames.filter(F.col("frame_type").isin("beacon", "probe_resp") & F.col("bssid").isNotNull() & (F.col("ssid") != ""))
-    bi = F.col("beacon_interval").cast("bigint")
-    who = F.struct("t_us", "event_id", "vendor_oui", "security", "wps", "pmf")
-    panes = ads.groupBy("sensor_id", "ssid", "bssid", slot_of("t_us", slide_s * US).alias("pane")).agg(
-        F.count("*").alias("n"), F.sum("rssi_dbm").alias("rs"), F.count("rssi_dbm").alias("rn"),
-        F.count(bi).alias("bn"), F.sum(bi).alias("b1"), F.sum(bi * bi).alias("b2"),
-        F.min("t_us").alias("lo"), F.min(who).alias("who"),
-    )
+    ads = twin_frames(frames)
+    panes = ads.groupBy("sensor_id", "ssid", "bssid", slot_of("t_us", slide_s * US).alias("pane")).agg(*twin_sums())
     debut = panes.groupBy("sensor_id", "ssid", "bssid").agg(F.min("lo").alias("first_us"))
     wins = panes.withColumn("win", F.explode(F.sequence(F.col("pane"), F.col("pane") + panes_per - 1)))
     aps = wins.groupBy("sensor_id", "ssid", "bssid", "win").agg(
-        F.sum("n").alias("n"), F.sum("rs").alias("rs"), F.sum("rn").alias("rn"), F.sum("bn").alias("bn"),
-        F.sum("b1").alias("b1"), F.sum("b2").alias("b2"), F.min("who").alias("who"),
-    ).join(debut, ["sensor_id", "ssid", "bssid"])
-    # Sample variance from whole-number sums: exact up to the final division.
-    var = (F.col("bn") * F.col("b2") - F.col("b1") * F.col("b1")) / (F.col("bn") * (F.col("bn") - 1))
-    aps = aps.select(
-        "sensor_id", "ssid", "win", "bssid", "n", "first_us",
-        F.when(F.col("rn") > 0, F.col("rs") / F.col("rn")).otherwise(-100.0).alias("rssi"),
-        F.when(F.col("bn") > 1, F.round(F.sqrt(var), 9)).otherwise(0.0).alias("jitter"),
-        F.upper("who.vendor_oui").alias("oui"), F.col("who.security").alias("sec"),
-        F.col("who.wps").alias("wps"), F.col("who.pmf").alias("pmf"),
-    )
-    same = ["sensor_id", "ssid", "win"]
+        *[F.sum(c).alias(c) for c in ("n", "rs", "rn", "bn", "b1", "b2")], F.min("who").alias("who"),
+    ).join(debut, ["sensor_id", "ssid", "bssid"]).withColumn("seen_us", (F.col("win") + 1) * F.lit(slide_s * US))
+    aps = twin_profiles(aps, "first_us")
+    same = ["sensor_id", "ssid", "seen_us"]
     crowd = aps.groupBy(*same).agg(F.count("*").alias("duplicate_count")).filter(F.col("duplicate_count") > 1)
     a = aps.join(crowd, same).select(*same, "duplicate_count", *[F.col(c).alias(f"o_{c}") for c in aps.columns if c not in same])
     b = aps.select(*same, *[F.col(c).alias(f"s_{c}") for c in aps.columns if c not in same])
     busier = (F.col("o_n") > F.col("s_n")) | (
         (F.col("o_n") == F.col("s_n")) & (F.struct("o_first_us", "o_bssid") < F.struct("s_first_us", "s_bssid"))
     )
-    seen_us = (F.col("win") + 1) * F.lit(slide_s * US)
+    pairs = twin_scores(a.join(b, same).filter(busier), rssi_delta, jitter_ms, new_minutes, report)
+    life = Window.partitionBy("sensor_id", "ssid", "original", "bssid")
+    upto = life.orderBy("t_us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = pairs.withColumn("_since", F.min("t_us").over(upto)).withColumn("score", F.max("now_score").over(upto))
+    ready = (F.col("t_us") - F.col("_since") >= confirm_s * US) | ((F.col("t_us") == F.col("_since")) & (F.col("now_score") >= immediate))
+    out = pairs.filter(ready).withColumn("_k", F.row_number().over(life.orderBy("t_us"))).filter(F.col("_k") == 1)
+    return twin_alert(out, high, critical)
+
+
+def twin_frames(frames: DataFrame) -> DataFrame:
+    return frames.filter(F.col("frame_type").isin("beacon", "probe_resp") & F.col("bssid").isNotNull() & (F.col("ssid") != ""))
+
+
+def twin_sums() -> list:
+    """What a pane or window of an access point's frames adds up to, in whole numbers."""
+    bi = F.col("beacon_interval").cast("bigint")
+    who = F.struct("t_us", "event_id", "vendor_oui", "security", "wps", "pmf")
+    return [
+        F.count("*").alias("n"), F.sum("rssi_dbm").alias("rs"), F.count("rssi_dbm").alias("rn"),
+        F.count(bi).alias("bn"), F.sum(bi).alias("b1"), F.sum(bi * bi).alias("b2"), F.min("t_us").alias("lo"), F.min(who).alias("who"),
+    ]
+
+
+def twin_profiles(aps: DataFrame, first_us: str) -> DataFrame:
+    """The profile of each access point in a window, from its sums."""
+    # Sample variance from whole-number sums: exact up to the final division.
+    var = (F.col("bn") * F.col("b2") - F.col("b1") * F.col("b1")) / (F.col("bn") * (F.col("bn") - 1))
+    return aps.select(
+        "sensor_id", "ssid", "seen_us", "bssid", "n", F.col(first_us).alias("first_us"),
+        F.when(F.col("rn") > 0, F.col("rs") / F.col("rn")).otherwise(-100.0).alias("rssi"),
+        F.when(F.col("bn") > 1, F.round(F.sqrt(var), 9)).otherwise(0.0).alias("jitter"),
+        F.upper("who.vendor_oui").alias("oui"), F.col("who.security").alias("sec"),
+        F.col("who.wps").alias("wps"), F.col("who.pmf").alias("pmf"), *[c for c in ("ts",) if c in aps.columns],
+    )
+
+
+#: Columns of a profile that a pair carries for the original (o_) and the suspect (s_).
+TWIN_SIDE = ["bssid", "n", "first_us", "rssi", "jitter", "oui", "sec", "wps", "pmf"]
+
+
+def twin_scores(pairs: DataFrame, rssi_delta: int, jitter_ms: float, new_minutes: int, report: int) -> DataFrame:
+    """Score pairs of profiles (o_..., s_...) of one sensor, name and window; those with at least ``report`` points."""
     gain = F.col("s_rssi") - F.col("o_rssi")
     shake = F.abs(F.col("s_jitter") - F.col("o_jitter"))
     strong, shaky = gain >= rssi_delta, shake > jitter_ms
     vendor, sec = F.col("o_oui") != F.col("s_oui"), F.col("o_sec") != F.col("s_sec")
-    fresh = (seen_us - F.col("s_first_us")) < F.lit(new_minutes * 60 * US)
+    fresh = (F.col("seen_us") - F.col("s_first_us")) < F.lit(new_minutes * 60 * US)
     score = (
         F.lit(20)
         + F.when(strong, (F.lit(30) * F.least(F.lit(1.0), (gain - rssi_delta) / 20.0)).cast("int")).otherwise(0)
@@ -412,18 +438,18 @@ def evil_twin(
         + F.when(shaky, (F.lit(10) * F.least(F.lit(1.0), shake / 50.0)).cast("int")).otherwise(0)
         + F.when(fresh, 5).otherwise(0)
     )
-    pairs = a.join(b, same).filter(busier & (score >= report)).select(
-        *same, "duplicate_count", F.col("o_bssid").alias("original"), F.col("s_bssid").alias("bssid"),
-        seen_us.alias("t_us"), F.least(score, F.lit(100)).cast("bigint").alias("now_score"),
+    return pairs.filter(score >= report).select(
+        "sensor_id", "ssid", "duplicate_count", F.col("o_bssid").alias("original"), F.col("s_bssid").alias("bssid"),
+        F.col("seen_us").alias("t_us"), F.least(score, F.lit(100)).cast("bigint").alias("now_score"),
         F.when(strong, gain).otherwise(0.0).alias("rssi_delta"), vendor.alias("vendor_mismatch"), sec.alias("security_mismatch"),
         fresh.alias("is_new"), shaky.alias("jittery"),
         (F.col("o_wps") != F.col("s_wps")).alias("wps_diff"), (F.col("o_pmf") != F.col("s_pmf")).alias("pmf_diff"),
+        *[c for c in ("ts",) if c in pairs.columns],
     )
-    life = Window.partitionBy("sensor_id", "ssid", "original", "bssid")
-    upto = life.orderBy("t_us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pairs = pairs.withColumn("_since", F.min("t_us").over(upto)).withColumn("score", F.max("now_score").over(upto))
-    ready = (F.col("t_us") - F.col("_since") >= confirm_s * US) | ((F.col("t_us") == F.col("_since")) & (F.col("now_score") >= immediate))
-    out = pairs.filter(ready).withColumn("_k", F.row_number().over(life.orderBy("t_us"))).filter(F.col("_k") == 1)
+
+
+def twin_alert(out: DataFrame, high: int, critical: int) -> DataFrame:
+    """Alerts from confirmed pairs; the streaming form makes the same rows."""
     diff = F.col("wps_diff") | F.col("pmf_diff")
     yes = lambda c: c.cast("int")
     out = out.withColumn("ie_diff", diff).withColumn(

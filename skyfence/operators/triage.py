@@ -82,30 +82,41 @@ CHAIN_DDL = (
 )
 
 
-class _Spell:
-    """Live chains of one sensor. No two live chains share a target or an attacker: the later one
-    would have joined the earlier, so a lookup by each key finds every match."""
-
-    def __init__(self) -> None:
-        self.by: dict[tuple[str, str], dict] = {}
-        self.made = 0
-
-    def add(self, row, gap_us: int) -> dict | None:
-        keys = [(kind, value) for kind, value in (("bssid", row.bssid), ("attacker", row.attacker)) if value]
-        found = [c for c in (self.by.get(k) for k in keys) if c and c["last"] > row.t_us - gap_us]
-        chain = min(found, key=lambda c: c["no"]) if found else None
-        if chain is None:
-            self.made += 1
-            chain = {"no": self.made, "bssid": row.bssid, "attacker": row.attacker, "first": row.t_us, "event": row.event_id, "n": 0, "types": [], "critical": False}
-            self.by.update(dict.fromkeys(keys, chain))
-            if self.made % 10_000 == 0:
-                self.by = {k: c for k, c in self.by.items() if c is chain or c["last"] > row.t_us - gap_us}
-        chain["last"] = row.t_us
-        chain["n"] += 1
-        chain["critical"] |= row.severity == "CRITICAL"
-        if row.alert_type not in chain["types"]:
-            chain["types"].append(row.alert_type)
-        return chain if found else None
+def no_chains() -> dict:
+    """Live chains of one sensor, in plain values that a stream can keep as its state."""
+    return {"made": 0, "by": {}, "chains": {}}
+
+
+def join_chain(held: dict, gap_us: int, t_us: int, event_id: int, alert_type: str, severity: str, bssid: str | None, attacker: str | None) -> dict | None:
+    """The chain that an alert continues, or None where it begins one.
+
+    No two live chains share a target or an attacker: the later one would have joined the earlier, so a lookup by each key finds
+    every match.
+    """
+    keys = [f"{kind}:{value}" for kind, value in (("bssid", bssid), ("attacker", attacker)) if value]
+    found = [c for c in (held["chains"].get(held["by"].get(k)) for k in keys) if c and c["last"] > t_us - gap_us]
+    chain = min(found, key=lambda c: c["no"]) if found else None
+    if chain is None:
+        held["made"] += 1
+        chain = {"no": held["made"], "bssid": bssid, "attacker": attacker, "first": t_us, "event": event_id, "n": 0, "types": [], "critical": False}
+        held["chains"][str(chain["no"])] = chain
+        held["by"].update(dict.fromkeys(keys, str(chain["no"])))
+    chain["last"] = t_us
+    chain["n"] += 1
+    chain["critical"] |= severity == "CRITICAL"
+    if alert_type not in chain["types"]:
+        chain["types"].append(alert_type)
+    if not found and held["made"] % 1000 == 0:
+        held["chains"] = {no: c for no, c in held["chains"].items() if c["last"] > t_us - gap_us}
+        held["by"] = {k: no for k, no in held["by"].items() if no in held["chains"]}
+    return chain if found else None
+
+
+def chain_row(sensor_id: str, t_us: int, event_id: int, chain: dict) -> tuple:
+    return (
+        sensor_id, t_us, event_id, chain["first"], chain["event"], chain["n"], "CRITICAL" if chain["critical"] else "HIGH",
+        ">".join(chain["types"]), chain["bssid"], chain["attacker"], round((t_us - chain["first"]) / US, 1),
+    )
 
 
 def exploit_chains(alerts: DataFrame, gap_s: float = 300.0) -> DataFrame:
@@ -125,19 +136,15 @@ def exploit_chains(alerts: DataFrame, gap_s: float = 300.0) -> DataFrame:
     parts = rows.repartition("sensor_id", "episode").sortWithinPartitions("sensor_id", "episode", "t_us", "event_id", "alert_type")
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spell, live = None, _Spell()
+        spell, live = None, no_chains()
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 if (row.sensor_id, row.episode) != spell:
-                    spell, live = (row.sensor_id, row.episode), _Spell()
-                chain = live.add(row, gap_us)
+                    spell, live = (row.sensor_id, row.episode), no_chains()
+                chain = join_chain(live, gap_us, row.t_us, row.event_id, row.alert_type, row.severity, row.bssid, row.attacker)
                 if chain:
-                    out.append((
-                        row.sensor_id, row.t_us, row.event_id, chain["first"], chain["event"], chain["n"],
-                        "CRITICAL" if chain["critical"] else "HIGH", ">".join(chain["types"]), chain["bssid"], chain["attacker"],
-                        round((row.t_us - chain["first"]) / US, 1),
-                    ))
+                    out.append(chain_row(row.sensor_id, row.t_us, row.event_id, chain))
             yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in CHAIN_DDL.split(",")])
 
     return parts.mapInPandas(walk, CHAIN_DDL)

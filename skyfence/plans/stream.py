@@ -17,6 +17,7 @@ from skyfence.plans.base import ORACLES, query
 from skyfence.plans.ingest import BASE
 from skyfence.plans.respond import PARTS, PLAIN_RULE_SQL, SCALED
 from skyfence.plans.risk import findings, ruled
+from skyfence.plans.views import simple_alerts
 from skyfence.session import shared_dir
 from skyfence.sources.networks import read_networks
 from skyfence.streaming import stateful as ST
@@ -96,6 +97,13 @@ def st_d09(spark, sf):
     return out.select(*PD.D09_COLS, F.round("avg_rssi", 6).alias("avg_rssi"))
 
 
+@query("st_d07_evil_twin", ORACLES["d07_evil_twin"])
+def st_d07(spark, sf):
+    rows, path = replay(spark, sf)
+    df = finish(spark, ST.evil_twin_stream(rows, base_us=BASE), path).withColumn("rssi_delta", F.round("rssi_delta", 6))
+    return PD.flat(df, "severity", "sensor_id", "ssid", "original", "bssid", "t_us", "score", "rssi_delta", "duplicate_count", "confidence", "reasons")
+
+
 @query("st_d08_karma_steps", ORACLES["d08_karma_steps"])
 def st_d08_steps(spark, sf):
     rows, path = replay(spark, sf)
@@ -145,6 +153,23 @@ def st_d18(spark, sf):
     return out.groupBy("alert_type", "severity").agg(F.count("*").alias("alerts"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
 
 
+@query("st_d18_full_wids", ORACLES["d18_run_detectors"])
+def st_d18_full(spark, sf):
+    rows, path = replay(spark, sf)
+    for q in ST.start_detectors(rows, f"{path}/out", f"{path}/ck", "full_wids", SCALED, BASE):
+        q.awaitTermination()
+    out = spark.read.parquet(f"{path}/out").filter(F.col("t_us") < END)
+    return out.groupBy("alert_type", "severity").agg(F.count("*").alias("alerts"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+
+
+@query("st_d12_exploit_chains", ORACLES["d12_exploit_chains"])
+def st_d12(spark, sf):
+    rows, path = replay(spark, sf)
+    alerts = simple_alerts(rows, "ts").withColumn("severity", F.when(F.col("severity") == "HIGH", "CRITICAL").otherwise("LOW"))
+    chains = finish(spark, ST.exploit_chains_stream(alerts, 20, BASE), path).filter(F.col("t_us") < END)
+    return chains.select("sensor_id", "t_us", "event_id", "chain_start", "chain_event", "alerts", "severity", "target_bssid", "attacker")
+
+
 @query("st_n06_dedup_frames", f"select event_id, t_us, bssid, frame_type from ({ORACLES['n06_dedup_frames']})")
 def st_n06(spark, sf):
     rows, path = replay(spark, sf)

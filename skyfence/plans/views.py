@@ -193,11 +193,11 @@ def a11_pages(spark, sf):
     return A.alert_pages(paging_alerts(load_frames(spark, sf)))
 
 
-def simple_alerts(frames):
+def simple_alerts(frames, *more):
     t = F.col("frame_type")
     return frames.filter(t.isin("deauth", "disassoc")).select(
         "event_id", "t_us", "sensor_id", "bssid", F.col("dst_addr").alias("attacker"), F.when(t == "deauth", "deauth_flood").otherwise("disassoc_flood").alias("alert_type"),
-        F.when(F.col("rssi_dbm") > -50, "HIGH").otherwise("LOW").alias("severity"), F.concat(t, F.lit(" seen")).alias("title"),
+        F.when(F.col("rssi_dbm") > -50, "HIGH").otherwise("LOW").alias("severity"), F.concat(t, F.lit(" seen")).alias("title"), *more,
     )
 
 

@@ -23,7 +23,8 @@ from skyfence.operators import rules as R
 from skyfence.operators.alerts import normalise_alerts
 from skyfence.operators.detector_set import PROFILES
 from skyfence.operators.timeline import US
-from skyfence.streaming.windowed import to_parquet
+from skyfence.operators.triage import CHAIN_DDL, chain_row, join_chain, no_chains
+from skyfence.streaming.windowed import jamming_stream, to_parquet
 
 Step = Callable[[dict, int, list[dict]], list[tuple]]
 #: Rows of one block of a key's waiting rows.
@@ -37,18 +38,18 @@ def event_time(frames: DataFrame, base_us: int = 0, delay: str = "30 seconds") -
 
 
 def keyed_stream(
-    frames: DataFrame, keys: list[str], columns: list[str], step: Step, ddl: str, idle_us: int = 600 * US, base_us: int = 0
+    frames: DataFrame, keys: list[str], columns: list[str], step: Step, ddl: str, idle_us: int = 600 * US, base_us: int = 0, event_time: str = ""
 ) -> DataFrame:
     """Run ``step(memory, time, rows of that time)`` over each key's rows in event-time order.
 
     ``frames`` carries ``ts`` with a watermark. A key's memory is dropped once it has been quiet for
-    ``idle`` of event time.
+    ``idle`` of event time. ``event_time`` names a timestamp column of the output that a later step of the query goes by.
     """
     whole = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
     rows = frames.select(*[c.alias(n) for n, c in whole.items()], "ts", "t_us", "event_id", *[c for c in columns if c not in ("t_us", "event_id")])
     fields = [(f.name, f.dataType.simpleString()) for f in rows.schema if f.name not in whole and f.name != "ts"]
     typed_state(frames.sparkSession)
-    return rows.groupBy(*whole).transformWithStateInPandas(InOrder(step, fields, ddl, idle_us, base_us), ddl, "append", "eventTime")
+    return rows.groupBy(*whole).transformWithStateInPandas(InOrder(step, fields, ddl, idle_us, base_us), ddl, "append", "eventTime", eventTimeColumnName=event_time)
 
 
 def typed_state(spark: SparkSession) -> None:
@@ -348,9 +349,76 @@ def rules_stream(frames: DataFrame, rules: list[dict] | None = None, base_us: in
     return R.named_rules(keyed_stream(hits, ["sensor_id", "rule_no"], ["sensor_id", "bssid", "ssid", "rule_no"], step, ddl, max(waits), base_us), live)
 
 
+def evil_twin_stream(
+    frames: DataFrame, window_s: int = 120, slide_s: int = 30, confirm_s: int = 30, rssi_delta: int = 15, jitter_ms: float = 10.0, new_minutes: int = 10,
+    report: int = 40, high: int = 60, critical: int = 80, immediate: int = 90, keep_s: int = 7 * 86_400, base_us: int = 0,
+) -> DataFrame:
+    """Pairs of access points sharing a name in a sensor's view, the alerts of the batch form.
+
+    Spark adds up each access point's frames by sliding window; a closed window's profiles meet by (sensor, name), where the state
+    is when each access point was first seen; pairs are scored by the batch form's columns and wait for confirmation by pair.
+    First sightings and reported pairs are remembered for ``keep_s`` of silence; the batch form remembers them for good.
+    """
+    spans = F.window("ts", f"{window_s} seconds", f"{slide_s} seconds", f"{base_us % (slide_s * US)} microseconds")
+    aps = D.twin_frames(frames).groupBy(spans, "sensor_id", "ssid", "bssid").agg(*D.twin_sums())
+    aps = aps.withColumns({"ts": F.window_time("window"), "seen_us": F.unix_micros("window.end") - F.lit(base_us)})
+    rows = D.twin_profiles(aps, "lo").withColumns({"t_us": F.col("seen_us"), "event_id": F.lit(0).cast("bigint")})
+
+    side = list(D.TWIN_SIDE)
+
+    def meet(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
+        first = memory.setdefault("first", {})
+        for r in rows:
+            r["first_us"] = first[r["bssid"]] = min(first.get(r["bssid"], r["first_us"]), r["first_us"])
+        rows = sorted(rows, key=lambda r: (-r["n"], r["first_us"], r["bssid"]))  # the busier access point counts as the original
+        at = pd.Timestamp(t + base_us - 1, unit="us", tz="UTC")
+        return [
+            (at, r["sensor_id"], r["ssid"], t, len(rows), *[r[c] for c in side], *[s[c] for c in side])
+            for i, r in enumerate(rows) for s in rows[i + 1:]
+        ]
+
+    kinds = dict(zip(D.TWIN_SIDE, ("string", "bigint", "bigint", "double", "double", "string", "string", "boolean", "boolean")))
+    ddl = "ts timestamp, sensor_id string, ssid string, seen_us bigint, duplicate_count bigint, " + ", ".join(f"{side}_{c} {k}" for side in "os" for c, k in kinds.items())
+    pairs = keyed_stream(rows, ["sensor_id", "ssid"], ["sensor_id", "ssid", *D.TWIN_SIDE], meet, ddl, keep_s * US, base_us, "ts")
+    scored = D.twin_scores(pairs, rssi_delta, jitter_ms, new_minutes, report).withColumn("event_id", F.lit(0).cast("bigint"))
+    columns = [c for c in scored.columns if c not in ("ts", "t_us", "event_id")]
+
+    def confirm(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
+        out = []
+        for r in rows:
+            memory["since"], memory["top"] = min(memory.get("since", t), t), max(memory.get("top", 0), r["now_score"])
+            if not memory.get("told") and (t - memory["since"] >= confirm_s * US or t == memory["since"] and r["now_score"] >= immediate):
+                memory["told"] = True
+                out.append((t, memory["top"], *[r[c] for c in columns]))
+        return out
+
+    ddl = "t_us bigint, score bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.select(*columns).schema)
+    return D.twin_alert(keyed_stream(scored, ["sensor_id", "ssid", "original", "bssid"], columns, confirm, ddl, keep_s * US, base_us), high, critical)
+
+
+def exploit_chains_stream(alerts: DataFrame, gap_s: float = 300.0, base_us: int = 0) -> DataFrame:
+    """Chains of a sensor's alerts, the rows of the batch form. The state is the sensor's live chains."""
+    gap = int(gap_s * US)
+
+    def step(memory: dict, t: int, rows: list[dict]) -> list[tuple]:
+        held, out = memory.setdefault("live", no_chains()), []
+        for r in sorted(rows, key=lambda r: (r["event_id"], r["alert_type"] or "")):
+            chain = join_chain(held, gap, t, r["event_id"], r["alert_type"], r["severity"], r["bssid"], r["attacker"])
+            if chain:
+                out.append(chain_row(r["sensor"], t, r["event_id"], chain))
+        return out
+
+    rows = alerts.withColumn("sensor", F.coalesce("sensor_id", F.lit("")))
+    return keyed_stream(rows, ["sensor"], ["sensor", "alert_type", "severity", "bssid", "attacker"], step, CHAIN_DDL, gap, base_us)
+
+
+def _jamming(frames: DataFrame, base_us: int = 0, **limits) -> DataFrame:
+    return jamming_stream(frames, **limits)
+
+
 STREAMS = {
     "deauth_flood": deauth_flood_stream, "disassoc_flood": disassoc_flood_stream, "beacon_flood": beacon_flood_stream, "krack": krack_stream, "pmkid": pmkid_stream,
-    "wep_iv": wep_stream, "karma": karma_stream, "wardrive": wardriver_stream, "rules": rules_stream,
+    "wep_iv": wep_stream, "evil_twin": evil_twin_stream, "karma": karma_stream, "jamming": _jamming, "wardrive": wardriver_stream, "rules": rules_stream,
 }
 
 
@@ -360,7 +428,7 @@ def start_detectors(
     """Run a profile over a stream of frames with event time: one query per detector, all writing alerts of the common schema below ``path``.
 
     Spark allows one operator with free state in a query, hence several; the folder reads as one table with a ``detector`` column.
-    Every detector of the profile needs a keyed streaming form; evil twin pairs and jamming intervals have other ones.
+    Every detector of the profile needs a streaming form (``STREAMS``).
     """
     names = PROFILES[profile]
     if missing := [n for n in names if n not in STREAMS]:

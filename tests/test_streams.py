@@ -113,3 +113,20 @@ def test_reinstallation_long_after_the_handshake(spark, make, files):
     want = sorted(map(tuple, D.krack(frames).select(*columns).collect()))
     assert [r[1] for r in want] == ["CRITICAL"]
     assert sorted(map(tuple, replayed(spark, frames, ST.krack_stream, files).select(*columns).collect())) == want
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_twins_whatever_the_order(spark, make, files):
+    from test_detectors import twins
+
+    frames = make(twins("DE:AD:BE", "Open") + [r | {"t": r["t"] + 400, "ssid": "Other"} for r in twins()])
+    columns = ["t_us", "severity", "ssid", "original", "bssid", "score", "confidence", "duplicate_count"]
+    want = sorted(map(tuple, D.evil_twin(frames).select(*columns).collect()))
+    assert len(want) == 2
+    assert sorted(map(tuple, replayed(spark, frames, ST.evil_twin_stream, files).select(*columns).collect())) == want
+
+
+def test_full_profile_has_streaming_forms():
+    from skyfence.operators.detector_set import PROFILES
+
+    assert set(PROFILES["full_wids"]) <= set(ST.STREAMS)
