@@ -25,6 +25,19 @@ def fold(doc_id: Column, parts: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of a table, whatever signs their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer until no column is called so (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once into the shared folder and read back: later jobs neither recompute it nor depend on one executor's disk."""
     path = shared_dir(df.sparkSession, name)

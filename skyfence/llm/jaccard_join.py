@@ -14,8 +14,9 @@
 5. Each task gives the links that connect its sets; their connected components are the answer.
 
 Rows: a text of null or without words has an empty set and is linked with nothing. Texts with fewer words than a shingle have
-one shingle, the whole sequence. Rows with one doc_id are one document; rows whose doc_id is null are linked with nothing and have no
-component. Extra columns are not read.
+one shingle, the whole sequence. Rows with one doc_id but different texts are judged each by its own text; rows whose doc_id is null are
+linked with nothing and have no component. Ids of any type that has an order will do. Extra columns are not read; ``one_of_each`` keeps
+them, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfence.llm.common import by_bytes, give_back, lean, stored
+from skyfence.llm.common import all_columns, by_bytes, free_name, give_back, lean, stored
 from skyfence.llm.grams import lowered_words, mixed
 from skyfence.llm.links import components
 
@@ -87,8 +88,12 @@ def lists(counts: np.ndarray, keys: np.ndarray, keep: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[keep].view(np.int64)))
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def document_sets(docs: DataFrame, size: int, share: float, full: bool) -> DataFrame:
-    """doc_id, n, s1, s2, low (keys below the bound, sorted); with ``full`` also high (the others, sorted)."""
+    """doc_id, h (hash of the text), n, s1, s2, low (keys below the bound, sorted); with ``full`` also high (the others, sorted)."""
     bound = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +104,11 @@ def document_sets(docs: DataFrame, size: int, share: float, full: bool) -> DataF
                 low = keys < bound
                 more = [lists(counts, keys, ~low)] if full else []
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), lists(counts, keys, low), *more], ["doc_id", "n", "s1", "s2", "low", "high"][: 5 + full])
+                    [part.column("doc_id"), part.column("h"), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), lists(counts, keys, low), *more], ["doc_id", "h", "n", "s1", "s2", "low", "high"][: 6 + full])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        lean(run), f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, low array<bigint>" + ", high array<bigint>" * full)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash().alias("h")).mapInArrow(
+        lean(run), f"doc_id {kind}, h bigint, n bigint, s1 bigint, s2 bigint, low array<bigint>" + ", high array<bigint>" * full)
 
 
 class Node:
@@ -214,6 +219,11 @@ def prefixes(kept: DataFrame, frequent: DataFrame, per_cent: int) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, size: int = 3, per_cent: int = 90, block: int = 2000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
+    return grouped_rows(docs, size, per_cent, block).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def grouped_rows(docs: DataFrame, size: int, per_cent: int, block: int = 2000) -> DataFrame:
+    """doc_id, h (hash of the text), n, s1, s2, component_id and ``root``, which names the component: one id may have texts in several."""
     share = low_share(per_cent)
     every = stored(document_sets(docs, size, share, full=False), "shingle-sets")
     some = every.where("n > 0 and doc_id is not null")
@@ -224,10 +234,12 @@ def jaccard_groups(docs: DataFrame, size: int = 3, per_cent: int = 90, block: in
     frequent = counted.where("owner is null").select("key")
     owned = counted.where("owner is not null").select(F.col("owner").alias("s1"), "keys")
 
-    sets = stored(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "distinct-sets")
-    left = stored(sets.join(owned, "s1", "left").where(F.coalesce("keys", F.lit(0)) * 100 <= (100 - per_cent) * F.col("n")).select("rep", "s1", "s2", "n"), "open-sets")
-    picked = docs.select("doc_id", "text").join(small(left.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    full = document_sets(picked, size, share, full=True).withColumnRenamed("doc_id", "rep").join(small(left), ["rep", "s1", "s2", "n"], "left_semi")
+    # From here on a set goes by a number of its own, as a document id may have several texts.
+    sets = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    sets = stored(sets.withColumn("rep", F.xxhash64("s1", "s2", "n")), "distinct-sets")
+    left = stored(sets.join(owned, "s1", "left").where(F.coalesce("keys", F.lit(0)) * 100 <= (100 - per_cent) * F.col("n")).select("rep", "first", "s1", "s2", "n"), "open-sets")
+    picked = docs.select("doc_id", "text").join(small(left.select(F.col("first").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    full = document_sets(picked, size, share, full=True).withColumnRenamed("doc_id", "first").join(small(left), ["first", "s1", "s2", "n"])
     kept = stored(full.select("rep", "s1", "n", "low", "high"), "open-keys")
 
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / per_cent) + 1e-9)
@@ -252,12 +264,25 @@ def jaccard_groups(docs: DataFrame, size: int = 3, per_cent: int = 90, block: in
         return pa.table({"a": pa.array([rep[i] for i, _ in found], pa.int64()), "b": pa.array([rep[j] for _, j in found], pa.int64())})
 
     linked = components(rows.groupBy("root", "i", "j").applyInArrow(run, "a bigint, b bigint"))
-    names = sets.join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left").where("root is not null or copies > 1").select("s1", "s2", "n", F.coalesce("root", "rep").alias("root"))
-    out = every.select("doc_id", "n", "s1", "s2").join(names, ["s1", "s2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    linked = linked.select(F.col("node").alias("rep"), "root")
+    members = stored(sets.select("rep", "first", "s1", "s2", "n", "copies").join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "set-roots")
+    least = members.join(linked.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
+    names = members.join(least, "root", "left").where("least is not null or copies > 1").select("s1", "s2", "n", "root", F.coalesce("least", "first").alias("least"))
+    out = every.select("doc_id", "h", "n", "s1", "s2").join(names, ["s1", "s2", "n"], "left")
+    known = F.col("doc_id").isNotNull()
+    root = F.when(known & (F.col("n") > 0), F.coalesce("root", F.xxhash64("s1", "s2", "n")))
+    return out.select("doc_id", "h", "n", "s1", "s2", F.when(known, F.coalesce("least", "doc_id")).alias("component_id"), root.alias("root"))
 
 
 def one_of_each(docs: DataFrame, size: int = 3, per_cent: int = 90) -> DataFrame:
-    """The rows of ``docs`` that stand for their group (the smallest doc_id), each once; rows without an id stay."""
-    keep = jaccard_groups(docs, size, per_cent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` for each group: that of the smallest doc_id, of its texts that with the smallest hash.
+
+    Rows without words stay, but those equal in id and text stay once; rows without an id all stay. An id whose texts are in
+    several groups may stand for each of them.
+    """
+    rows = grouped_rows(docs, size, per_cent).where("doc_id is not null")
+    best = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("best")).select("best.*")
+    keep = best.unionByName(rows.where("root is null").select("doc_id", "h")).distinct()
+    h = free_name(docs, "text_hash")
+    kept = docs.withColumn(h, text_hash()).join(keep.withColumnRenamed("h", h), ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h])
+    return kept.select(*all_columns(docs)).unionByName(docs.where("doc_id is null").select(*all_columns(docs)))

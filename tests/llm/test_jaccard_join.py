@@ -106,3 +106,19 @@ def test_tree(seed):
 
         every = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= per_cent * len(set(sets[i]) | set(sets[j]))]
         assert groups(tree_links(sets, per_cent)) == groups(every)
+
+
+def test_one_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "y"), (3, b + " more", "z"), (3, c, "z"), (3, c, "z"), (4, c + " more", "z"), (5, "", "e"), (5, "", "e"), (5, None, "e"), (6, "", "e"), (None, a, "n")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` string").selectExpr("*", "1 as text_hash", "2 as _id", "3 as root", "4 as `c d`")
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (1, b), (3, c), (5, ""), (6, ""), (None, a)], key=str)
+    groups = sorted({(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(df).collect()}, key=str)
+    assert groups == sorted([(1, 58, 1), (2, 58, 1), (3, 59, 1), (3, 58, 3), (4, 59, 3), (5, 0, 5), (6, 0, 6), (None, 58, None)], key=str)
+
+
+def test_text_ids(spark):
+    df = spark.createDataFrame([("b", "one two three four"), ("a", "One two three four"), ("c", "x y z")], "doc_id string, text string")
+    assert sorted(tuple(r) for r in jaccard_groups(df).collect()) == [("a", 2, "a"), ("b", 2, "a"), ("c", 1, "c")]

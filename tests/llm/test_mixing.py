@@ -51,3 +51,33 @@ def test_mix(spark):
 
 def test_empty(spark):
     assert mix(spark.createDataFrame([], "doc_id bigint, source string, text string")).count() == 0
+
+
+def test_rows_kept_whole(spark):
+    """Columns with clashing or dotted names, null and repeated ids, one id with several texts."""
+    rows = [(1, "a", "one two three " * 30, 1)] * 5 + [(1, "a", "other words here " * 20, 2), (None, "a", "no id " * 40, 3), (None, "a", "no id " * 40, 4), (None, None, "neither " * 60, 5), (2, "b", "x " * 900, 6), (3, "b", None, 7), (4, "c", "z " * 10, 8), (None, "a", "long " * 60_000, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, extra int").selectExpr("*", "1 as _id", "2 as _source", "3 as _size", "4 as _epochs", "5 as `a.b`", "6 as `row`", "7 as times", "8 as `all`", "9 as `of`")
+    got = mix(df, rows_per_range=3).collect()
+    assert len(got) == len(rows)
+    for parts in (3, 5000):
+        out = mixed_documents(df, rows_per_range=parts)
+        assert out.columns == df.columns
+        taken = {}
+        for r in out.collect():
+            taken[r.doc_id, r.source, r.text] = taken.get((r.doc_id, r.source, r.text), 0) + len(r.text.split())
+        want = {}
+        for r in got:
+            want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.taken
+        have = {}
+        for (i, source, _), n in taken.items():
+            have[i, source] = have.get((i, source), 0) + n
+        assert have == {k: n for k, n in want.items() if n}
+        assert sorted(map(str, mixed_documents(df, rows_per_range=parts).collect())) == sorted(map(str, out.collect()))
+
+
+def test_equal_rows_are_one_row_with_a_count(spark):
+    rows = [(7, "a", "same words " * 10)] * 400 + [(i, "b", "word " * 30) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = [r.epochs for r in mix(df, rows_per_range=50).collect() if r.doc_id == 7 and r.source == "a"]
+    assert len(got) == 400 and abs(sum(got) * 20 - next(r.target for r in mix(df).collect() if r.source == "a")) <= 10
+    assert mixed_documents(df).where("doc_id = 7 and source = 'a'").count() == sum(got)
