@@ -7,13 +7,14 @@ pages of the host chose the page's own path too, a winner replaces it only if it
 
 Rows: markup of null counts as empty and gives an empty text, as does a page without an article. An address of null or without
 host neither votes nor is voted on: the page keeps to its own choice. Repeated pages vote each. Extra columns are not read. Pages pass one at a time through a task.
-Hot hosts: each page's vote is one narrow row, which meets its host's few paths and the votes for its own under a salted key;
+Hot hosts: each page's vote is one narrow row, which meets its host's few paths under a salted key;
 pages meet these rows under a hash of the row.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfence.llm.common import by_bytes, stored
-from skyfence.llm.markup import CONTAINER, Element, Page
+from skyfence.llm.markup import CONTAINER, Page
 
 #: Pages of a host are dealt over so many keys when they meet its paths.
 SALTS = 64
-#: Where pages agree on a path, a winner replaces it only with so much of its score.
-COMPARABLE = 0.5
+#: A winner replaces a page's own choice only with so much of its score.
+COMPARABLE = 0.25
 #: Paths of the root and of the html element: they hold every page of a host whole, so nobody votes for them.
 LAST_RESORT = re.compile(r"(/html[^/]*)?")
 
@@ -35,24 +36,17 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-def block_score(text: str, linked: int) -> float:
-    """Words count, sentences count more, links count nothing."""
-    free = max(0.0, 1 - linked / max(1, len(text)))
-    words = text.count(" ") + 1
-    return free * (words + 2 * min(words / 6, sum(map(text.count, ".,;!?:"))))
-
-
 def path_scores(page: Page) -> dict[str, tuple[float, int, bool]]:
-    """(score of the blocks below, depth, inside or at an article element) of each container path; html and the root count as containers too."""
+    """(score of the blocks below, depth, inside or at an article element) of each container path; html and the root count as containers too.
+
+    All articles beside each other share one more path, whatever their classes.
+    """
     out: dict[str, list] = {}
-    for text, owner, linked in page.blocks:
-        score, e, seen = block_score(text, linked), owner, set()
-        while e is not None:
-            if (e.tag in CONTAINER or e.tag == "html" or not e.tag and page.marked) and e.path not in seen:
-                seen.add(e.path)
-                row = out.setdefault(e.path, [0.0, e.path.count("/"), e.tag in ("article", "main")])
-                row[0] += score
-            e = e.parent
+    for e in page.elements:
+        if e.score > 0 and (e.tag in CONTAINER or e.tag in ("html", "")):
+            for path in (e.path, e.any_article):
+                if path is not None:
+                    out.setdefault(path, [0.0, e.depth, e.tag in ("article", "main")])[0] += e.score
     return {k: tuple(v) for k, v in out.items()}
 
 
@@ -61,53 +55,55 @@ def prose(text: str, linked: int) -> bool:
     return text.count(" ") >= 9 and linked <= 0.2 * len(text) and any(map(text.__contains__, ".!?\u3002"))
 
 
+def below(page: Page, path: str) -> set[int]:
+    """Elements at or below a path."""
+    inside: set[int] = set()
+    for e in page.elements:
+        if e.path == path or e.any_article == path or e.parent is not None and id(e.parent) in inside:
+            inside.add(id(e))
+    return inside
+
+
 def best_path(page: Page) -> str | None:
-    """An article element that holds half of what the page says, or else the deepest container that holds four fifths, widened while prose stands beside it.
+    """Articles that hold half of what the page says, or else the deepest container that holds four fifths, widened while prose stands beside it.
 
-    The last resort, where body and other tags are left out, is the html element or the root (path "").
+    Of articles beside each other all are taken, unless one holds four fifths of them. The last resort, where body and other tags are
+    left out, is the html element or the root (path "").
     """
     scores = path_scores(page)
     most = max((s for s, _, _ in scores.values()), default=0.0)
     if most <= 0:
         return None
-    marked = [(s, -d, p) for p, (s, d, a) in scores.items() if a and s >= 0.5 * most]
+    marked = {p: (s, d) for p, (s, d, a) in scores.items() if a and s >= 0.5 * most}
     if marked:
-        return max(marked)[2]
+        best = max(s for s, _ in marked.values())
+        return max((p for p, (s, _) in marked.items() if s >= 0.8 * best), key=lambda p: (not p.endswith("/article.*"), marked[p][0], -marked[p][1], p))
     path = max((d, s, p) for p, (s, d, _) in scores.items() if s >= 0.8 * most)[2]
-    outside = [owner.path for text, owner, linked in page.blocks if not below(owner, path) and prose(text, linked)]
-    wider = sorted((p for p in scores if below_path(path, p) and p != path), key=len)
-    while outside and wider:
-        parent = wider.pop()
-        if any(below_path(p, parent) for p in outside):
-            path, outside = parent, [p for p in outside if not below_path(p, parent)]
+    inside = below(page, path)
+    beside: Counter[int] = Counter(id(owner) for text, owner, linked in page.blocks if id(owner) not in inside and (prose(text, linked) or owner.tag == "h1"))
+    every = sum(beside.values())
+    if every:  # up to the innermost container that holds all of these
+        for e in reversed(page.elements[1:]):
+            beside[id(e.parent)] += beside[id(e)]
+        at = next(e for e in page.elements if path in (e.path, e.any_article)).parent
+        while at is not None and (beside[id(at)] < every or at.path not in scores):
+            at = at.parent
+        path = at.path if at is not None else path
     return path
 
 
-def below_path(inner: str, path: str) -> bool:
-    return inner == path or inner.startswith(path + "/")
-
-
-def below(element: Element, path: str) -> bool:
-    return below_path(element.path, path)
-
-
 def extract(page: Page, path: str | None) -> str:
-    return "\n".join(text for text, owner, _ in page.blocks if path is not None and below(owner, path))
-
+    inside = below(page, path) if path is not None else set()
+    return "\n".join(text for text, owner, _ in page.blocks if id(owner) in inside)
 
-def choose(page: Page, winners: list[str], agreed: bool = False) -> str | None:
-    """The first winning path that the page has with text below it; its own choice without any.
 
-    ``agreed``: other pages of the host chose this page's own path too. Then a winner needs ``COMPARABLE`` of its score.
-    """
-    own, scores, least = None, {}, 0.0
-    if agreed and winners and (own := best_path(page)) is not None:
-        scores = path_scores(page)
-        least = COMPARABLE * scores[own][0]
-    for path in winners:
-        if any(below(owner, path) for _, owner, _ in page.blocks) and (not least or path in scores and scores[path][0] >= least):
-            return path
-    return own if own is not None else best_path(page)
+def choose(page: Page, winners: list[str]) -> str | None:
+    """The first winning path that holds a comparable part of what the page's own choice holds; the own choice without any."""
+    own = best_path(page)
+    if own is None:
+        return None
+    scores = path_scores(page)
+    return next((path for path in winners if path in scores and scores[path][0] >= COMPARABLE * scores[own][0]), own)
 
 
 def own_paths(pages: DataFrame) -> DataFrame:
@@ -138,19 +134,17 @@ def extract_pages(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
     votes = stored(own.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes")), "path-votes")
     salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
     once = own.dropDuplicates(["page"]).withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "page"), F.lit(SALTS)))
-    met = once.join(host_paths(votes, least_share).select("*", salts), ["host", "salt"])
-    agreed = votes.where("votes > 1").select("host", "path", F.lit(True).alias("agreed"), salts)
-    met = met.join(agreed, ["host", "salt", "path"], "left").select("page", "paths", F.coalesce("agreed", F.lit(False)).alias("agreed"))
-    single = rows.where("host = ''").select("page_id", "url", "html", F.lit(None).cast("array<string>").alias("paths"), F.lit(False).alias("agreed"))
-    met = rows.where("host <> ''").join(met, "page", "left").select("page_id", "url", "html", "paths", "agreed").unionByName(single)
+    met = once.join(host_paths(votes, least_share).select("*", salts), ["host", "salt"]).select("page", "paths")
+    single = rows.where("host = ''").select("page_id", "url", "html", F.lit(None).cast("array<string>").alias("paths"))
+    met = rows.where("host <> ''").join(met, "page", "left").select("page_id", "url", "html", "paths").unionByName(single)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "html"):
                 texts, chosen = [], []
-                for html, paths, agreed in zip(*(part.column(c).to_pylist() for c in ("html", "paths", "agreed"))):
+                for html, paths in zip(*(part.column(c).to_pylist() for c in ("html", "paths"))):
                     page = Page(html or "")
-                    chosen.append(choose(page, paths or [], bool(agreed)))
+                    chosen.append(choose(page, paths or []))
                     texts.append(extract(page, chosen[-1]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(chosen, pa.string())], ["page_id", "url", "text", "n_chars", "path"])

@@ -25,7 +25,7 @@ def test_page():
 
 
 @pytest.mark.parametrize("html,text", [
-    ("", ""), ("no markup, but words.", ""), ("<p>", ""), ("<body>plain, text", "plain, text"), ("<div><p>a, b<div>c, d</div></div>", "a, b\nc, d"),
+    ("", ""), ("no markup, but words.", "no markup, but words."), ("<p>", ""), ("<body>plain, text", "plain, text"), ("<div><p>a, b<div>c, d</div></div>", "a, b\nc, d"),
     ("<body><p>a <i>b</i><b>c</b>&lt;p&gt;</p></body>", "a bc<p>"), ("<body><script>x<p>y", ""), ("<body><p>a<!-- open", "a"), ("<body></div></p>x, y<p hidden>z</p></body>", "x, y"),
     ("<body><div class='x'><a href=1>menu</a></div><div class=main-text><p>Some words, here.</p></div>", "Some words, here."), ("<BODY><ARTICLE>A<BR/>B</ARTICLE>", "A B"),
 ])
@@ -46,7 +46,7 @@ def test_hosts_agree(spark):
     got = {r.page_id: r for r in extract_pages(df).collect()}
     assert extract_pages(df).count() == len(rows)
     assert got[3].text == f"{LONG}\nMore, 3." and got[3].n_chars == len(got[3].text)
-    assert got[100].text == "Tiny."  # the host's path, not the page's own choice
+    assert got[100].text == f"{LONG} {LONG}"  # the host's path holds next to nothing of this page
     assert got[101].text == TEXT and got[102].text == "" and got[103].text == ""
     assert extract_pages(df.limit(0)).count() == 0
 
@@ -101,3 +101,84 @@ def test_names_that_articles_have(part, around):
 ])
 def test_parts_left_out_of_articles(part):
     assert text_of(f"<body><article><p>{LONG}</p>{part}</article></body>") == LONG
+
+
+def test_host_decides_between_comparable_parts(spark):
+    normal = lambda i: f'<body><div class="entry"><p>{LONG}</p><p>More, {i}.</p></div><div class="box"><p>Short, box.</p></div></body>'
+    odd = f'<body><div class="entry"><p>{LONG}</p></div><div class="box"><p>{LONG}</p><p>{LONG}</p></div></body>'
+    assert text_of(odd) == "\n".join([LONG] * 3)
+    rows = [(i, "https://h.example.com/x", normal(i)) for i in range(30)] + [(100, "http://H.example.com:80/y?q", odd)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[100] == LONG
+
+
+@pytest.mark.parametrize("before,after", [
+    ('<form id="aspnetForm" method=post>', "</form>"), ('<div class="wrapper no-sidebar">', "</div>"), ('<div id="page-with-sidebar">', "</div>"), ('<div class="social-sciences">', "</div>"), ('<div class="outer header-fixed"><form>', "</form></div>"),
+])
+def test_wrappers_that_hold_the_page_stay(before, after):
+    inner = f"<h1>T</h1><div class=text><p>{LONG}</p><p>{LONG} End.</p></div>"
+    rest = "<nav><a href=1>Menu</a></nav><div class=sidebar><p>Side, text, here.</p></div><form><p>Mail, me.</p></form><aside><p>See, also.</p></aside>"
+    assert text_of(f"<body>{before}{inner}{rest}{after}</body>") == f"T\n{LONG}\n{LONG} End."
+    assert text_of(f"<body><h1>T</h1>{before}<p>{LONG}</p><p>{LONG} End.</p>{after}{rest}</body>") == f"T\n{LONG}\n{LONG} End."
+
+
+def test_articles_beside_each_other():
+    two = f'<article class="post a"><h2>A</h2><p>{LONG}</p></article><div class=ad>Buy.</div><article class="post b"><h2>B</h2><p>{LONG}</p></article>'
+    assert text_of(f"<body><main>{two}</main></body>") == f"A\n{LONG}\nB\n{LONG}"
+    assert text_of(f"<body><div>{two}<p>Words.</p></div></body>") == f"A\n{LONG}\nB\n{LONG}"
+    long = "".join(f"<p>{LONG}</p>" for _ in range(12))
+    assert text_of(f"<body><div><article class=full>{long}</article><article class=teaser><p>Next, story.</p></article></div></body>") == "\n".join([LONG] * 12)
+
+
+def test_open_quotes():
+    assert text_of(f'<body><article><p title="x>{LONG}</p><p class=\'a>{LONG}</p><a href="y">z</a></article>') == f"{LONG}\n{LONG}\nz"
+    assert text_of(f'<body><article><p title="a > b" data-x=\'<b>"</b>\'>{LONG}</p></article>') == LONG
+
+
+def test_deep_pages():
+    """Parts are left out however deep they lie, and deep containers are told apart."""
+    for depth in (520, 30_000):
+        inside = f"<nav><p>{LONG} {LONG}</p></nav><article><p>{LONG}</p></article><aside><p>{LONG}</p></aside><div class=ad>{LONG}</div>"
+        assert text_of("<body>" + "<div>" * depth + inside + "</div>" * depth) == LONG
+        many = "".join(f"<p>{LONG}</p>" for _ in range(9))
+        assert text_of("<body>" + "<div>" * depth + f"<div class=a><p>Few, words.</p></div><div class=b>{many}</div>") == "\n".join([LONG] * 9)
+    assert text_of("<body><div>" * 2 + "<div>" * 30_000 + f"<div class=a>{LONG * 9}</div></div><p>{LONG}</p>") == f"{LONG * 9}\n{LONG}"
+    assert text_of("<body>" + "<b><i>" * 50_000 + f"<p>{LONG}") == LONG
+    assert text_of("<body>" + f"<div><p>{LONG}</p>" * 20_000).count("\n") == 19_999
+
+
+def vote_by_hand(rows):
+    """The vote and the choice, page by page."""
+    from collections import Counter
+    from urllib.parse import urlsplit
+
+    from skyfence.llm.html_text import COMPARABLE, LAST_RESORT, path_scores
+
+    host = lambda u: (urlsplit(u or "").hostname or "") if "://" in (u or "") else ""
+    votes = {}
+    for _, url, html in rows:
+        path = best_path(Page(html or ""))
+        if host(url) and path is not None and not LAST_RESORT.fullmatch(path):
+            votes.setdefault(host(url), Counter())[path] += 1
+    out = []
+    for page_id, url, html in rows:
+        page = Page(html or "")
+        own, scores, path = best_path(page), path_scores(page), None
+        ranked = sorted(votes.get(host(url), Counter()).items(), key=lambda x: (-x[1], x[0])) if host(url) else []
+        for candidate, n in ranked:
+            if own is not None and n >= 0.1 * sum(votes[host(url)].values()) and candidate in scores and scores[candidate][0] >= COMPARABLE * scores[own][0]:
+                path = candidate
+                break
+        out.append((page_id, extract(page, own if path is None else path)))
+    return sorted(out)
+
+
+def test_votes_against_a_plain_count(spark):
+    import random
+
+    r = random.Random(4)
+    kinds = [lambda: f"<div class=entry><p>{LONG * r.randint(1, 3)}</p></div>", lambda: f"<div class='box b{r.randint(1, 9)}'><p>{LONG * r.randint(0, 3)}</p></div>", lambda: f"<section id=x><p>Words, here.</p>{LONG}</section>", lambda: "<p>Few.</p>",
+             lambda: f"<article class=c{r.randint(1, 3)}><p>{LONG * r.randint(0, 2)}</p></article>"]
+    rows = [(i, r.choice(["http://a.example/1", "https://b.example:8080/", None, "nothing", "http://c.example"]), "<body>" + "".join(r.choice(kinds)() for _ in range(r.randint(0, 6)))) for i in range(300)]
+    got = sorted((x.page_id, x.text) for x in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
+    assert got == vote_by_hand(rows)
