@@ -127,11 +127,13 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", rows_per_range: int = 50
     counts = stored(counts.where("epochs > 0 or again > 0"), "mix-counts")
     alike = counts.where("again in (0, copies)").select(*group, (F.col("epochs") + (F.col("again") > 0).cast("long")).alias("times"))
     split = counts.where("again not in (0, copies)")
-    out = rows.join(alike, group).select("row", "times")
+    # Both sides are dealt out at every size: the counts grow with the documents.
+    out = rows.join(alike.hint("merge"), group).select("row", "times")
     kinds = rows.select(*group, "all").join(split, group).groupBy(*group, "all", "epochs", "again").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("all").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     more = F.least(F.greatest(F.col("again") - before, F.lit(0)), F.col("n"))
     kinds = kinds.select(*group, "all", (F.col("epochs") * F.col("n") + more).alias("times")).where("times > 0")
+    kinds = stored(kinds, "mix-split")
     once = rows.join(kinds, [*group, "all"]).groupBy(*group, "all").agg(F.first("row").alias("row"), F.first("times").alias("times"))
     out = out.unionByName(once.select("row", "times"))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
