@@ -35,7 +35,7 @@ MB = 4.0
 #: Bits of the filter of pairs: 16 MB at any size of the corpus. A fuller filter lets more sequences be counted, and loses none.
 FILTER_BITS = 27
 #: Candidates of one trie; bytes of tries broadcast in one round.
-SHARD, ROUND_BYTES = 100_000, 64_000_000
+SHARD, ROUND_BYTES = 400_000, 64_000_000
 #: Slots of a trie that are summed together; parts of what is summed or ranked together.
 VECTOR, SALTS = 4096, 64
 
@@ -69,10 +69,13 @@ class Words:
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         at = np.flatnonzero(self.pieces[:n] == self.pieces[length - 1:])
+        return at, self.key_at(at, length)
+
+    def key_at(self, at: np.ndarray, length: int) -> np.ndarray:
         key = self.keys[self.codes[at]]
         for k in range(1, length):
             key = mixed(key, self.keys[self.codes[at + k]])
-        return at, key
+        return key
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
@@ -122,12 +125,14 @@ def _filter_of(keys: DataFrame) -> _Filter:
 def _long(w: Words, pairs: _Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Places and keys of sequences of three and four words whose pairs all pass the filter."""
     at, key = w.sequences(2)
-    good = np.zeros(len(w.codes) + 4, bool)
+    good = np.zeros(len(w.codes), bool)
     good[at] = pairs.has(key)
     for length in (3, 4):
-        at, key = w.sequences(length)
-        fit = np.all([good[at + k] for k in range(length - 1)], axis=0) if len(at) else np.empty(0, bool)
-        yield length, at[fit], key[fit]
+        fit = good[: max(0, len(good) - length + 1)].copy()
+        for k in range(1, length - 1):
+            fit &= good[k : k + len(fit)]
+        at = np.flatnonzero(fit)  # good pairs lie in one piece, and so do overlapping ones
+        yield length, at, w.key_at(at, length)
 
 
 def _long_keys(docs: DataFrame, pairs: _Filter) -> DataFrame:
@@ -153,7 +158,7 @@ def _phrases(docs: DataFrame, pairs: _Filter, longer: _Filter) -> DataFrame:
             fit = two.has(key)
             for length, at, key in [(2, at[fit], key[fit]), *((n, a[f], k[f]) for n, a, k in _long(w, two) for f in [more.has(k)])]:
                 words = [w.codes[at + k] for k in range(length)]
-                first, _ = grouped(key, *words)
+                first = one_of_each(key, words)
                 parts = [w.words.take(pa.array(words[0][first]))] + [w.bare.take(pa.array(c[first])) for c in words[1:]]
                 joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), joined], ["key", "phrase"])
@@ -161,6 +166,19 @@ def _phrases(docs: DataFrame, pairs: _Filter, longer: _Filter) -> DataFrame:
     return docs.mapInArrow(lean(run), "key bigint, phrase binary")
 
 
+def one_of_each(key: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """The index of one member of every distinct sequence of words; ``key``: their keys."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    first = order[new]
+    like = first[np.cumsum(new) - 1]
+    if all((c[order] == c[like]).all() for c in words):
+        return first
+    return grouped(key, *words)[0]  # two sequences share a key
+
+
 def _words_of(phrase: bytes) -> list[bytes]:
     lang, _, words = phrase.rpartition(b"\n")
     return [lang + b"\n" + w for w in words.split(b" ")]

@@ -88,3 +88,9 @@ def test_double_array(seed):
     want = Counter(tuple(words[c] for c in codes[i:i + k]) for k in range(1, 5) for i in range(3001 - k) if pieces[i + k - 1] == pieces[i])
     got = trie.counts(pa.array(words, pa.large_binary()), codes, pieces)
     assert [want[tuple(p)] for p in phrases] == got[slots].tolist()
+
+
+def test_sequences_that_share_a_key():
+    key, words = np.array([5, 5, 5, 7, 7], np.uint64), [np.array([1, 1, 2, 3, 3]), np.array([4, 4, 4, 4, 4])]
+    assert sorted(zip(*(w[C.one_of_each(key, words)].tolist() for w in words))) == [(1, 4), (2, 4), (3, 4)]
+    assert sorted(C.one_of_each(key, [np.array([1, 1, 1, 3, 3])]).tolist()) == [0, 3]
