@@ -114,6 +114,14 @@ def deviation_alerts(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("score") > 0).withColumn("severity", F.when(F.col("risk_score") > 70, "HIGH").otherwise("MEDIUM"))
 
 
+def alerts_of_deviations(records: DataFrame, deviations: DataFrame, allowlist: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """From deviating frames over the risk score to alerts: ``records`` are the frames as network records, which meet by event_id."""
+    from skyfence.operators.scoring import score_networks
+
+    met = records.join(deviations.select("event_id", "score", "vendor_mismatch", "z_score"), "event_id")
+    return deviation_alerts(score_networks(met, weights, allowlist, deviation="score"))
+
+
 def timeseries_baseline(
     df: DataFrame, start_us: int, learn_s: float = 72 * 3600, min_obs: int = 100, z_limit: float = 2.5
 ) -> DataFrame:

@@ -44,14 +44,17 @@ FULL = [*LITE[:-1], "evil_twin", "karma", "jamming", "wardrive", "rules"]
 PROFILES = {"lite_realtime": LITE, "full_wids": FULL, "audit_offline": FULL}
 
 
-def run_detectors(frames: DataFrame, profile: str = "lite_realtime", overrides: dict[str, dict[str, Any]] | None = None) -> DataFrame:
-    """Alerts of every detector of a profile in one schema."""
-    if profile not in PROFILES:
+def run_detectors(frames: DataFrame, profile: str | list[str] = "lite_realtime", overrides: dict[str, dict[str, Any]] | None = None, more: dict[str, tuple] | None = None) -> DataFrame:
+    """Alerts of every detector of a profile, or of those named, in one schema.
+
+    ``more``: detectors of this call alone, as ``register`` takes them: name to (function, frame types, columns required).
+    """
+    if isinstance(profile, str) and profile not in PROFILES:
         raise ValueError(f"no profile {profile!r}; there are {sorted(PROFILES)}")
-    overrides = overrides or {}
+    overrides, known = overrides or {}, {**REGISTRY, **(more or {})}
     out = []
-    for name in PROFILES[profile]:
-        fn, types, required = REGISTRY[name]
+    for name in PROFILES[profile] if isinstance(profile, str) else profile:
+        fn, types, required = known[name]
         keep = [F.col("frame_type").isin(*types)] if types else []
         keep += [F.col(c).isNotNull() for c in required]
         rows = frames.filter(reduce(lambda a, b: a & b, keep)) if keep else frames

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyfence.frames import load_frames
+from skyfence.frames import duck_frames, load_frames
 from skyfence.operators import detector_set as DS
 from skyfence.operators import geo as G
 from skyfence.operators import rules as R
@@ -132,17 +132,21 @@ def d18(spark, sf):
     return out.groupBy("alert_type", "severity").agg(F.count("*").alias("alerts"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
 
 
+# The rules' SQL over what a capture holds of each frame.
+PLAIN = f"frames as ({duck_frames()})"
+CAPTURED_FRAMES = ORACLES["s06_capture_frames"].split(PLAIN, 1)[1].replace("from frames", "from frames0")
+CAPTURED_RULE_SQL = PLAIN_RULE_SQL.replace(PLAIN, f"{PLAIN.replace('frames as', 'frames0 as', 1)},\nframes as ({CAPTURED_FRAMES})")
 LIVE_PARTS = {k: v for k, v in PARTS.items() if v.split("_")[0] in ("d01", "d02", "d03", "d04", "d05", "d06")}
 
 
 @query("p01_captures_to_alerts", "select alert_type, severity, count(*) as alerts, min(t_us) as first_us, max(t_us) as last_us from ("
-    + " union all ".join(f"select '{kind}' as alert_type, severity, t_us from ({ORACLES[name]})" for kind, name in LIVE_PARTS.items()) + ") group by alert_type, severity")
+    + " union all ".join(f"select '{kind}' as alert_type, severity, t_us from ({ORACLES[name]})" for kind, name in LIVE_PARTS.items())
+    + f" union all select 'rule_match', severity, t_us from ({CAPTURED_RULE_SQL})) group by alert_type, severity")
 def p01(spark, sf):
     """Capture files to a written frame table, laid out by frame type, to the live profile's alerts."""
     path = shared_dir(spark, "captured")
     captured(spark, sf).write.partitionBy("frame_type").parquet(path)
-    DS.PROFILES["frames_only"] = [n for n in DS.LITE if n != "rules"]
-    out = DS.run_detectors(spark.read.parquet(path), "frames_only", {k: v for k, v in SCALED.items() if k in DS.LITE})
+    out = DS.run_detectors(spark.read.parquet(path), "lite_realtime", {k: v for k, v in SCALED.items() if k in DS.LITE})
     return out.groupBy("alert_type", "severity").agg(F.count("*").alias("alerts"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
 
 
@@ -151,9 +155,7 @@ def d18b(spark, sf):
     def loud(frames, level=-35):
         return frames.filter(F.col("rssi_dbm") > level).select(F.lit("loud_probe").alias("alert_type"), F.lit("LOW").alias("severity"), "sensor_id", "event_id", "t_us")
 
-    DS.register("loud_probe", loud, ("probe_req",))
-    DS.PROFILES["only_loud"] = ["loud_probe"]
-    return DS.run_detectors(load_frames(spark, sf), "only_loud").select("alert_type", "severity", "sensor_id", "event_id")
+    return DS.run_detectors(load_frames(spark, sf), ["loud_probe"], more={"loud_probe": (loud, ("probe_req",), ())}).select("alert_type", "severity", "sensor_id", "event_id")
 
 
 PLACES = [("sensor-0", 0.0, 0.0), ("sensor-1", 20.0, 0.0), ("sensor-2", 10.0, 17.3), ("sensor-3", 20.0, 20.0)]
@@ -265,8 +267,18 @@ def g07_off(spark, sf):
 
 
 @query("g07_fill_heatmap", with_frames("""
-select gx as cell_x, gy as cell_y, min((gx - cell_x) * (gx - cell_x) + (gy - cell_y) * (gy - cell_y)) as distance2
-from hm, (select cast(i as int) as gx from range(40) r(i)), (select cast(j as int) as gy from range(40) s(j)) where hm.cell_x < 40 and hm.cell_y < 40 group by gx, gy""", HEAT))
+select gx as cell_x, gy as cell_y, round(arg_min(v, row((gx - cell_x) * (gx - cell_x) + (gy - cell_y) * (gy - cell_y), cell_y, cell_x)), 6) as rssi_dbm, min((gx - cell_x) * (gx - cell_x) + (gy - cell_y) * (gy - cell_y)) as distance2
+from hm, (select cast(i as int) as gx from range(100) r(i)), (select cast(j as int) as gy from range(100) s(j)) group by gx, gy""", HEAT))
 def g07b(spark, sf):
-    cells = G.heatmap(points(load_frames(spark, sf)), 20, 20)
-    return G.fill_heatmap(cells, 20, 20).select("cell_x", "cell_y", "distance2")
+    """The whole map, level of the nearest measured cell and its squared distance."""
+    cells = G.heatmap(points(load_frames(spark, sf)))
+    return G.fill_heatmap(cells).select("cell_x", "cell_y", F.round("rssi_dbm", 6).alias("rssi_dbm"), "distance2")
+
+
+@query("s14_export_heatmap", with_frames("select cell_x, cell_y, round(v, 6) as rssi_dbm, samples from hm", HEAT))
+def s14_heatmap(spark, sf):
+    from skyfence.sources import sinks
+
+    path = shared_dir(spark, "heatmap")
+    sinks.export_json(G.heatmap(points(load_frames(spark, sf))), path)
+    return spark.read.schema("cell_x int, cell_y int, rssi_dbm double, samples bigint").json(path).withColumn("rssi_dbm", F.round("rssi_dbm", 6))

@@ -58,6 +58,29 @@ def _scored(spark, sf):
     return SC.score_networks(rec, allowlist=allow, deviation="deviation")
 
 
+DEVIATING = """
+fv as (select *, case when event_id % 17 = 0 then 'ZZ:ZZ:ZZ' else vendor_oui end as vo, coalesce(rssi_dbm, -100) as r, row_number() over (partition by sensor_id order by t_us, event_id) as nth from frames where bssid is not null),
+pv as (select *, count(*) over w as prior_n, avg(r) over w as a, sqrt(greatest(avg(r * r) over w - (avg(r) over w) * (avg(r) over w), 0)) as sd, first_value(case when vo <> '' then lower(vo) end ignore nulls) over w as kv
+  from fv window w as (partition by bssid order by t_us, event_id rows between unbounded preceding and 1 preceding)),
+dz as (select event_id, (r - a) / greatest(sd, 5e0) as z, prior_n, coalesce(vo <> '' and not starts_with(kv, lower(vo)) and not starts_with(lower(vo), kv), false) as odd from pv where prior_n >= 5 and nth % 2 = 0),
+dv as (select event_id, odd, least(1e0, odd::int + case when prior_n >= 10 and z > 12e-1 then least(1e0, (z - 12e-1) / 2 + 5e-1) else 0e0 end) as d from dz),
+"""
+
+
+@query("b02_deviation_alerts", with_frames("""
+select event_id, odd as vendor_mismatch, round(d, 6) as score, risk_score, case when risk_score > 70 then 'HIGH' else 'MEDIUM' end as severity from rs where d > 0""",
+    DEVIATING + SCORED.replace("case when event_id % 4 = 0 then 3e-1 else 0e0 end as dev", "d as dev").replace(" as base from feat)", " as base from feat join dv using (event_id))")))
+def b02_alerts(spark, sf):
+    from skyfence.operators import baselines as B
+
+    frames = load_frames(spark, sf)
+    odd = frames.withColumn("vendor_oui", F.when(F.col("event_id") % 17 == 0, "ZZ:ZZ:ZZ").otherwise(F.col("vendor_oui")))
+    rec = scored_input(frames)
+    allow = rec.filter("bssid like '00:22%'").select(F.col("bssid").alias("name")).union(spark.range(1).select(F.lit("Default").alias("name")))
+    out = B.alerts_of_deviations(rec, B.bssid_deviation(odd, 5, 10, sigma=1.2, every=2), allow)
+    return out.select("event_id", "vendor_mismatch", F.round("score", 6).alias("score"), "risk_score", "severity")
+
+
 @query("f02_score_networks", with_frames("""
 select event_id, risk_score, case when trusted then 'Trusted' when risk_score >= 70 then 'High' when risk_score >= 40 then 'Medium' else 'Low' end as risk_level,
   case when trusted then 1e0 else least(1e0, round((cast(enc_score <> 5e-1 as int) + cast(rssi_norm <> 5e-1 as int) + cast(vendor_trust <> 5e-1 as int) + cast(temporal_new <> 5e-1 as int) + cast(privacy_concern <> 5e-1 as int) + 5) / 5e0, 2)) end as confidence,
