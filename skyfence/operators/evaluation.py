@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,36 +124,86 @@ def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features_v", handleInvalid="keep").transform(df)
 
 
-def train_risk_model(labelled: DataFrame, features: list[str], folds: int = 5, max_iter: int = 500, seed: int = 7, key: str | None = None):
+#: Steps of probability that ranks are told apart by.
+BINS = 10_000
+
+
+def _newton_sums(models: np.ndarray):
+    """Partial sums of one task: for every model the Newton equations over the rows that are not of its fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, d = models.shape
+        hessian, gradient = np.zeros((count, d, d)), np.zeros((count, d))
+        for batch in batches:
+            x = np.stack([np.asarray(batch.column(f"x{i}")) for i in range(d)], axis=1)
+            y, n, fold = (np.asarray(batch.column(c)) for c in ("y", "n", "fold"))
+            for m, w in enumerate(models):
+                p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -35, 35)))
+                mine = np.where(fold == m, 0.0, n)  # the last model is of no fold and takes all rows
+                gradient[m] += x.T @ (mine * (y - p))
+                hessian[m] += (x * (mine * p * (1 - p))[:, None]).T @ x
+        flat = np.concatenate([hessian.reshape(count, -1), gradient], axis=1)
+        m, i = np.indices(flat.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(m.ravel()), pa.array(i.ravel()), pa.array(flat.ravel())], ["model", "i", "v"])
+
+    return run
+
+
+def train_risk_model(labelled: DataFrame, features: list[str], folds: int = 5, max_iter: int = 25, seed: int = 7, key: str | None = None):
     """Logistic regression on HIGH/MEDIUM = 1 with cross-validated area under the curve.
 
-    Returns (model, mean, spread). Folds are dealt by a hash of ``key``, or of the features without one, so the cluster's
-    layout changes nothing; folds that lack one of the classes are not judged.
+    Returns (model, mean, spread); the model is its features, coefficients and intercept. Rows equal in features, label and fold are
+    one row with a count. Every step of Newton's method adds up the equations of all folds' models and of the whole one in one pass,
+    and areas come from histograms of the scores. Folds are dealt by a hash of ``key``, or of the features without one, so the
+    cluster's layout changes nothing; folds that lack one of the classes are not judged. A missing feature counts as 0.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-
-    part = F.pmod(F.xxhash64(F.lit(seed), *([key] if key else features)), F.lit(folds)).alias("_fold")
-    rows = _assemble(labelled, features).select("features_v", F.when(F.col("label").isin("HIGH", "MEDIUM"), 1.0).otherwise(0.0).alias("y"), part).persist()
-    lr = LogisticRegression(featuresCol="features_v", labelCol="y", maxIter=max_iter)
-    judge = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC")
-    try:
-        fair = [r["_fold"] for r in rows.groupBy("_fold").agg(F.count_distinct("y").alias("n")).filter("n = 2").orderBy("_fold").collect()]
-        scores = [judge.evaluate(lr.fit(rows.filter(F.col("_fold") != k)).transform(rows.filter(F.col("_fold") == k))) for k in fair] or [0.0]
-        model = lr.fit(rows)
-    finally:
-        rows.unpersist()
+    from skyfence.session import shared_dir
+
+    spark, d = labelled.sparkSession, len(features) + 1
+    part = F.pmod(F.xxhash64(F.lit(seed), *([key] if key else features)), F.lit(folds)).alias("fold")
+    x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)] + [F.lit(1.0).alias(f"x{d - 1}")]
+    rows = labelled.select(*x, F.when(F.col("label").isin("HIGH", "MEDIUM"), 1.0).otherwise(0.0).alias("y"), part)
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("n"))
+    path = shared_dir(spark, "risk-rows")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    total, models = rows.agg(F.sum("n")).first()[0] or 0.0, np.zeros((folds + 1, d))
+    for _ in range(max_iter):
+        sums = rows.mapInArrow(_newton_sums(models), "model bigint, i bigint, v double").groupBy("model", "i").agg(F.sum("v").alias("v")).collect()  # a few hundred numbers
+        flat = np.zeros((folds + 1, d * d + d))
+        for r in sums:
+            flat[r["model"], r["i"]] = r["v"]
+        gradients = [f[d * d:] - 1e-6 * w for f, w in zip(flat, models)]
+        steps = [np.linalg.lstsq(f[:d * d].reshape(d, d) + 1e-6 * np.eye(d), g, rcond=None)[0] for f, g in zip(flat, gradients)]
+        models = models + np.array(steps)
+        if max(float(s @ g) for s, g in zip(steps, gradients)) < 1e-6 * total:  # what a step still adds to the log-likelihood
+            break
+    score = F.lit(0.0)
+    for m in range(folds):
+        z = sum((F.col(f"x{i}") * F.lit(float(models[m, i])) for i in range(d)), F.lit(0.0))
+        score = F.when(F.col("fold") == m, 1 / (1 + F.exp(-z))).otherwise(score)
+    bins = rows.groupBy("fold", F.floor(score * BINS).alias("bin")).agg(F.sum(F.col("n") * F.col("y")).alias("ones"), F.sum("n").alias("n"))
+    counted: dict[int, list] = {}
+    for r in bins.orderBy("fold", "bin").collect():  # at most BINS rows a fold
+        counted.setdefault(r["fold"], []).append((r["ones"], r["n"] - r["ones"]))
+    scores = []
+    for pairs in counted.values():
+        ones, zeros = np.array(pairs).T
+        if ones.sum() and zeros.sum():
+            scores.append(float((ones * (np.cumsum(zeros) - zeros / 2)).sum() / (ones.sum() * zeros.sum())))
+    scores = scores or [0.0]
     mean = sum(scores) / len(scores)
+    model = {"features": list(features), "coefficients": models[folds, :-1].tolist(), "intercept": float(models[folds, -1])}
     return model, round(mean, 3), round((sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5, 3)
 
 
-def predict_risk(df: DataFrame, model, features: list[str]) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    scored = model.transform(_assemble(df, features))
-    p = vector_to_array("probability")[1]
-    keep = [c for c in df.columns]
-    return scored.select(*keep, p.alias("_p")).select(*keep, (F.col("_p") * 100).cast("int").alias("score"), F.round("_p", 3).alias("probability"))
+def predict_risk(df: DataFrame, model: dict, features: list[str] | None = None) -> DataFrame:
+    """score (0 to 100, whole) and probability of every row, as plain column arithmetic."""
+    z = F.lit(float(model["intercept"]))
+    for name, w in zip(features or model["features"], model["coefficients"]):
+        z = z + F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * F.lit(float(w))
+    p = 1 / (1 + F.exp(-z))
+    return df.withColumns({"score": (p * 100).cast("int"), "probability": F.round(p, 3)})
 
 
 def fit_anomaly(df: DataFrame, features: list[str] | None = None, k: int = 4):

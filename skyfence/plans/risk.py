@@ -283,6 +283,17 @@ def e04(spark, sf):
     return out.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("probability"), 3).alias("mean_probability")).withColumn("auc_cv", F.lit(mean)).withColumn("auc_std", F.lit(spread))
 
 
+RISK = {"features": list(SC.ML_FEATURES), "coefficients": [0.02, -0.03, 2.5, 1.5, -0.75, -1.25, 0.5, 0.25], "intercept": 0.4}
+
+
+@query("e04_risk_scores", with_frames("""
+select event_id, cast(trunc(p * 100) as int) as score, round(p, 3) as probability from (select event_id, 1 / (1 + exp(-(4e-1 + 2e-2 * rssi_dbm - 3e-2 * channel
+  + 25e-1 * cast(not privacy as int) - 75e-2 * cast(privacy and not pmf as int) - 125e-2 * cast(privacy and pmf as int)
+  + 5e-1 * cast(coalesce(ssid, '') = '' as int) + 25e-2 * cast(wps as int)))) as p from frames)"""))
+def e04_scores(spark, sf):
+    return E.predict_risk(SC.ml_features(load_frames(spark, sf)), RISK).select("event_id", "score", "probability")
+
+
 AXES = {"mean": [i / 20 for i in range(len(SC.FEATURES))], "axes": [[((i * 7 + j * 3) % 5 - 2) / 5 for j in range(2)] for i in range(len(SC.FEATURES))], "features": list(SC.FEATURES)}
 _X = [f"({f} - {m!r}::double)" for f, m in zip(AXES["features"], AXES["mean"])]
 _H = [" + ".join(f"{x} * {a[j]!r}::double" for x, a in zip(_X, AXES["axes"])) for j in range(2)]

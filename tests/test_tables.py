@@ -332,3 +332,23 @@ def test_scratch_folders_go(spark, tmp_path):
     spark.range(3).write.parquet(path)
     assert os.path.isdir(path) and session.drop_scratch(spark) == 1 and not os.path.exists(path)
     session._made[:] = before
+
+
+def test_risk_model_as_a_plain_solution(spark):
+    import numpy as np
+
+    from skyfence.operators import evaluation as E
+
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=800).round(1), r.integers(0, 5, 800).astype(float)
+    y = r.random(800) < 1 / (1 + np.exp(-(0.7 * a - 0.5 * b + 0.6)))
+    df = spark.createDataFrame([(float(p), float(q), "HIGH" if v else "LOW", i) for i, (p, q, v) in enumerate(zip(a, b, y))], "a double, b double, label string, id int")
+    model, mean, spread = E.train_risk_model(df, ["a", "b"], key="id")
+    x, w = np.stack([a, b, np.ones(800)], axis=1), np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (y - p))
+    assert np.allclose([*model["coefficients"], model["intercept"]], w, atol=1e-3)
+    z = x @ w
+    area = np.mean([(z[y][:, None] > z[~y]).mean() + (z[y][:, None] == z[~y]).mean() / 2])
+    assert abs(mean - area) < 0.03 and 0 < spread < 0.1
