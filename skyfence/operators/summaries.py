@@ -35,6 +35,18 @@ def network_stats(frames: DataFrame) -> DataFrame:
     return stats.join(clients, "bssid", "left")
 
 
+def network_clients(frames: DataFrame) -> DataFrame:
+    """One row per access point and station heard with it: bssid, client, frames, first_seen, last_seen.
+
+    The long form of ``network_stats``'s client list, for access points with any number of stations.
+    """
+    ap = F.col("bssid")
+    client = lambda c: F.when((F.col(c) != ap) & (F.col(c) != "FF:FF:FF:FF:FF:FF"), F.col(c))
+    both = F.array_distinct(F.array_compact(F.array(client("src_addr"), client("dst_addr"))))
+    rows = frames.filter(ap.isNotNull()).select("bssid", "t_us", F.explode(both).alias("client"))
+    return rows.groupBy("bssid", "client").agg(F.count("*").alias("frames"), F.min("t_us").alias("first_seen"), F.max("t_us").alias("last_seen"))
+
+
 def current_networks(frames: DataFrame, positions: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """Latest record per access point, with estimated coordinates where known; with ``n``, only among the newest n frames.
 

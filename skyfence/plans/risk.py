@@ -9,7 +9,7 @@ from skyfence.operators import evaluation as E
 from skyfence.operators import rules as R
 from skyfence.operators import scoring as SC
 from skyfence.operators.normalise import enrich_vendor
-from skyfence.plans.base import fold_ctes, query, with_frames
+from skyfence.plans.base import ORACLES, fold_ctes, query, with_frames
 from skyfence.plans.ingest import VENDOR_CASE
 from skyfence.plans.views import NET, networks
 
@@ -163,6 +163,18 @@ def d11(spark, sf):
     return R.apply_rules(ruled(load_frames(spark, sf)), cool=False).select("event_id", "rule_id")
 
 
+@query("d11_rules_from_file", ORACLES["d11_rule_matches"])
+def d11_file(spark, sf):
+    import json
+
+    from skyfence.session import shared_dir
+
+    path = shared_dir(spark, "rules")
+    text = json.dumps({"rules": R.as_rules(R.CORE_RULES)})
+    spark.range(1).select(F.lit(text).alias("value")).write.text(path)
+    return R.apply_rules(ruled(load_frames(spark, sf)), R.load_rules(path, spark), cool=False).select("event_id", "rule_id")
+
+
 @query("d11_apply_rules", with_frames("select event_id, t_us, sensor_id, rule_id from kept", NAMED + ",\n" + """
 hit as (""" + " union all ".join(f"select event_id, t_us, sensor_id, '{k}' as rule_id, {RULE_COOL[k] * S // 60} as cool from nm where {v}" for k, v in RULE_SQL.items()) + """),
 fold as (select sensor_id, rule_id, cool, min(t_us) as t from hit group by all

@@ -55,6 +55,13 @@ def a02(spark, sf):
     return out.withColumn("rssi_avg", F.round("rssi_avg", 6)).withColumn("clients", F.array_join("associated_clients", ",")).drop("associated_clients")
 
 
+@query("a02_network_clients", with_frames("""
+select bssid, c as client, count(*) as frames, min(t_us) as first_seen, max(t_us) as last_seen
+from (select distinct event_id, bssid, t_us, unnest([src_addr, dst_addr]) as c from frames) where c <> bssid and c <> 'FF:FF:FF:FF:FF:FF' group by bssid, c"""))
+def a02_clients(spark, sf):
+    return A.network_clients(load_frames(spark, sf))
+
+
 @query("a03_current_networks", with_frames("""
 select bssid, event_id, t_us as last_seen, rssi_dbm, case when bssid like '%0' then 1e0 when event_id % 6 <> 0 then 10e0 end as lat
 from frames qualify row_number() over (partition by bssid order by t_us desc, event_id desc) = 1"""))

@@ -352,3 +352,23 @@ def test_risk_model_as_a_plain_solution(spark):
     z = x @ w
     area = np.mean([(z[y][:, None] > z[~y]).mean() + (z[y][:, None] == z[~y]).mean() / 2])
     assert abs(mean - area) < 0.03 and 0 < spread < 0.1
+
+
+def test_rules_from_files(spark, tmp_path):
+    import json
+
+    from skyfence.operators import rules as R
+
+    rules = R.as_rules(R.CORE_RULES)
+    for i, part in enumerate((rules[:2], rules[2:])):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"rules": part}, indent=1))
+    want = json.loads(json.dumps(rules))
+    assert R.load_rules(str(tmp_path), spark) == want and R.load_rules(str(tmp_path / "0.json")) == want[:2]
+
+
+def test_clients_in_rows(spark, make):
+    from skyfence.operators import summaries as A
+
+    frames = make([{"t": i, "frame_type": "data", "bssid": "A", "src_addr": f"S{i % 3}", "dst_addr": ["A", "FF:FF:FF:FF:FF:FF", f"S{i % 3}"][i % 3]} for i in range(9)])
+    got = sorted(map(tuple, A.network_clients(frames).collect()))
+    assert got == [("A", f"S{k}", 3, k * 10**6, (k + 6) * 10**6) for k in range(3)]
