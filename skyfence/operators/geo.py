@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,16 +108,16 @@ def strongest_sensor(readings: DataFrame) -> DataFrame:
     )
 
 
-def positions(readings: DataFrame, origin: tuple[float, float] | None = None, env: str = "indoor_los") -> DataFrame:
-    """Trilateration where it works, else the loudest sensor; local metres and coordinates around the origin."""
+def positions(readings: DataFrame, origin: tuple[float, float] | None = None, env: str = "indoor_los", digits: int | None = 3) -> DataFrame:
+    """Trilateration where it works, else the loudest sensor; local metres (rounded to ``digits``, None: as they are) and coordinates around the origin."""
     near = strongest_sensor(readings)
     best = trilaterate(readings, env).select("bssid", *[F.col(c).alias(f"_{c}") for c in ("x_m", "y_m", "confidence", "error_radius_m")])
     both = near.join(best, "bssid", "left")
-    pick = lambda c, digits: F.round(F.coalesce(f"_{c}", c), digits)
+    pick = lambda c, to: F.coalesce(f"_{c}", c) if to is None else F.round(F.coalesce(f"_{c}", c), to)
     out = both.select(
         "bssid", F.when(F.col("_x_m").isNotNull(), "trilateration").otherwise("strongest_rssi").alias("method"),
         F.coalesce("_x_m", "x_m").alias("_x"), F.coalesce("_y_m", "y_m").alias("_y"),
-        pick("x_m", 3).alias("x_m"), pick("y_m", 3).alias("y_m"), pick("confidence", 4).alias("confidence"),
+        pick("x_m", digits).alias("x_m"), pick("y_m", digits).alias("y_m"), pick("confidence", 4).alias("confidence"),
         pick("error_radius_m", 3).alias("error_radius_m"), "sensors", "source_sensor_ids",
     )
     if origin is None:
@@ -132,51 +130,11 @@ def positions(readings: DataFrame, origin: tuple[float, float] | None = None, en
     }).drop("_x", "_y")
 
 
-TRACK_DDL = "bssid string, t_us bigint, x_m double, y_m double, x_s double, y_s double, vx double, vy double, uncertainty double"
-
-
-def filter_step(state: tuple | None, t: float, x: float, y: float, q: float = 0.1, r: float = 1.0) -> tuple[tuple, tuple]:
-    """One step of the constant-velocity filter: (new state, (x, y, vx, vy, uncertainty))."""
-    if state is None:
-        cov = np.eye(4) * 10.0
-        return (np.array([x, y, 0.0, 0.0]), cov, t), (x, y, 0.0, 0.0, float(np.sqrt(cov[0, 0])))
-    s, cov, before = state
-    move = np.eye(4)
-    move[0, 2] = move[1, 3] = t - before
-    s, cov = move @ s, move @ cov @ move.T + np.eye(4) * q
-    gain = cov[:, :2] @ np.linalg.inv(cov[:2, :2] + np.eye(2) * r)
-    s = s + gain @ (np.array([x, y]) - s[:2])
-    cov = cov - gain @ cov[:2, :]
-    return (s, cov, t), (*map(float, s), float(np.sqrt(cov[0, 0] + cov[1, 1])))
-
-
-def smooth_tracks(track: DataFrame) -> DataFrame:
-    """Filtered track per address from (bssid, t_us, x_m, y_m).
-
-    A filter is sequential by nature; positions (one per address and step) are few, and rows stream
-    through it in order, so a task holds one state, not a track.
-    """
-    rows = track.select("bssid", "t_us", "x_m", "y_m").repartition("bssid").sortWithinPartitions("bssid", "t_us")
-
-    def walk(batches):
-        key, state = None, None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if row.bssid != key:
-                    key, state = row.bssid, None
-                state, now = filter_step(state, row.t_us / US, row.x_m, row.y_m)
-                out.append((row.bssid, row.t_us, row.x_m, row.y_m, *now))
-            yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in TRACK_DDL.split(",")])
-
-    return rows.mapInPandas(walk, TRACK_DDL)
-
-
 def position_track(frames: DataFrame, sensors: DataFrame, step_s: float = 60.0, env: str = "indoor_los") -> DataFrame:
-    """One estimate per address and time step, the input of ``smooth_tracks``."""
+    """One estimate per address and time step, the input of ``tracks.smooth_tracks``."""
     stepped = frames.withColumn("_step", slot_of("t_us", int(step_s * US)))
     keyed = stepped.withColumn("bssid", F.concat_ws("#", "bssid", F.col("_step").cast("string")))
-    spots = positions(latest_readings(keyed, sensors, window_s=step_s), env=env)
+    spots = positions(latest_readings(keyed, sensors, window_s=step_s), env=env, digits=None)
     key = F.split("bssid", "#")
     return spots.select(key[0].alias("bssid"), ((key[1].cast("bigint") + 1) * F.lit(int(step_s * US))).alias("t_us"), "x_m", "y_m", "method")
 

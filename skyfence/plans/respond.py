@@ -9,6 +9,7 @@ from skyfence.operators import detector_set as DS
 from skyfence.operators import geo as G
 from skyfence.operators import rules as R
 from skyfence.operators import scoring as SC
+from skyfence.operators import tracks as TR
 from skyfence.operators import triage as T
 from skyfence.plans import detect  # noqa: F401  (its SQL is reused)
 from skyfence.plans.base import ORACLES, fold_ctes, query, with_frames
@@ -224,26 +225,37 @@ def g05(spark, sf):
     return out.select("bssid", "method", "x_m", "y_m", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query("g06_smooth_tracks")
+# The filter, one measurement after another.
+FILTER = """f as (select bssid, rn, t_us, x as px, y as py, 0e0 as vx, 0e0 as vy, 10e0 as a, 0e0 as b, 10e0 as c from z where rn = 1
+  union all
+  select bssid, rn, t_us, px + dt * vx + k1 * (x - px - dt * vx), py + dt * vy + k1 * (y - py - dt * vy), vx + k2 * (x - px - dt * vx), vy + k2 * (y - py - dt * vy),
+    a1 - k1 * a1, b1 - k1 * b1, c1 - k2 * b1
+  from (select *, a1 / (a1 + 1) as k1, b1 / (a1 + 1) as k2 from (
+    select z.bssid, z.rn, z.t_us, z.x, z.y, px, py, vx, vy, (z.t_us - f.t_us) / 1e6 as dt,
+      a + 2 * ((z.t_us - f.t_us) / 1e6) * b + ((z.t_us - f.t_us) / 1e6) * ((z.t_us - f.t_us) / 1e6) * c + 1e-1 as a1, b + ((z.t_us - f.t_us) / 1e6) * c as b1, c + 1e-1 as c1
+    from f join z on z.bssid = f.bssid and z.rn = f.rn + 1)))"""
+STEP_READ = READ.replace("from frames join", "from (select * replace (concat(bssid, '#', t_us // 120000000) as bssid) from frames where bssid is not null) join").replace("- 300000000", "- 120000000")
+
+
+@query("g06_smooth_tracks", with_frames("""
+select f.bssid, f.t_us, round(z.x, 5) as x_m, round(z.y, 5) as y_m, round(px, 5) as x_s, round(py, 5) as y_s, round(vx, 5) as vx, round(vy, 5) as vy, round(case when f.rn = 1 then sqrt(10e0) else sqrt(2 * a) end, 5) as uncertainty
+from f join z using (bssid, rn)""", STEP_READ + """,
+z0 as (select split_part(bssid, '#', 1) as bssid, (split_part(bssid, '#', 2)::bigint + 1) * 120000000 as t_us, coalesce(px, sx) as x, coalesce(py, sy) as y from st left join tr using (bssid)),
+z as (select *, row_number() over (partition by bssid order by t_us) as rn from z0),
+""" + FILTER, recursive=True))
 def g06(spark, sf):
     track = G.position_track(load_frames(spark, sf), places(spark), 120)
-    return G.smooth_tracks(track).select("bssid", "t_us", *[F.round(c, 3).alias(c) for c in ("x_m", "y_m", "x_s", "y_s", "uncertainty")])
+    out = TR.smooth_tracks(track, slice_rows=4)  # addresses have few positions here; several slices each
+    return out.select("bssid", "t_us", *[F.round(c, 5).alias(c) for c in ("x_m", "y_m", "x_s", "y_s", "vx", "vy", "uncertainty")])
 
 
 @query("g06_filter_steps", with_frames("""
 select bssid, t_us, round(px, 6) as x_s, round(py, 6) as y_s, round(vx, 6) as vx, round(vy, 6) as vy, round(case when rn = 1 then sqrt(10e0) else sqrt(2 * a) end, 6) as uncertainty from f""", """
 z as (select bssid, t_us, avg(rssi_dbm) / 10 as x, avg(channel)::double as y, row_number() over (partition by bssid order by t_us) as rn from frames where frame_type = 'probe_resp' group by bssid, t_us),
-f as (select bssid, rn, t_us, x as px, y as py, 0e0 as vx, 0e0 as vy, 10e0 as a, 0e0 as b, 10e0 as c from z where rn = 1
-  union all
-  select bssid, rn, t_us, px + dt * vx + k1 * (x - px - dt * vx), py + dt * vy + k1 * (y - py - dt * vy), vx + k2 * (x - px - dt * vx), vy + k2 * (y - py - dt * vy),
-    a1 - k1 * a1, b1 - k1 * b1, c1 - k2 * b1
-  from (select *, a1 / (a1 + 1) as k1, b1 / (a1 + 1) as k2 from (
-    select z.bssid, z.rn, z.t_us, z.x, z.y, px, py, vx, vy, (z.t_us - f.t_us) / 1e6 as dt,
-      a + 2 * ((z.t_us - f.t_us) / 1e6) * b + ((z.t_us - f.t_us) / 1e6) * ((z.t_us - f.t_us) / 1e6) * c + 1e-1 as a1, b + ((z.t_us - f.t_us) / 1e6) * c as b1, c + 1e-1 as c1
-    from f join z on z.bssid = f.bssid and z.rn = f.rn + 1)))""", recursive=True))
+""" + FILTER, recursive=True))
 def g06_steps(spark, sf):
     seen = load_frames(spark, sf).filter("frame_type = 'probe_resp'").groupBy("bssid", "t_us").agg((F.avg("rssi_dbm") / 10).alias("x_m"), F.avg("channel").alias("y_m"))
-    return G.smooth_tracks(seen).select("bssid", "t_us", *[F.round(c, 6).alias(c) for c in ("x_s", "y_s", "vx", "vy", "uncertainty")])
+    return TR.smooth_tracks(seen).select("bssid", "t_us", *[F.round(c, 6).alias(c) for c in ("x_s", "y_s", "vx", "vy", "uncertainty")])
 
 
 def points(frames):

@@ -1,5 +1,6 @@
 """Rules, scoring, privacy, geolocation, captures and table jobs on small inputs."""
 
+import random
 import struct
 
 import pytest
@@ -14,6 +15,7 @@ from skyfence.operators import rules as R
 from skyfence.operators import scoring as SC
 from skyfence.operators import summaries as A
 from skyfence.operators import triage as T
+from skyfence.operators.tracks import smooth_tracks
 from skyfence.sources import captures, ingest, sinks
 
 
@@ -94,11 +96,47 @@ def test_distance_inverse(spark):
 
 def test_smoothing_starts_at_the_measurement_and_calms(spark):
     rows = [("ap", i * 1_000_000, float(i) + (0.5 if i % 2 else -0.5), 0.0) for i in range(30)]
-    got = G.smooth_tracks(spark.createDataFrame(rows, "bssid string, t_us bigint, x_m double, y_m double")).orderBy("t_us").collect()
+    got = smooth_tracks(spark.createDataFrame(rows, "bssid string, t_us bigint, x_m double, y_m double")).orderBy("t_us").collect()
     assert got[0].x_s == rows[0][2] and abs(got[-1].x_s - 29) < 0.5 and got[-1].vx == pytest.approx(1, abs=0.3)
     assert got[-1].uncertainty < got[1].uncertainty
 
 
+def test_smoothing_in_slices_against_single_steps(spark):
+    import numpy as np
+
+    def one_by_one(rows):
+        out, before = [], None
+        for _, t, x, y in rows:
+            if before is None:
+                s, cov = np.array([x, y, 0.0, 0.0]), np.eye(4) * 10.0
+            else:
+                move = np.eye(4)
+                move[0, 2] = move[1, 3] = (t - before) / 1e6
+                s, cov = move @ s, move @ cov @ move.T + np.eye(4) * 0.1
+                gain = cov[:, :2] @ np.linalg.inv(cov[:2, :2] + np.eye(2))
+                s, cov = s + gain @ (np.array([x, y]) - s[:2]), cov - gain @ cov[:2, :]
+            out.append((*s, cov[0, 0] ** 0.5 if before is None else (2 * cov[0, 0]) ** 0.5))
+            before = t
+        return out
+
+    r = random.Random(3)
+    rows = [(a, r.randrange(10**9), r.random() * 50, r.random() * 50) for a, n in (("hot", 400), ("few", 7), ("one", 1)) for _ in range(n)]
+    rows += [rows[5], rows[5][:2] + (1.0, 2.0), ("few", 10**12, 3.0, 4.0)]  # a repeated row, one of the same time, a long gap
+    odd = [(None, 1, 1.0, 1.0), ("hot", None, 1.0, 1.0), ("hot", 5, None, 1.0)]
+    df = spark.createDataFrame(rows + odd, "bssid string, t_us bigint, x_m double, y_m double").withColumn("extra", F.lit(1))
+    want = {a: one_by_one(sorted(x for x in rows if x[0] == a)) for a in ("hot", "few", "one")}
+    for slice_rows in (1, 3, 16, 4096):
+        got = {}
+        for g in smooth_tracks(df, slice_rows).collect():
+            got.setdefault(g.bssid, []).append(g)
+        assert {a: len(v) for a, v in got.items()} == {a: len(v) for a, v in want.items()}
+        for a, v in got.items():
+            mine = np.array(sorted([(g.t_us, g.x_m, g.y_m, g.x_s, g.y_s, g.vx, g.vy, g.uncertainty) for g in v]))[:, 3:]
+            there = np.array([w for _, w in sorted(zip([x[1:] for x in sorted(x for x in rows if x[0] == a)], want[a]), key=lambda p: p[0])])
+            assert np.allclose(np.sort(mine, axis=0), np.sort(there, axis=0), rtol=1e-7, atol=1e-7), (a, slice_rows)
+    assert smooth_tracks(df.limit(0)).count() == 0
+
+
 def test_heatmap_fill_is_nearest(spark):
     cells = spark.createDataFrame([(0, 0, -30.0), (9, 4, -60.0)], "cell_x int, cell_y int, rssi_dbm double")
     got = {(r.cell_x, r.cell_y): (r.rssi_dbm, r.distance2) for r in G.fill_heatmap(cells, 5, 5, 0.5).collect()}
