@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skyfence.operators.alerts import as_alert, tiers
 from skyfence.operators.timeline import US, cooldown, episodes, running, slot_of, trailing
+from skyfence.session import shared_dir
 
 BROADCAST = "FF:FF:FF:FF:FF:FF"
 
@@ -161,14 +162,17 @@ def pmkid(
         "event_id", "t_us", "sensor_id", "bssid", eapol.cast("int").alias("eapol_message"),
         F.when(is_auth, F.col("src_addr")).alias("source"), (is_auth & F.col("src_addr").isNotNull()).alias("is_auth"),
     )
-    talk = trailing(talk, ["bssid"], auth_window_s * US, {"auth_count": F.col("is_auth")}, {"unique_sources": "source"})
     talk = pending_m1(talk, m1_window_s * US)
+    talk = trailing(talk, ["bssid"], auth_window_s * US, {"auth_count": F.col("is_auth")}, {"unique_sources": "source"})
     by_m1 = F.col("orphaned_m1") >= m1_limit
     by_auth = (F.col("auth_count") >= auth_limit) & (F.col("unique_sources") >= min_sources)
     hits = talk.filter(~(F.coalesce(F.col("eapol_message"), F.lit(0)) == 2) & (by_m1 | by_auth)).select(
         "event_id", "t_us", "sensor_id", "bssid", "orphaned_m1", "auth_count", "unique_sources",
         by_m1.alias("m1_flood"), by_auth.alias("auth_flood"),
     )
+    path = shared_dir(frames.sparkSession, "pmkid")
+    hits.write.parquet(path)  # few rows at the end of a long plan, which the cooldown reads three times
+    hits = frames.sparkSession.read.schema(hits.schema).parquet(path)
     return pmkid_alert(cooldown(hits, ["bssid"], cooldown_s * US))
 
 

@@ -68,7 +68,9 @@ def test_pending_m1_against_a_queue(spark):
     r = random.Random(4)
     data = [(i, r.randrange(4000) * 1000, "hot" if r.random() < 0.7 else "b", r.choice([1, 1, 2, 3, None])) for i in range(500)]
     df = spark.createDataFrame(data, "event_id bigint, t_us bigint, bssid string, eapol_message int")
-    got = {x.event_id: x.orphaned_m1 for x in pending_m1(df, 60_000, slice_us=100_000).collect()}
+    many = [{x.event_id: x.orphaned_m1 for x in pending_m1(df, 60_000, pack=pack).collect()} for pack in (3, 512)]
+    plans = pending_m1(df, 60_000)._jdf.queryExecution().toString()
+    assert "Pandas" not in plans and "Arrow" not in plans
     queue = {}
     for e, t, b, m in sorted(data, key=lambda x: (x[1], x[0])):
         q = [x for x in queue.get(b, []) if x >= t - 60_000]
@@ -77,7 +79,7 @@ def test_pending_m1_against_a_queue(spark):
         elif m == 2:
             q = q[1:]
         queue[b] = q
-        assert got[e] == len(q), e
+        assert [got[e] for got in many] == [len(q)] * 2, e
 
 
 def test_wep(make):
