@@ -12,7 +12,7 @@ A text's 3-grams depend on each other: its log-likelihood counts as the mean ove
 
 Rows: markup of null, or without text, has no text evidence; the rest decides. An address of null gives the empty host and suffix, a
 missing declaration the value "". Documents without text or language are not learned from. Repeated pages count each. Without
-any language to learn, the language is null. Extra columns are not read. Hot hosts are combined before they are shuffled.
+any language to learn, language and probability are null and the rest is as always. Extra columns are not read. Hot hosts are combined before they are shuffled.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def read_pages(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFra
                 logs = np.array(logs).reshape(len(said), len(langs))
                 lists = pa.list_(pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("page_id", "url", "host")), pa.array(said), pa.array(size, pa.int64()), pa.array(logs.tolist(), lists), pa.array(softmax(logs).tolist(), lists)],
+                    [*(part.column(c) for c in ("page_id", "url", "host")), pa.array(said), pa.array(size, pa.int64()), pa.array(logs.tolist(), lists), pa.array((softmax(logs) if langs else logs).tolist(), lists)],
                     ["page_id", "url", "host", "declared", "n_chars", "evidence", "first"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -119,8 +119,8 @@ def identify(pages: DataFrame, docs: DataFrame, towards_domain: float = 5.0, tow
     langs, model = text_model(docs)
     if not langs:
         none = F.lit(None).cast("string")
-        at = F.coalesce(F.col("html"), F.lit(""))
-        return pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.lit("").alias("declared"), F.substring_index(host_of(F.col("url")), ".", -1).alias("suffix"), F.length(at).cast("long").alias("n_chars"), none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"))
+        return read_pages(pages, langs, model).select(
+            "page_id", "url", "host", "declared", "suffix", "n_chars", none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"))
     rows = stored(read_pages(pages, langs, model), "page-languages")
     vector = rows.select("host", "domain", "suffix", "declared", array_to_vector("first").alias("v"))
     sums = lambda key: vector.groupBy(key).agg(vector_to_array(Summarizer.sum(F.col("v"))).alias(f"{key}_sum"))

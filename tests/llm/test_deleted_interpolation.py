@@ -1,6 +1,7 @@
 """Counts and base scores against plain Python; the mixture against its definition and on held-out texts."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,8 +9,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from skyfence.llm.deleted_interpolation import DELETED, HELD_OUT, KEPT, add_blocks, joined, score_documents
+from skyfence.llm.deleted_interpolation import DELETED, HELD_OUT, KEPT, add_blocks, joined, score_documents, score_texts
 from skyfence.llm.grams import lowered_words, pack_keys, unpack_keys
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,3 +91,45 @@ def test_counts_beyond_32_bits():
         if block == DELETED:
             assert joined(got.slice(i, 1), "kept").tolist() == [most + 5, 2 * most, most + 1]
     assert (got["words"][0].as_py(), got["kinds"][0].as_py(), got["kept_words"][0].as_py()) == (total[0] + total[1], 2, 3 * most + 5)
+
+
+def mixture(rows):
+    """Scores of (id, text, kind) by the definition: word pairs, words and the uniform distribution, one token at a time."""
+
+    def events(text):
+        line = ["\n", *words_of(text), "\n"]
+        return list(zip(line, line[1:]))
+
+    def counted(kinds):
+        pairs = Counter(e for _, t, k in rows if k in kinds for e in events(t))
+        single = Counter()
+        for (_, word), n in pairs.items():
+            single[word] += n
+        return pairs, single, sum(single.values())
+
+    full, kept = counted((KEPT, DELETED)), counted((KEPT,))
+    uniform = 1 / (len(full[1]) + 1)
+    bucket = lambda counts, before: min(int(math.log2(counts[1][before] + 1)), 23)
+    parts = lambda counts, e: [uniform, counts[1][e[1]] / counts[2], counts[0][e] / max(1, counts[1][e[0]])]
+    rough = lambda p: 2 ** (-round(-4 * math.log2(p)) / 4) if p else 0.0
+    met = [(bucket(kept, e[0]), [uniform, *map(rough, parts(kept, e)[1:])]) for _, t, k in rows if k == DELETED for e in events(t)]
+    weights = [[1 / 3] * 3 for _ in range(24)]
+    for _ in range(60):
+        sums = [[0.5] * 3 for _ in range(24)]
+        for b, p in met:
+            share = [w * x for w, x in zip(weights[b], p)]
+            for k in range(3):
+                sums[b][k] += share[k] / sum(share)
+        weights = [[x / sum(line) for x in line] for line in sums]
+    return {i: sum(math.log10(sum(w * x for w, x in zip(weights[bucket(full, e[0])], parts(full, e)))) for e in events(t)) for i, t, _ in rows}
+
+
+def test_scores_against_the_definition(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choice(words[: 5 + r.randrange(36)]) for _ in range(r.randrange(40))), (KEPT, KEPT, DELETED, HELD_OUT)[i % 4]) for i in range(160)]
+    rows += [(500, None, HELD_OUT), (501, "never seen W1 w1", HELD_OUT), (502, "w1 " * 500, KEPT), (503, "w1 " * 500, KEPT)]
+    want = mixture(rows)
+    for size in (0.001, 12.0):
+        got = score_texts(spark.createDataFrame(rows, "doc_id bigint, text string, kind int"), F.col("kind"), block_mb=size).collect()
+        assert {x.doc_id: x.score for x in got} == pytest.approx(want, rel=1e-7)

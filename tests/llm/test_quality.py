@@ -1,5 +1,6 @@
 """Classifier and rules: counts against brute force, verdicts on held-out labels, and odd rows."""
 
+import math
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from skyfence.llm.quality_model import STATISTICS, classify, pooled, statistics
-from skyfence.llm.quality_rules import fit_on_sample, judge
+from skyfence.llm.quality_rules import BUCKETS, MIX, fit_on_sample, judge
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,6 +56,39 @@ def test_classifier_never_reads_the_held_out_labels(spark, labelled):
     assert a == b
 
 
+def test_scores_against_a_plain_solution(spark):
+    """Ridge by least squares over stacked rows, calibration by the min-max form of isotonic regression."""
+    r = random.Random(8)
+    rows = [(i, " ".join("".join(r.choice("aeiou lmnrst|A7") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 60)))) for i in range(400)]
+    labels = [(i, int((len(t) > 150) != (r.random() < 0.25))) for i, t in rows] + [(7, 1), (8, 5), (9, None), (9999, 1)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    stats = {i: np.float32(statistics(t)).astype(float) for i, t in rows}
+    known = [(i, y) for i, y in labels if y in (0, 1) and i in stats]
+    x = np.array([stats[i] for i, _ in known if fold(i) > 1])
+    y = np.array([y for i, y in known if fold(i) > 1], float)
+    mean, spread = x.mean(0), x.std(0, ddof=1)
+    spread[spread <= 1e-9] = 1
+    seed = np.random.default_rng(17)
+    w, b = seed.normal(size=(x.shape[1], 256)) * math.sqrt(2 / 32), seed.uniform(0, 2 * math.pi, 256)
+    map_ = lambda v: np.append(np.cos(np.clip((v - mean) / spread, -5, 5) @ w + b) * math.sqrt(2 / 256), 1.0)
+    z = np.array([map_(v) for v in x])
+    damp = np.sqrt(1e-3 * len(x)) * np.eye(257)[:256]
+    beta = np.linalg.lstsq(np.vstack([z, damp]), np.append(y, np.zeros(256)), rcond=None)[0]
+    raw = {i: float(map_(v) @ beta) for i, v in stats.items()}
+    cells = {}
+    for i, label in known:
+        if fold(i) == 1:
+            at = min(600, max(0, round((raw[i] + 1) / 3 * 600)))
+            n = cells.setdefault(at, [0, 0])
+            n[0], n[1] = n[0] + label, n[1] + 1
+    bins = sorted(cells)
+    share = lambda j, k: sum(cells[c][0] for c in bins[j : k + 1]) / sum(cells[c][1] for c in bins[j : k + 1])
+    value = [max(min(share(j, k) for k in range(i, len(bins))) for j in range(i + 1)) for i in range(len(bins))]
+    got = classify(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+    want = {i: np.interp(v, [c / 600 * 3 - 1 for c in bins], value) for i, v in raw.items()}
+    assert len(set(value)) > 2 and {g.doc_id: g.score for g in got} == pytest.approx(want, abs=1e-6)
+
+
 def test_without_labels(labelled):
     docs, labels, rows = labelled
     assert {r.score for r in classify(docs, labels.limit(0)).collect()} == {0.5}
@@ -101,3 +135,24 @@ def test_sample_keeps_the_balance_of_labels(spark):
     for per_class in (60, 1500):
         p = [x.probability for x in judge(docs, fit_on_sample(docs, labels, per_class)).collect()]
         assert abs(np.mean(p) - 7 / 8) < 0.08, (per_class, np.mean(p))
+
+
+def test_probability_against_plain_sums(spark, labelled):
+    docs, labels, rows = labelled
+    model = fit_on_sample(docs, labels)
+    word = 2**32
+
+    def plain(text):
+        text = text or ""
+        c, words = list(map(ord, text)), [zlib.crc32(w) for w in text.encode().split()]
+        two = [(a * 31 + b + 0x51ED27) % word for a, b in zip(c, c[1:])]
+        chars = c + two + [(t * 131 + b) % word for t, b in zip(two, c[2:])]
+        grams = [(g * int(MIX) % word >> 16) for g in chars] + [(g * int(MIX) % word >> 16) + BUCKETS for g in words + [(a * 31 + b) % word for a, b in zip(words, words[1:])]]
+        value = sum(float(model.weights[g]) for g in grams) / len(grams) if words else None
+        return 0.0 if value is None else 1 / (1 + math.exp(-min(40, max(-40, model.slope * value + model.shift))))
+
+    want = {}
+    for i, t in rows:
+        want[i] = plain(t)
+    got = judge(docs, model).collect()
+    assert {x.doc_id: x.probability for x in got} == pytest.approx(want, rel=1e-6, abs=1e-9)
