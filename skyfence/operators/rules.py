@@ -190,7 +190,7 @@ SEVERITY_SCORE = {"Critical": 90, "High": 70, "Medium": 40, "Low": 10}
 
 
 def audit(networks: DataFrame, checklist: str = "home", inventory: DataFrame | None = None) -> DataFrame:
-    """Findings per network for the home or sme checklist plus the built-in encryption policies.
+    """Findings per network for the home or sme checklist plus the built-in encryption policies, each with what was seen of the network.
 
     ``networks``: bssid, ssid, channel, security, privacy, wps, pairwise (array), akm (array).
     ``inventory``: known bssids of any number, joined by equality without a hint.
@@ -219,6 +219,15 @@ def audit(networks: DataFrame, checklist: str = "home", inventory: DataFrame | N
         "no_8021x": ~no(F.exists("akm", lambda a: a.contains("802.1X"))),
         "open": no(F.upper("security") == "OPEN"), "wep": no(F.upper("security").contains("WEP")),
     }
+    # What was seen of the network, by test. The wording of the first four.
+    saw_open, saw_tkip = F.when(is_open, F.concat(F.lit("Open network: "), F.coalesce("ssid", F.lit("")))), F.when(tkip, F.concat(F.lit("TKIP cipher: ['"), F.array_join("pairwise", "', '"), F.lit("']")))
+    said = F.concat(F.lit("Security: "), F.coalesce("security", F.lit("")))
+    evidence = {
+        "open_or_tkip": [saw_open, saw_tkip], "tkip": [saw_tkip], "wps": [F.lit("WPS enabled in beacon")], "hidden": [F.lit("Hidden SSID broadcast")],
+        "channel_overlap": [F.concat(F.lit("Other networks on channel "), F.col("channel").cast("string"))], "duplicate_ssid": [F.concat(F.lit("Other senders of the name "), F.col("ssid"))],
+        "not_in_inventory": [F.concat(F.lit("Not in the inventory: "), F.col("bssid"))], "no_8021x": [F.concat(F.lit("Key management: "), F.coalesce(F.array_join("akm", ", "), F.lit("")))],
+        "open": [said], "wep": [said],
+    }
     mapped = lookup(ENCRYPTION_SEVERITY, F.lower("security"), F.lit("Medium"))
     hits = []
     for rid, title, severity, score, name, due, fix in entries:
@@ -226,6 +235,8 @@ def audit(networks: DataFrame, checklist: str = "home", inventory: DataFrame | N
         points = lookup(SEVERITY_SCORE, mapped, F.lit(40)) if score is None else F.lit(score)
         hits.append(F.when(test[name], F.struct(
             F.lit(rid).alias("finding_id"), F.lit(title).alias("title"), level.alias("severity"), points.cast("int").alias("score"),
-            F.lit(due).alias("timeline"), F.lit(fix).alias("remediation"),
+            F.lit(due).alias("timeline"), F.lit(fix).alias("remediation"), F.lit("Open").alias("status"), F.array_compact(F.array(*evidence[name])).alias("evidence"),
+            F.lit(fix[:80]).alias("remediation_summary"),
         )))
-    return rows.select(*networks.columns, F.inline(F.array_compact(F.array(*hits))))
+    found = rows.select(*networks.columns, F.inline(F.array_compact(F.array(*hits))))
+    return found.withColumn("evidence_summary", F.array_join("evidence", "; "))

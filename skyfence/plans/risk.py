@@ -216,6 +216,24 @@ def d17b(spark, sf):
     return R.audit(nets, "sme", nets.filter("bssid like '00:22%'")).select("bssid", "finding_id")
 
 
+@query("d17_evidence", with_frames("""
+select bssid, 'HOME-001' as finding_id, 'Open' as status, concat_ws('; ', case when not privacy then 'Open network: ' || coalesce(ssid, '') end, case when security = 'WPA' then 'TKIP cipher: [''TKIP'']' end) as evidence_summary from net where not privacy or security = 'WPA'
+union all select bssid, 'HOME-002', 'Open', 'WPS enabled in beacon' from net where wps
+union all select bssid, 'HOME-004', 'Open', 'Hidden SSID broadcast' from net where coalesce(ssid, '') = ''
+union all select bssid, 'HOME-008', 'Open', 'Other networks on channel ' || channel from net n where (select count(*) from net m where m.channel = n.channel) > 1
+union all select bssid, 'WIFI-001', 'Open', 'Security: Open' from net where security = 'Open'
+union all select bssid, 'WIFI-002', 'Open', 'Security: WEP' from net where security = 'WEP'
+union all select bssid, 'SME-001', 'Open', 'Key management: PSK' from net where security <> 'WPA3'
+union all select bssid, 'SME-003', 'Open', 'TKIP cipher: [''TKIP'']' from net where security = 'WPA'
+union all select bssid, 'SME-004', 'Open', 'Other senders of the name ' || ssid from net n where (select count(distinct bssid) from net m where m.ssid = n.ssid) > 1
+union all select bssid, 'SME-005', 'Open', 'Not in the inventory: ' || bssid from net where bssid not like '00:22%'""", NET))
+def d17c(spark, sf):
+    """Findings of both checklists with their evidence; the encryption policies, which both hold, once."""
+    nets = audited(load_frames(spark, sf))
+    sme = R.audit(nets, "sme", nets.filter("bssid like '00:22%'")).filter("finding_id like 'SME%'")
+    return R.audit(nets, "home").unionByName(sme).select("bssid", "finding_id", "status", "evidence_summary")
+
+
 @query("e01_set_recall", with_frames("""
 select tp as true_positives, fp as false_positives, fn as false_negatives, round(tp / cast(tp + fp as double), 4) as precision, round(tp / cast(tp + fn as double), 4) as recall,
   round(2 * tp / cast(2 * tp + fp + fn as double), 4) as f1_score,
