@@ -130,3 +130,30 @@ def test_full_profile_has_streaming_forms():
     from skyfence.operators.detector_set import PROFILES
 
     assert set(PROFILES["full_wids"]) <= set(ST.STREAMS)
+
+
+def test_one_timer_and_one_reading_however_much_waits():
+    p, n = stepper(), 50_000
+    list(p.handleInputRows(("k",), iter([pd.DataFrame({"t_us": [i * 1000 for i in range(n)], "event_id": range(n)})]), Mark(0)))
+    assert len(p.handle.timers) == 1
+    out = [r for pdf in p.handleExpiredTimer(("k",), Mark(10**6), None) for r in pdf.itertuples(index=False)]
+    assert [r.t for r in out] == [i * 1000 for i in range(n)] and p.handle.states["blocks"].reads == n / ST.BLOCK
+
+
+def test_a_span_of_many_files_loses_no_frame(spark, tmp_path):
+    from skyfence.plans import QUERIES
+
+    e = spark.range(2400).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(BASE) + F.col("id") * 400 * S).alias("ts"), (F.col("id") * 7 % 50).alias("user_id"),
+        F.lit("view").alias("event_type"), (F.col("id") % 40).cast("double").alias("value"), F.format_string('{"k": %d}', F.col("id") % 100).alias("props"),
+    )
+    for i in range(20):  # each file holds rows of all times
+        e.filter(F.col("event_id") % 20 == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")  # a file a partition
+    try:
+        got = QUERIES["st_d11_apply_rules"](spark, str(tmp_path)).select("event_id", "rule_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    want = QUERIES["d11_apply_rules"](spark, str(tmp_path)).select("event_id", "rule_id").collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))

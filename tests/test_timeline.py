@@ -115,3 +115,36 @@ def test_thin_equals_cooldown(spark, cool):
 
     data = rows(cool + 100)
     assert sorted(r.event_id for r in thin(spark.createDataFrame(data, DDL), ["k"], cool).collect()) == brute_cooldown(data, cool)
+
+
+def test_slice_summary_holds_little_more_than_its_instants():
+    import tracemalloc
+
+    import numpy as np
+
+    from skyfence.operators.timeline import _exit_steps
+
+    n = 300_000
+    ts, ones = np.arange(n, dtype=np.int64) * 1000, np.ones(n, bool)
+    tracemalloc.start()
+    bounds, exits = _exit_steps(ts, ones, ~ones, 40_000_000, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * n
+    assert len(bounds) == len(exits) and exits[0] == 280_000_000 and bounds[-1] == 40_000_000
+
+
+def test_wardrive_files_hold_thousands_of_frames(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from skyfence.plans import QUERIES, ingest
+
+    spark.range(3000).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(ingest.BASE) + F.col("id") * 1_000_000).alias("ts"), (F.col("id") % 50).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"),
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    made, path = ingest.shared_dir, []
+    monkeypatch.setattr(ingest, "shared_dir", lambda *a: path.append(made(*a)) or path[-1])
+    rows = QUERIES["s07_read_wardrive"](spark, str(tmp_path)).collect()
+    assert sum(r["sightings"] for r in rows) == 3000
+    assert spark.read.text(path[0], wholetext=True).count() <= 4
