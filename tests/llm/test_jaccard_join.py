@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from skyfence.llm import links
 from skyfence.llm.jaccard_join import jaccard_groups, one_of_each, tree_links
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,3 +123,16 @@ def test_one_id_with_two_texts(spark):
 def test_text_ids(spark):
     df = spark.createDataFrame([("b", "one two three four"), ("a", "One two three four"), ("c", "x y z")], "doc_id string, text string")
     assert sorted(tuple(r) for r in jaccard_groups(df).collect()) == [("a", 2, "a"), ("b", 2, "a"), ("c", 1, "c")]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_components_end_with_stars(spark, monkeypatch, parts):
+    kept = []
+    monkeypatch.setattr(links, "stored", lambda df, name: kept.append(df.localCheckpoint()) or kept[-1])
+    found = lambda edges: (kept.clear(), {tuple(r) for r in links.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(parts)).collect()})[1]
+    star = [(i, -5) for i in range(40)] + [(7, 7), (-5, 3), (3, -5)]
+    assert found(star) == {(i, -5) for i in range(40)} and len(kept) == 1  # no round is run only to see that nothing changes
+    chain = [(i, i + 1) for i in range(300)] + [(1000 + i, 1001 + i) for i in range(20)]
+    random.Random(3).shuffle(chain)
+    assert found(chain) == {(i, 0) for i in range(1, 301)} | {(1000 + i, 1000) for i in range(1, 21)} and (parts > 1 or len(kept) == 1)
+    assert found([(4, 4)]) == set()
