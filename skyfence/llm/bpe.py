@@ -71,7 +71,7 @@ class PrefixEncoder:
         key = left << 32 | right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 7 * self.memo_size:
                 self._fits.clear()
             known = self._fits[key] = self._seam_holds(left, right)
         return known
@@ -225,15 +225,16 @@ def load_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, memo: int = 300_000) -> DataFrame:
     """doc_id, n_tokens, ids (binary, optional), ids_sha256, decoded_sha256 of every text; no shuffle, one pass.
 
     The rank file is read by the driver and sent to the executors whole: its size is that of a vocabulary, under 2 MB here.
+    ``memo``: pieces that a task remembers; fewer take less memory and more time, the results are the same.
     """
     with open(ranks_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PrefixEncoder(load_ranks(sent.value), pattern)  # a fraction of a second, and a worker between tasks holds nothing
+        encoder = PrefixEncoder(load_ranks(sent.value), pattern, memo)  # a fraction of a second, and a worker between tasks holds nothing
         for batch in batches:
             for start, texts in slices(batch.column("text")):
                 rows = []

@@ -76,3 +76,16 @@ def test_rows(spark, pair):
         want.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(got, key=str) == sorted(want, key=str)
     assert encode_documents(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_few_remembered_pieces(spark):
+    r = random.Random(11)
+    texts = ["".join(r.choice(PARTS) for _ in range(r.randint(0, 80))) for _ in range(120)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    full, lean = (sorted(map(tuple, encode_documents(docs, PATH, public_tokenizers.PATTERN, with_ids=False, **more).collect())) for more in ({}, {"memo": 20}))
+    assert full == lean
+    with open(PATH, "rb") as f:
+        own = PrefixEncoder(load_ranks(f.read()), public_tokenizers.PATTERN, memo=20)
+    for text in texts:
+        own.packed(text or "")
+        assert max(len(own._chunks), len(own._pieces), len(own._last)) <= 20 * 2 + 200 and len(own._fits) <= 7 * 20 + 1

@@ -86,3 +86,12 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         for x in (df, df.limit(0)):
             assert stage(spark, x, SF).count() <= 3
+
+
+def test_encoding_takes_few_rows_at_once(spark, steps, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, name: seen.update({name: spark.conf.get(corpus_pipeline.BATCH)}) or steps[len(seen)])
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    corpus_pipeline.run(spark, SF)
+    assert seen.pop("pipeline-byte-level-BPE") == str(corpus_pipeline.BATCH_ROWS)
+    assert set(seen.values()) == {before} and spark.conf.get(corpus_pipeline.BATCH) == before
