@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,48 +68,76 @@ def radiotap(raw: bytes) -> tuple[int | None, int | None, int | None]:
     return size, int.from_bytes(raw[at : at + 1], "little", signed=True) if present & 32 and at < size else None, frequency
 
 
-def elements(body: bytes, at: int) -> list[dict]:
+@lru_cache(4096)
+def _tap(head: bytes) -> tuple[int | None, int | None, int | None]:
+    """``radiotap`` of the header alone, as most records of a sensor begin alike."""
+    return radiotap(head)
+
+
+def elements(body: bytes, at: int) -> Iterator[tuple[int, bytes]]:
     """Tagged elements of a management frame's body."""
-    out: list[dict] = []
-    while at + 2 <= len(body) and at + 2 + body[at + 1] <= len(body):
-        out.append({"kind": body[at], "body": body[at + 2 : at + 2 + body[at + 1]]})
-        at += 2 + body[at + 1]
-    return out
-
-
-def cut(raw: bytes) -> dict:
-    """One record in its parts; what they mean is read by ``decode_records``."""
-    size, signal, frequency = radiotap(raw)
-    row = {"frame_len": len(raw), "rssi_dbm": signal, "frequency_mhz": frequency}
-    if size is None:
-        return row | {"parse_error": "bad radiotap header"}
-    control = raw[size : size + 1]
-    short = 10 if control and control[0] >> 2 & 3 == 1 else 24  # control frames may end after the receiver's address
-    if len(raw) < size + short:
-        return row | {"parse_error": "short 802.11 header"}
-    first = {0x80: 12, 0x50: 12, 0x40: 0}.get(control[0])
-    body = raw[size + 24 :]
-    return row | {"header": raw[size : size + 24], "body": body, "elements": [] if first is None else elements(body, first)}
+    size = len(body)
+    while at + 2 <= size and (end := at + 2 + body[at + 1]) <= size:
+        yield body[at], body[at + 2 : end]
+        at = end
+
+
+class Cuts:
+    """Records in their parts, by column; what they mean is read by ``decode_records``."""
+
+    SCHEMA = pa.schema([
+        ("path", pa.string()), ("frame_no", pa.int64()), ("t_us", pa.int64()), ("frame_len", pa.int32()), ("rssi_dbm", pa.int32()), ("frequency_mhz", pa.int32()),
+        ("header", pa.binary()), ("body", pa.binary()), ("elements", pa.list_(pa.struct([("kind", pa.int32()), ("body", pa.binary())]))), ("parse_error", pa.string()),
+    ])
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.starts: list[int | None] = []
+        self.kinds: list[int] = []
+        self.bodies: list[bytes] = []
+
+    def add(self, path: str, number: int, t_us: int, raw: bytes) -> None:
+        size = int.from_bytes(raw[2:4], "little")
+        size, signal, frequency = _tap(raw[:size]) if 8 <= size <= len(raw) else (None, None, None)
+        control = b"" if size is None else raw[size : size + 1]
+        short = 10 if control and control[0] >> 2 & 3 == 1 else 24  # control frames may end after the receiver's address
+        error = "bad radiotap header" if size is None else "short 802.11 header" if len(raw) < size + short else None
+        if error:
+            self.rows.append((path, number, t_us, len(raw), signal, frequency, None, None, error))
+            self.starts.append(None)
+            return
+        body = raw[size + 24 :]
+        self.rows.append((path, number, t_us, len(raw), signal, frequency, raw[size : size + 24], body, None))
+        self.starts.append(len(self.kinds))
+        first = {0x80: 12, 0x50: 12, 0x40: 0}.get(control[0])
+        if first is not None:
+            for kind, content in elements(body, first):
+                self.kinds.append(kind)
+                self.bodies.append(content)
+
+    def batch(self) -> pa.RecordBatch:
+        types = [f.type for f in self.SCHEMA if f.name != "elements"]
+        plain = [pa.array(c, t) for c, t in zip(zip(*self.rows), types)]
+        found = pa.StructArray.from_arrays([pa.array(self.kinds, pa.int32()), pa.array(self.bodies, pa.binary())], fields=list(self.SCHEMA.field("elements").type.value_type))
+        tagged = pa.ListArray.from_arrays(pa.array([*self.starts, len(self.kinds)], pa.int32()), found)
+        return pa.RecordBatch.from_arrays([*plain[:-1], tagged, plain[-1]], schema=self.SCHEMA)
 
 
 def split_captures(files: DataFrame) -> DataFrame:
     """Records of a ``(path, content)`` table in their parts; a file is cut by one task and leaves it in batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[dict] = []
-        schema = pa.schema([
-            ("path", pa.string()), ("frame_no", pa.int64()), ("t_us", pa.int64()), ("frame_len", pa.int32()), ("rssi_dbm", pa.int32()), ("frequency_mhz", pa.int32()),
-            ("header", pa.binary()), ("body", pa.binary()), ("elements", pa.list_(pa.struct([("kind", pa.int32()), ("body", pa.binary())]))), ("parse_error", pa.string()),
-        ])
+        out = Cuts()
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
+                name = path.as_py()
                 for number, (t_us, raw) in enumerate(records(content.as_py() or b"")):
-                    out.append(cut(raw) | {"path": path.as_py(), "frame_no": number, "t_us": t_us})
-                    if len(out) >= BATCH:
-                        yield pa.RecordBatch.from_pylist(out, schema)
-                        out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+                    out.add(name, number, t_us, raw)
+                    if len(out.rows) >= BATCH:
+                        yield out.batch()
+                        out = Cuts()
+        if out.rows:
+            yield out.batch()
 
     return files.select("path", "content").mapInArrow(run, RECORDS_DDL)
 

@@ -410,3 +410,22 @@ def test_clients_in_rows(spark, make):
     frames = make([{"t": i, "frame_type": "data", "bssid": "A", "src_addr": f"S{i % 3}", "dst_addr": ["A", "FF:FF:FF:FF:FF:FF", f"S{i % 3}"][i % 3]} for i in range(9)])
     got = sorted(map(tuple, A.network_clients(frames).collect()))
     assert got == [("A", f"S{k}", 3, k * 10**6, (k + 6) * 10**6) for k in range(3)]
+
+
+def test_cut_records_by_column():
+    tap = bytes.fromhex("00000f002e0000000002" + "8509" + "a000" + "c4")
+    mac = bytes(range(22))
+    cuts = captures.Cuts()
+    before = captures._tap.cache_info()
+    for i, raw in enumerate([
+        tap + b"\x80\x08" + mac + bytes(12) + b"\x00\x02ab\x03\x01\x06" + b"\xdd\x09cut", tap + b"\x40\x00" + mac, tap + b"\xb4\x00" + mac[:14], tap + b"\x08\x00" + mac[:10], b"\x01" * 30, b"",
+    ]):
+        cuts.add("f", i, 10 * i, raw)
+    after = captures._tap.cache_info()
+    rows = cuts.batch().to_pylist()
+    assert after.hits + after.misses - before.hits - before.misses == 4 and after.misses - before.misses <= 1  # one header read for all that begin alike
+    assert [r["elements"] for r in rows] == [[{"kind": 0, "body": b"ab"}, {"kind": 3, "body": b"\x06"}], [], [], None, None, None]
+    assert [r["parse_error"] for r in rows] == [None, None, None, "short 802.11 header", "bad radiotap header", "bad radiotap header"]
+    assert [(r["rssi_dbm"], r["frequency_mhz"]) for r in rows] == [(-60, 2437)] * 4 + [(None, None)] * 2
+    assert [(r["frame_no"], r["t_us"], r["header"], r["body"]) for r in rows[1:3]] == [(1, 10, b"\x40\x00" + mac, b""), (2, 20, b"\xb4\x00" + mac[:14], b"")]
+    assert captures.Cuts().SCHEMA == cuts.batch().schema
