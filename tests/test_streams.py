@@ -1,5 +1,6 @@
 """State of the keyed streams: what a micro-batch reads, and what is remembered for how long."""
 
+import os
 import random
 import tempfile
 
@@ -157,3 +158,44 @@ def test_a_span_of_many_files_loses_no_frame(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     want = QUERIES["d11_apply_rules"](spark, str(tmp_path)).select("event_id", "rule_id").collect()
     assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_state_tasks_follow_the_cores(spark, make, tmp_path):
+    make([{"t": i, "frame_type": "deauth", "bssid": AP, "dst_addr": STA} for i in range(100)]).coalesce(1).write.parquet(f"{tmp_path}/in")
+    given, name, cores = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+
+    def begun(at, partitions, **options):
+        rows = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+        spark.conf.set(name, str(partitions))
+        try:
+            q = to_parquet(ST.deauth_flood_stream(ST.event_time(rows, BASE)), f"{tmp_path}/{at}", f"{tmp_path}/{at}_ck", **options)
+            assert spark.conf.get(name) == str(partitions)
+            q.awaitTermination()
+        finally:
+            spark.conf.set(name, given)
+        return {s["numShufflePartitions"] for p in q.recentProgress for s in p["stateOperators"]}
+
+    assert begun("many", 4 * cores) == {cores}
+    assert begun("few", 1) == {1}
+    assert begun("own", 1, tasks=2) == {2}
+
+
+@pytest.mark.parametrize("files", [3, 30])
+def test_micro_batches_do_not_grow_with_files(spark, tmp_path, files):
+    from skyfence.plans import stream as PS
+
+    e = spark.range(3000).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(BASE) + F.col("id") * 400 * S).alias("ts"), (F.col("id") * 7 % 50).alias("user_id"),
+        F.lit("view").alias("event_type"), (F.col("id") % 40).cast("double").alias("value"), F.format_string('{"k": %d}', F.col("id") % 100).alias("props"),
+    )
+    e.repartition(files, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")  # a file a partition
+    try:
+        rows, path = PS.replay(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    q = to_parquet(rows.select("event_id"), f"{path}/out", f"{path}/ck")
+    q.awaitTermination()
+    assert spark.read.parquet(f"{path}/out").filter("event_id >= 0").count() == 3000
+    assert len([n for n in os.listdir(f"{path}/ck/offsets") if n.isdigit()]) <= 5
