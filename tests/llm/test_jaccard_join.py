@@ -1,13 +1,14 @@
 """Groups against comparing all pairs."""
 
+import math
 import random
 import re
 
 import numpy as np
 import pytest
 
-from skyfence.llm import links
-from skyfence.llm.jaccard_join import jaccard_groups, one_of_each, tree_links
+from skyfence.llm import jaccard_join, links
+from skyfence.llm.jaccard_join import FEW, Sketches, jaccard_groups, may_reach, meetings, one_of_each, part_sums, sketch_links, sketches, tree_links
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -136,3 +137,88 @@ def test_components_end_with_stars(spark, monkeypatch, parts):
     random.Random(3).shuffle(chain)
     assert found(chain) == {(i, 0) for i in range(1, 301)} | {(1000 + i, 1000) for i in range(1, 21)} and (parts > 1 or len(kept) == 1)
     assert found([(4, 4)]) == set()
+
+
+def pairs_of_sets(seed, per_cent):
+    """Pairs of sets of random keys: just within the threshold, or by one key not."""
+    r = np.random.default_rng(seed)
+    for n in [*range(2, 40), 150, 900, 4000]:
+        for m in {n, math.floor(n * 100 / per_cent), r.integers(n, math.floor(n * 100 / per_cent) + 1)}:
+            least = -(-per_cent * (n + m) // (100 + per_cent))
+            for both in {min(n, least), max(0, least - 1)}:
+                k = r.integers(0, 2**64, n + m - both, dtype=np.uint64)
+                yield both >= least and least <= n, np.sort(k[:n]), np.sort(k[n - both :])
+
+
+@pytest.mark.parametrize("per_cent", [60, 80, 90])
+def test_parts_and_sketches_miss_nothing(per_cent):
+    """Sets within the threshold have a part's sum in common, and their sketches say so as well; sets without anything in common part."""
+    for seed in range(3):
+        within, first, second = zip(*pairs_of_sets(seed, per_cent))
+        sides = []
+        for sets in (first, second):
+            counts, keys = np.array([len(x) for x in sets]), np.concatenate(sets)
+            own, total = part_sums(counts, keys, per_cent)
+            sides.append((counts, [set(total[own == i].tolist()) for i in range(len(sets))], Sketches(sketches(counts, keys))))
+        (n, x, a), (m, y, b) = sides
+        maybe = may_reach(a, b, n, m, per_cent)
+        for i, real in enumerate(within):
+            assert not real or (maybe[i] and (x[i] & y[i] or set(first[i]) == set(second[i])))
+        order = np.argsort(n, kind="stable")
+        assert may_reach(a, a, n[order], n[order], per_cent).all()
+    counts = np.full(50, 200)
+    far = Sketches(sketches(counts, np.random.default_rng(9).integers(0, 2**64, 10_000, dtype=np.uint64)))
+    apart = may_reach(Sketches(sketches(counts, np.random.default_rng(8).integers(0, 2**64, 10_000, dtype=np.uint64))), far, counts, counts, 80)
+    assert not apart.any()
+
+
+def test_sketch_links_connect_all_near_pairs():
+    r = random.Random(4)
+    base = [{r.randrange(2**64) for _ in range(r.choice([6, 60, 70, 130, 600]))} for _ in range(30)]
+    sets = [np.array(sorted({x for x in r.choice(base) if r.random() > 0.02} | {r.randrange(2**64) for _ in range(r.randint(0, 2))}), np.uint64) for _ in range(200)]
+    counts = np.array([len(s) for s in sets])
+    links_ = sketch_links(counts, sketches(counts, np.concatenate(sets)), 80)
+    assert len(links_) == len({frozenset(x) for x in links_}) < len(sets)
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links_:
+        assert find(a) != find(b)  # each link connects what was apart
+        root[find(a)] = find(b)
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert 180 * both < 80 * (counts[i] + counts[j]) or find(i) == find(j)
+
+
+def test_meetings(spark):
+    """Few sets of a part in pairs, many with the smallest, over batches of rows and with repeated rows."""
+    few = [(1, x) for x in range(FEW)] + [(1, 3)] * 5
+    many = [(2, x) for x in range(100, 100 + 5 * FEW)] + [(2, 107)] * 50
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "7")
+    try:
+        got = {tuple(r) for r in meetings(spark.createDataFrame(few + many + [(i, 900 + i) for i in range(3, 40)], "part bigint, rep bigint")).collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert {(a, b) for a, b, often in got if not often and b < 100} == {(a, b) for b in range(FEW) for a in range(b)}
+    assert {(100, x) for x in range(101, 100 + 5 * FEW)} <= {(a, b) for a, b, _ in got} and all(b < 900 for _, b, _ in got)
+    assert all(a // 100 == b // 100 for a, b, _ in got)
+
+
+def test_shared_phrases_do_not_open_texts(spark, monkeypatch):
+    """Texts whose every shingle occurs elsewhere, but that are unlike each other, are not read again and join no groups."""
+    r = random.Random(11)
+    passages = [[f"w{i}x{k}" for k in range(20)] for i in range(40)]
+    rows = [(i, " ".join(w for p in r.sample(passages, 4) for w in p)) for i in range(400)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:5]]
+    kept = {}
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    got = sorted((tuple(x) for x in jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert 10 <= kept["open-keys"].count() <= 40
