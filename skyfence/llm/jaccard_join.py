@@ -5,9 +5,10 @@
 2. Two sets that reach the threshold differ in at most d keys, which follows from their sizes. The keys' values are cut into more
    than d parts, so the two agree in all keys of some part. A second pass sums up every part of every set; a set whose sums no
    other set has stands alone, by proof. Numbers alone travel, about a quarter of the keys at a threshold of 90 %.
-3. Sets that meet in few at a part are paired; where many meet (a common passage) they form one group, which is cut into blocks.
-   Sketches of sets that differ in d keys differ in at most d bits: pairs with more are none. What is left are groups of sets
-   that are nearly as alike as asked, however many texts the corpus has; only their texts are read again.
+3. Sets that meet in few at a part are paired. Sketches of sets that differ in d keys differ in at most d bits: pairs with more are
+   none. Where many meet at a part (a common phrase), each is paired with the smallest first, and the part's sets are compared
+   all with all, by blocks, unless they are connected by then. Parts that share sets are not merged, so common phrases chain
+   nothing. What is left are groups nearly as alike as asked, however many texts the corpus has; only their texts are read again.
 4. A group's sets are stored in a prefix tree in the order of their keys' frequency in the group. Traversing it, a probing set
    shares the overlap counted so far with all sets below, and leaves subtrees which by the remaining lengths cannot reach the
    threshold, or whose sets it is already linked with. Groups of more than ``block`` sets are cut into blocks by a hash, and each
@@ -168,7 +169,7 @@ def part_rows(docs: DataFrame, size: int, per_cent: int) -> DataFrame:
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """a, b, many: pairs of sets with a part in common; where more than FEW sets have it, each with the smallest of them (``many``)."""
+    """a, b, part: pairs of sets with a part in common; where more than FEW sets have it, each with the smallest of them and ``part`` (else null)."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         part, rep = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -193,16 +194,15 @@ def meetings(rows: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
             many, least = size > FEW, np.repeat(first, np.diff(np.append(first, len(part))))
             star = np.flatnonzero(many & (least != np.arange(len(part))))
-            found = [(rep[least[star]], rep[star], True)]
+            found = [(rep[least[star]], rep[star], part[star])]
             for k in range(1, FEW):
                 i = np.flatnonzero((part[k:] == part[:-k]) & ~many[k:]) if len(part) > k else np.empty(0, np.int64)
-                found.append((rep[i], rep[i + k], False))
+                found.append((rep[i], rep[i + k], None))
             for a, b, often in found:
                 if len(a):
-                    pairs = np.unique(np.stack([a, b]), axis=1) if often else np.stack([a, b])
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], often))], ["a", "b", "many"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()) if often is None else pa.array(often)], ["a", "b", "part"])
 
-    return rows.repartition("part").sortWithinPartitions("part", "rep").mapInArrow(run, "a bigint, b bigint, many boolean")
+    return rows.repartition("part").sortWithinPartitions("part", "rep").mapInArrow(run, "a bigint, b bigint, part bigint")
 
 
 class Sketches:
@@ -374,8 +374,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def blocked(groups: DataFrame, block: int) -> DataFrame:
-    """rep, root, i, j: a group's sets in blocks of about ``block``, each set once for every pair of blocks (i, j) that it belongs to."""
-    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    """rep, root, i, j: a group's sets (node, root) in blocks of about ``block``, each set once for every pair of blocks (i, j) that it belongs to."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
     placed = groups.join(sizes, "root").select(F.col("node").alias("rep"), "root", F.ceil(F.col("members") / block).alias("blocks"))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("mine")
@@ -400,11 +399,17 @@ def near_sets(docs: DataFrame, some: DataFrame, size: int, per_cent: int, block:
         found = sketch_links(t.column("n").to_numpy(), t.column("sketch"), per_cent)
         return pa.table({"a": pa.array([rep[i] for i, _ in found], pa.int64()), "b": pa.array([rep[j] for _, j in found], pa.int64())})
 
-    pairs = met.where("not many").select("a", "b").distinct()
+    pairs = met.select("a", "b").distinct()
     pairs = pairs.join(sketch.select(F.col("rep").alias("a"), "n", F.col("sketch").alias("x")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
-    pairs = pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(close, "a bigint, b bigint")
-    crowds = blocked(components(met.where("many").select("a", "b")), 4 * block).join(sketch, "rep")
-    return components(pairs.unionByName(crowds.select("root", "i", "j", "rep", "n", "sketch").groupBy("root", "i", "j").applyInArrow(linked, "a bigint, b bigint")))
+    alike = components(pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(close, "a bigint, b bigint"))
+    # Where many meet, only parts whose sets are not all connected yet are looked at in full.
+    crowd = met.where("part is not null")
+    crowd = crowd.select("part", F.col("a").alias("rep")).unionByName(crowd.select("part", F.col("b").alias("rep"))).distinct()
+    crowd = stored(crowd.join(alike.withColumnRenamed("node", "rep"), "rep", "left").select("part", "rep", F.coalesce("root", "rep").alias("root")), "met-crowds")
+    mixed_ones = crowd.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("part")
+    crowd = crowd.join(mixed_ones, "part", "left_semi").select(F.col("rep").alias("node"), F.col("part").alias("root"))
+    crowd = blocked(crowd, 4 * block).join(sketch, "rep").select("root", "i", "j", "rep", "n", "sketch")
+    return components(alike.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(crowd.groupBy("root", "i", "j").applyInArrow(linked, "a bigint, b bigint")))
 
 
 def jaccard_groups(docs: DataFrame, size: int = 3, per_cent: int = 90, block: int = 2000) -> DataFrame:
@@ -419,7 +424,8 @@ def grouped_rows(docs: DataFrame, size: int, per_cent: int, block: int = 2000) -
 
     # From here on a set goes by a number of its own, as a document id may have several texts.
     sets = stored(some.groupBy("rep", "s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct-sets")
-    placed = stored(blocked(near_sets(docs, some, size, per_cent, block), block), "placed-sets")
+    groups = near_sets(docs, some, size, per_cent, block)
+    placed = stored(blocked(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), block), "placed-sets")
     left = stored(sets.select("rep", "first").join(placed.select("rep").distinct(), "rep", "left_semi"), "open-sets")
     picked = docs.select("doc_id", "text").join(small(left.select(F.col("first").alias("doc_id")).distinct()), "doc_id", "left_semi")
     full = document_sets(picked, size, full=True).select(F.col("doc_id").alias("first"), "rep", "keys").join(small(left), ["first", "rep"])

@@ -206,8 +206,8 @@ def test_meetings(spark):
         got = {tuple(r) for r in meetings(spark.createDataFrame(few + many + [(i, 900 + i) for i in range(3, 40)], "part bigint, rep bigint")).collect()}
     finally:
         spark.conf.set(limit, before)
-    assert {(a, b) for a, b, often in got if not often and b < 100} == {(a, b) for b in range(FEW) for a in range(b)}
-    assert {(100, x) for x in range(101, 100 + 5 * FEW)} <= {(a, b) for a, b, _ in got} and all(b < 900 for _, b, _ in got)
+    assert {(a, b) for a, b, part in got if part is None and b < 100} == {(a, b) for b in range(FEW) for a in range(b)}
+    assert {(100, x) for x in range(101, 100 + 5 * FEW)} <= {(a, b) for a, b, part in got if part == 2} and all(b < 900 for _, b, _ in got)
     assert all(a // 100 == b // 100 for a, b, _ in got)
 
 
@@ -222,3 +222,18 @@ def test_shared_phrases_do_not_open_texts(spark, monkeypatch):
     got = sorted((tuple(x) for x in jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
     assert got == brute(rows)
     assert 10 <= kept["open-keys"].count() <= 40
+
+
+@pytest.mark.parametrize("block", [2000, 5])
+def test_crowds(spark, monkeypatch, block):
+    """A common passage brings many texts together at its parts; only pairs that are alike form groups, however many blocks there are."""
+    r = random.Random(12)
+    word = lambda: r.choice("abcdefghijklmnop") + str(r.randrange(1000))
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join(passage + [word() for _ in range(r.randint(12, 30))])) for i in range(300)]
+    rows += [(400 + i, t + " " + word()) for i, t in rows[100:140]]
+    kept = {}
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    got = sorted((tuple(x) for x in jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), block=block).collect()), key=str)
+    assert got == brute(rows)
+    assert kept["met-crowds"].count() > 0 and kept["open-keys"].count() <= 120
