@@ -1,10 +1,12 @@
-"""Phrases of two to four words that recur more than their parts suggest, counted by broadcast double-array tries.
+"""Phrases of two to four words that recur more than their parts suggest, counted by double-array tries.
 
 1. One pass counts words, and adjacent pairs by a 64-bit key; a second counts longer word sequences by key, but only where
    all their pairs may be frequent. A key's total is never below a phrase's own count, so no frequent phrase is lost.
-2. Occurring phrases with a frequent key are the candidates. They are dealt into shards of bounded size, each a double-array trie.
-3. The tries are broadcast, a bounded number of bytes a round. Every task moves all text positions through each trie together,
-   word by word, and sums up the states reached; Spark adds the tasks' sums. These exact counts decide.
+2. Occurring phrases with a frequent key are the candidates. They are dealt by their first two words into shards of bounded size,
+   each a double-array trie.
+3. One more pass takes from every text position the longest sequence that may hold candidates; equal ones are summed up and go to
+   the trie of their first two words. All of them move through it together, word by word, and the states reached are summed up. These exact
+   counts decide. The texts are read as often, and each position walks one trie, however many candidates there are.
 4. Cuts, containment and ranks are joins and windows over the counted phrases.
 
 Every word carries its text's language, so nothing below depends on how many languages there are or how large one is.
@@ -34,10 +36,10 @@ from skyfence.llm.word_tries import DoubleArray
 MB = 4.0
 #: Bits of the filter of pairs: 16 MB at any size of the corpus. A fuller filter lets more sequences be counted, and loses none.
 FILTER_BITS = 27
-#: Candidates of one trie; bytes of tries broadcast in one round.
-SHARD, ROUND_BYTES = 400_000, 64_000_000
-#: Slots of a trie that are summed together; parts of what is summed or ranked together.
-VECTOR, SALTS = 4096, 64
+#: Candidates of one trie; bytes of sequences that walk it together.
+SHARD, ROUND_BYTES = 50_000, 4_000_000
+#: Parts of what is ranked together.
+SALTS = 64
 
 _KIND = np.zeros(256, np.uint8)  # 0: letter of a word, 1: blank, 2: end of a piece
 _KIND[[0x20, 0x09]] = 1
@@ -166,8 +168,34 @@ def _phrases(docs: DataFrame, pairs: _Filter, longer: _Filter) -> DataFrame:
     return docs.mapInArrow(lean(run), "key bigint, phrase binary")
 
 
-def one_of_each(key: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """The index of one member of every distinct sequence of words; ``key``: their keys."""
+def _sequences(docs: DataFrame, pairs: _Filter, longer: _Filter) -> DataFrame:
+    """(pair, phrase, n): the longest sequence from each position whose keys pass the filters, the key of its first two words, and how often."""
+    sent = docs.sparkSession.sparkContext.broadcast((pairs, longer))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two, more = sent.value
+        for w in _parts(batches):
+            at, key = w.sequences(2)
+            fit = two.has(key)
+            long, pair = np.zeros(len(w.codes), np.int64), np.zeros(len(w.codes), np.uint64)
+            long[at[fit]], pair[at[fit]] = 2, key[fit]
+            keys = pair.copy()
+            for length, at, key in _long(w, two):
+                fit = more.has(key)
+                long[at[fit]], keys[at[fit]] = length, key[fit]
+            for length in (2, 3, 4):
+                at = np.flatnonzero(long == length)
+                words = [w.codes[at + k] for k in range(length)]
+                first, n = each_with_size(keys[at], words)
+                parts = [w.words.take(pa.array(words[0][first]))] + [w.bare.take(pa.array(c[first])) for c in words[1:]]
+                joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(pair[at[first]].view(np.int64)), joined, pa.array(n)], ["pair", "phrase", "n"])
+
+    return docs.mapInArrow(lean(run), "pair bigint, phrase binary, n bigint")
+
+
+def each_with_size(key: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one member, size) of every distinct sequence of words; ``key``: their keys."""
     order = np.argsort(key, kind="stable")
     k = key[order]
     new = np.ones(len(k), bool)
@@ -175,8 +203,13 @@ def one_of_each(key: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     first = order[new]
     like = first[np.cumsum(new) - 1]
     if all((c[order] == c[like]).all() for c in words):
-        return first
-    return grouped(key, *words)[0]  # two sequences share a key
+        return first, np.diff(np.append(np.flatnonzero(new), len(k)))
+    return grouped(key, *words)  # two sequences share a key
+
+
+def one_of_each(key: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """The index of one member of every distinct sequence of words; ``key``: their keys."""
+    return each_with_size(key, words)[0]
 
 
 def _words_of(phrase: bytes) -> list[bytes]:
@@ -184,9 +217,23 @@ def _words_of(phrase: bytes) -> list[bytes]:
     return [lang + b"\n" + w for w in words.split(b" ")]
 
 
-def _tries(candidates: DataFrame) -> DataFrame:
+def _dealt(df: DataFrame, shards: int) -> DataFrame:
+    """With the shard of each row, by the key of its first two words."""
+    return df.withColumn("shard", F.pmod(F.xxhash64("pair"), F.lit(shards)).cast("int")).drop("pair")
+
+
+def _with_pair(candidates: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_words_of(p) for p in batch.column("phrase").to_pylist()]
+            first, second = (np.fromiter((xxhash.xxh64_intdigest(w[k]) for w in words), np.uint64, len(words)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("phrase"), pa.array(mixed(first, second).view(np.int64))], ["phrase", "pair"])
+
+    return candidates.mapInArrow(run, "phrase binary, pair bigint")
+
+
+def _tries(candidates: DataFrame, shards: int) -> DataFrame:
     """Rows (shard, slot, phrase) of where phrases end, and one row (shard, -1, packed trie) a shard."""
-    shards = math.ceil(candidates.count() / SHARD)
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         phrases = sorted(rows.column("phrase").to_pylist())
@@ -194,42 +241,30 @@ def _tries(candidates: DataFrame) -> DataFrame:
         shard = [key[0].as_py()] * (len(phrases) + 1)
         return pa.table({"shard": pa.array(shard, pa.int32()), "slot": pa.array([-1, *trie.slots.tolist()], pa.int64()), "phrase": pa.array([trie.pack(), *phrases], pa.binary())})
 
-    dealt = candidates.select("phrase", F.pmod(F.xxhash64("phrase"), F.lit(max(1, shards))).cast("int").alias("shard"))
-    return stored(dealt.groupBy("shard").applyInArrow(build, "shard int, slot bigint, phrase binary"), "phrase-tries")
-
-
-def _counted(docs: DataFrame, tries: list[tuple[int, bytes]], least: int) -> DataFrame:
-    """(shard, slot, f): slots of the tries sent that the texts reach ``least`` times."""
-    sent = docs.sparkSession.sparkContext.broadcast(tries)
+    return stored(_dealt(_with_pair(candidates), shards).groupBy("shard").applyInArrow(build, "shard int, slot bigint, phrase binary"), "phrase-tries")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = [(shard, DoubleArray.unpack(data)) for shard, data in sent.value]
-        sums = [np.zeros(-(-len(t.base) // VECTOR) * VECTOR, np.int64) for _, t in mine]
-        for w in _parts(batches):
-            for total, (_, trie) in zip(sums, mine):
-                total[:len(trie.base)] += trie.counts(w.words, w.codes, w.pieces)
-        for total, (shard, _) in zip(sums, mine):
-            parts = [(i, v) for i, v in enumerate(total.reshape(-1, VECTOR)) if v.any()]
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(parts), pa.int32()), pa.array([i for i, _ in parts], pa.int64()), pa.array([v.tobytes() for _, v in parts], pa.binary())], ["shard", "part", "counts"])
 
-    def added(key: tuple, rows: pa.Table) -> np.ndarray:
-        total = np.zeros(VECTOR, np.int64)
-        for data in rows.column("counts"):
-            total += np.frombuffer(data.as_buffer(), np.int64)
-        return total
+def _counted(sequences: DataFrame, tries: DataFrame, shards: int, least: int) -> DataFrame:
+    """(shard, slot, f): slots of the tries that the sequences reach ``least`` times."""
+    mb = ROUND_BYTES / 1e6
 
-    def some(key: tuple, rows: pa.Table) -> pa.Table:
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([added(key, rows).tobytes()], pa.binary())})
+    def walk(key: tuple, rows: pa.Table, packed: pa.Table) -> pa.Table:
+        slot, total = np.empty(0, np.int64), np.empty(0, np.int64)
+        if packed.num_rows and rows.num_rows:
+            trie = DoubleArray.unpack(packed.column("trie")[0].as_py())
+            total = np.zeros(len(trie.base), np.int64)
+            for batch in rows.combine_chunks().to_batches():
+                for part in by_bytes(batch, "phrase", mb):
+                    words = [_words_of(p) for p in part.column("phrase").to_pylist()]
+                    sizes = np.fromiter(map(len, words), np.int64, len(words))
+                    codes, distinct = encoded(pa.array([x for w in words for x in w], pa.large_binary()))
+                    total += trie.counts(distinct, codes, np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes) - sizes, part.column("n").to_numpy())
+            slot = np.flatnonzero(total >= least)
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(slot), pa.int32()), "slot": pa.array(slot), "f": pa.array(total[slot])})
 
-    def all_of(key: tuple, rows: pa.Table) -> pa.Table:
-        total = added(key, rows)
-        slot = np.flatnonzero(total >= least)
-        return pa.table({"shard": pa.array([key[0].as_py()] * len(slot), pa.int32()), "slot": pa.array(slot + key[1].as_py() * VECTOR), "f": pa.array(total[slot])})
-
-    # Vectors of counts are added up in two steps, so no task gets those of all tasks.
-    kind = "shard int, part bigint, counts binary"
-    vectors = docs.mapInArrow(lean(run), kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    return vectors.groupBy("shard", "part", "salt").applyInArrow(some, kind).groupBy("shard", "part").applyInArrow(all_of, "shard int, slot bigint, f bigint")
+    rows = _dealt(sequences.groupBy("pair", "phrase").agg(F.sum("n").alias("n")), shards)
+    packed = tries.where("slot = -1").select("shard", F.col("phrase").alias("trie"))
+    return rows.groupBy("shard").cogroup(packed.groupBy("shard")).applyInArrow(walk, "shard int, slot bigint, f bigint")
 
 
 def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
@@ -241,23 +276,15 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
     pair_keys = short.where("key is not null").select("key")
     pairs = _filter_of(pair_keys)
     long_keys = stored(_long_keys(docs, pairs).groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least).select("key"), "phrase-keys")
-    found = _phrases(docs, pairs, _filter_of(long_keys)).distinct()
+    longer = _filter_of(long_keys)
+    found = _phrases(docs, pairs, longer).distinct()
     candidates = stored(found.join(pair_keys.union(long_keys).distinct(), "key", "left_semi").select("phrase").distinct(), "phrase-candidates")
-    tries = _tries(candidates)
-    sizes = sorted((r["shard"], r["bytes"]) for r in tries.where("slot = -1").select("shard", F.octet_length("phrase").alias("bytes")).collect())
-    counts, begin = None, 0
-    while begin < len(sizes):
-        end, held = begin, 0
-        while end < len(sizes) and (end == begin or held + sizes[end][1] <= ROUND_BYTES):
-            held += sizes[end][1]
-            end += 1
-        mine = tries.where((F.col("slot") == -1) & F.col("shard").between(sizes[begin][0], sizes[end - 1][0]))
-        part = _counted(docs, [(r["shard"], bytes(r["phrase"])) for r in mine.select("shard", "phrase").collect()], least)
-        counts = part if counts is None else counts.unionByName(part)
-        begin = end
     words = short.where("word is not null").select(F.col("word").cast("string").alias("phrase"), "f")
-    if counts is None:
+    shards = math.ceil(candidates.count() / SHARD)
+    if not shards:
         return words
+    tries = _tries(candidates, shards)
+    counts = _counted(_sequences(docs, pairs, longer), tries, shards, least)
     ends = tries.where("slot >= 0").select("shard", "slot", F.col("phrase").cast("string").alias("phrase"))
     return words.unionByName(ends.join(counts, ["shard", "slot"]).select("phrase", "f"))
 

@@ -83,21 +83,28 @@ class DoubleArray:
         base[owners[single]] = gaps[:len(single)] - label[by_parent[first[single]]]
         return base
 
-    def counts(self, words: pa.Array, codes: np.ndarray, pieces: np.ndarray) -> np.ndarray:
-        """How often a path from some position of the text reaches each slot; ``codes`` index ``words``, paths stay in a piece."""
+    def counts(self, words: pa.Array, codes: np.ndarray, pieces: np.ndarray, starts: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
+        """How often a path from some position of the text reaches each slot; ``codes`` index ``words``, paths stay in a piece.
+
+        With ``starts``: from these positions only, each counted ``times``.
+        """
         mine = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
         out = np.zeros(len(self.base), np.int64)
-        at = np.flatnonzero(mine >= 0)
+        at = np.arange(len(mine)) if starts is None else starts
+        times = None if times is None else times[mine[at] >= 0]
+        at = at[mine[at] >= 0]
         state, start = np.zeros(len(at), np.int64), at
         while len(at):
             nxt = self.base[state].astype(np.int64) + mine[at]
             real = (nxt >= 0) & (nxt < len(self.base))
             real[real] = self.check[nxt[real]] == state[real]
             state, at, start = nxt[real], at[real] + 1, start[real]
-            out += np.bincount(state, minlength=len(out))
+            times = None if times is None else times[real]
+            out += np.bincount(state, times, minlength=len(out)).astype(np.int64)
             on = at < len(mine)
             on[on] = (pieces[at[on]] == pieces[start[on]]) & (mine[at[on]] >= 0)
             state, at, start = state[on], at[on], start[on]
+            times = None if times is None else times[on]
         return out
 
     def pack(self) -> bytes:

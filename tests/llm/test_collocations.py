@@ -94,3 +94,29 @@ def test_sequences_that_share_a_key():
     key, words = np.array([5, 5, 5, 7, 7], np.uint64), [np.array([1, 1, 2, 3, 3]), np.array([4, 4, 4, 4, 4])]
     assert sorted(zip(*(w[C.one_of_each(key, words)].tolist() for w in words))) == [(1, 4), (2, 4), (3, 4)]
     assert sorted(C.one_of_each(key, [np.array([1, 1, 1, 3, 3])]).tolist()) == [0, 3]
+
+
+def test_walks_from_given_places():
+    trie = DoubleArray.of([[b"a", b"b"], [b"a", b"b", b"c"], [b"b", b"c"]])
+    words, codes, pieces = pa.array([b"a", b"b", b"c", b"d"], pa.large_binary()), np.array([0, 1, 2, 1, 2, 3, 0, 1]), np.array([0, 0, 0, 1, 1, 2, 3, 3])
+    got = trie.counts(words, codes, pieces, np.array([0, 3, 5, 6]), np.array([5, 7, 9, 11]))
+    assert got[trie.slots].tolist() == [16, 5, 7]
+
+
+def test_texts_are_read_as_often_for_many_tries(spark, monkeypatch):
+    """However many tries there are: three passes over the texts for words, keys and candidates, and one that counts."""
+    r = random.Random(8)
+    rows = [(" ".join(r.choice("abcdefgh") for _ in range(200)), r.choice(["en", "fr"])) for _ in range(20)]
+    monkeypatch.setattr(C, "SHARD", 20)
+    monkeypatch.setattr(C, "ROUND_BYTES", 2000)
+    read = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "text string, lang string").mapInArrow(noted, "text string, lang string")
+    monkeypatch.setattr(C, "stored", lambda df, name: df.localCheckpoint())
+    got = C.phrase_counts(df, 5).localCheckpoint()
+    assert got.count() > 100 and read.value == 4 * len(rows)
